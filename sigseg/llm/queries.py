@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sigseg.llm.bpe_automaton import bpe_decode, bpe_encode
 from sigseg.llm.near_dup import near_duplicates
 from sigseg.llm.quality_rules import LONGS, repetition_coverage
+from sigseg.llm.shared import Scratch
+from sigseg.llm.token_files import read_token_files, write_token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +22,43 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
 
+def tokenizer_spec(path: str | None = None) -> str:
+    """Content of a tokenizers file; by default the public byte-level BPE of 50,257 ids."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = tokenizer_spec()
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = bpe_decode(bpe_encode(docs, spec, packed=True).select("doc_id", "ids"), spec)
+    return tokens.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "token-files").path("shards")
+    write_token_files(_table(spark, sf_dir, "documents"), tokenizer_spec(), path)
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_coverage(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *LONGS, "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op8_quality_rules": op8_quality_rules,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
