@@ -13,12 +13,18 @@ from sigseg.llm.near_dup import near_duplicates
 from sigseg.llm.quality_rules import LONGS, repetition_coverage
 from sigseg.llm.shared import Scratch
 from sigseg.llm.token_files import read_token_files, write_token_files
+from sigseg.llm.topk_search import quantize, topk_search, usable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings").filter(usable("embedding")).select("vec_id", quantize("embedding").alias("vector"))
+    return topk_search(table, table.filter("vec_id % 50 = 0"), k=5)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
@@ -61,6 +67,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_topk": op1_exact_topk,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op8_quality_rules": op8_quality_rules,
@@ -69,6 +76,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_exact_topk": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+""",
     "op9_line_dedup": r"""
 WITH lines AS (
     SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
