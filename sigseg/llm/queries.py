@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigseg.llm.bpe_automaton import bpe_decode, bpe_encode
+from sigseg.llm.chat_format import CHAT_SCHEMA, chat_calls, link_tool_calls
 from sigseg.llm.line_dedup import line_dedup
 from sigseg.llm.near_dup import near_duplicates
 from sigseg.llm.quality_rules import LONGS, repetition_coverage
@@ -57,6 +58,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = link_tool_calls(*chat_calls(_table(spark, sf_dir, "conversations")), CHAT_SCHEMA)
+    return out.select("conv_id", "call_id", "turn", "depth", "status", "valid", F.size("errors").alias("n_errors"), "json")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_coverage(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *LONGS, "base_failed", "kept")
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
@@ -86,6 +93,43 @@ WITH v AS (
 )
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
+""",
+    "op7_chat_format": """
+WITH RECURSIVE t AS (
+    SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, text FROM conversations
+), system AS (
+    SELECT conv_id, turn + 1 AS turn, min(text) AS system FROM t WHERE role = 'system' GROUP BY ALL
+), calls AS (
+    SELECT t.conv_id, 'call_' || t.turn AS call_id, t.turn, t.text AS prompt, s.system,
+        CASE WHEN t.turn > 0 THEN 'call_' || (t.turn - 2) END AS after,
+        row_number() OVER (PARTITION BY t.conv_id, t.turn ORDER BY t.text) AS n
+    FROM t LEFT JOIN system s USING (conv_id, turn) WHERE role = 'user'
+), results AS (
+    SELECT conv_id, 'call_' || (turn - 1) AS call_id, turn AS result_turn, text AS content,
+        row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS n
+    FROM t WHERE role = 'assistant'
+), depths AS (
+    SELECT conv_id, call_id, 0::BIGINT AS depth FROM calls c
+    WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.call_id = c.after)
+    UNION ALL
+    SELECT c.conv_id, c.call_id, d.depth + 1 FROM depths d JOIN calls c ON c.conv_id = d.conv_id AND c.after = d.call_id AND c.n = 1
+), linked AS (
+    SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.n, r.n) AS n, c.turn, r.result_turn,
+        c.turn IS NOT NULL AS is_call, prompt, system, content,
+        CASE WHEN c.turn IS NOT NULL AND prompt IS NULL THEN ['prompt is missing'] ELSE [] END AS errors
+    FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id AND c.n = r.n
+), done AS (
+    SELECT l.*, d.depth, is_call AND len(errors) = 0 AS valid,
+        CASE WHEN n > 1 THEN 'duplicate' WHEN NOT is_call THEN 'no_call' WHEN result_turn IS NULL THEN 'no_result' ELSE 'linked' END AS status
+    FROM linked l LEFT JOIN depths d ON l.conv_id = d.conv_id AND l.call_id = d.call_id
+)
+SELECT conv_id, call_id, coalesce(turn, result_turn) AS turn, depth, status, valid, len(errors)::INTEGER AS n_errors,
+    '{"arguments":' || CASE WHEN NOT is_call THEN 'null' ELSE '{'
+        || array_to_string(list_filter(['"prompt":' || to_json(prompt)::VARCHAR, '"system":' || to_json(system)::VARCHAR, '"turn":' || turn], lambda x: x IS NOT NULL AND x NOT LIKE '%:null'), ',') || '}' END
+    || ',"call_id":' || to_json(call_id)::VARCHAR || ',"content":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"depth":' || coalesce(depth::VARCHAR, 'null')
+    || ',"errors":' || to_json(errors)::VARCHAR || ',"name":' || CASE WHEN is_call THEN '"respond"' ELSE 'null' END
+    || ',"status":"' || status || '","valid":' || CASE WHEN valid THEN 'true' ELSE 'false' END || '}' AS json
+FROM done
 """,
     "op9_line_dedup": r"""
 WITH lines AS (
