@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sigseg.llm.bpe_automaton import bpe_decode, bpe_encode
 from sigseg.llm.chat_format import CHAT_SCHEMA, chat_calls, link_tool_calls
 from sigseg.llm.line_dedup import line_dedup
+from sigseg.llm.mixing import mix_sources
 from sigseg.llm.near_dup import near_duplicates
 from sigseg.llm.quality_rules import LONGS, repetition_coverage
 from sigseg.llm.shared import Scratch
@@ -26,6 +27,10 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(table, table.filter("vec_id % 50 = 0"), k=5)
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "block", "place")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
@@ -74,6 +79,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
+    "op4_mix_sources": op4_mix_sources,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op7_chat_format": op7_chat_format,
