@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from sigseg.llm.bpe_automaton import bpe_decode, bpe_encode
 from sigseg.llm.chat_format import CHAT_SCHEMA, chat_calls, link_tool_calls
+from sigseg.llm.language_id import identify, learn
 from sigseg.llm.line_dedup import line_dedup
 from sigseg.llm.mixing import mix_sources
 from sigseg.llm.near_dup import near_duplicates
 from sigseg.llm.quality_rules import LONGS, repetition_coverage
 from sigseg.llm.shared import Scratch
+from sigseg.llm.substring_dedup import substring_dedup
 from sigseg.llm.token_files import read_token_files, write_token_files
 from sigseg.llm.topk_search import quantize, topk_search, usable
 
@@ -27,6 +29,19 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(table, table.filter("vec_id % 50 = 0"), k=5)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = learn(docs.filter(~held_out))
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    return out.select("doc_id", "n_chunks", "shared_chunks", "removed_chunks", "removed_chars", "first_docs", kept)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "block", "place")
 
@@ -79,6 +94,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_language_id": op2_language_id,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
