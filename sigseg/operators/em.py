@@ -73,10 +73,10 @@ def _emission_stats(model: HmmModel, obs: np.ndarray, gamma: np.ndarray, var_cen
         center = np.asarray(e.means)
         return np.concatenate([share.sum(0).ravel(), (share * x).sum(0).ravel(), (share * (x - center) ** 2).sum(0).ravel()])
     if isinstance(e, E.Multinomial):
-        x = obs.astype(np.int64).reshape(len(g), -1)
+        x = obs.astype(np.int64).reshape(len(g), obs.shape[-1])
         m = len(e.table[0][0])
         return np.stack([[np.bincount(x[:, f], g[:, j], m) for f in range(x.shape[1])] for j in range(k)]).ravel()
-    x = obs.reshape(len(g), -1)
+    x = obs.reshape(len(g), obs.shape[-1])
     center = np.asarray(e.means)
     d = x[:, None, :] - center
     return np.concatenate([g.sum(0), (g.T @ x).ravel(), np.einsum("nk,nki,nkj->kij", g, d, d).ravel()])

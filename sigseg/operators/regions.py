@@ -70,7 +70,7 @@ def nearest_start(peaks: DataFrame, regions: DataFrame) -> DataFrame:
     Two as-of lookups over the union of both, sorted by position in each chromosome.
     """
     both = peaks.select("chrom", "id", "pos", F.lit(None).cast("struct<start:bigint,length:bigint>").alias("r")).unionByName(
-        regions.select("chrom", F.lit(None).cast("long").alias("id"), F.col("start").cast("double").alias("pos"), F.struct(F.col("start").cast("long"), F.col("length").cast("long")).alias("r"))
+        regions.select("chrom", F.lit(None).cast("long").alias("id"), F.col("start").cast("double").alias("pos"), F.struct(F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length")).alias("r"))
     )
     order = Window.partitionBy("chrom").orderBy("pos", F.col("id").isNotNull())
     back = F.last("r", True).over(order.rowsBetween(Window.unboundedPreceding, 0))

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from sigseg.functions import emissions as E
 from sigseg.operators import discretize as D
 from sigseg.operators import hmm as H
+from sigseg.operators import multichannel as M
+from sigseg.operators import profiles as P
 from sigseg.operators import regions as R
+from sigseg.operators import scoring as C
+from sigseg.operators import selection as L
 from sigseg.operators import signal as S
+from sigseg.operators import wavelet as W
 from sigseg.operators.em import Iterations, SmallChange, baum_welch
 from sigseg.plans import recursions as rec
 from sigseg.plans import views as V
@@ -341,3 +346,327 @@ def segmentation(spark, sf) -> DataFrame:
 @query(with_(*SEG, recursive=True) + "SELECT chrom, region, start, length, state FROM regions")
 def reg_runs(spark, sf):
     return S.runs(segmentation(spark, sf)).withColumn("region", F.col("region").cast("long"))
+
+
+@query(with_(*SEG, recursive=True) + "SELECT chrom, start, length FROM regions WHERE state = 1")
+def reg_start_len(spark, sf):
+    return S.runs(segmentation(spark, sf)).filter("state = 1").select("chrom", "start", "length")
+
+
+NAIVE_SEG = (SIG, X, NAIVE, RUNS)
+IN_REGION = "JOIN regions r ON r.chrom = s.chrom AND s.bin >= r.start AND s.bin < r.start + r.length"
+
+
+def naive_regions(spark, sf) -> DataFrame:
+    return S.runs(naive(spark, sf)).withColumn("region", F.col("region").cast("long"))
+
+
+@query(with_(*NAIVE_SEG) + f"SELECT s.chrom, region, round(sum(value) / any_value(length), 6) AS value FROM sig s {IN_REGION} GROUP BY ALL")
+def reg_avg_signal(spark, sf):
+    return R.average_signal(naive_regions(spark, sf), V.sig_hour(spark, sf)).select("chrom", "region", r6("value"))
+
+
+MC_ONLY = MC.replace("sizes AS (SELECT DISTINCT event_type AS chrom FROM events), ", "")
+
+
+@query(with_(*NAIVE_SEG, MC_ONLY) + f"SELECT s.chrom, region, track::BIGINT AS track, round(sum(s.value) / any_value(length), 6) AS value FROM mc s {IN_REGION} GROUP BY ALL")
+def reg_markers(spark, sf):
+    return P.marker_profile(naive_regions(spark, sf), V.mc_hour(spark, sf)).select("chrom", "region", "track", r6("value"))
+
+
+@query(with_(*NAIVE_SEG, PEAKS) + """SELECT chrom, region, EXISTS (SELECT 1 FROM peaks p WHERE p.chrom = r.chrom
+  AND (p.start + p."end") / 2 > r.start * 3600 - r.length * 3600 * 0.05 AND (p.start + p."end") / 2 < r.start * 3600 + r.length * 3600 * 0.05) AS has_peak FROM regions r""")
+def reg_boundary_peak(spark, sf):
+    return R.near_boundary(naive_regions(spark, sf), V.peaks(spark, sf), 3600)
+
+
+@query(with_(*NAIVE_SEG) + "SELECT state, count(*) AS n, round(avg(length), 6) AS mean, round(stddev_pop(length), 6) AS std, max(length) AS max, min(length) AS min FROM regions GROUP BY state")
+def reg_length_stats(spark, sf):
+    return R.length_stats(naive_regions(spark, sf)).select("state", "n", r6("mean"), r6("std"), "max", "min")
+
+
+@query(with_(*NAIVE_SEG) + "SELECT state, floor((round(log10(length * 3600), 9) - 2.5) / 0.03)::BIGINT AS slot, count(*) AS n FROM regions WHERE round(log10(length * 3600), 9) >= 2.5 AND round(log10(length * 3600), 9) < 6.2 GROUP BY ALL")
+def reg_length_hist(spark, sf):
+    return R.length_histogram(naive_regions(spark, sf), 3600)
+
+
+# ---- training ----
+
+EM_D = [f"e{s}{m}" for s in range(2) for m in range(4)]
+EM_D_SQL = rec.em(
+    lambda x, m: f"CASE {x} WHEN 0 THEN {m}.e00 WHEN 1 THEN {m}.e01 WHEN 2 THEN {m}.e02 ELSE {m}.e03 END AS e0, CASE {x} WHEN 0 THEN {m}.e10 WHEN 1 THEN {m}.e11 WHEN 2 THEN {m}.e12 ELSE {m}.e13 END AS e1",
+    "train", 3, START, TRANS, (EM_D, [str(v) for row in H.DEFAULT_TABLE for v in row]),
+    [f"coalesce(sum(g{s}) FILTER (x = {m}), 0) / sum(g{s})" for s in range(2) for m in range(4)],
+)
+MODEL_OUT = "SELECT round(p0, 6) AS p0, round(a00, 6) AS a00, round(a11, 6) AS a11"
+
+
+def model_row(spark, fit, names: list[str], values: list[float]) -> DataFrame:
+    m = fit.model
+    row = [m.start[0], m.transition[0][0], m.transition[1][1], *values, fit.likelihoods[-1]]
+    return spark.createDataFrame([tuple(round(float(v), 6) + 0.0 for v in row)], ", ".join(f"{n} double" for n in ["p0", "a00", "a11", *names, "loglik"]))
+
+
+def _em_discrete(spark, obs: DataFrame) -> DataFrame:
+    fit = baum_welch(H.pack(obs, chunk=256), H.default_discrete(), Iterations(3))
+    return model_row(spark, fit, EM_D, [v for row in fit.model.emission.table for v in row])
+
+
+EM_D_OUT = MODEL_OUT + "".join(f", round({c}, 6) AS {c}" for c in EM_D) + ", (SELECT round(sum(l), 6) FROM f2 WHERE bin = 719) AS loglik FROM m3"
+
+
+@query(with_(SIG, X, T3, SYM, "train AS (SELECT chrom, bin, x FROM sym WHERE chrom = 'click')", EM_D_SQL, recursive=True) + EM_D_OUT)
+def em_discrete_3it(spark, sf):
+    return _em_discrete(spark, symbols(spark, sf).filter("chrom = 'click'"))
+
+
+@query(with_(SIG, X, T3, SYM, "train AS (SELECT chrom, bin, x FROM sym)", EM_D_SQL, recursive=True) + EM_D_OUT)
+def em_multiseq_discrete(spark, sf):
+    return _em_discrete(spark, symbols(spark, sf))
+
+
+EM_N = ["u0", "u1", "d0", "d1"]
+EM_N_SQL = rec.em(
+    lambda x, m: f"{floored(pdf(x, m + '.u0', m + '.d0'))} AS e0, {floored(pdf(x, m + '.u1', m + '.d1'))} AS e1",
+    "train", 3, START, TRANS, (EM_N, [N0[0], N1[0], N0[1], N1[1]]),
+    ["sum(g0 * x) / sum(g0)", "sum(g1 * x) / sum(g1)", "greatest(sqrt(sum(g0 * (x - m.u0) ** 2) / sum(g0)), 0.5)", "greatest(sqrt(sum(g1 * (x - m.u1) ** 2) / sum(g1)), 0.5)"],
+)
+
+
+@query(with_(SIG, X, "train AS (SELECT chrom, bin, x FROM x)", EM_N_SQL, recursive=True) + MODEL_OUT + "".join(f", round({c}, 6) AS {c}" for c in EM_N) + ", (SELECT round(sum(l), 6) FROM f2 WHERE bin = 719) AS loglik FROM m3")
+def em_normal_3it(spark, sf):
+    fit = baum_welch(H.pack(levels(spark, sf), chunk=256), NORMAL, Iterations(3))
+    return model_row(spark, fit, EM_N, [*fit.model.emission.means, *fit.model.emission.deviations])
+
+
+@query()
+def em_multinomial(spark, sf):
+    fit = baum_welch(H.pack(track_vectors(spark, sf), chunk=256), MULTINOMIAL, Iterations(3))
+    rows = [(s, f, m, float(p)) for s, t in enumerate(fit.model.emission.table) for f, row in enumerate(t) for m, p in enumerate(row)]
+    return spark.createDataFrame(rows, "state int, feature int, symbol int, p double")
+
+
+@query()
+def em_mixture(spark, sf):
+    first = H.HmmModel(H.DEFAULT_START, H.DEFAULT_TRANSITION, E.Mixture([[0.5, 0.5], [0.5, 0.5]], [[2.0, 4.5], [5.0, 6.0]], [[1.0, 1.0], [0.6, 0.6]]))
+    fit = baum_welch(H.pack(levels(spark, sf), chunk=256), first, Iterations(3))
+    e = fit.model.emission
+    rows = [(s, c, float(e.weights[s][c]), float(e.means[s][c]), float(e.deviations[s][c])) for s in range(2) for c in range(2)]
+    return spark.createDataFrame(rows, "state int, component int, weight double, mean double, deviation double")
+
+
+@query()
+def em_gaussian_mvn(spark, sf):
+    fit = M.fit_segmenter(vectors(spark, sf), 2, dims=4, chunk=1024).fit
+    rows = [(s, i, float(v)) for s, m in enumerate(fit.model.emission.means) for i, v in enumerate(m)]
+    return spark.createDataFrame(rows, "state int, dim int, mean double")
+
+
+@query()
+def em_min_alpha(spark, sf):
+    fit = baum_welch(packed_symbols(spark, sf, 256), H.default_discrete(), Iterations(2), min_alpha=0.95)
+    return spark.createDataFrame([(i, float(row[i])) for i, row in enumerate(fit.model.transition)], "state int, stay double")
+
+
+@query()
+def em_diff_condition(spark, sf):
+    stop = SmallChange(50.0, 20)
+    baum_welch(packed_symbols(spark, sf, 256), H.default_discrete(), stop)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(stop.likelihoods)], "round int, loglik double")
+
+
+# ---- scores ----
+
+STATES = "st AS (SELECT chrom, bin, track AS sample, (value > 40)::INT AS state FROM mc)"
+
+
+def sample_states(spark, sf) -> DataFrame:
+    return V.mc_hour(spark, sf).select("chrom", "bin", F.col("track").alias("sample"), (F.col("value") > 40).cast("int").alias("state"))
+
+
+@query(with_(MC, STATES, "d AS (SELECT chrom, bin, (avg(state) >= 0.8)::INT AS truth FROM st GROUP BY ALL HAVING avg(state) <= 0.2 OR avg(state) >= 0.8)") + "SELECT sample::BIGINT AS sample, round(avg((st.state = d.truth)::INT), 6) AS score FROM st JOIN d ON st.chrom = d.chrom AND st.bin = d.bin GROUP BY ALL")
+def score_consistency(spark, sf):
+    return C.consistency(sample_states(spark, sf)).select("sample", r6("score"))
+
+
+@query(with_(SIG, MC_ONLY, X, NAIVE) + "SELECT track::BIGINT AS track, round(avg(value) FILTER (state = 1) / avg(value) FILTER (state = 0), 6) AS score FROM mc JOIN seg ON mc.chrom = seg.chrom AND mc.bin = seg.bin GROUP BY ALL")
+def score_enrichment(spark, sf):
+    return C.enrichment(naive(spark, sf), V.mc_hour(spark, sf)).select("track", r6("score"))
+
+
+@query(with_(*NAIVE_SEG, PEAKS, """pk AS (SELECT chrom, id, (start + "end") / 2 AS pos, lead((start + "end") / 2) OVER (PARTITION BY chrom ORDER BY (start + "end") / 2, id) - (start + "end") / 2 AS gap FROM peaks)""",
+    "near AS (SELECT pk.chrom, id, pos, gap, arg_min(r.start * 3600, {'d': abs(pos - r.start * 3600), 's': -r.start}) AS start, arg_min(r.length * 3600, {'d': abs(pos - r.start * 3600), 's': -r.start}) AS length FROM pk JOIN regions r ON r.chrom = pk.chrom GROUP BY ALL)",
+    "kept AS (SELECT * FROM near WHERE gap > 0 QUALIFY row_number() OVER (PARTITION BY chrom, start ORDER BY abs(pos - start), id) = 1)") + "SELECT chrom, round(avg((abs(ln(length / gap)) < 0.5)::INT), 6) AS score FROM kept GROUP BY chrom")
+def score_nearest(spark, sf):
+    scaled = naive_regions(spark, sf).select("chrom", (F.col("start") * 3600).alias("start"), (F.col("length") * 3600).alias("length"))
+    gaps = C.peak_gaps(V.peaks(spark, sf))
+    return C.gap_agreement(R.nearest_start(gaps.drop("gap"), scaled), gaps, 0.5).select("chrom", r6("score"))
+
+
+GENES = 'gn AS (SELECT id AS gene, chrom, start, "end" FROM iv WHERE id % 10 = 0)'
+
+
+def genes(spark, sf) -> DataFrame:
+    """Every tenth interval stands for a gene."""
+    return V.intervals(spark, sf).filter("id % 10 = 0").select(F.col("id").alias("gene"), "chrom", "start", "end")
+
+
+@query(with_(*NAIVE_SEG, IV, GENES) + 'SELECT g.chrom, count(DISTINCT gene) AS n FROM gn g JOIN regions r ON g.chrom = r.chrom AND r.start > 0 AND g.start < r.start * 3600 AND r.start * 3600 < g."end" GROUP BY ALL')
+def score_gene_breaks(spark, sf):
+    boundaries = naive_regions(spark, sf).filter("start > 0").select("chrom", (F.col("start") * 3600).alias("pos"))
+    return R.broken_genes(boundaries, genes(spark, sf))
+
+
+@query(with_(*NAIVE_SEG, IV, GENES, "opening AS (SELECT chrom, state AS opening FROM regions WHERE start = 0)", "perms AS (SELECT unnest(generate_series(0, 19)) AS perm)",
+    "drawn AS (SELECT perm, r.chrom, r.state, r.length, 2 * (row_number() OVER (PARTITION BY perm, r.chrom, r.state ORDER BY md5('1|' || perm || '|' || r.chrom || '|' || r.start)) - 1) + (r.state <> opening)::INT AS turn FROM regions r JOIN opening o ON o.chrom = r.chrom, perms)",
+    "placed AS (SELECT perm, chrom, turn, sum(length) OVER (PARTITION BY perm, chrom ORDER BY turn) * 3600 AS pos, max(turn) OVER (PARTITION BY perm, chrom) AS last FROM drawn)",
+    "points AS (SELECT perm, chrom, pos FROM placed WHERE turn < last UNION ALL SELECT -1, chrom, start * 3600 FROM regions WHERE start > 0)",
+    'hit AS (SELECT p.chrom, perm, count(DISTINCT gene) AS n FROM points p JOIN gn g ON g.chrom = p.chrom AND g.start < pos AND pos < g."end" GROUP BY ALL)',
+    "seen AS (SELECT c.chrom, coalesce(max(n), 0) AS observed FROM (SELECT DISTINCT chrom FROM regions) c LEFT JOIN hit h ON h.chrom = c.chrom AND perm = -1 GROUP BY ALL)") + "SELECT s.chrom, observed, round((SELECT count(*) FROM hit h WHERE h.chrom = s.chrom AND perm >= 0 AND h.n > observed) / 20, 6) AS score FROM seen s")
+def score_gene_perm(spark, sf):
+    return C.permutation_test(naive_regions(spark, sf), genes(spark, sf), 20, 3600).select("chrom", "observed", r6("score"))
+
+
+# ---- profiles ----
+
+@query(with_(*NAIVE_SEG, "k AS (SELECT unnest(generate_series(0, 9)) AS k)", "ip AS (SELECT chrom, region, k, start + floor(k * length / 10)::BIGINT AS b0, start + least(floor(k * length / 10)::BIGINT + 1, length - 1) AS b1, k * length / 10 - floor(k * length / 10) AS d FROM regions, k)") + "SELECT a.chrom, region, k::INT AS k, round(s0.value + d * (s1.value - s0.value), 6) AS value FROM ip a JOIN sig s0 ON s0.chrom = a.chrom AND s0.bin = b0 JOIN sig s1 ON s1.chrom = a.chrom AND s1.bin = b1")
+def prof_interp(spark, sf):
+    return P.interpolated(naive_regions(spark, sf), V.sig_hour(spark, sf), 10).select("chrom", "region", "k", r6("value"))
+
+
+FLANK = 'fl AS (SELECT r.chrom, region, o."offset", s.value FROM regions r, (SELECT unnest(generate_series(-5, 4)) AS "offset") o, sig s WHERE r.start >= 5 AND r.start + 4 <= 719 AND s.chrom = r.chrom AND s.bin = r.start + o."offset")'
+
+
+@query(with_(*NAIVE_SEG, FLANK) + 'SELECT chrom, region, "offset"::INT AS "offset", value FROM fl')
+def prof_flanks(spark, sf):
+    return P.flanks(naive_regions(spark, sf), V.sig_hour(spark, sf), 5)
+
+
+@query(with_(*NAIVE_SEG, FLANK, 'per AS (SELECT chrom, "offset", avg(value) AS m, count(*) AS w FROM fl GROUP BY ALL)') + 'SELECT "offset"::INT AS "offset", round(sum(m * w) / sum(w), 6) AS value FROM per GROUP BY ALL')
+def prof_weighted(spark, sf):
+    return P.weighted_mean(prof_flanks(spark, sf), "offset").select("offset", r6("value"))
+
+
+# ---- many channels ----
+
+def vectors(spark, sf) -> DataFrame:
+    """V6: chrom, bin, x."""
+    e = V.table(spark, sf, "embeddings")
+    return e.select(F.lit("e").alias("chrom"), F.col("vec_id").alias("bin"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+
+
+def pair_vectors(spark, sf) -> DataFrame:
+    return S.stack(V.mc_hour(spark, sf), [0, 1]).select("chrom", "bin", F.array("0", "1").alias("x"))
+
+
+COV = "cv AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, covar_pop(x, y) AS b, var_pop(y) AS c FROM (SELECT chrom, bin, sum(value) FILTER (track = 0) AS x, sum(value) FILTER (track = 1) AS y FROM mc GROUP BY ALL))"
+
+
+@query(with_(MC, COV, "ev AS (SELECT *, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS l1, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS l2 FROM cv)") + "SELECT 0 AS k, round(l1 / (l1 + l2), 6) AS energy FROM ev UNION ALL SELECT 1, round(l2 / (l1 + l2), 6) FROM ev")
+def mc_pca2(spark, sf):
+    pca = M.fit_pca(pair_vectors(spark, sf), 2)
+    return spark.createDataFrame([(i, round(float(e), 6)) for i, e in enumerate(pca.energy)], "k int, energy double")
+
+
+@query()
+def mc_pca_energy(spark, sf):
+    pca = M.fit_pca(vectors(spark, sf), min_energy=0.5)
+    return spark.createDataFrame([(i, float(e)) for i, e in enumerate(pca.energy)], "k int, energy double")
+
+
+@query()
+def mc_pca_project(spark, sf):
+    data = pair_vectors(spark, sf)
+    pca = M.fit_pca(data, 2)
+    return data.select("chrom", "bin", F.posexplode(pca.transform(F.col("x"))).alias("component", "value"))
+
+
+@query()
+def mc_soft_kmeans(spark, sf):
+    means, _, weights = M.soft_clusters(vectors(spark, sf), 3, 5)
+    return spark.createDataFrame([(i, float(w), float(sum(v * v for v in m))) for i, (m, w) in enumerate(zip(means, weights, strict=True))], "cluster int, weight double, norm2 double")
+
+
+@query()
+def mc_gmm_hmm(spark, sf):
+    data = vectors(spark, sf)
+    made = M.fit_segmenter(data, 2, dims=3, rounds=2, chunk=1024)
+    return H.viterbi(made.pack(data, 1024), made.fit.model)
+
+
+# ---- wavelets and trees ----
+
+
+def first_bins(spark, sf) -> DataFrame:
+    return V.sig_hour(spark, sf).filter("bin < 512").select("chrom", "bin", "value")
+
+
+def _pyramid_sql() -> str:
+    parts = ["l0 AS (SELECT chrom, bin AS idx, value AS approx, 0.0 AS detail FROM sig WHERE bin < 512)"]
+    for i in range(1, 10):
+        parts.append(f"l{i} AS (SELECT chrom, idx // 2 AS idx, avg(approx) AS approx, sum(CASE WHEN idx % 2 = 1 THEN approx ELSE -approx END) / 2 AS detail FROM l{i - 1} GROUP BY chrom, idx // 2)")
+    return ",\n".join(parts)
+
+
+@query(with_(SIG, _pyramid_sql()) + " UNION ALL ".join(f"SELECT chrom, {i} AS level, idx, round(approx + 1e-9, 6) + 0.0 AS approx, round(detail + 1e-9, 6) + 0.0 AS detail FROM l{i}" for i in range(1, 10)))
+def wav_dwt(spark, sf):
+    # halves of six decimals are common in a pyramid; the shift rounds them alike in both engines
+    shifted = W.dwt(first_bins(spark, sf)).withColumns({c: F.col(c) + 1e-9 for c in ("approx", "detail")})
+    return shifted.select("chrom", "level", "idx", r6("approx"), r6("detail"))
+
+
+@query(with_(SIG) + "SELECT chrom, bin, round(value, 6) AS value FROM sig WHERE bin < 512")
+def wav_idwt(spark, sf):
+    return W.idwt(W.dwt(first_bins(spark, sf))).select("chrom", "bin", r6("value"))
+
+
+TREE = W.TreeModel([0.8, 0.2], [[0.6, 0.4], [0.2, 0.8]], [0.0, 1.0], [20.0, 80.0])
+
+
+@query()
+def hmt_posterior(spark, sf):
+    return W.tree_posterior(W.dwt(first_bins(spark, sf)), TREE).select("chrom", "level", "idx", F.round(F.col("gamma")[1], 6).alias("p"))
+
+
+@query()
+def hmt_viterbi(spark, sf):
+    return W.tree_viterbi(W.dwt(first_bins(spark, sf)), TREE)
+
+
+@query()
+def hmt_fit(spark, sf):
+    m = W.tree_fit(W.dwt(first_bins(spark, sf), levels=4), TREE, 1)
+    return spark.createDataFrame([(i, float(m.root[i]), float(m.means[i]), float(m.deviations[i])) for i in range(2)], "state int, root double, mean double, deviation double")
+
+
+@query()
+def wav_denoise(spark, sf):
+    return W.denoise(first_bins(spark, sf), TREE).select("chrom", "bin", r6("value"))
+
+
+@query()
+def hmt_level_seg(spark, sf):
+    return W.tree_viterbi(W.dwt(first_bins(spark, sf)), TREE).filter("level = 3").select("chrom", F.col("idx").alias("bin"), "state")
+
+
+# ---- model selection ----
+
+@query()
+def sel_grid(spark, sf):
+    rows = L.grid_search(V.sig_hour(spark, sf), 2, (1, 2), floors=(0.0, 0.9), chunk=1024)
+    return spark.createDataFrame(rows, "factor int, family string, floor double, loglik double")
+
+
+@query()
+def sel_regions(spark, sf):
+    return spark.createDataFrame(L.training_regions(symbols(spark, sf), "click", "view", 3, 2, 1024), "part int, loglik double")
+
+
+@query()
+def sel_prior_sweep(spark, sf):
+    return spark.createDataFrame(L.prior_sweep(packed_symbols(spark, sf, 1024), [0.7, 0.95], 2), "stay0 double, stay1 double, loglik double")
+
+
+@query("SELECT source, count(*) AS count FROM documents GROUP BY source ORDER BY count DESC, source LIMIT 1")
+def sel_top_cell(spark, sf):
+    return C.most_common(V.table(spark, sf, "documents"), "source")
