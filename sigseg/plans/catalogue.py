@@ -20,6 +20,8 @@ from sigseg.operators import wavelet as W
 from sigseg.operators.em import Iterations, SmallChange, baum_welch
 from sigseg.plans import recursions as rec
 from sigseg.plans import views as V
+from sigseg.sources import readers as I
+from sigseg.sources import writers as O
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -670,3 +672,23 @@ def sel_prior_sweep(spark, sf):
 @query("SELECT source, count(*) AS count FROM documents GROUP BY source ORDER BY count DESC, source LIMIT 1")
 def sel_top_cell(spark, sf):
     return C.most_common(V.table(spark, sf, "documents"), "source")
+
+
+# ---- sinks and metadata ----
+
+@query(with_(SIG, "seg AS (SELECT chrom, bin, round(value, 3) AS state FROM sig)", RUNS) + 'SELECT chrom, start * 3600 AS start, (start + length) * 3600 AS "end", state AS score FROM regions')
+def io_bedgraph_rows(spark, sf):
+    return O.bedgraph_rows(V.sig_hour(spark, sf), 3600)
+
+
+@query(with_(*NAIVE_SEG) + """SELECT chrom, start * 3600 AS start, (start + length) * 3600 AS "end", state::VARCHAR AS name, 0 AS score, '.' AS strand, start * 3600 AS thick_start, (start + length) * 3600 AS thick_end,
+  CASE state WHEN 0 THEN '128,128,128' ELSE '0,128,0' END AS color FROM regions""")
+def io_bed9_rows(spark, sf):
+    return O.bed9_rows(naive(spark, sf), 3600)
+
+
+@query("SELECT 'e' || event_id AS file, event_type AS type, user_id::VARCHAR AS user FROM events")
+def sig_meta_map(spark, sf):
+    e = V.table(spark, sf, "events")
+    lines = e.select(F.concat(F.lit("e"), "event_id", F.lit("\ttype="), "event_type", F.lit("; user="), "user_id", F.lit(";")).alias("value"))
+    return I.wide_metadata(I.parse_metadata(lines), ["type", "user"])
