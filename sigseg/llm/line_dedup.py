@@ -242,7 +242,7 @@ class LineIndex:
                 columns = [*part.columns[:at], texts, *part.columns[at + 1 : len(names)], pa.array(np.diff(line_off)), pa.array(n_dropped)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_lines", "n_dropped"])
 
-        return held.select(*names, "drop").mapInArrow(run, T.with_fields(rest, "n_lines bigint, n_dropped bigint"))
+        return held.select(*names, "__drop").mapInArrow(run, T.with_fields(rest, "n_lines bigint, n_dropped bigint"))
 
     def _drops(self, docs: DataFrame) -> DataFrame:
         """doc_id and the keys (``drop``) that it loses."""
@@ -251,7 +251,7 @@ class LineIndex:
             use = self._screened(use)
         exact = self.counts.select("h1", "h2", "holder")
         found = use.join(small(exact, self.n_keys), ["h1", "h2"]).filter("doc_id <> holder")
-        return found.groupBy("doc_id").agg(F.collect_set("h1").alias("drop"))
+        return found.groupBy("doc_id").agg(F.collect_set("h1").alias("__drop"))
 
     def _screened(self, refs: DataFrame) -> DataFrame:
         """The references whose keys the filters know."""

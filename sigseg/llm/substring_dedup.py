@@ -93,7 +93,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the passages that a smaller document holds, with counts and ``first_docs``, the documents that keep them."""
     rest = docs.select(*[c for c in docs.columns if c not in ADDED])
     names, at = rest.columns, rest.columns.index("text")
-    shared = shared_digests(docs).withColumnRenamed("doc_id", "__id")
+    shared = shared_digests(docs).withColumnsRenamed({"doc_id": "__id", "shared": "__shared"})
     held = rest.withColumn("__id", F.col("doc_id").cast("long")).join(shared, "__id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +101,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield _clean(part, at, len(names), min_words)
 
     fields = "n_chunks bigint, shared_chunks bigint, removed_chunks bigint, removed_chars bigint, first_docs array<bigint>"
-    return held.select(*names, "__id", "shared").mapInArrow(run, T.with_fields(rest, fields))
+    return held.select(*names, "__id", "__shared").mapInArrow(run, T.with_fields(rest, fields))
 
 
 def _clean(part: pa.RecordBatch, at: int, width: int, min_words: int) -> pa.RecordBatch:

@@ -40,7 +40,7 @@ def rows(df):
 def test_equals_brute_force(spark):
     for seed in (1, 2):
         docs = corpus(seed)
-        df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, n_lines string").repartition(3)
+        df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, n_lines string, drop int").repartition(3)
         assert rows(line_dedup(df, 10, 5)) == brute(docs, 10, 5)
 
 

@@ -64,7 +64,7 @@ def test_equals_brute_force(spark):
     passages = [words(60) for _ in range(4)]
     docs = [(i, words(rng.randrange(0, 80)) + rng.choice([" ", "\n"]) + (rng.choice(passages) + "\n" if i % 2 else "") + words(rng.randrange(0, 80))) for i in range(60)]
     docs += [(100, None), (101, ""), (102, "  "), (None, passages[0]), (5, passages[1]), (200, docs[9][1]), (201, "漢字 " * 50), (202, "漢字 " * 50)]
-    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_chunks int").repartition(3)
+    df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, n_chunks int, shared int").repartition(3)
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_chunks, r.shared_chunks, r.removed_chunks, r.removed_chars, r.first_docs, r.text or "") for r in substring_dedup(df).collect())
     assert got == brute(docs)
     caught = {g[0] for g in got if g[2]}
