@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigseg.llm.bpe_automaton import bpe_decode, bpe_encode
+from sigseg.llm.bpe_automaton import bpe_encode
 from sigseg.llm.line_dedup import line_dedup
 from sigseg.llm.mixing import mix_sources
 from sigseg.llm.near_dup import near_duplicates
@@ -43,8 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers), and digests of them and of the text that they spell."""
     spec = tokenizer_spec()
-    tokens = bpe_decode(bpe_encode(docs, spec, packed=True).select("doc_id", "lang", "source", "ids"), spec)
-    return tokens.select(
+    return bpe_encode(docs, spec, packed=True, decoded="decoded").select(
         "doc_id",
         "lang",
         "source",

@@ -231,6 +231,9 @@ class MergeAutomaton:
         return np.split(what[by], np.cumsum(np.bincount(who, minlength=len(words)))[:-1])
 
 
+#: Ids that are decoded at once; a longer list is decoded alone.
+DECODE_IDS = 1 << 18
+
 _built: dict[bytes, tuple[BatchEncoder, np.ndarray, np.ndarray]] = {}
 
 
@@ -252,27 +255,42 @@ def decode_ids(ids: np.ndarray, labels: np.ndarray, off: np.ndarray) -> tuple[np
     return labels[np.repeat(off[:-1][ids] - total[:-1], length) + np.arange(total[-1])], length
 
 
-def bpe_encode(docs: DataFrame, spec: str, text: str = "text", output: str = "ids", packed: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, spec: str, text: str = "text", output: str = "ids", packed: bool = False, decoded: str | None = None) -> DataFrame:
     """``docs`` with the token ids of each whole text; a null text has none.
 
     ``spec`` is the content of a tokenizers file; it is broadcast. The ids are
     an ``array<int>`` or, if packed, little-endian unsigned 32-bit integers in
-    a ``binary``. A column that has the output's name is replaced.
+    a ``binary``. ``decoded`` names a column for the text that the ids spell,
+    decoded in the same pass. Columns that have these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(spec)
-    rest = docs.select(*[c for c in docs.columns if c != output])
+    added = [output, decoded] if decoded else [output]
+    rest = docs.select(*[c for c in docs.columns if c not in added])
+    at = rest.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _, _ = _tables(shared.value)
+        encoder, labels, label_off = _tables(shared.value)
         for part in T.slices(batches, text):
-            ids, off = encoder(part.column(part.schema.get_field_index(text)))
+            ids, off = encoder(part.column(at))
             if packed:
                 rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off * 4), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
             else:
                 rows = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids.view(np.int32)))
-            yield pa.RecordBatch.from_arrays([*part.columns, rows], names=[*part.schema.names, output])
+            columns = [*part.columns, rows]
+            if decoded:
+                columns.append(_spelled(ids.astype(np.int64), off, labels, label_off))
+            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *added])
+        encoder.forget()
+
+    kind = f"{output} {'binary' if packed else 'array<int>'}"
+    return rest.mapInArrow(run, T.with_fields(rest, f"{kind}, {decoded} string" if decoded else kind))
+
 
-    return rest.mapInArrow(run, T.with_fields(rest, f"{output} {'binary' if packed else 'array<int>'}"))
+def _spelled(ids: np.ndarray, off: np.ndarray, labels: np.ndarray, label_off: np.ndarray) -> pa.Array:
+    """The texts of lists of ids."""
+    raw, length = decode_ids(ids, labels, label_off)
+    place = np.concatenate([[0], np.cumsum(length)])[off]
+    return pa.array([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(place[:-1], place[1:], strict=True)], pa.string())
 
 
 def bpe_decode(tokens: DataFrame, spec: str, ids: str = "ids", output: str = "decoded") -> DataFrame:
@@ -283,13 +301,13 @@ def bpe_decode(tokens: DataFrame, spec: str, ids: str = "ids", output: str = "de
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, labels, label_off = _tables(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            _, rows = _id_lists(batch.column(batch.schema.get_field_index(ids)))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(rows, rows[at] + DECODE_IDS, "right")) - 1)
+                part, at = batch.slice(at, to - at), to
                 flat, off = _id_lists(part.column(part.schema.get_field_index(ids)))
-                raw, length = decode_ids(flat, labels, label_off)
-                to = np.concatenate([[0], np.cumsum(length)])[off]
-                texts = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(to[:-1], to[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, output])
+                yield pa.RecordBatch.from_arrays([*part.columns, _spelled(flat, off, labels, label_off)], names=[*part.schema.names, output])
 
     return rest.mapInArrow(run, T.with_fields(rest, f"{output} string"))
 

@@ -14,7 +14,7 @@ from sigseg.llm import textops as T
 
 _OTHER, _LETTER, _NUMBER, _WHITE = range(4)
 #: Pieces in a worker's cache; it starts afresh beyond.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 200_000
 #: The endings that byte-level BPE splits off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -93,9 +93,10 @@ class BatchEncoder:
         self.encode = encode
         self.added = vocabulary.added
         self.pattern = regex.compile(b"|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Empty the cache; a worker that idles or runs other tasks then holds the tables only."""
         self.known: dict[int, int] = {}
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
@@ -137,7 +138,7 @@ class BatchEncoder:
         keys = T.span_hashes(data, begin, end)
         distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > CACHE_PIECES:
-            self._clear()
+            self.forget()
         get = self.known.get
         distinct_list = distinct.tolist()
         places = np.array([get(k, -1) for k in distinct_list], np.int64)

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigseg.llm.bpe_automaton import bpe_decode, bpe_encode
+from sigseg.llm.bpe_automaton import bpe_encode
 from sigseg.llm.chat_format import CHAT_SCHEMA, chat_calls, link_tool_calls
 from sigseg.llm.language_id import identify, learn
 from sigseg.llm.line_dedup import line_dedup
 from sigseg.llm.mixing import mix_sources
 from sigseg.llm.near_dup import near_duplicates
-from sigseg.llm.quality_rules import LONGS, repetition_coverage
+from sigseg.llm.quality_rules import LONGS, MAX_COVERAGE, MAX_LINE_COVERAGE, MAX_SYMBOLS, repetition_coverage
 from sigseg.llm.shared import Scratch
 from sigseg.llm.substring_dedup import substring_dedup
 from sigseg.llm.token_files import read_token_files, write_token_files
@@ -63,8 +63,7 @@ def tokenizer_spec(path: str | None = None) -> str:
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = tokenizer_spec()
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = bpe_decode(bpe_encode(docs, spec, packed=True).select("doc_id", "ids"), spec)
-    return tokens.select(
+    return bpe_encode(docs, spec, packed=True, decoded="decoded").select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -105,7 +104,68 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
 }
 
+_WORDS = r"""w AS (
+    SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+)"""
+
+
+def _inside(width: int) -> str:
+    """CTEs: the words inside windows of ``width`` words that a text holds twice, and their number and characters."""
+    return f"""g{width} AS (
+    SELECT doc_id, unnest(generate_series(1, len(ws) - {width - 1})) AS i, array_to_string(ws[i:i + {width - 1}], ' ') AS g FROM w WHERE len(ws) >= {width}
+), t{width} AS (
+    SELECT DISTINCT doc_id, i + unnest(generate_series(0, {width - 1})) AS i FROM g{width} WHERE (doc_id, g) IN (SELECT (doc_id, g) FROM g{width} GROUP BY doc_id, g HAVING count(*) > 1)
+), c{width} AS (
+    SELECT t.doc_id, count(*) AS words, sum(length(ws[i])) AS chars FROM t{width} t JOIN w ON t.doc_id = w.doc_id GROUP BY t.doc_id
+)"""
+
+
+def _quality_sql() -> str:
+    limits = " AND ".join(f"coalesce(c{n}.chars, 0)::DOUBLE / greatest(word_chars, 1) <= {x}" for n, x in MAX_COVERAGE.items())
+    joins = " ".join(f"LEFT JOIN c{n} ON c{n}.doc_id = b.doc_id" for n in MAX_COVERAGE)
+    return f"""
+WITH {_WORDS}, {", ".join(map(_inside, MAX_COVERAGE))}, l AS (
+    SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)
+), k AS (
+    SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), d AS (
+    SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(length(line)) FILTER (again), 0) AS again_chars, sum(length(line)) AS line_chars FROM k GROUP BY doc_id
+), b AS (
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols FROM w
+), j AS (
+    SELECT b.*, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(c8.words, 0)::BIGINT AS n_repeat_words,
+        n_words < 20 OR 100 * coalesce(c8.words, 0) > 30 * n_words AS base_failed,
+        {limits} AND coalesce(again_chars, 0)::DOUBLE / greatest(coalesce(line_chars, 0), 1) <= {MAX_LINE_COVERAGE} AND n_symbols <= {MAX_SYMBOLS}::DOUBLE * word_chars AS fine
+    FROM b LEFT JOIN d ON d.doc_id = b.doc_id {joins}
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept FROM j
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+    SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 3], ' ')) END)) AS g FROM w
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)
+), near AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT reach.d, near.b FROM reach JOIN near ON near.a = reach.r
+), c AS (
+    SELECT d, min(r) AS component_id FROM reach GROUP BY d
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN c ON c.d = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+""",
+    "op8_quality_rules": _quality_sql(),
     "op1_exact_topk": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings

@@ -99,6 +99,7 @@ def write_token_files(docs: DataFrame, spec: str, path: str, end_id: int = END_I
                     block, base, held, ids, names = block + 1, base + int(held), 0, [], []
         if names:
             yield row()
+        encoder.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")

@@ -4,7 +4,7 @@ Vectors are dealt into blocks of bounded size and queries into groups of
 bounded size; every group meets every block (a stated query set against all
 rows, in blocks). In a block each dimension has a list of the vectors sorted
 by that component. A query walks all lists at once, from the end that its
-weight favours, in steps that double; vectors that turn up are scored in full.
+weight favours, in growing steps; vectors that turn up are scored in full.
 It stops when the bound, the score of a vector that would have the current
 component of every list, is below the kth score so far. Ties at the kth score
 keep it walking, so that the smaller vec_id wins.
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 #: Vectors of a block, and queries of a group.
 BLOCK = 8192
 GROUP = 1024
-#: Entries of each list in the first step of a walk.
-FIRST_DEPTH = 4
+#: Entries of each list in the first step of a walk, and the factor from one step to the next.
+FIRST_DEPTH, STEP = 8, 4
+#: Share of a block from which the vectors that have not turned up are scored at once: the lists would name hardly any others.
+LAST_SHARE = 0.5
 #: Vectors of a block that are scored to get the first bound.
 SEEDS = 32
 
@@ -60,20 +62,23 @@ class SortedLists:
     def top(self, own: int, query: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
         """(vec_id, score) of the k best with a score of ``floor`` at least."""
         n, dims = self.vectors.shape
-        seen = np.zeros(n, bool)
-        up = query >= 0
+        unseen = np.ones(n, bool)
+        left, up = n, query >= 0
         score, place = np.zeros(0), np.zeros(0, np.int64)
         depth, kth = 0, floor
         columns = np.arange(dims)
-        while depth < n:
-            to = min(n, max(FIRST_DEPTH, 2 * depth))
-            rows = np.arange(depth, to)
-            at = np.where(up[None, :], rows[:, None], n - 1 - rows[:, None])
-            met = np.unique(self.order[at, columns])
-            met = met[~seen[met]]
-            seen[met] = True
+        while left:
+            to = min(n, max(FIRST_DEPTH, STEP * depth))
+            if left <= LAST_SHARE * n:
+                met = np.flatnonzero(unseen)
+            else:
+                rows = np.arange(depth, to)[:, None]
+                new = np.zeros(n, bool)
+                new[self.order[np.where(up, rows, n - 1 - rows), columns]] = True
+                met = np.flatnonzero(new & unseen)
+            unseen[met] = False
+            left -= len(met)
             got = self.vectors[met] @ query
-            self.scored += len(met)
             good = (got >= kth) & (self.ids[met] != own)
             score, place = np.concatenate([score, got[good]]), np.concatenate([place, met[good]])
             if len(score) > k:
@@ -85,6 +90,7 @@ class SortedLists:
             edge = np.where(up, self.sorted[to - 1], self.sorted[n - to])
             if edge @ query < kth:
                 break
+        self.scored += n - left
         best = np.lexsort((place, -score))
         return [(int(self.ids[place[i]]), int(score[i])) for i in best]
 

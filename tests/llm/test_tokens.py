@@ -29,6 +29,8 @@ def test_automaton_equals_the_library(spark):
             expected = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
             assert ids == expected
             assert r.decoded == library.decode(expected, skip_special_tokens=False) == (texts[r.doc_id] or "")
+    both = bpe_encode(df.withColumnRenamed("ids", "decoded"), spec, decoded="decoded")
+    assert {r.doc_id: r.decoded for r in both.collect()} == {i: t or "" for i, t in enumerate(texts)}
     broken = bpe_decode(spark.createDataFrame([([220, 162],), ([],), (None,)], "ids array<int>"), spec)
     assert [r.decoded for r in broken.collect()] == [library.decode([220, 162]), "", ""]
 
