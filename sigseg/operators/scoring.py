@@ -20,11 +20,15 @@ def consistency(samples: DataFrame, low: float = 0.2, high: float = 0.8) -> Data
 
 
 def enrichment(segmentation: DataFrame, signal: DataFrame, by: tuple[str, ...] = ("track",)) -> DataFrame:
-    """Mean signal of open bins over that of closed bins; null where a side is empty or 0."""
+    """Mean signal of open bins over that of closed bins; null where a side is empty.
+
+    Over a mean of 0 it is infinite with the sign of the other mean, or NaN if that is 0 too.
+    """
     both = signal.join(segmentation.select("chrom", "bin", "state"), ["chrom", "bin"])
     inside = F.avg(F.when(F.col("state") == 1, F.col("value")))
     outside = F.avg(F.when(F.col("state") == 0, F.col("value")))
-    return both.groupBy(*by).agg(F.try_divide(inside, outside).alias("score"))
+    over_zero = F.when(inside == 0, F.lit(float("nan"))).otherwise(F.signum(inside) * F.lit(float("inf")))
+    return both.groupBy(*by).agg(F.when(outside == 0, over_zero).otherwise(F.try_divide(inside, outside)).alias("score"))
 
 
 def peak_gaps(peaks: DataFrame) -> DataFrame:
