@@ -600,9 +600,19 @@ def mc_gmm_hmm(spark, sf):
 
 
 def first_bins(spark, sf) -> DataFrame:
+    """What the SQL of wav_dwt and wav_idwt takes; all other queries take the whole signal."""
     return V.sig_hour(spark, sf).filter("bin < 512").select("chrom", "bin", "value")
 
 
+def whole(spark, sf) -> DataFrame:
+    return V.sig_hour(spark, sf).select("chrom", "bin", "value")
+
+
+def on_grid(spark, sf, rows: DataFrame, width: int = 1) -> DataFrame:
+    """``rows`` without the bins of ``width`` hours that only pad the signal."""
+    return rows.join(S.grid(V.sizes(spark, sf)).select("chrom", F.expr(f"bin div {width}").alias("bin")), ["chrom", "bin"], "left_semi")
+
+
 def _pyramid_sql() -> str:
     parts = ["l0 AS (SELECT chrom, bin AS idx, value AS approx, 0.0 AS detail FROM sig WHERE bin < 512)"]
     for i in range(1, 10):
@@ -622,33 +632,53 @@ def wav_idwt(spark, sf):
     return W.idwt(W.dwt(first_bins(spark, sf))).select("chrom", "bin", r6("value"))
 
 
+def _whole_pyramid_sql() -> str:
+    """Ten levels over the zero-padded signal of 720 bins."""
+    parts = ["l0 AS (SELECT g.chrom, g.idx, coalesce(s.value, 0.0)::DOUBLE AS approx, 0.0 AS detail FROM (SELECT chrom, unnest(generate_series(0, 1023)) AS idx FROM sizes) g LEFT JOIN sig s ON s.chrom = g.chrom AND s.bin = g.idx)"]
+    for i in range(1, 11):
+        parts.append(f"l{i} AS (SELECT chrom, idx // 2 AS idx, avg(approx) AS approx, sum(CASE WHEN idx % 2 = 1 THEN approx ELSE -approx END) / 2 AS detail FROM l{i - 1} GROUP BY chrom, idx // 2)")
+    return ",\n".join(parts)
+
+
+@query(with_(SIG, _whole_pyramid_sql()) + " UNION ALL ".join(f"SELECT chrom, {i} AS level, idx, round(approx + 1e-9, 6) + 0.0 AS approx, round(detail + 1e-9, 6) + 0.0 AS detail FROM l{i}" for i in range(1, 11)))
+def wav_dwt_whole(spark, sf):
+    shifted = W.dwt(whole(spark, sf)).withColumns({c: F.col(c) + 1e-9 for c in ("approx", "detail")})
+    return shifted.select("chrom", "level", "idx", r6("approx"), r6("detail"))
+
+
+@query(with_(SIG) + "SELECT chrom, bin, round(value, 6) AS value FROM sig")
+def wav_idwt_whole(spark, sf):
+    return on_grid(spark, sf, W.idwt(W.dwt(whole(spark, sf)))).select("chrom", "bin", r6("value"))
+
+
 TREE = W.TreeModel([0.8, 0.2], [[0.6, 0.4], [0.2, 0.8]], [0.0, 1.0], [20.0, 80.0])
 
 
 @query()
 def hmt_posterior(spark, sf):
-    return W.tree_posterior(W.dwt(first_bins(spark, sf)), TREE).select("chrom", "level", "idx", F.round(F.col("gamma")[1], 6).alias("p"))
+    return W.tree_posterior(W.dwt(whole(spark, sf)), TREE).select("chrom", "level", "idx", F.round(F.col("gamma")[1], 6).alias("p"))
 
 
 @query()
 def hmt_viterbi(spark, sf):
-    return W.tree_viterbi(W.dwt(first_bins(spark, sf)), TREE)
+    return W.tree_viterbi(W.dwt(whole(spark, sf)), TREE)
 
 
 @query()
 def hmt_fit(spark, sf):
-    m = W.tree_fit(W.dwt(first_bins(spark, sf), levels=4), TREE, 1)
+    m = W.tree_fit(W.dwt(whole(spark, sf)), TREE, 1)
     return spark.createDataFrame([(i, float(m.root[i]), float(m.means[i]), float(m.deviations[i])) for i in range(2)], "state int, root double, mean double, deviation double")
 
 
 @query()
 def wav_denoise(spark, sf):
-    return W.denoise(first_bins(spark, sf), TREE).select("chrom", "bin", r6("value"))
+    return on_grid(spark, sf, W.denoise(whole(spark, sf), TREE)).select("chrom", "bin", r6("value"))
 
 
 @query()
 def hmt_level_seg(spark, sf):
-    return W.tree_viterbi(W.dwt(first_bins(spark, sf)), TREE).filter("level = 3").select("chrom", F.col("idx").alias("bin"), "state")
+    states = W.tree_viterbi(W.dwt(whole(spark, sf)), TREE).filter("level = 3").select("chrom", F.col("idx").alias("bin"), "state")
+    return on_grid(spark, sf, states, 8).select("chrom", "bin", "state")
 
 
 # ---- model selection ----

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sigseg.operators.signal import grid, to_grid
 
+#: Hours of the grid at least; later events lengthen it.
 HOURS = 720
-SECONDS = HOURS * 3600
 DAYS = 2500
 
 
@@ -20,8 +20,15 @@ def _since(unit: str):
     return F.expr(f"timestampdiff({unit}, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz))")
 
 
+def span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bins: one row, the hours up to the latest event; an event before the first hour is an error."""
+    ends = table(spark, sf_dir, "events").agg(F.max("ts").alias("ts"), F.min("ts").alias("first"))
+    early = F.expr("cast(first as timestamp_ntz) < timestamp_ntz'2024-01-01 00:00:00'")
+    return ends.select(F.when(early, F.raise_error(F.lit("an event before 2024-01-01 has no bin")).cast("long")).otherwise(F.greatest(F.lit(HOURS).cast("long"), _since("HOUR") + 1)).alias("bins"))
+
+
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("chrom")).distinct().withColumn("bins", F.lit(HOURS).cast("long"))
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("chrom")).distinct().crossJoin(F.broadcast(span(spark, sf_dir)))
 
 
 def sig_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +57,7 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5, cut at the last hour: id, chrom, start, end, score."""
     start = _since("SECOND")
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("chrom"), start.alias("start"), (start + 60 * F.ceil("value")).alias("end"), F.col("value").alias("score"))
-    return e.withColumn("end", F.least("end", F.lit(SECONDS)))
+    return e.crossJoin(F.broadcast(span(spark, sf_dir))).withColumn("end", F.least("end", F.col("bins") * 3600)).drop("bins")
 
 
 #: The same in SQL, for a WITH clause.
