@@ -1,15 +1,17 @@
 """Passages that repeat across documents, by content-defined chunks.
 
 A gear hash of the last 16 bytes rolls over each text; a word begins a new
-chunk where the hash is below a threshold. Cuts depend on the bytes just
-before them only, so an insertion shifts no chunk but its own. Chunks get a
+chunk where the hash is below a threshold. In a word of more than 24 bytes
+(unspaced writing, minified code, base64) a chunk also begins at each code point
+whose hash is the least within 18 bytes. Cuts depend on the bytes close to them
+only, so an insertion shifts no chunk but its own. Chunks get a
 128-bit digest. Digests that two documents or more hold are found by one
 aggregation; joined back, they give each document the digests that it shares,
 with the smallest document that holds each.
 
 A run of adjacent shared chunks of ``min_words`` words or more is a repeated
-passage. Its chunks stay in the smallest document that holds them and go from
-all others.
+passage; 6 bytes of a long word count as a word. Its chunks stay in the
+smallest document that holds them and go from all others.
 
 A null or empty text has no chunks. Rows that repeat a doc_id are one
 document, and share nothing with each other; rows without a doc_id take no
@@ -32,6 +34,10 @@ from sigseg.llm.shared import Scratch
 #: Bytes that decide on a cut, and the share of words that begin a chunk.
 WINDOW = 16
 CUT_SHARE = 1 / 6
+#: A word of more bytes is cut inside, pieces have REACH bytes at least, and UNIT bytes of it count as a word.
+LONG_WORD = 24
+REACH = 18
+UNIT = 6
 #: Words of adjacent shared chunks that make a repeated passage.
 MIN_WORDS = 12
 
@@ -50,8 +56,26 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def inner_cuts(data: np.ndarray, off: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Code points inside the long words whose hash is the least of those within REACH bytes, the first of equal ones."""
+    length = ends - starts
+    at = np.cumsum(length + REACH) - length  # words lie apart, so none looks at another
+    place = np.arange(length.sum()) + np.repeat(starts - np.cumsum(length) + length, length)
+    slot = place + np.repeat(at - starts, length)
+    text = off[np.searchsorted(off, starts, "right") - 1]
+    fits = (place - np.repeat(starts, length) >= REACH) & (np.repeat(ends, length) - place >= REACH) & (place - np.repeat(text, length) >= WINDOW) & T.is_char_start(data[place])
+    value = np.full(int(length.sum()) + REACH * (len(starts) + 1), 1 << 16, np.int32)
+    value[slot[fits]] = hashes[place[fits] - 1]
+    before, after = np.full_like(value, 1 << 16), np.full_like(value, 1 << 16)
+    for step in range(1, REACH):
+        np.minimum(before[step:], value[:-step], out=before[step:])
+        np.minimum(after[:-step], value[step:], out=after[:-step])
+    least = (value < before) & (value <= after)
+    return place[fits & least[slot]]
+
+
 def chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """First words and offsets of the chunks, both digests, and the words' starts, ends and offsets."""
+    """Starts and offsets of the chunks, both digests, and the running counts of short words and of bytes of long ones."""
     starts, ends, word_off = T.words(data, off)
     first = np.zeros(len(starts), bool)
     first[word_off[:-1][np.diff(word_off) > 0]] = True
@@ -59,13 +83,27 @@ def chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     room = starts - off[owner] >= WINDOW
     cut = first.copy()
     at = starts[room] - 1
-    cut[room] |= gear(data)[at] < int(CUT_SHARE * (1 << 16))
+    hashes = gear(data)
+    cut[room] |= hashes[at] < int(CUT_SHARE * (1 << 16))
+    inner = np.zeros(len(starts), np.int64)
+    long = ends - starts > LONG_WORD
+    if long.any():
+        inside = inner_cuts(data, off, hashes, starts[long], ends[long])
+        word = np.searchsorted(starts, inside, "right") - 1
+        where = word + 1
+        starts, cut = np.insert(starts, where, inside), np.insert(cut, where, True)
+        ends, long = np.insert(ends, where, ends[word]), np.insert(long, where, True)
+        ends = np.minimum(ends, np.append(starts[1:], len(data)))
+        inner = np.where(long, ends - starts, 0)
+        word_off = np.searchsorted(starts, off)
     begin = np.flatnonzero(cut)
     end = np.append(begin[1:], len(starts))
     a, b = starts[begin], ends[end - 1]
     d1 = T.span_hashes(data, a, b)
     d2 = T.mix(T.span_hashes(data ^ 0xFF, a, b) ^ np.uint64(0x1234567887654321))
-    return begin, np.searchsorted(begin, word_off), d1, d2, starts, ends, word_off
+    bounds = np.append(begin, len(starts))
+    counts = [np.append(0, np.cumsum(x))[bounds] for x in (inner == 0, inner)]
+    return a, np.searchsorted(begin, word_off), d1, d2, *counts
 
 
 def chunk_digests(docs: DataFrame) -> DataFrame:
@@ -106,8 +144,8 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _clean(part: pa.RecordBatch, at: int, width: int, min_words: int) -> pa.RecordBatch:
     data, off = T.flat(part.column(at))
-    begin, chunk_off, d1, _, starts, _, word_off = chunks(data, off)
-    n, n_chunks = part.num_rows, len(begin)
+    lo, chunk_off, d1, _, words, inner = chunks(data, off)
+    n, n_chunks = part.num_rows, len(lo)
     first = np.full(n_chunks, -1, np.int64)
     known = np.zeros(n_chunks, bool)
     lists = part.column(width + 1)
@@ -122,8 +160,7 @@ def _clean(part: pa.RecordBatch, at: int, width: int, min_words: int) -> pa.Reco
         known = keys[order][place] == mine
         first[known] = np.asarray(items.field(1))[order][place[known]]
     run_start, run_end = T.runs(known, chunk_off)
-    word_end = np.append(begin, len(starts))
-    long = word_end[run_end] - word_end[run_start] >= min_words
+    long = words[run_end] - words[run_start] + (inner[run_end] - inner[run_start]) // UNIT >= min_words
     steps = np.zeros(n_chunks + 1, np.int64)
     steps[run_start[long]] += 1
     np.subtract.at(steps, run_end[long], 1)
@@ -131,7 +168,6 @@ def _clean(part: pa.RecordBatch, at: int, width: int, min_words: int) -> pa.Reco
     own = np.asarray(part.column(width).fill_null(-1))[T.owner(chunk_off)]
     gone = repeated & (first < own)
     # a chunk goes with the white space after it; the last of a text goes to the text's end
-    lo = starts[begin] if n_chunks else np.zeros(0, np.int64)
     hi = np.append(lo[1:], len(data))
     last = chunk_off[1:] - 1
     has = np.diff(chunk_off) > 0

@@ -82,3 +82,26 @@ def test_insertion_keeps_later_chunks():
 
 def test_empty_table(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def unspaced(rng, kind, n):
+    """About n words' worth of text without white space."""
+    if kind == "cjk":
+        return "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n * 2))
+    return "".join(rng.choice("abcdefxyz0123(){};=.,") for _ in range(n * 6))
+
+
+def test_unspaced_passages(spark):
+    rng = random.Random(5)
+    docs, passages = [], {}
+    for k in range(200):
+        kind = ("cjk", "code")[k % 2]
+        passages[k] = unspaced(rng, kind, 51)
+        docs += [(2 * k + i, unspaced(rng, kind, 30 + i) + passages[k] + unspaced(rng, kind, 30)) for i in (0, 1)]
+    whole = unspaced(rng, "cjk", 300)
+    docs += [(1000, whole), (1001, whole), (1002, unspaced(rng, "cjk", 300)), (1003, unspaced(rng, "code", 300))]
+    got = {r.doc_id: r for r in substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[2 * k + i].shared_chunks for k in passages for i in (0, 1))
+    assert all(got[2 * k + 1].first_docs == [2 * k] and got[2 * k].text == docs[2 * k][1] for k in passages)
+    assert got[1001].text == "" and got[1000].text == whole
+    assert got[1002].shared_chunks == got[1003].shared_chunks == 0
