@@ -509,7 +509,7 @@ GENES = 'gn AS (SELECT id AS gene, chrom, start, "end" FROM iv WHERE id % 10 = 0
 
 
 def genes(spark, sf) -> DataFrame:
-    """Every tenth interval stands for a gene."""
+    """What the SQL of score_gene_breaks and score_gene_perm takes: every tenth interval stands for a gene."""
     return V.intervals(spark, sf).filter("id % 10 = 0").select(F.col("id").alias("gene"), "chrom", "start", "end")
 
 
@@ -529,6 +529,25 @@ def score_gene_perm(spark, sf):
     return C.permutation_test(naive_regions(spark, sf), genes(spark, sf), 20, 3600).select("chrom", "observed", r6("score"))
 
 
+#: Permutations of the reference.
+PERMUTATIONS = 500
+
+
+def all_genes(spark, sf) -> DataFrame:
+    return V.intervals(spark, sf).select(F.col("id").alias("gene"), "chrom", "start", "end")
+
+
+@query(with_(*NAIVE_SEG, IV) + 'SELECT g.chrom, count(DISTINCT g.id) AS n FROM iv g JOIN regions r ON g.chrom = r.chrom AND r.start > 0 AND g.start < r.start * 3600 AND r.start * 3600 < g."end" GROUP BY ALL')
+def score_gene_breaks_whole(spark, sf):
+    boundaries = naive_regions(spark, sf).filter("start > 0").select("chrom", (F.col("start") * 3600).alias("pos"))
+    return R.broken_genes(boundaries, all_genes(spark, sf))
+
+
+@query()
+def score_gene_perm_whole(spark, sf):
+    return C.permutation_test(naive_regions(spark, sf), all_genes(spark, sf), PERMUTATIONS, 3600, bucket=1 << 13).select("chrom", "observed", r6("score"))
+
+
 # ---- profiles ----
 
 @query(with_(*NAIVE_SEG, "k AS (SELECT unnest(generate_series(0, 9)) AS k)", "ip AS (SELECT chrom, region, k, start + floor(k * length / 10)::BIGINT AS b0, start + least(floor(k * length / 10)::BIGINT + 1, length - 1) AS b1, k * length / 10 - floor(k * length / 10) AS d FROM regions, k)") + "SELECT a.chrom, region, k::INT AS k, round(s0.value + d * (s1.value - s0.value), 6) AS value FROM ip a JOIN sig s0 ON s0.chrom = a.chrom AND s0.bin = b0 JOIN sig s1 ON s1.chrom = a.chrom AND s1.bin = b1")

@@ -1,6 +1,9 @@
 """Queries take all of the signal, all intervals and late events."""
 
+import hashlib
+from collections import defaultdict
 from datetime import datetime
+from itertools import accumulate
 
 import pytest
 
@@ -39,3 +42,30 @@ def test_early_events_are_an_error(spark, tmp_path):
     sf = events(spark, tmp_path / "early", "2023-12-31T23:30:00")
     with pytest.raises(Exception, match="has no bin"):
         V.sig_hour(spark, sf).collect()
+
+
+def broken(genes, points):
+    return {g for g, a, b in genes if any(a < p < b for p in points)}
+
+
+def test_gene_scores_take_all_intervals_and_500_permutations(spark):
+    genes, regions = defaultdict(list), defaultdict(list)
+    for r in V.intervals(spark, SF).collect():
+        genes[r.chrom].append((r.id, r.start, r.end))
+    for r in Q.naive_regions(spark, SF).collect():
+        regions[r.chrom].append((r.start, r.length, r.state))
+    observed, score = {}, {}
+    for chrom, rows in regions.items():
+        rows.sort()
+        observed[chrom] = len(broken(genes[chrom], {s * 3600 for s, _, _ in rows[1:]}))
+        more = 0
+        for perm in range(500):
+            key = lambda r: hashlib.md5(f"1|{perm}|{chrom}|{r[0]}".encode()).hexdigest()  # noqa: B023, E731
+            kinds = [sorted((r for r in rows if (r[2] == rows[0][2]) == opening), key=key) for opening in (True, False)]
+            lengths = [kinds[i % 2][i // 2][1] for i in range(len(rows))]
+            more += len(broken(genes[chrom], {p * 3600 for p in list(accumulate(lengths))[:-1]})) > observed[chrom]
+        score[chrom] = round(more / 500, 6)
+    got = {r.chrom: r for r in Q.score_gene_perm_whole(spark, SF).collect()}
+    assert {c: r.observed for c, r in got.items()} == observed
+    assert {c: r.score for c, r in got.items()} == score
+    assert {r.chrom: r.n for r in Q.score_gene_breaks_whole(spark, SF).collect()} == {c: n for c, n in observed.items() if n}
