@@ -15,7 +15,8 @@ smallest document that holds them and go from all others.
 
 A null or empty text has no chunks. Rows that repeat a doc_id are one
 document, and share nothing with each other; rows without a doc_id take no
-part. Empty tables give empty tables. Extra columns are kept; columns named
+part. A text longer than a slice (1 MiB) is worked on alone and whole. Empty
+tables give empty tables. Extra columns are kept; columns named
 like the added ones are replaced.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigseg.llm import textops as T
-from sigseg.llm.shared import Scratch
+from sigseg.llm.shared import Scratch, lookup
 
 #: Bytes that decide on a cut, and the share of words that begin a chunk.
 WINDOW = 16
@@ -97,10 +98,9 @@ def chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         inner = np.where(long, ends - starts, 0)
         word_off = np.searchsorted(starts, off)
     begin = np.flatnonzero(cut)
-    end = np.append(begin[1:], len(starts))
+    end = np.append(begin[1:], len(starts))[: len(begin)]
     a, b = starts[begin], ends[end - 1]
-    d1 = T.span_hashes(data, a, b)
-    d2 = T.mix(T.span_hashes(data ^ 0xFF, a, b) ^ np.uint64(0x1234567887654321))
+    d1, d2 = T.span_digests(data, a, b)
     bounds = np.append(begin, len(starts))
     counts = [np.append(0, np.cumsum(x))[bounds] for x in (inner == 0, inner)]
     return a, np.searchsorted(begin, word_off), d1, d2, *counts
@@ -124,7 +124,8 @@ def shared_digests(docs: DataFrame) -> DataFrame:
     found = chunk_digests(docs)
     common = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
     common = Scratch(docs.sparkSession, "substrings").write(common.select("d1", "d2", "first"), "common")
-    return found.join(common, ["d1", "d2"]).groupBy("doc_id").agg(F.collect_set(F.struct("d1", "first")).alias("shared"))
+    # a chunk that many documents hold is one key on the side of the chunks, so the join is salted by document
+    return lookup(found, common, common.count(), ["d1", "d2"], "doc_id", "inner").groupBy("doc_id").agg(F.collect_set(F.struct("d1", "first")).alias("shared"))
 
 
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -24,21 +24,10 @@ LOWER[65:91] += 32
 SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_rng = np.random.Generator(np.random.PCG64(20240101))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of them."""
-    if len(_powers["up"]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-        for key, step in (("up", _BASE), ("down", inverse)):
-            factors = np.full(size, step, np.uint64)
-            factors[0] = 1
-            _powers[key] = np.multiply.accumulate(factors)
-    return _powers["up"], _powers["down"]
+#: For each of two independent hashes: what blocks are mixed with, the odd step from one place to the next, and the factor of the length.
+_SEEDS = [(0x243F6A8885A308D3, 0xD1342543DE82EF95, 0xD6E8FEB86659FD93), (0x13198A2E03707344, 0xAEF17502108EF2D9, 0xA0761D6478BD642F)]
+#: The low 0 to 8 bytes of a block.
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -111,13 +100,35 @@ def lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, line_off
 
 
+def _blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans' bytes in blocks of 8 (the last filled up with zeros), the place of each block in its span, and each span's first block."""
+    n_blocks = np.maximum((ends - starts + 7) >> 3, 1)
+    first = np.cumsum(n_blocks) - n_blocks
+    place = np.arange(int(n_blocks.sum())) - np.repeat(first, n_blocks)
+    at = np.repeat(starts, n_blocks) + 8 * place
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    blocks = np.lib.stride_tricks.sliding_window_view(padded, 8)[at].view("<u8").ravel()
+    return blocks & _MASK[np.clip(np.repeat(ends, n_blocks) - at, 0, 8)], place.astype(np.uint64), first
+
+
+def _hash(blocks: np.ndarray, place: np.ndarray, first: np.ndarray, length: np.ndarray, lane: int) -> np.ndarray:
+    seed, step, factor = map(np.uint64, _SEEDS[lane])
+    mixed = mix(mix(blocks ^ seed) + place * step)
+    if len(first) != len(mixed):
+        mixed = np.add.reduceat(mixed, first) if len(first) else mixed[:0]
+    return mix(mixed + length * factor)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, from one rolling prefix sum."""
-    up, down = _power_table(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=prefix[1:])
-    length = (ends - starts).astype(np.uint64)
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + length * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each span's bytes: blocks of 8 bytes are scrambled, each with its place, and summed."""
+    return _hash(*_blocks(data, starts, ends), (ends - starts).astype(np.uint64), 0)
+
+
+def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each span's bytes; the first is that of ``span_hashes``."""
+    cut, length = _blocks(data, starts, ends), (ends - starts).astype(np.uint64)
+    return _hash(*cut, length, 0), _hash(*cut, length, 1)
 
 
 def grams(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -125,10 +136,15 @@ def grams(hashes: np.ndarray, width: int) -> np.ndarray:
     n = max(0, len(hashes) - width + 1)
     total = np.zeros(n, np.uint64)
     for j in range(width):
-        total = total * _BASE + hashes[j : j + n]
+        total = _roll(total, hashes[j : j + n])
     return mix(total + np.uint64(width))
 
 
+def _roll(total: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    total = total * _BASE + hashes
+    return total ^ (total >> np.uint64(32))
+
+
 def gram_places(word_off: np.ndarray, width: int) -> np.ndarray:
     """First words of the windows of ``width`` words that lie in one text."""
     n = int(word_off[-1])
@@ -175,7 +191,7 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
         if len(short):
             total = np.zeros(len(short), np.uint64)
             for j in range(few):
-                total = total * _BASE + hashed[word_off[short] + j]
+                total = _roll(total, hashed[word_off[short] + j])
             values = np.concatenate([values, mix(total + np.uint64(few))])
             docs = np.concatenate([docs, short])
     order = np.lexsort((values, docs))
