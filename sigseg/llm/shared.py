@@ -14,23 +14,39 @@ from pyspark.sql import functions as F
 
 #: Rows of a table of a few short columns up to which it is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Tasks over which a join beyond that spreads a key.
+SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of the driver's own where that is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a session with local executors gets a folder of its own; a cluster has none that all see, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sigseg-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 class Scratch:
-    """A folder of its own in the shared folder, for one call of an operator."""
+    """A folder of its own in the shared folder, for one call of an operator.
+
+    Tables that nothing reads any more are dropped on the way; what the
+    returned DataFrame still reads goes when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path = self._path(self.folder)
+        self._files(path).deleteOnExit(path)
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _files(self, path):
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -41,13 +57,26 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            path = self._path(self.path(name))
+            self._files(path).delete(path, True)
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int, limit: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are within the limit."""
-    return F.broadcast(df) if rows <= limit else df
+    return F.broadcast(df) if rows <= (BROADCAST_ROWS if limit is None else limit) else df
+
+
+def lookup(big: DataFrame, table: DataFrame, rows: int, keys: list[str], spread: str, how: str = "left", limit: int | None = None) -> DataFrame:
+    """``big`` joined with ``table``, which has each key once and ``rows`` rows.
+
+    Within the limit ``table`` is broadcast. Beyond, both sides are shuffled by the
+    keys and a salt from the column ``spread`` of ``big``, so that a key that a
+    third of all rows hold meets SALTS tasks; each row of ``table`` is copied that often.
+    """
+    if rows <= (BROADCAST_ROWS if limit is None else limit):
+        return big.join(F.broadcast(table), keys, how)
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"], how).drop("__salt")
