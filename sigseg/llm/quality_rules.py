@@ -3,10 +3,12 @@
 Rolling hashes of several n-gram lengths are taken over whole batches of texts
 in numpy. For each length, the characters of the words inside n-grams that
 occur twice or more in the text are measured; so are those of repeated lines.
-One narrow pass, no shuffle.
+One narrow pass, no shuffle. The share of symbols is a rule of its own, beside
+the verdict on repetition.
 
 Nulls and empty texts have no words and fail the base rules. Repeated rows are
-judged each for itself. Extra columns are kept; a column named like an added
+judged each for itself, a text longer than a slice (1 MiB) alone and whole. Empty
+tables give empty tables. Extra columns are kept; a column named like an added
 one is replaced.
 """
 
@@ -24,9 +26,9 @@ from sigseg.llm import textops as T
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 #: Lengths of the n-grams, and the share of word characters inside repeated ones above which a text is rejected.
-MAX_COVERAGE = {5: 0.45, 8: 0.40, 10: 0.40}
+MAX_COVERAGE = {5: 0.30, 8: 0.28, 10: 0.20}
 #: The same for the characters of lines that equal an earlier line.
-MAX_LINE_COVERAGE = 0.30
+MAX_LINE_COVERAGE = 0.15
 #: Share of symbols among the word characters above which a text is rejected.
 MAX_SYMBOLS = 0.05
 MIN_WORDS = 20
@@ -97,16 +99,16 @@ def repetition_coverage(
     max_line_coverage: float = MAX_LINE_COVERAGE,
     max_symbols: float = MAX_SYMBOLS,
 ) -> DataFrame:
-    """``docs`` with the counts, the coverages, ``base_failed`` and ``kept``.
+    """``docs`` with the counts, the coverages, ``base_failed``, ``too_many_symbols`` and ``kept``.
 
     ``base_failed``: fewer than 20 words, or over 30 in 100 words lie in
-    repeated 8-word windows. ``kept``: not base_failed and no coverage or
-    symbol share above its limit. ``coverage`` maps each n-gram length to the
+    repeated 8-word windows. ``kept``: not base_failed and no coverage, of n-grams
+    or of lines, above its limit. ``coverage`` maps each n-gram length to the
     share of word characters inside repeated n-grams of that length.
     """
     limits = dict(MAX_COVERAGE if max_coverage is None else max_coverage)
     widths = tuple(sorted(limits))
-    added = [*LONGS, "coverage", "line_coverage", "base_failed", "kept"]
+    added = [*LONGS, "coverage", "line_coverage", "base_failed", "too_many_symbols", "kept"]
     rest = docs.select(*[c for c in docs.columns if c not in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +117,8 @@ def repetition_coverage(
             share = {w: got[f"cover_{w}"] / np.maximum(got["word_chars"], 1) for w in widths}
             line_share = got["dup_line_chars"] / np.maximum(got["line_chars"], 1)
             failed = (got["n_words"] < MIN_WORDS) | (100 * got["n_repeat_words"] > 30 * got["n_words"])
-            kept = ~failed & (line_share <= max_line_coverage) & (got["n_symbols"] <= max_symbols * got["word_chars"])
+            symbols = got["n_symbols"] > max_symbols * got["word_chars"]
+            kept = ~failed & (line_share <= max_line_coverage)
             for w in widths:
                 kept &= share[w] <= limits[w]
             n = part.num_rows
@@ -124,13 +127,14 @@ def repetition_coverage(
                 pa.array(np.tile(np.array(widths, np.int32), n)),
                 pa.array(np.stack([share[w] for w in widths], 1).ravel() if widths else np.zeros(0)),
             )
-            columns = [*part.columns, *(pa.array(got[c], pa.int64()) for c in LONGS), coverage, pa.array(line_share), pa.array(failed), pa.array(kept)]
+            columns = [*part.columns, *(pa.array(got[c], pa.int64()) for c in LONGS), coverage, pa.array(line_share), pa.array(failed), pa.array(symbols), pa.array(kept)]
             yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *added])
 
-    types = ", ".join([f"{c} bigint" for c in LONGS] + ["coverage map<int,double>", "line_coverage double", "base_failed boolean", "kept boolean"])
+    types = ", ".join([f"{c} bigint" for c in LONGS] + ["coverage map<int,double>", "line_coverage double", "base_failed boolean", "too_many_symbols boolean", "kept boolean"])
     return rest.mapInArrow(run, T.with_fields(rest, types))
 
 
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that the rules keep, with their own columns only."""
-    return repetition_coverage(docs, text).filter(F.col("kept")).select(*docs.columns)
+    """The rows that both the repetition and the symbol rules keep, with their own columns only."""
+    judged = repetition_coverage(docs, text).filter(F.col("kept") & ~F.col("too_many_symbols"))
+    return judged.select(*docs.columns)

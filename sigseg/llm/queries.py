@@ -83,7 +83,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition_coverage(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *LONGS, "base_failed", "kept")
+    return repetition_coverage(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *LONGS, "base_failed", "too_many_symbols", "kept")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,10 +136,10 @@ WITH {_WORDS}, {", ".join(map(_inside, MAX_COVERAGE))}, l AS (
 ), j AS (
     SELECT b.*, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(c8.words, 0)::BIGINT AS n_repeat_words,
         n_words < 20 OR 100 * coalesce(c8.words, 0) > 30 * n_words AS base_failed,
-        {limits} AND coalesce(again_chars, 0)::DOUBLE / greatest(coalesce(line_chars, 0), 1) <= {MAX_LINE_COVERAGE} AND n_symbols <= {MAX_SYMBOLS}::DOUBLE * word_chars AS fine
+        {limits} AND coalesce(again_chars, 0)::DOUBLE / greatest(coalesce(line_chars, 0), 1) <= {MAX_LINE_COVERAGE} AS fine
     FROM b LEFT JOIN d ON d.doc_id = b.doc_id {joins}
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept FROM j
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_symbols > {MAX_SYMBOLS}::DOUBLE * word_chars AS too_many_symbols, NOT base_failed AND fine AS kept FROM j
 """
 
 

@@ -22,8 +22,9 @@ def brute(text):
     coverage = {w: sum(len(words[i]) for i in inside[w]) / max(chars, 1) for w in inside}
     share = sum(map(len, again)) / max(sum(map(len, lines)), 1)
     failed = n < 20 or 100 * len(inside[8]) > 30 * n
-    kept = not failed and all(coverage[w] <= x for w, x in MAX_COVERAGE.items()) and share <= MAX_LINE_COVERAGE and symbols <= MAX_SYMBOLS * chars
-    return n, chars, symbols, len(again), len(inside[8]), coverage, share, failed, kept
+    kept = not failed and all(coverage[w] <= x for w, x in MAX_COVERAGE.items()) and share <= MAX_LINE_COVERAGE
+    junk = symbols > MAX_SYMBOLS * chars
+    return n, chars, symbols, len(again), len(inside[8]), coverage, share, failed, junk, kept, kept and not junk
 
 
 def texts():
@@ -41,9 +42,9 @@ def test_equals_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, kept string").repartition(3)
     got = {r.doc_id: r for r in repetition_coverage(df).collect()}
     for i, text, _ in docs:
-        n, chars, symbols, again, repeat, coverage, share, failed, kept = brute(text)
+        n, chars, symbols, again, repeat, coverage, share, failed, junk, kept, _ = brute(text)
         r = got[i]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == (n, chars, symbols, again, repeat, failed, kept), text
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.too_many_symbols, r.kept) == (n, chars, symbols, again, repeat, failed, junk, kept), text
         assert r.coverage == pytest.approx(coverage)
         assert r.line_coverage == pytest.approx(share)
 
