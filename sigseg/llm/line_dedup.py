@@ -5,21 +5,23 @@ lower case for A-Z. Keys of ``min_chars`` code points or more are counted by
 the documents that hold them.
 
 State (``LineIndex``): a table of references (key, doc_id), one row for
-each document and key. Counts and the largest holder of a key come from it,
-so inserting documents adds rows, deleting documents takes theirs away, and
-deletion undoes insertion exactly. Over the keys that enough documents hold
-there is a cuckoo filter per shard; filters follow insertions and deletions
-key by key.
-
-Applying the index: the filters, if small enough to broadcast, name the lines
-that may have to go; only those are joined with the exact counts, and only
-their documents are joined with the lines to drop. Without filters every long
-line takes part in the exact join. Results are the same.
+each document and key, and the exact counts (documents, largest holder) of the
+keys that enough documents hold. Inserting documents adds their references,
+deleting documents takes theirs away; only the keys that they touch are counted
+anew, so deletion undoes insertion exactly. Over the counted keys there is a
+cuckoo filter per shard; filters follow insertions and deletions key by key.
+
+Applying the index: the filters screen the references of the documents; only
+those that pass are joined with the exact counts, and only their documents are
+joined with the lines to drop. Small filters are broadcast. Large ones are sent to
+the references of their shard, which are streamed past them in SALTS parts of
+each shard, so that a line of all documents burdens no single task.
 
 Null or empty texts are one empty line. Rows that repeat a doc_id are one
 holder; each of them is cleaned. A null doc_id holds nothing and loses
-nothing. Empty tables give empty tables. Extra columns are kept; ``n_lines``
-and ``n_dropped`` are replaced.
+nothing. A text longer than a slice (1 MiB) is worked on alone and whole. Empty
+tables give empty tables. Extra columns are kept; ``n_lines`` and ``n_dropped``
+are replaced.
 """
 
 from __future__ import annotations
@@ -33,14 +35,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigseg.llm import textops as T
-from sigseg.llm.shared import Scratch, small
+from sigseg.llm.shared import SALTS, Scratch, lookup
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 #: Keys of a shard that its filter is built for in one task.
 SHARD_KEYS = 200_000
-#: Keys up to which filters are broadcast: 2 bytes each at a load of 0.8, so 25 MB.
+#: Keys up to which filters are broadcast: 2 bytes each at a load of 0.8, so 25 MB. Beyond, they are joined with the references by shard.
 FILTER_KEYS = 10_000_000
+#: Insertions and deletions after which the references are written as one table again.
+COMPACT = 8
 SLOTS = 4
 SALT = np.uint64(0xA0761D6478BD642F)
 MAX_ROUNDS = 500
@@ -97,12 +101,21 @@ class CuckooFilter:
 
     def delete(self, keys: np.ndarray) -> None:
         """Remove one fingerprint of each key; the keys must have been inserted."""
-        for p, b in zip(*self._places(keys), strict=True):
-            for at in (int(b), int(self._other(np.array([b]), np.array([p]))[0])):
-                slot = np.flatnonzero(self.table[at] == p)
-                if len(slot):
-                    self.table[at, slot[0]] = 0
-                    break
+        prints, bucket = self._places(keys)
+        second = np.zeros(len(prints), bool)
+        while len(prints):
+            _, first = np.unique(bucket, return_index=True)  # one item for a bucket in a round
+            row = bucket[first].astype(np.int64)
+            same = self.table[row] == prints[first, None]
+            has = same.any(1)
+            self.table[row[has], same[has].argmax(1)] = 0
+            lost = first[~has & ~second[first]]
+            rest = np.ones(len(prints), bool)
+            rest[first] = False
+            other = self._other(bucket[lost], prints[lost])
+            bucket = np.concatenate([bucket[rest], other])
+            second = np.concatenate([second[rest], np.ones(len(lost), bool)])
+            prints = np.concatenate([prints[rest], prints[lost]])
 
     def __contains__(self, key: int) -> bool:
         return bool(self.contains(np.array([key], np.uint64))[0])
@@ -114,11 +127,6 @@ class CuckooFilter:
         return hit | (self.table[self._other(bucket, prints).astype(np.int64)] == prints[:, None]).any(1)
 
 
-def _second(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A second hash of the spans, from the complemented bytes."""
-    return T.mix(T.span_hashes(data ^ 0xFF, starts, ends) ^ np.uint64(0x1234567887654321))
-
-
 def line_keys(data: np.ndarray, off: np.ndarray, min_chars: int) -> tuple[np.ndarray, ...]:
     """Starts, ends and offsets of all lines; which are long; and both key hashes of the long ones."""
     starts, ends, line_off = T.lines(data, off)
@@ -134,7 +142,7 @@ def line_keys(data: np.ndarray, off: np.ndarray, min_chars: int) -> tuple[np.nda
     chars = np.zeros(len(data) + 1, np.int64)
     np.cumsum(T.is_char_start(data), out=chars[1:])
     long = chars[right] - chars[left] >= min_chars
-    return starts, ends, line_off, long, T.span_hashes(low, left[long], right[long]), _second(low, left[long], right[long])
+    return starts, ends, line_off, long, *T.span_digests(low, left[long], right[long])
 
 
 def references(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -166,53 +174,81 @@ class LineIndex:
     def insert(self, docs: DataFrame) -> LineIndex:
         """Add documents; references that are there already are not counted twice."""
         new = references(docs, self.min_chars)
-        return self._become(self.refs.unionByName(new).distinct() if self.version else new)
+        if self.version:
+            new = new.join(self.refs, ["h1", "h2", "doc_id"], "left_anti")
+        new = self.scratch.write(new, f"new-{self.version + 1}")
+        self.refs = self.refs.unionByName(new) if self.version else new
+        return self._become(new)
 
     def delete(self, docs: DataFrame) -> LineIndex:
         """Take the documents with these doc_ids away."""
-        gone = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        return self._become(self.refs.join(gone, "doc_id", "left_anti").select("h1", "h2", "doc_id"))
-
-    def _become(self, refs: DataFrame) -> LineIndex:
-        self.version, was = self.version + 1, self.counts
-        self.refs = self.scratch.write(refs, f"refs-{self.version}")
-        counts = self.refs.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("holder")).filter(F.col("docs") >= self.min_docs)
-        self.counts = self.scratch.write(counts, f"counts-{self.version}")
-        self.n_keys = self.counts.count()
-        if self.n_keys > 2 * self.shards * self.shard_keys or self.version == 1:
+        ids = self.scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), f"ids-{self.version + 1}")
+        gone = self.scratch.write(self.refs.join(ids, "doc_id", "left_semi").select("h1", "h2", "doc_id"), f"gone-{self.version + 1}")
+        self.refs = self.refs.join(ids, "doc_id", "left_anti").select("h1", "h2", "doc_id")
+        return self._become(gone)
+
+    def _become(self, changed: DataFrame) -> LineIndex:
+        """Count the keys of the changed references anew, and let the filters follow."""
+        self.version += 1
+        if self.version % COMPACT == 0:
+            self.refs = self.scratch.write(self.refs, f"refs-{self.version}")
+        first = self.version == 1
+        touched = None if first else self.scratch.write(changed.select("h1", "h2").distinct(), f"touched-{self.version}")
+        mine = self.refs if first else self.refs.join(touched, ["h1", "h2"], "left_semi")
+        now = mine.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("holder")).filter(F.col("docs") >= self.min_docs)
+        was = self.counts if first else self.counts.join(touched, ["h1", "h2"], "left_semi")
+        rest = self.counts if first else self.counts.join(touched, ["h1", "h2"], "left_anti")
+        now = self.scratch.write(now, f"now-{self.version}")
+        counts = now if first else self.scratch.write(rest.unionByName(now), f"counts-{self.version}")
+        self.n_keys = counts.count()
+        if first or self.n_keys > 2 * self.shards * self.shard_keys:
             self.shards = max(1, -(-self.n_keys // self.shard_keys))
-            was, self.filters = self.counts.limit(0), self.filters.limit(0)
-        self.filters = self.scratch.write(self._updated(was), f"filters-{self.version}")
+            now, was, self.filters = counts, counts.limit(0), self.filters.limit(0)
+        self.filters = self.scratch.write(self._updated(now, was), f"filters-{self.version}")
+        self.counts = counts
         return self
 
-    def _updated(self, was: DataFrame) -> DataFrame:
+    def _updated(self, now: DataFrame, was: DataFrame) -> DataFrame:
         """The filters, with the keys that have reached the counts inserted and those that have left them deleted."""
-        keys = self.counts.select("h1", "h2", F.lit(True).alias("now")).join(was.select("h1", "h2", F.lit(True).alias("was")), ["h1", "h2"], "full")
-        keys = keys.select(F.pmod("h1", F.lit(self.shards)).cast("int").alias("shard"), "h1", F.col("now").isNotNull().alias("now"), F.col("was").isNotNull().alias("was"))
-        given = self.filters.select("shard", F.lit(0).cast("long").alias("h1"), F.lit(False).alias("now"), F.lit(False).alias("was"), "filter")
+        keys = now.select("h1", "h2", F.lit(True).alias("now")).join(was.select("h1", "h2", F.lit(True).alias("was")), ["h1", "h2"], "full")
+        keys = keys.filter("now is null or was is null")
+        keys = keys.select(F.pmod("h1", F.lit(self.shards)).cast("int").alias("shard"), "h1", F.col("now").isNotNull().alias("now"))
+        given = self.filters.select("shard", F.lit(0).cast("long").alias("h1"), F.lit(False).alias("now"), "filter")
         rows = keys.withColumn("filter", F.lit(None).cast("binary")).unionByName(given)
+        # a filter that overflows is built anew from all keys of its shard
+        shards = self.shards
+        whole = now.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "h1")
+        if self.version > 1:
+            whole = self.counts.join(was, ["h1", "h2"], "left_anti").select("h1").unionByName(now.select("h1")).select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "h1")
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             held = [x for x in pdf["filter"] if x is not None]
             keys = pdf[pdf["filter"].isna()]
-            hashes = keys["h1"].to_numpy(np.int64).view(np.uint64)
-            now, was = keys["now"].to_numpy(bool), keys["was"].to_numpy(bool)
-            made = CuckooFilter.from_bytes(held[0]) if held else None
-            if made is not None:
-                made.delete(hashes[was & ~now])
-            size = int(now.sum())
-            if made is None or not made.insert(hashes[now & ~was]):
+            hashes, new = keys["h1"].to_numpy(np.int64).view(np.uint64), keys["now"].to_numpy(bool)
+            made = CuckooFilter.from_bytes(held[0]) if held else CuckooFilter(int(new.sum()))
+            made.delete(hashes[~new])
+            fits = made.insert(hashes[new])
+            return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "filter": [made.to_bytes() if fits else None]})
+
+        def anew(pdf: pd.DataFrame) -> pd.DataFrame:
+            hashes = pdf["h1"].to_numpy(np.int64).view(np.uint64)
+            size = len(hashes)
+            made = CuckooFilter(size)
+            while not made.insert(hashes):
+                size = 2 * size + 16
                 made = CuckooFilter(size)
-                while not made.insert(hashes[now]):
-                    size = 2 * size + 16
-                    made = CuckooFilter(size)
             return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "filter": [made.to_bytes()]})
 
-        return rows.groupBy("shard").applyInPandas(build, "shard int, filter binary")
+        kind = "shard int, filter binary"
+        made = self.scratch.write(rows.groupBy("shard").applyInPandas(build, kind), f"made-{self.version}")
+        full = made.filter("filter is null").select("shard")
+        if not full.limit(1).count():
+            return made
+        return made.filter("filter is not null").unionByName(whole.join(full, "shard").groupBy("shard").applyInPandas(anew, kind))
 
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """``docs`` without the lines that go, and with n_lines and n_dropped."""
-        drops = self._drops(docs)
+    def apply(self, docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+        """``docs`` without the lines that go, and with n_lines and n_dropped. ``refs``: their references, if at hand."""
+        drops = self._drops(references(docs, self.min_chars) if refs is None else refs)
         rest = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")])
         held = rest.withColumn("__id", F.col("doc_id").cast("long")).join(drops.withColumnRenamed("doc_id", "__id"), "__id", "left").drop("__id")
         at, names = rest.columns.index("text"), rest.columns
@@ -244,17 +280,38 @@ class LineIndex:
 
         return held.select(*names, "__drop").mapInArrow(run, T.with_fields(rest, "n_lines bigint, n_dropped bigint"))
 
-    def _drops(self, docs: DataFrame) -> DataFrame:
-        """doc_id and the keys (``drop``) that it loses."""
-        use = references(docs, self.min_chars)
-        if self.n_keys <= FILTER_KEYS:
-            use = self._screened(use)
-        exact = self.counts.select("h1", "h2", "holder")
-        found = use.join(small(exact, self.n_keys), ["h1", "h2"]).filter("doc_id <> holder")
+    def _drops(self, refs: DataFrame) -> DataFrame:
+        """doc_id and the keys (``__drop``) that it loses."""
+        use = self._screened(refs) if self.n_keys <= FILTER_KEYS else self._screened_by_shard(refs)
+        found = lookup(use, self.counts.select("h1", "h2", "holder"), self.n_keys, ["h1", "h2"], "doc_id", "inner").filter("doc_id <> holder")
         return found.groupBy("doc_id").agg(F.collect_set("h1").alias("__drop"))
 
+    def _screened_by_shard(self, refs: DataFrame) -> DataFrame:
+        """The same, by a shuffle: each part of a shard begins with its filter, and its references stream past it."""
+        dealt = refs.select(F.pmod("h1", F.lit(self.shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("part"), "h1", "h2", "doc_id")
+        parts = self.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = dealt.unionByName(parts, allowMissingColumns=True).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("filter").isNull())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, known = None, None
+            for batch in batches:
+                place = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
+                cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
+                for a, b in zip([0, *cuts], [*cuts, len(place)], strict=True):
+                    if tuple(place[a]) != at:
+                        at, known = tuple(place[a]), None
+                    piece = batch.slice(a, b - a)
+                    for blob in piece.column(5).drop_null().to_pylist():
+                        known = CuckooFilter.from_bytes(blob)
+                    piece = piece.filter(piece.column(5).is_null())
+                    if known is not None and piece.num_rows:
+                        hit = known.contains(piece.column(2).to_numpy().view(np.uint64))
+                        yield pa.RecordBatch.from_arrays(piece.columns[2:5], names=["h1", "h2", "doc_id"]).filter(pa.array(hit))
+
+        return rows.select("shard", "part", "h1", "h2", "doc_id", "filter").mapInArrow(run, refs.schema)
+
     def _screened(self, refs: DataFrame) -> DataFrame:
-        """The references whose keys the filters know."""
+        """The references whose keys the filters know, by broadcast."""
         blobs = {r["shard"]: bytes(r["filter"]) for r in self.filters.collect()}  # at most FILTER_KEYS fingerprints
         shared = self.spark.sparkContext.broadcast(blobs)
 
@@ -277,4 +334,5 @@ class LineIndex:
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` without the lines that at least ``min_docs`` documents hold, but in their largest holder; with n_lines and n_dropped."""
-    return LineIndex(docs.sparkSession, min_chars, min_docs).insert(docs).apply(docs)
+    index = LineIndex(docs.sparkSession, min_chars, min_docs).insert(docs)
+    return index.apply(docs, index.refs)

@@ -4,6 +4,8 @@ from collections import defaultdict
 
 import numpy as np
 
+from sigseg.llm import line_dedup as LD
+from sigseg.llm import shared
 from sigseg.llm.line_dedup import CuckooFilter, LineIndex, line_dedup
 
 
@@ -44,7 +46,7 @@ def test_equals_brute_force(spark):
         assert rows(line_dedup(df, 10, 5)) == brute(docs, 10, 5)
 
 
-def test_insertion_is_undone_by_deletion(spark):
+def test_insertion_is_undone_by_deletion(spark, monkeypatch):
     docs = [d for d in corpus(3) if d[0] != 5 and d[0] is not None]
     make = lambda x: spark.createDataFrame(x, "doc_id long, text string")
     table = lambda index: sorted(tuple(r) for r in index.counts.collect())
@@ -54,6 +56,9 @@ def test_insertion_is_undone_by_deletion(spark):
     index.insert(make(later))
     assert table(index) == table(LineIndex(spark, 10, 4).insert(make(docs))) != before
     assert rows(index.apply(make(docs))) == brute(docs, 10, 4)
+    monkeypatch.setattr(LD, "FILTER_KEYS", 0)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    assert rows(index.apply(make(docs))) == brute(docs, 10, 4)
     index.delete(make(later))
     assert table(index) == before
     assert rows(index.apply(make(first))) == brute(first, 10, 4)
@@ -76,5 +81,9 @@ def test_cuckoo_filter():
     made.delete(keys[:5000])
     assert made.contains(keys[5000:15_000]).all()
     assert np.count_nonzero(made.table) == 10_000
+    twice = CuckooFilter(100)
+    assert twice.insert(np.repeat(keys[:3], 2))
+    twice.delete(np.repeat(keys[:3], 2))
+    assert not twice.table.any()
     small = CuckooFilter(10)
     assert not small.insert(keys[:5000])
