@@ -15,8 +15,8 @@ that never switches is the best one.
 A text's language is the one with the most letters in its spans, the first in
 alphabetical order of equal ones; its score is the share of these letters. It
 is ``und`` with score 0 for null, empty and letterless texts, and for all
-texts if nothing was learned. Repeated rows are judged each for itself; rows
-without text or language teach nothing. Extra columns are kept; columns named
+texts if nothing was learned. Repeated rows are judged each for itself; a text
+longer than a slice (1 MiB) is judged alone and whole; rows without text or language teach nothing. Extra columns are kept; columns named
 like the added ones are replaced.
 """
 
@@ -36,8 +36,8 @@ from sigseg.llm.pretokenize import _LETTER, _classes
 
 #: Buckets for pairs and as many for triples, of each language.
 BUCKETS = 1 << 15
-#: Languages that a model may have.
-MAX_LANGUAGES = 256
+#: Languages that a task counts before it hands its counts on; the model has no limit.
+HELD_LANGUAGES = 64
 #: Natural logarithm of the odds against a switch of language between two words.
 SWITCH_PENALTY = 12.0
 #: Share of a language's letters from which it uses a script.
@@ -129,6 +129,12 @@ def learn(labelled: DataFrame) -> LanguageModel:
                 chosen = lang == i
                 got[2 * BUCKETS :] += np.bincount(words.script[chosen], np.diff(words.letter_off)[chosen], N_SCRIPTS).astype(np.int64)
                 total[name] = total.get(name, 0) + got
+                if len(total) >= HELD_LANGUAGES:
+                    yield from counted(total)
+                    total = {}
+        yield from counted(total)
+
+    def counted(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for name, got in total.items():
             some = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(got[some], pa.int64())], names=["lang", "bucket", "n"])
@@ -137,8 +143,6 @@ def learn(labelled: DataFrame) -> LanguageModel:
     found = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = found.toArrow()  # at most 2 * BUCKETS + N_SCRIPTS rows for a language
     languages = sorted(set(table.column("lang").to_pylist()))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; a model holds {MAX_LANGUAGES}")
     counts = np.zeros((2 * BUCKETS + N_SCRIPTS, len(languages)))
     place = {x: i for i, x in enumerate(languages)}
     counts[table.column("bucket").to_numpy(), [place[x] for x in table.column("lang").to_pylist()]] = table.column("n").to_numpy()

@@ -18,9 +18,13 @@ The mix is cut into blocks by each source's progress through its budget: every
 block holds the same weights. Within a block, a hash of document and copy
 gives the permutation. A position is (block, place).
 
+Tokens are counted as words (``tokens_of``), a proxy that needs no tokenizer; a
+source of unspaced text so weighs less than its token ids would.
+
 Null sources are a source of their own. Null and empty texts count no tokens
 and go with the first document after them. Rows that repeat a doc_id are each
-mixed. A table without tokens is returned once, in one block. Extra columns
+mixed; those without a doc_id are placed by their row number. Texts of any length are
+counted whole. A table without tokens is returned once, in one block. Extra columns
 are kept; columns named like the added ones are replaced.
 """
 
@@ -105,7 +109,8 @@ def mix_sources(
     kept = [c for c in docs.columns if c not in ADDED]
     # a written row number tells rows apart that repeat a doc_id
     keyed = scratch.write(docs.select(*kept).withColumn("__row", F.monotonically_increasing_id()), "keyed")
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # rows without a doc_id go by their number, so that they spread over the ranges
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("__row")))))
     counted = keyed.select("__row", F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"), F.col(source).isNull().alias("none"), tokens_of(F.col("text")).alias("tokens"), digest.alias("h"))
     counted = scratch.write(counted, "counted")
     sources = scratch.write(counted.groupBy("s", "none").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "sources")

@@ -9,9 +9,8 @@ It stops when the bound, the score of a vector that would have the current
 component of every list, is below the kth score so far. Ties at the kth score
 keep it walking, so that the smaller vec_id wins.
 
-The kth score so far is also taken from the other blocks: a first pass over a
-few vectors of each block gives each query a score that k vectors are known to
-reach, and no block looks for less.
+No block looks for less than what k vectors are known to reach: every query is
+first scored against a bounded sample of the vectors, which is broadcast.
 
 Vectors that are null or hold null or non-finite components take no part, nor
 do rows without a vec_id. Vectors are compared with queries of their own
@@ -21,20 +20,22 @@ repeated rows are candidates each. Empty tables give empty results.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block, and queries of a group.
+from sigseg.llm import textops as T
+
+#: Vectors of a block, and queries of a group; the lists of a block are sorted once for each group.
 BLOCK = 8192
-GROUP = 1024
+GROUP = 8192
 #: Entries of each list in the first step of a walk, and the factor from one step to the next.
 FIRST_DEPTH, STEP = 8, 4
-#: Share of a block from which the vectors that have not turned up are scored at once: the lists would name hardly any others.
-LAST_SHARE = 0.5
-#: Vectors of a block that are scored to get the first bound.
-SEEDS = 32
+#: Vectors in the sample that gives the first bound.
+SEEDS = 2048
 
 
 def usable(vector: str | Column) -> Column:
@@ -69,13 +70,10 @@ class SortedLists:
         columns = np.arange(dims)
         while left:
             to = min(n, max(FIRST_DEPTH, STEP * depth))
-            if left <= LAST_SHARE * n:
-                met = np.flatnonzero(unseen)
-            else:
-                rows = np.arange(depth, to)[:, None]
-                new = np.zeros(n, bool)
-                new[self.order[np.where(up, rows, n - 1 - rows), columns]] = True
-                met = np.flatnonzero(new & unseen)
+            rows = np.arange(depth, to)[:, None]
+            new = np.zeros(n, bool)
+            new[self.order[np.where(up, rows, n - 1 - rows), columns]] = True
+            met = np.flatnonzero(new & unseen)
             unseen[met] = False
             left -= len(met)
             got = self.vectors[met] @ query
@@ -104,27 +102,34 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     table = vectors.filter("vec_id is not null").filter(usable("vector")).select("vec_id", F.size("vector").alias("dims"), "vector")
     asked = queries.filter("vec_id is not null").filter(usable("vector"))
     asked = asked.select(F.col("vec_id").alias("vec_id"), F.size("vector").alias("dims"), F.col("vector").alias("vector")).distinct()
-    n_blocks = max(1, -(-vectors.count() // BLOCK))
+    n = vectors.count()
+    n_blocks = max(1, -(-n // BLOCK))
     n_groups = max(1, -(-queries.count() // GROUP))
     # blocks by a hash of the whole row and its place, so that repeated ids spread
     block = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")
-    table = table.withColumn("block", block)
-    asked = asked.withColumn("group", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n_groups)).cast("int"))
-    rows = table.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    wanted = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
+    rows = table.withColumn("block", block).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
     def stack(pdf: pd.DataFrame) -> np.ndarray:
         return np.stack(pdf["vector"].to_numpy()) if len(pdf) else np.zeros((0, 0))
 
-    def seed(want: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(want) or not len(held):
-            return pd.DataFrame({"vec_id": [], "vector": [], "score": []})
-        some = held.nsmallest(SEEDS, "vec_id")
-        scores = stack(want).astype(np.float64) @ stack(some).astype(np.float64).T
-        scores[want["vec_id"].to_numpy()[:, None] == some["vec_id"].to_numpy()[None, :]] = -np.inf
-        best = np.sort(scores, axis=1)[:, ::-1][:, :k]
-        out = pd.DataFrame({"vec_id": np.repeat(want["vec_id"].to_numpy(), best.shape[1]), "vector": np.repeat(want["vector"].to_numpy(), best.shape[1]), "score": best.ravel()})
-        return out[np.isfinite(out["score"])]
+    # a sample of about SEEDS vectors by their hash, never more than twice that
+    chosen = table.filter(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(max(1, n // SEEDS))) == 0).limit(2 * SEEDS).toPandas()
+    sample = vectors.sparkSession.sparkContext.broadcast({int(d): (part["vec_id"].to_numpy(), np.stack(part["vector"].to_numpy()).astype(np.float64)) for d, part in chosen.groupby("dims")})
+
+    def bounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for want in frames:
+            floor = np.full(len(want), -np.inf)
+            for d, (ids, held) in sample.value.items():
+                at = np.flatnonzero(want["dims"] == d)
+                if len(at) and len(ids) > k:
+                    scores = stack(want.iloc[at]).astype(np.float64) @ held.T
+                    scores[want["vec_id"].to_numpy()[at][:, None] == ids[None, :]] = -np.inf
+                    floor[at] = np.partition(scores, -k, axis=1)[:, -k]
+            want["floor"] = floor
+            yield want
+
+    asked = asked.mapInPandas(bounded, T.with_fields(asked, "floor double"))
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n_groups)).cast("int"))
+    wanted = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def walk(want: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -136,11 +141,7 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
         return pd.DataFrame(found, columns=["query_id", "vector", "vec_id", "score"])
 
     keys = ["dims", "group", "block"]
-    seeds = wanted.groupBy(keys).cogroup(rows.groupBy(keys)).applyInPandas(seed, "vec_id bigint, vector array<bigint>, score double")
-    ranked = Window.partitionBy("vec_id", "vector").orderBy(F.desc("score"))
-    floors = seeds.withColumn("r", F.row_number().over(ranked)).filter(F.col("r") == k).select("vec_id", "vector", F.col("score").alias("floor"))
-    bounded = wanted.join(floors, ["vec_id", "vector"], "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    hits = bounded.groupBy(keys).cogroup(rows.groupBy(keys)).applyInPandas(walk, "query_id bigint, vector array<bigint>, vec_id bigint, score bigint")
+    hits = wanted.groupBy(keys).cogroup(rows.groupBy(keys)).applyInPandas(walk, "query_id bigint, vector array<bigint>, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id", "vector").orderBy(F.desc("score"), "vec_id")
     best = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

@@ -1,9 +1,13 @@
 import itertools
+import math
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 
+from sigseg.llm import language_id as L
 from sigseg.llm import queries as Q
 from sigseg.llm.language_id import identify, learn, viterbi
 
@@ -51,3 +55,87 @@ def test_nothing_learned(spark):
     model = learn(empty)
     assert identify(empty, model).count() == 0
     assert identify(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), model).first().lang_pred == "und"
+
+
+def plain_prediction(text, counts, letters_of, languages):
+    """Language and score of a text by the definitions: scripts, hashed pairs and triples, and a walk over all words."""
+    script_of = lambda c: next((n for n, a, b in L.SCRIPTS if a <= ord(c) <= b), "Latin")
+    words, last = [], None
+    for at, c in enumerate(text or ""):
+        if regex.match(r"\p{L}", c):
+            kind = script_of(c)
+            if last == (at - 1, kind):
+                words[-1][1].append(c)
+            else:
+                words.append((kind, [c]))
+            last = (at, kind)
+    if not words:
+        return "und", 0.0
+    scores = []
+    for kind, word in words:
+        uses = [letters_of[x][kind] >= L.SCRIPT_SHARE * max(sum(letters_of[x].values()), 1) for x in languages]
+        row = []
+        for i, x in enumerate(languages):
+            total = 0.0 if uses[i] or not any(uses) else -1e4
+            for kind_of, bucket in grams_of(word):
+                n = counts[x][kind_of]
+                total += math.log((n[bucket] + L.SMOOTHING) / (sum(n.values()) + L.SMOOTHING * L.BUCKETS)) / 2
+            row.append(total)
+        scores.append(row)
+    value, back = scores[0], []
+    for row in scores[1:]:
+        best = max(range(len(languages)), key=lambda j: value[j])
+        stay = [v >= value[best] - L.SWITCH_PENALTY for v in value]
+        back.append([j if stay[j] else best for j in range(len(languages))])
+        value = [(v if s else value[best] - L.SWITCH_PENALTY) + x for v, s, x in zip(value, stay, row, strict=True)]
+    state = max(range(len(languages)), key=lambda j: value[j])
+    path = [state]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    letters = Counter()
+    for j, (_, word) in zip(reversed(path), words, strict=True):
+        letters[j] += len(word)
+    best = min(letters, key=lambda j: (-letters[j], j))
+    return languages[best], letters[best] / sum(letters.values())
+
+
+def grams_of(word):
+    """("pair" or "triple", bucket) of each letter of a word."""
+    low = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in word]
+    for i, c in enumerate(low):
+        before, after = low[i - 1] if i else 0, low[i + 1] if i + 1 < len(low) else 0
+        pair = mix(before << 21 | c)
+        yield "pair", pair % L.BUCKETS
+        yield "triple", mix(pair ^ (after + 1) * 0x9E3779B97F4A7C15 % 2**64) % L.BUCKETS
+
+
+def mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def test_query_equals_plain_prediction(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts = defaultdict(lambda: {"pair": Counter(), "triple": Counter()})
+    letters_of = defaultdict(Counter)
+    for r in docs:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None:
+            for word in regex.findall(r"\p{L}+", r.text or ""):
+                for part in regex.findall("|".join([*(f"[{chr(a)}-{chr(b)}]+" for _, a, b in L.SCRIPTS if b < 0x500), ".+?(?=[Ͱ-ԯ]|$)"]), word):
+                    kind = next((n for n, a, b in L.SCRIPTS if a <= ord(part[0]) <= b), "Latin")
+                    letters_of[r.lang][kind] += len(part)
+                    for kind_of, bucket in grams_of(part):
+                        counts[r.lang][kind_of][bucket] += 1
+    languages = sorted(counts)
+    got = {r.doc_id: r for r in Q.op2_language_id(spark, sf).collect()}
+    short = [r for r in docs if len(r.text or "") < 4000]
+    assert len(short) > 100
+    for r in short:
+        name, score = plain_prediction(r.text, counts, letters_of, languages)
+        assert got[r.doc_id].lang_pred == name, r.text[:80]
+        assert abs(got[r.doc_id].score - score) < 1e-6
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
