@@ -14,6 +14,11 @@ the tokens that end at each byte, and the transition tables tell which of them
 continues the path of the prefix before it.
 
 Decoding emits the labels (bytes) of the arcs.
+
+A null or empty text has no ids, null or empty ids spell an empty text. Repeated
+rows are encoded each for itself. A text longer than a slice (1 MiB) is worked on alone
+and whole, as is a list of more than DECODE_IDS ids. Empty tables give empty tables.
+Extra columns are kept; columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -280,7 +285,6 @@ def bpe_encode(docs: DataFrame, spec: str, text: str = "text", output: str = "id
             if decoded:
                 columns.append(_spelled(ids.astype(np.int64), off, labels, label_off))
             yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *added])
-        encoder.forget()
 
     kind = f"{output} {'binary' if packed else 'array<int>'}"
     return rest.mapInArrow(run, T.with_fields(rest, f"{kind}, {decoded} string" if decoded else kind))

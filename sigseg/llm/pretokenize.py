@@ -13,8 +13,9 @@ import regex
 from sigseg.llm import textops as T
 
 _OTHER, _LETTER, _NUMBER, _WHITE = range(4)
-#: Pieces in a worker's cache; it starts afresh beyond.
-CACHE_PIECES = 200_000
+#: Pieces in a worker's cache, and their bytes; beyond, those that have not been met for the longest go, half of all.
+CACHE_PIECES = 700_000
+CACHE_BYTES = 1 << 26
 #: The endings that byte-level BPE splits off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -93,26 +94,56 @@ class BatchEncoder:
         self.encode = encode
         self.added = vocabulary.added
         self.pattern = regex.compile(b"|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.forget()
+        self.known: dict[bytes, int] = {}
+        self.start, self.length, self.met = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.flat, self.used, self.bytes, self.turn = np.zeros(4096, np.uint32), 0, 0, 0
 
-    def forget(self) -> None:
-        """Empty the cache; a worker that idles or runs other tasks then holds the tables only."""
-        self.known: dict[int, int] = {}
-        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used = np.zeros(4096, np.uint32), 0
-
-    def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         ids, lengths = self.encode(pieces)
-        first, n = len(self.known), len(keys)
+        first, n = len(self.known), len(pieces)
         while first + n > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+            self.start, self.length, self.met = (np.resize(x, 2 * len(x)) for x in (self.start, self.length, self.met))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(ids)] = ids
         self.length[first : first + n] = lengths
         self.start[first : first + n] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
-        self.known.update(zip(keys, range(first, first + n), strict=True))
+        self.bytes += sum(map(len, pieces))
+        self.known.update(zip(pieces, range(first, first + n), strict=True))
+
+    def _forget(self) -> None:
+        """Keep the half of the pieces that was met last, or none if one turn met them all."""
+        n = len(self.known)
+        stay = self.met[:n] > np.median(self.met[:n])
+        place = np.cumsum(stay) - 1
+        self.known = {x: int(place[i]) for x, i in self.known.items() if stay[i]}
+        start, length = self.start[:n][stay], self.length[:n][stay]
+        new = np.cumsum(length) - length
+        self.flat = np.append(self.flat[np.repeat(start - new, length) + np.arange(int(length.sum()))], np.zeros(4096, np.uint32))
+        self.used, self.bytes = int(length.sum()), sum(map(len, self.known))
+        self.start, self.length, self.met = (np.append(x, np.zeros(1024, np.int64)) for x in (new, length, self.met[:n][stay]))
+
+    def _places(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place of each piece in the cache; pieces are told apart by 128 bits within a batch, and by their bytes in the cache."""
+        one, two = T.span_digests(data, begin, end)
+        _, first, which = np.unique(one, return_index=True, return_inverse=True)
+        if (two[first][which] != two).any():
+            _, first, which = np.unique(np.stack([one, two], 1), axis=0, return_index=True, return_inverse=True)
+            which = which.ravel()
+        if len(self.known) + len(first) > CACHE_PIECES or self.bytes > CACHE_BYTES:
+            self._forget()
+        raw, a, b = data.tobytes(), begin[first].tolist(), end[first].tolist()
+        pieces = [raw[x:y] for x, y in zip(a, b, strict=True)]
+        get = self.known.get
+        places = np.array([get(p, -1) for p in pieces], np.int64)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            self._learn([pieces[i] for i in new])
+            places[new] = np.arange(len(self.known) - len(new), len(self.known))
+        self.turn += 1
+        self.met[places] = self.turn
+        return places[which]
 
     def _added(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
         """Starts and ends of the added tokens in the texts."""
@@ -135,19 +166,7 @@ class BatchEncoder:
             inside = (at >= 0) & (begin > lo[at]) & (begin < hi[at])
             begin = begin[~inside]
             end = np.append(begin[1:], len(data))
-        keys = T.span_hashes(data, begin, end)
-        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > CACHE_PIECES:
-            self.forget()
-        get = self.known.get
-        distinct_list = distinct.tolist()
-        places = np.array([get(k, -1) for k in distinct_list], np.int64)
-        new = np.flatnonzero(places < 0)
-        if len(new):
-            raw, a, b = data.tobytes(), begin[first[new]].tolist(), end[first[new]].tolist()
-            self._learn([distinct_list[i] for i in new], [raw[x:y] for x, y in zip(a, b, strict=True)])
-            places[new] = np.arange(len(self.known) - len(new), len(self.known))
-        place = places[which]
+        place = self._places(data, begin, end)
         lengths, starts = self.length[place], self.start[place]
         if special:
             ids_of = {}

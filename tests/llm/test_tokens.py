@@ -9,7 +9,8 @@ from tokenizers import Tokenizer
 from sigseg.llm import queries as Q
 from sigseg.llm.bpe_automaton import bpe_decode, bpe_encode
 from sigseg.llm.elias_fano import EliasFano
-from sigseg.llm.token_files import read_token_files, write_token_files
+from sigseg.llm.pretokenize import BatchEncoder
+from sigseg.llm.token_files import read_documents, read_token_files, write_token_files
 
 
 def odd_texts():
@@ -59,6 +60,9 @@ def test_token_files_edges(spark, tmp_path):
     assert [r.doc_id for r in got] == [None, 1, 2, 3, 3, 3, 7]
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
     assert all(len(r.ids) == 4 * r.n_tokens for r in got)
+    chosen = read_documents(spark, f"file://{tmp_path}/a", [3, 99, 1, -5])
+    assert sorted((tuple(r) for r in chosen.collect()), key=lambda r: r[1]) == [tuple(r) for r in got if r.doc_id in (1, 3)]
+    assert read_documents(spark, f"file://{tmp_path}/a", []).count() == 0
     write_token_files(spark.createDataFrame([], "doc_id long, text string, ids int"), spec, f"file://{tmp_path}/b")
     assert read_token_files(spark, f"file://{tmp_path}/b").count() == 0
 
@@ -70,4 +74,30 @@ def test_elias_fano(seed):
     code = EliasFano.encode(values)
     assert (code.all() == values).all()
     assert [code.select(i) for i in range(len(values))] == values.tolist()
+    for x in (0, 1, int(values[0]), int(values[-1]), int(values[-1]) + 1, int(values[len(values) // 2])):
+        assert code.first_not_below(x) == int((values < x).sum())
+    wide = np.array([0, 1, 2**63, 2**64 - 1], np.uint64)
+    assert EliasFano.encode(wide).all().tolist() == wide.tolist()
     assert len(EliasFano.encode(values[:0]).all()) == 0
+
+
+def test_cache_forgets_the_oldest_half(monkeypatch):
+    import pyarrow as pa
+
+    from sigseg.llm import pretokenize
+
+    monkeypatch.setattr(pretokenize, "CACHE_PIECES", 50)
+    asked = []
+
+    def encode(pieces):
+        asked.extend(pieces)
+        return np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint32), np.array([len(p) for p in pieces])
+
+    encoder = BatchEncoder(pretokenize.Vocabulary(Q.tokenizer_spec()), encode)
+    rng = random.Random(1)
+    for turn in range(60):
+        texts = ["".join(f" {rng.choice('abc')}{rng.randrange(5)} w{rng.randrange(turn, turn + 30)}" for _ in range(6)) for _ in range(3)]
+        ids, off = encoder(pa.array(texts))
+        assert [bytes(ids[a:b].astype(np.uint8)).decode() for a, b in zip(off[:-1], off[1:], strict=True)] == texts
+        assert len(encoder.known) <= 50 + 40
+    assert len(asked) > len(set(asked)) > 80
