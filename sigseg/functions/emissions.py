@@ -89,29 +89,67 @@ class Multinomial:
         return np.maximum(np.prod(picked, axis=0), FLOOR)
 
 
+#: Fixed value: eigenvalues of a covariance below it count as none.
+EIGEN_CUT = 1e-5
+
+
+def _spectrum(covariance: list[list[float]]) -> tuple[np.ndarray, float]:
+    """Pseudo-inverse of a covariance, and the logarithm of its norming constant over the axes that it has."""
+    values, vectors = np.linalg.eigh(np.asarray(covariance, float))
+    kept = values > EIGEN_CUT
+    inverse = (vectors[:, kept] / values[kept]) @ vectors[:, kept].T
+    return inverse, -0.5 * float(kept.sum() * math.log(2 * math.pi) + np.log(values[kept]).sum())
+
+
+def _mvn_column(x: Column, mean: list[float], covariance: list[list[float]]) -> Column:
+    inverse, norm = _spectrum(covariance)
+    d = [F.element_at(x, i + 1) - m for i, m in enumerate(mean)]
+    form = reduce(lambda a, b: a + b, [d[i] * d[j] * float(inverse[i, j]) for i in range(len(d)) for j in range(len(d))])
+    return F.exp(F.lit(norm) - form / 2)
+
+
+def _mvn_log(obs: np.ndarray, mean: list[float], covariance: list[list[float]]) -> np.ndarray:
+    inverse, norm = _spectrum(covariance)
+    d = obs - np.asarray(mean)
+    return norm - np.einsum("...i,ij,...j->...", d, inverse, d) / 2
+
+
 @dataclass(frozen=True)
 class MultivariateNormal:
-    """Mean vector and covariance matrix of each state; observations are vectors."""
+    """Mean vector and covariance matrix of each state; observations are vectors. A singular covariance counts the axes that it has."""
 
     means: list[list[float]]
     covariances: list[list[list[float]]] = field(repr=False)
 
     def columns(self, x: Column) -> list[Column]:
-        out = []
-        for mean, covariance in zip(self.means, self.covariances, strict=True):
-            inverse, root = np.linalg.inv(covariance), math.sqrt((2 * math.pi) ** len(mean) * np.linalg.det(covariance))
-            d = [F.element_at(x, i + 1) - m for i, m in enumerate(mean)]
-            form = reduce(lambda a, b: a + b, [d[i] * d[j] * float(inverse[i, j]) for i in range(len(d)) for j in range(len(d))])
-            out.append(F.greatest(F.exp(-form / 2) / root, F.lit(FLOOR)))
-        return out
+        return [F.greatest(_mvn_column(x, m, c), F.lit(FLOOR)) for m, c in zip(self.means, self.covariances, strict=True)]
+
+    def log_densities(self, obs: np.ndarray) -> np.ndarray:
+        return np.stack([_mvn_log(obs, m, c) for m, c in zip(self.means, self.covariances, strict=True)], -1)
 
     def densities(self, obs: np.ndarray) -> np.ndarray:
-        out = []
-        for mean, covariance in zip(self.means, self.covariances, strict=True):
-            d, c = obs - np.asarray(mean), np.asarray(covariance)
-            form = np.einsum("...i,ij,...j->...", d, np.linalg.inv(c), d)
-            out.append(np.exp(-form / 2) / math.sqrt((2 * math.pi) ** len(mean) * np.linalg.det(c)))
-        return np.maximum(np.stack(out, -1), FLOOR)
+        return np.maximum(np.exp(self.log_densities(obs)), FLOOR)
+
+
+@dataclass(frozen=True)
+class MultivariateMixture:
+    """weights[state][component], and a mean vector and a covariance of each component."""
+
+    weights: list[list[float]]
+    means: list[list[list[float]]]
+    covariances: list[list[list[list[float]]]] = field(repr=False)
+
+    def columns(self, x: Column) -> list[Column]:
+        parts = zip(self.weights, self.means, self.covariances, strict=True)
+        return [F.greatest(reduce(lambda a, b: a + b, [_mvn_column(x, mi, ci) * wi for wi, mi, ci in zip(w, m, c, strict=True)]), F.lit(FLOOR)) for w, m, c in parts]
+
+    def components(self, obs: np.ndarray) -> np.ndarray:
+        """Weighted densities [..., state, component]."""
+        parts = zip(self.weights, self.means, self.covariances, strict=True)
+        return np.stack([np.stack([wi * np.exp(_mvn_log(obs, mi, ci)) for wi, mi, ci in zip(w, m, c, strict=True)], -1) for w, m, c in parts], -2)
+
+    def densities(self, obs: np.ndarray) -> np.ndarray:
+        return np.maximum(self.components(obs).sum(-1), FLOOR)
 
 
-Emission = Discrete | Normal | Mixture | Multinomial | MultivariateNormal
+Emission = Discrete | Normal | Mixture | Multinomial | MultivariateNormal | MultivariateMixture

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigseg.functions import emissions as E
-from sigseg.operators.hmm import HmmModel, _boundaries, _joined, _map, _walk
+from sigseg.operators.hmm import HmmModel, Models, _boundaries, _each, _joined, _map, _walk
 
 #: Least standard deviation of a normal state, and least variance of a multivariate one.
 MIN_DEVIATION = 0.5
@@ -77,6 +77,11 @@ def _emission_stats(model: HmmModel, obs: np.ndarray, gamma: np.ndarray, var_cen
         m = len(e.table[0][0])
         return np.stack([[np.bincount(x[:, f], g[:, j], m) for f in range(x.shape[1])] for j in range(k)]).ravel()
     x = obs.reshape(len(g), obs.shape[-1])
+    if isinstance(e, E.MultivariateMixture):
+        parts = e.components(x)
+        share = parts / np.maximum(parts.sum(-1, keepdims=True), E.FLOOR) * g[:, :, None]
+        d = x[:, None, None, :] - np.asarray(e.means)
+        return np.concatenate([share.sum(0).ravel(), np.einsum("nkc,ni->kci", share, x).ravel(), np.einsum("nkc,nkci,nkcj->kcij", share, d, d).ravel()])
     center = np.asarray(e.means)
     d = x[:, None, :] - center
     return np.concatenate([g.sum(0), (g.T @ x).ravel(), np.einsum("nk,nki,nkj->kij", g, d, d).ravel()])
@@ -99,6 +104,14 @@ def _emission_step(model: HmmModel, s: np.ndarray, var_center: str) -> E.Emissio
     if isinstance(e, E.Multinomial):
         table = s.reshape(k, len(e.table[0]), -1)
         return E.Multinomial((table / table.sum(2, keepdims=True)).tolist())
+    if isinstance(e, E.MultivariateMixture):
+        n, d = len(e.weights[0]), len(e.means[0][0])
+        w, first, second = s[: k * n].reshape(k, n), s[k * n : k * n * (1 + d)].reshape(k, n, d), s[k * n * (1 + d) :].reshape(k, n, d, d)
+        safe = np.maximum(w, 1e-300)
+        covariance = second / safe[:, :, None, None]
+        on = np.arange(d)
+        covariance[:, :, on, on] = np.maximum(covariance[:, :, on, on], MIN_VARIANCE)
+        return E.MultivariateMixture((w / w.sum(1, keepdims=True)).tolist(), (first / safe[:, :, None]).tolist(), covariance.tolist())
     d = len(e.means[0])
     w, first, second = s[:k], s[k : k + k * d].reshape(k, d), s[k + k * d :].reshape(k, d, d)
     covariance = second / w[:, None, None]
@@ -107,26 +120,26 @@ def _emission_step(model: HmmModel, s: np.ndarray, var_center: str) -> E.Emissio
     return E.MultivariateNormal((first / w[:, None]).tolist(), covariance.tolist())
 
 
-def with_floor(transition: np.ndarray, least: float) -> np.ndarray:
-    """Self transitions of at least ``least``; what they lack is taken from the others of the row alike, down to 0."""
+def with_floor(transition: np.ndarray, least: float | list[float]) -> np.ndarray:
+    """Self transitions of at least ``least`` (one for all states, or one each); what they lack is taken from the others of the row alike, down to 0."""
     a, k = transition.copy(), len(transition)
     for i in range(k):
-        lack = least - a[i, i]
+        floor = float(np.broadcast_to(least, k)[i])
+        lack = floor - a[i, i]
         if lack > 0 and k > 1:
             others = np.arange(k) != i
             a[i, others] = np.maximum(a[i, others] - lack / (k - 1), 0)
             a[i, i] = 0
-            a[i] *= (1 - least) / a[i].sum() if a[i].sum() > 0 else 0
+            a[i] *= (1 - floor) / a[i].sum() if a[i].sum() > 0 else 0
             a[i, i] = 1 - a[i].sum()
     return a
 
 
-def expect(packed: DataFrame, model: HmmModel, smoothing: str = "full", var_center: str = "old") -> np.ndarray:
-    """Log-likelihood, number of sequences, start, transition and emission counts, over all sequences with a finite likelihood."""
-    k, a = model.n_states, np.asarray(model.transition)
+def _statistics(packed: DataFrame, models: Models, smoothing: str, var_center: str) -> DataFrame:
+    """seq, s for each chunk: log-likelihood, number of sequences, counts of starts, ends and transitions, and the emission's sums."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def one(pdf: pd.DataFrame, model: HmmModel) -> pd.DataFrame:
+        a, out = np.asarray(model.transition), []
         for rows, dens, alpha, beta, scale, begins in _walk(pdf, model, smoothing):
             gamma = alpha * beta
             gamma /= np.maximum(gamma.sum(2, keepdims=True), 1e-300)
@@ -137,16 +150,22 @@ def expect(packed: DataFrame, model: HmmModel, smoothing: str = "full", var_cent
             pairs /= np.maximum(pairs.sum((2, 3), keepdims=True), 1e-300)
             pairs[begins, 0] = 0
             obs = np.stack([np.stack(pdf["obs"].iloc[i]) for i in rows]).astype(np.float64)
+            ends = pdf["last"].to_numpy()[rows]
             for i, r in enumerate(rows):
                 with np.errstate(divide="ignore"):
                     log = np.log(scale[i]).sum()
-                first = gamma[i, 0] * begins[i]
-                stats = np.concatenate([[log, float(begins[i])], first, pairs[i].sum(0).ravel(), _emission_stats(model, obs[i : i + 1], gamma[i : i + 1], var_center)])
+                edges = np.concatenate([[log, float(begins[i])], gamma[i, 0] * begins[i], gamma[i, -1] * ends[i]])
+                stats = np.concatenate([edges, pairs[i].sum(0).ravel(), _emission_stats(model, obs[i : i + 1], gamma[i : i + 1], var_center)])
                 out.append((pdf["seq"].iloc[r], stats.tolist()))
         return pd.DataFrame(out, columns=["seq", "s"])
 
-    rows = _map(_joined(packed, _boundaries(packed, model, smoothing)), run, "seq string, s array<double>")
-    size = 2 + k + k * k + _emission_stats(model, *_empty(model), var_center).size
+    return _map(_joined(packed, _boundaries(packed, models, smoothing)), lambda pdf: _each(pdf, models, one), "seq string, s array<double>")
+
+
+def expect(packed: DataFrame, model: HmmModel, smoothing: str = "full", var_center: str = "old") -> np.ndarray:
+    """Log-likelihood, number of sequences, and start, end, transition and emission counts, over all sequences with a finite likelihood."""
+    size = 2 + 2 * model.n_states + model.n_states**2 + _emission_stats(model, *_empty(model), var_center).size
+    rows = _statistics(packed, model, smoothing, var_center)
     whole = rows.groupBy("seq").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(size)])
     fine = whole.filter(~F.isnan("s0") & (F.abs(F.col("s0")) < float("inf")))
     got = fine.agg(*[F.sum(f"s{i}") for i in range(size)]).first()
@@ -155,37 +174,73 @@ def expect(packed: DataFrame, model: HmmModel, smoothing: str = "full", var_cent
     return np.array(got, np.float64)
 
 
+def expect_cells(packed: DataFrame, models: dict[str, HmmModel], smoothing: str = "full", var_center: str = "old") -> dict[str, np.ndarray]:
+    """The same for each cell of a grid, in one job. Cells without a sequence of finite likelihood are absent."""
+    rows = _statistics(packed, models, smoothing, var_center)
+    sums = rows.select("seq", F.posexplode("s").alias("i", "v")).groupBy("seq", "i").agg(F.sum("v").alias("v"))
+    finite = sums.filter("i = 0").filter(~F.isnan("v") & (F.abs(F.col("v")) < float("inf"))).select("seq")
+    cell = F.substring_index("seq", "\x1f", 1).alias("cell")
+    got = sums.join(finite, "seq").groupBy(cell, "i").agg(F.sum("v").alias("v")).collect()  # a few numbers for each cell
+    out: dict[str, dict[int, float]] = {}
+    for r in got:
+        out.setdefault(r["cell"], {})[r["i"]] = r["v"]
+    return {c: np.array([x[i] for i in range(len(x))]) for c, x in out.items()}
+
+
 def _empty(model: HmmModel) -> tuple[np.ndarray, np.ndarray]:
     e = model.emission
-    shape = (1, 0, len(e.table[0])) if isinstance(e, E.Multinomial) else (1, 0, len(e.means[0])) if isinstance(e, E.MultivariateNormal) else (1, 0)
+    wide = {E.Multinomial: lambda: len(e.table[0]), E.MultivariateNormal: lambda: len(e.means[0]), E.MultivariateMixture: lambda: len(e.means[0][0])}
+    shape = (1, 0, wide[type(e)]()) if type(e) in wide else (1, 0)
     return np.zeros(shape), np.zeros((1, 0, model.n_states))
 
 
+def improved(model: HmmModel, s: np.ndarray, min_alpha: float | list[float] = 0.0, constraint: Callable[[HmmModel], HmmModel] | None = None, var_center: str = "old", learn_end: bool = False) -> HmmModel:
+    """The model that the counts of ``expect`` give."""
+    k = model.n_states
+    start, end, pairs = s[2 : 2 + k], s[2 + k : 2 + 2 * k], s[2 + 2 * k : 2 + 2 * k + k * k].reshape(k, k)
+    sums = pairs.sum(1, keepdims=True)
+    transition = np.where(sums > 0, pairs / np.where(sums > 0, sums, 1), np.asarray(model.transition))
+    transition = with_floor(transition, min_alpha) if np.any(min_alpha) else transition
+    new_end = (end / end.sum()).tolist() if learn_end else model.end
+    new = HmmModel((start / start.sum()).tolist(), transition.tolist(), _emission_step(model, s[2 + 2 * k + k * k :], var_center), new_end)
+    return constraint(new) if constraint else new
+
+
 def baum_welch(
     packed: DataFrame,
     model: HmmModel,
     stop: Callable[[float], bool] | None = None,
-    min_alpha: float = 0.0,
+    min_alpha: float | list[float] = 0.0,
     constraint: Callable[[HmmModel], HmmModel] | None = None,
     smoothing: str = "full",
     var_center: str = "old",
+    learn_end: bool = False,
 ) -> Fit:
-    """Train on all sequences at once. An interrupt keeps the model so far."""
-    stop, fit, k = stop or Iterations(3), Fit(model), model.n_states
+    """Train on all sequences at once. An interrupt keeps the model so far.
+
+    ``learn_end`` sets the end weights to the mean posterior of the sequences' last bins; else they stay.
+    """
+    stop, fit = stop or Iterations(3), Fit(model)
     packed = packed.persist()
     try:
         while True:
             s = expect(packed, fit.model, smoothing, var_center)
             fit.likelihoods.append(float(s[0]))
-            start, pairs = s[2 : 2 + k] / s[2 : 2 + k].sum(), s[2 + k : 2 + k + k * k].reshape(k, k)
-            sums = pairs.sum(1, keepdims=True)
-            transition = np.where(sums > 0, pairs / np.where(sums > 0, sums, 1), np.asarray(fit.model.transition))
-            transition = with_floor(transition, min_alpha) if min_alpha else transition
-            new = HmmModel(start.tolist(), transition.tolist(), _emission_step(fit.model, s[2 + k + k * k :], var_center), fit.model.end)
-            fit.model = constraint(new) if constraint else new
+            fit.model = improved(fit.model, s, min_alpha, constraint, var_center, learn_end)
             if stop(fit.likelihoods[-1]):
                 return fit
     except KeyboardInterrupt:
         return fit
     finally:
         packed.unpersist()
+
+
+def baum_welch_cells(packed: DataFrame, models: dict[str, HmmModel], rounds: int, floors: dict[str, float | list[float]] | None = None) -> dict[str, Fit]:
+    """Train a model for each cell of a grid; a round is one job for all cells. The cell is the first key of ``pack``."""
+    fits, packed = {c: Fit(m) for c, m in models.items()}, packed.persist()
+    for _ in range(rounds):
+        for cell, s in expect_cells(packed, {c: f.model for c, f in fits.items()}).items():
+            fits[cell].likelihoods.append(float(s[0]))
+            fits[cell].model = improved(fits[cell].model, s, (floors or {}).get(cell, 0.0))
+    packed.unpersist()
+    return fits

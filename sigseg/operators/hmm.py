@@ -41,6 +41,15 @@ class HmmModel:
     def n_states(self) -> int:
         return len(self.start)
 
+    @property
+    def n_alphabet(self) -> int | None:
+        """Symbols of a discrete emission."""
+        return len(self.emission.table[0]) if isinstance(self.emission, E.Discrete) else None
+
+    def __str__(self) -> str:
+        rows = [f"state {i}: start {p:.6g}, to {', '.join(f'{x:.6g}' for x in row)}" for i, (p, row) in enumerate(zip(self.start, self.transition, strict=True))]
+        return "\n".join([*rows, f"end: {self.end}", str(self.emission)])
+
     def to_json(self) -> str:
         return json.dumps({"start": self.start, "transition": self.transition, "end": self.end, "kind": type(self.emission).__name__, "emission": asdict(self.emission)}, sort_keys=True)
 
@@ -86,11 +95,30 @@ def _map(packed: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema:
     return packed.mapInPandas(lambda it: (run(p) for p in it if len(p)), schema)
 
 
-def _transfers(packed: DataFrame, model: HmmModel, semiring: str) -> DataFrame:
-    """seq, chunk, m (K * K numbers, scaled), scale (log), e (emission of its first bin)."""
-    a, k = np.asarray(model.transition), model.n_states
+#: A model for all sequences, or one for each cell of a grid; the cell is the first key of ``pack``.
+Models = HmmModel | dict[str, HmmModel]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _each(pdf: pd.DataFrame, models: Models, run: Callable[[pd.DataFrame, HmmModel], pd.DataFrame]) -> pd.DataFrame:
+    """``run`` on the rows of each cell with its model."""
+    if isinstance(models, HmmModel):
+        return run(pdf, models)
+    cells = pdf["seq"].str.split("\x1f", n=1).str[0]
+    return pd.concat([run(part.reset_index(drop=True), models[cell]) for cell, part in pdf.groupby(cells, sort=False)])
+
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    high = x.max(axis, keepdims=True)
+    high = np.where(np.isfinite(high), high, 0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - high).sum(axis)) + high.squeeze(axis)
+
+
+def _transfers(packed: DataFrame, models: Models, semiring: str) -> DataFrame:
+    """seq, chunk, m (K * K numbers, scaled), scale (log), e (emission of its first bin). Semirings: sum, max, log."""
+
+    def one(pdf: pd.DataFrame, model: HmmModel) -> pd.DataFrame:
+        a, k = np.asarray(model.transition), model.n_states
         m, scale, e = [None] * len(pdf), np.zeros(len(pdf)), [None] * len(pdf)
         for rows, dens, begins in _batches(pdf, model):
             with np.errstate(divide="ignore"):
@@ -107,7 +135,8 @@ def _transfers(packed: DataFrame, model: HmmModel, semiring: str) -> DataFrame:
                     total /= np.where(s > 0, s, 1)[:, None, None]
                     log += np.log(np.where(s > 0, s, 1))
                 else:
-                    moved = (total[:, :, :, None] + step[None, None]).max(2)
+                    both = total[:, :, :, None] + step[None, None]
+                    moved = both.max(2) if semiring == "max" else _log_sum(both, 2)
                     if t == 0:
                         moved[begins] = total[begins]
                     total = moved + b[:, t, None, :]
@@ -115,14 +144,14 @@ def _transfers(packed: DataFrame, model: HmmModel, semiring: str) -> DataFrame:
                 m[r], scale[r], e[r] = total[i].ravel().tolist(), log[i], dens[i, 0].tolist()
         return pd.DataFrame({"seq": pdf["seq"], "chunk": pdf["chunk"], "m": m, "scale": scale, "e": e})
 
-    return _map(packed, run, "seq string, chunk long, m array<double>, scale double, e array<double>")
+    return _map(packed, lambda pdf: _each(pdf, models, one), "seq string, chunk long, m array<double>, scale double, e array<double>")
 
 
-def _boundaries(packed: DataFrame, model: HmmModel, smoothing: str) -> DataFrame:
-    """seq, chunk, alpha (what enters from the left), beta (what enters from the right, 1 at the end)."""
-    k, a, start = model.n_states, np.asarray(model.transition), np.asarray(model.start)
+def _boundaries(packed: DataFrame, models: Models, smoothing: str) -> DataFrame:
+    """seq, chunk, alpha (what enters from the left), beta (what enters from the right, 1 at the end), and whether it is the last."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame, model: HmmModel) -> pd.DataFrame:
+        k, a, start = model.n_states, np.asarray(model.transition), np.asarray(model.start)
         pdf = pdf.sort_values("chunk")
         m = [np.reshape(x, (k, k)) for x in pdf["m"]]
         e = np.stack(pdf["e"])
@@ -133,9 +162,9 @@ def _boundaries(packed: DataFrame, model: HmmModel, smoothing: str) -> DataFrame
         for i in range(len(m) - 1, 0, -1):
             v = {"full": m[i] @ beta[-1], "lag1": a @ e[i], "filter": np.ones(k)}[smoothing]
             beta.append(v / v.sum() if v.sum() > 0 else v)
-        return pd.DataFrame({"seq": pdf["seq"], "chunk": pdf["chunk"], "alpha": [x.tolist() for x in alpha], "beta": [x.tolist() for x in reversed(beta)]})
+        return pd.DataFrame({"seq": pdf["seq"], "chunk": pdf["chunk"], "alpha": [x.tolist() for x in alpha], "beta": [x.tolist() for x in reversed(beta)], "last": np.arange(len(m)) == len(m) - 1})
 
-    return _transfers(packed, model, "sum").groupBy("seq").applyInPandas(run, "seq string, chunk long, alpha array<double>, beta array<double>")
+    return _transfers(packed, models, "sum").groupBy("seq").applyInPandas(lambda pdf: _each(pdf, models, one), "seq string, chunk long, alpha array<double>, beta array<double>, last boolean")
 
 
 def _walk(pdf: pd.DataFrame, model: HmmModel, smoothing: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -167,6 +196,47 @@ def _joined(packed: DataFrame, edges: DataFrame) -> DataFrame:
     return packed.join(edges, ["seq", "chunk"])
 
 
+def posterior_log(packed: DataFrame, model: HmmModel) -> DataFrame:
+    """chrom, bin, gamma as ``posterior`` gives it, with all sums of probabilities taken in logarithms: nothing is scaled and nothing underflows."""
+    k = model.n_states
+    with np.errstate(divide="ignore"):
+        a, start = np.log(np.asarray(model.transition)), np.log(np.asarray(model.start))
+
+    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        m = [np.reshape(x, (k, k)) for x in pdf["m"]]
+        alpha, beta = [start], [np.zeros(k)]
+        for x in m[:-1]:
+            alpha.append(_log_sum(alpha[-1][:, None] + x, 0))
+        for x in m[:0:-1]:
+            beta.append(_log_sum(x + beta[-1][None], 1))
+        return pd.DataFrame({"seq": pdf["seq"], "chunk": pdf["chunk"], "alpha": [x.tolist() for x in alpha], "beta": [x.tolist() for x in reversed(beta)]})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for rows, dens, begins in _batches(pdf, model):
+            with np.errstate(divide="ignore"):
+                b = np.log(dens)
+            n, length, _ = b.shape
+            alpha, beta = np.zeros_like(b), np.zeros_like(b)
+            value = np.stack([pdf["alpha"].iloc[i] for i in rows])
+            for t in range(length):
+                moved = _log_sum(value[:, :, None] + a[None], 1)
+                if t == 0:
+                    moved[begins] = value[begins]
+                value = alpha[:, t] = moved + b[:, t]
+            value = beta[:, -1] = np.stack([pdf["beta"].iloc[i] for i in rows])
+            for t in range(length - 2, -1, -1):
+                value = beta[:, t] = _log_sum(a[None] + (b[:, t + 1] + value)[:, None, :], 2)
+            gamma = np.exp(alpha + beta - _log_sum(alpha + beta, 2)[:, :, None])
+            first = pdf["first"].to_numpy()[rows]
+            out.append(pd.DataFrame({"chrom": np.repeat(pdf["chrom"].to_numpy()[rows], length), "bin": (first[:, None] + np.arange(length)).ravel(), "gamma": list(gamma.reshape(n * length, -1))}))
+        return pd.concat(out)
+
+    found = _transfers(packed, model, "log").groupBy("seq").applyInPandas(edges, "seq string, chunk long, alpha array<double>, beta array<double>")
+    return _map(_joined(packed, found), run, "chrom string, bin long, gamma array<double>")
+
+
 def posterior(packed: DataFrame, model: HmmModel, smoothing: str = "full") -> DataFrame:
     """chrom, bin, gamma: the probability of each state.
 

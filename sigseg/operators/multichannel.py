@@ -6,10 +6,13 @@ round; what reaches the driver is d x d numbers for d channels.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +22,27 @@ from sigseg.operators.hmm import HmmModel, pack
 
 
 def moments(data: DataFrame, weight: Column | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-    """Weight, sums and sums of products of the channels: partial sums of pairs, never the matrix of the data."""
-    row = data.select(F.size("x").alias("d")).first()
-    if row is None:
+    """Weight, sums and sums of products of the channels: each task sums its batches in numpy and hands on d + d * d + 1 numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w, lists = batch.column(0).to_numpy(), batch.column(1)
+            x = np.asarray(lists.flatten()).reshape(batch.num_rows, -1)
+            part = np.concatenate([[w.sum()], w @ x, ((x * w[:, None]).T @ x).ravel()])
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
+
+    keyed = data.select((F.lit(1.0) if weight is None else weight).alias("w"), F.col("x").cast("array<double>").alias("x")).filter("x is not null and size(x) > 0")
+    sums = keyed.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    if not sums:
         return 0.0, np.zeros(0), np.zeros((0, 0))
-    d, w = row["d"], F.lit(1.0) if weight is None else weight
-    keyed = data.select(w.alias("w"), "x")
-    cells = keyed.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.struct(i.alias("i"), F.transform("x", lambda y: y * F.element_at("x", i + 1) * F.col("w")).alias("p")))).alias("c"))
-    products = cells.groupBy("c.i").agg(*[F.sum(F.col("c.p")[j]).alias(f"p{j}") for j in range(d)]).orderBy("i").collect()
-    first = keyed.agg(F.sum("w").alias("w"), *[F.sum(F.col("x")[j] * F.col("w")).alias(f"s{j}") for j in range(d)]).first()
-    return float(first["w"]), np.array([first[f"s{j}"] for j in range(d)]), np.array([[r[f"p{j}"] for j in range(d)] for r in products])
+    flat = np.array([r["v"] for r in sums])
+    d = int((math.isqrt(4 * len(flat) - 3) - 1) // 2)
+    return float(flat[0]), flat[1 : 1 + d], flat[1 + d :].reshape(d, d)
 
 
 @dataclass(frozen=True)
@@ -121,13 +135,13 @@ class GaussianSegmenter:
         return pack(data.select("chrom", "bin", self.pca.transform(F.col("x")).alias("obs")), chunk=chunk)
 
 
-def fit_segmenter(data: DataFrame, k: int, dims: int | None = None, rounds: int = 3, seed: int = 1, chunk: int = 4096) -> GaussianSegmenter:
+def fit_segmenter(data: DataFrame, k: int, dims: int | None = None, rounds: int = 3, seed: int = 1, chunk: int = 4096, stop: Callable[[float], bool] | None = None) -> GaussianSegmenter:
     """PCA, soft clusters of the components as first states, Baum-Welch."""
     pca = fit_pca(data, dims)
     projected = data.select("chrom", "bin", pca.transform(F.col("x")).alias("x")).persist()
     means, covariances, weights = soft_clusters(projected, k, seed=seed)
     steady = [(np.asarray(c) + 1e-3 * np.eye(len(c))).tolist() for c in covariances]
     first = HmmModel(weights, sticky_transition(k, seed), E.MultivariateNormal(means, steady))
-    fit = baum_welch(pack(projected.withColumnRenamed("x", "obs"), chunk=chunk), first, Iterations(rounds))
+    fit = baum_welch(pack(projected.withColumnRenamed("x", "obs"), chunk=chunk), first, stop or Iterations(rounds))
     projected.unpersist()
     return GaussianSegmenter(pca, fit)

@@ -26,7 +26,7 @@ def interpolated(regions: DataFrame, signal: DataFrame, points: int = 100) -> Da
 def flanks(regions: DataFrame, signal: DataFrame, width: int) -> DataFrame:
     """chrom, region, offset, value for offsets -width to width - 1 around the start of each region that has room for them."""
     ends = signal.groupBy("chrom").agg(F.max("bin").alias("top"))
-    room = regions.join(F.broadcast(ends), "chrom").filter((F.col("start") >= width) & (F.col("start") + width - 1 <= F.col("top")))
+    room = regions.join(ends, "chrom").filter((F.col("start") >= width) & (F.col("start") + width - 1 <= F.col("top")))
     cut = room.select("chrom", "region", "start", F.explode(F.sequence(F.lit(-width), F.lit(width - 1))).alias("offset"))
     return cut.withColumn("bin", F.col("start") + F.col("offset")).join(signal.select("chrom", "bin", "value"), ["chrom", "bin"]).select("chrom", "region", "offset", "value")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,18 +66,53 @@ def near_boundary(regions: DataFrame, peaks: DataFrame, bin_size: int, share: fl
     return regions.select("chrom", "region").join(found, ["chrom", "region"], "left").select("chrom", "region", F.coalesce("hit", F.lit(False)).alias("has_peak"))
 
 
-def nearest_start(peaks: DataFrame, regions: DataFrame) -> DataFrame:
+def nearest_start(peaks: DataFrame, regions: DataFrame, bucket: int = 1 << 20) -> DataFrame:
     """Each peak (chrom, id, pos) with the nearest region start (chrom, start, length); on a tie the one to the right.
 
-    Two as-of lookups over the union of both, sorted by position in each chromosome.
+    Positions go by buckets. Within a bucket, running last values over both
+    directions give the neighbours; what lies beyond comes from the table of
+    buckets, one row for each that holds a region start.
     """
-    both = peaks.select("chrom", "id", "pos", F.lit(None).cast("struct<start:bigint,length:bigint>").alias("r")).unionByName(
-        regions.select("chrom", F.lit(None).cast("long").alias("id"), F.col("start").cast("double").alias("pos"), F.struct(F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length")).alias("r"))
-    )
-    order = Window.partitionBy("chrom").orderBy("pos", F.col("id").isNotNull())
-    back = F.last("r", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("r", True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    near = both.withColumn("left", back).withColumn("right", ahead).filter("id is not null")
+    place = lambda x: F.floor(x / bucket).cast("long")
+    starts = regions.select("chrom", F.col("start").cast("double").alias("pos"), F.struct(F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length")).alias("r")).withColumn("bucket", place(F.col("pos")))
+    ends = starts.groupBy("chrom", "bucket").agg(F.max("r").alias("last"), F.min("r").alias("first"))
+    asked = peaks.select("chrom", place(F.col("pos")).alias("bucket")).distinct()
+    table = ends.join(asked, ["chrom", "bucket"], "full")
+    up, down = Window.partitionBy("chrom").orderBy("bucket"), Window.partitionBy("chrom").orderBy(F.desc("bucket"))
+    before = F.last("last", True).over(up.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("first", True).over(down.rowsBetween(Window.unboundedPreceding, -1))
+    table = table.select("chrom", "bucket", before.alias("before"), after.alias("after"))
+    both = peaks.select("chrom", "id", "pos", place(F.col("pos")).alias("bucket"), F.lit(None).cast("struct<start:bigint,length:bigint>").alias("r"))
+    both = both.unionByName(starts.select("chrom", F.lit(None).cast("long").alias("id"), "pos", "bucket", "r"))
+    here = Window.partitionBy("chrom", "bucket").rowsBetween(Window.unboundedPreceding, 0)
+    back = F.last("r", True).over(here.orderBy("pos", F.col("id").isNotNull()))
+    ahead = F.last("r", True).over(here.orderBy(F.desc("pos"), F.col("id").isNotNull().cast("int")))
+    near = both.withColumn("left", back).withColumn("right", ahead).filter("id is not null").join(table, ["chrom", "bucket"])
+    near = near.withColumn("left", F.coalesce("left", "before")).withColumn("right", F.coalesce("right", "after"))
     to_left, to_right = F.col("pos") - F.col("left.start"), F.col("right.start") - F.col("pos")
     pick = F.when(F.col("left").isNull() | (to_right <= to_left), F.col("right")).otherwise(F.col("left"))
     return near.withColumn("r", pick).select("chrom", "id", "pos", F.col("r.start").alias("start"), F.col("r.length").alias("length"))
+
+
+#: Features of a region by id, each a function of (regions, signal, bin_size) that gives chrom, region and one column.
+FEATURES: dict[int, tuple[str, Callable[[DataFrame, DataFrame, int], DataFrame]]] = {
+    0: ("state", lambda r, s, b: r.select("chrom", "region", "state")),
+    1: ("start", lambda r, s, b: r.select("chrom", "region", (F.col("start") * b).alias("start"))),
+    2: ("length", lambda r, s, b: r.select("chrom", "region", (F.col("length") * b).alias("length"))),
+    3: ("average_signal", lambda r, s, b: average_signal(r, s).withColumnRenamed("value", "average_signal")),
+    4: ("largest_signal", lambda r, s, b: with_region(s, r).groupBy("chrom", "region").agg(F.max("value").alias("largest_signal"))),
+    5: ("log_length", lambda r, s, b: r.select("chrom", "region", F.log10(F.col("length") * b).alias("log_length"))),
+}
+
+
+def feature_labels(ids: list[int]) -> list[str]:
+    """Names of features."""
+    return [FEATURES[i][0] for i in ids]
+
+
+def feature_matrix(regions: DataFrame, signal: DataFrame, ids: list[int], bin_size: int = 1) -> DataFrame:
+    """chrom, region and the asked features; what is not asked for is not computed."""
+    out = regions.select("chrom", "region")
+    for i in ids:
+        out = out.join(FEATURES[i][1](regions, signal, bin_size), ["chrom", "region"], "left")
+    return out.select("chrom", "region", *feature_labels(ids))

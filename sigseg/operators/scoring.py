@@ -58,7 +58,7 @@ def shuffled_boundaries(regions: DataFrame, permutations: int, bin_size: int, se
     both kinds alternate as they did, beginning with the kind that began.
     """
     first = regions.filter("start = 0").select("chrom", F.col("state").alias("opening"))
-    drawn = regions.join(F.broadcast(first), "chrom").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    drawn = regions.join(first, "chrom").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     order = Window.partitionBy("perm", "chrom", "state").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "perm", "chrom", "start")))
     turn = 2 * (F.row_number().over(order) - 1) + (F.col("state") != F.col("opening")).cast("int")
     along = Window.partitionBy("perm", "chrom").orderBy("turn")

@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigseg.functions import emissions as E
 from sigseg.operators import discretize as D
-from sigseg.operators.em import Iterations, baum_welch
-from sigseg.operators.hmm import DEFAULT_END, DEFAULT_START, DEFAULT_TABLE, HmmModel, default_discrete, default_normal, log_likelihood, pack
+from sigseg.operators.em import Iterations, baum_welch, baum_welch_cells
+from sigseg.operators.hmm import DEFAULT_END, DEFAULT_START, DEFAULT_TABLE, HmmModel, default_discrete, default_normal, log_likelihood, pack, viterbi
+from sigseg.operators.scoring import consistency, enrichment
 from sigseg.operators.signal import resample
 
-#: Fixed values of the search: bins to join, families and least self transitions.
-FACTORS, FAMILIES, FLOORS = (1, 2, 4), ("discrete", "normal"), (0.0, 0.9)
+#: Fixed values of the search: families, and least self transitions of the open state.
+FACTORS, FAMILIES, FLOORS = (1, 2, 4), ("discrete", "normal"), (0.0, 0.9, 0.95, 0.99, 0.999, 0.9999, 0.99999)
+
+
+class Scorer(ABC):
+    """Judges the segmentations of several samples (sample, chrom, bin, state)."""
+
+    @abstractmethod
+    def score(self, segmentations: DataFrame) -> float: ...
+
+
+class ConsistencyScorer(Scorer):
+    """Mean agreement of the samples where most of them agree."""
+
+    def score(self, segmentations: DataFrame) -> float:
+        return consistency(segmentations).agg(F.avg("score")).first()[0]
+
+
+class EnrichmentScorer(Scorer):
+    """Mean, over the tracks of a signal (chrom, bin, track, value) and the samples, of open over closed signal."""
+
+    def __init__(self, signal: DataFrame, factor: int = 1) -> None:
+        self.signal = signal if factor == 1 else signal.groupBy("chrom", "track", F.expr(f"bin div {factor}").alias("bin")).agg(F.sum("value").alias("value"))
+
+    def score(self, segmentations: DataFrame) -> float:
+        return enrichment(segmentations, self.signal, ("track",)).agg(F.avg("score")).first()[0]
 
 
 def observations(signal: DataFrame, family: str) -> DataFrame:
@@ -21,30 +50,46 @@ def observations(signal: DataFrame, family: str) -> DataFrame:
     return x if family == "normal" else x.select("chrom", "bin", D.above(F.col("obs"), D.percentiles(x, "obs", [60, 75, 90])).alias("obs"))
 
 
-def grid_search(signal: DataFrame, rounds: int = 2, factors=FACTORS, families=FAMILIES, floors=FLOORS, chunk: int = 4096) -> list[tuple]:
-    """(factor, family, floor, log-likelihood for each bin): every cell is a distributed fit of its own."""
-    out = []
+def first_model(family: str, floor: float) -> HmmModel:
+    """A family's default model whose open state stays with at least ``floor``."""
+    base, stay = default_discrete() if family == "discrete" else default_normal(), max(0.9, floor)
+    return replace(base, transition=[base.transition[0], [1 - stay, stay]])
+
+
+def grid_search(signal: DataFrame, rounds: int = 5, factors=FACTORS, families=FAMILIES, floors=FLOORS, chunk: int = 4096) -> list[tuple]:
+    """(factor, family, floor, log-likelihood for each bin) of a fit in each cell; a round of training is one job for all cells."""
+    cells = {f"{factor}|{family}|{floor}": (factor, family, floor) for factor in factors for family in families for floor in floors}
+    parts, bins = [], {}
     for factor in factors:
         at = signal if factor == 1 else resample(signal, factor)
-        n = at.count()
+        bins[factor] = at.count()
         for family in families:
-            packed = pack(observations(at, family), chunk=chunk).persist()
-            for floor in floors:
-                first = default_discrete() if family == "discrete" else default_normal()
-                fit = baum_welch(packed, first, Iterations(rounds), floor)
-                out.append((factor, family, floor, fit.likelihoods[-1] / n))
-            packed.unpersist()
-    return out
+            names = F.explode(F.array(*[F.lit(c) for c, (x, y, _) in cells.items() if (x, y) == (factor, family)])).alias("cell")
+            parts.append(observations(at, family).select(names, "chrom", "bin", F.col("obs").cast("double").alias("obs")))
+    packed = pack(reduce(DataFrame.unionByName, parts), chunk=chunk, keys=("cell", "chrom"))
+    models = {c: first_model(family, floor) for c, (_, family, floor) in cells.items()}
+    fits = baum_welch_cells(packed, models, rounds, {c: [0.0, floor] for c, (_, _, floor) in cells.items()})
+    return [(*cells[c], fits[c].likelihoods[-1] / bins[cells[c][0]]) for c in cells]
 
 
-def prior_sweep(packed: DataFrame, stays: list[float], rounds: int = 2) -> list[tuple]:
-    """(stay in 0, stay in 1, log-likelihood) over a grid of first transitions."""
-    out = []
-    for p in stays:
-        for q in stays:
-            first = HmmModel(DEFAULT_START, [[p, 1 - p], [1 - q, q]], E.Discrete(DEFAULT_TABLE), DEFAULT_END)
-            out.append((p, q, baum_welch(packed, first, Iterations(rounds)).likelihoods[-1]))
-    return out
+def evaluate(train: DataFrame, samples: DataFrame, scorers: list[Scorer], family: str, floor: float, rounds: int = 5, chunk: int = 4096) -> list[float]:
+    """Log-likelihood of a fit on ``train`` (chrom, bin, value), and the scores of its segmentations of ``samples`` (sample, chrom, bin, value)."""
+    fit = baum_welch(pack(observations(train, family), chunk=chunk), first_model(family, floor), Iterations(rounds), [0.0, floor])
+    keyed = samples.select(F.concat_ws("|", "sample", "chrom").alias("chrom"), "bin", "value")
+    states = viterbi(pack(observations(keyed, family), chunk=chunk), fit.model)
+    split = states.select(F.substring_index("chrom", "|", 1).alias("sample"), F.substring_index("chrom", "|", -1).alias("chrom"), "bin", "state").persist()
+    scores = [s.score(split) for s in scorers]
+    split.unpersist()
+    return [fit.likelihoods[-1], *scores]
+
+
+def prior_sweep(packed: DataFrame, leave_open: list[float], leave_closed: list[float], rounds: int = 2) -> list[tuple]:
+    """(leave open, leave closed, log-likelihood) over a grid of first transitions; ``packed`` has one key. A round is one job for all cells."""
+    cells = {f"{p}|{q}": (p, q) for p in leave_open for q in leave_closed}
+    models = {c: HmmModel(DEFAULT_START, [[1 - q, q], [p, 1 - p]], E.Discrete(DEFAULT_TABLE), DEFAULT_END) for c, (p, q) in cells.items()}
+    copies = packed.withColumn("cell", F.explode(F.array(*map(F.lit, cells)))).withColumn("seq", F.concat_ws("\x1f", "cell", "seq"))
+    fits = baum_welch_cells(copies, models, rounds)
+    return [(*cells[c], fits[c].likelihoods[-1]) for c in cells]
 
 
 def training_regions(symbols: DataFrame, train: str, test: str, parts: int, rounds: int = 2, chunk: int = 4096) -> list[tuple]:

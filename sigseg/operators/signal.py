@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bins of a block of the grid.
 GRID_BLOCK = 1 << 16
+#: Bins of a block in which runs are cut.
+RUN_BLOCK = 1 << 13
 
 
 def grid(sizes: DataFrame, bins: str = "bins") -> DataFrame:
@@ -63,7 +65,7 @@ def resample(signal: DataFrame, factor: int, how: str = "sum") -> DataFrame:
     if factor < 1 or factor != int(factor):
         raise ValueError("the factor is a whole number of bins")
     whole = bins_of(signal).select("chrom", F.expr(f"bins div {factor} * {factor}").alias("whole"))
-    kept = signal.join(F.broadcast(whole), "chrom").filter("bin < whole")  # a row for each chromosome
+    kept = signal.join(whole, "chrom").filter("bin < whole")
     total = F.sum("value")
     return kept.groupBy("chrom", F.expr(f"bin div {factor}").alias("bin")).agg((total if how == "sum" else total / factor).alias("value"))
 
@@ -97,16 +99,19 @@ def fold_changes(rows: DataFrame, state: str | Column = "state") -> DataFrame:
 def runs(segmentation: DataFrame, state: str | Column = "state") -> DataFrame:
     """chrom, region, start, length, state of the maximal runs; a gap in the bins ends a run.
 
-    Only the beginnings of runs are sorted within a chromosome.
+    Runs are cut within blocks of RUN_BLOCK bins; only these pieces, one row
+    for each run or block, are sorted within a chromosome and put together.
     """
-    seg = segmentation.select("chrom", "bin", (F.col(state) if isinstance(state, str) else state).alias("state"))
-    after = seg.select(F.col("chrom").alias("chrom"), (F.col("bin") - 1).alias("bin"), F.col("state").alias("next"))
-    ends = seg.join(after, ["chrom", "bin"], "left").filter(~F.col("state").eqNullSafe(F.col("next"))).select("chrom", "bin", F.lit(1).alias("is_end"), "state")
-    marks = fold_changes(seg, "state").withColumn("is_end", F.lit(0)).unionByName(ends)
-    order = Window.partitionBy("chrom").orderBy("bin", "is_end")
-    paired = marks.withColumn("last", F.lead("bin").over(order)).filter("is_end = 0")
-    numbered = paired.withColumn("region", F.row_number().over(Window.partitionBy("chrom").orderBy("bin")) - 1)
-    return numbered.select("chrom", "region", F.col("bin").alias("start"), (F.col("last") - F.col("bin") + 1).alias("length"), "state")
+    seg = segmentation.select("chrom", "bin", (F.col(state) if isinstance(state, str) else state).alias("state"), F.expr(f"bin div {RUN_BLOCK}").alias("block"))
+    inside = Window.partitionBy("chrom", "block").orderBy("bin")
+    same = F.lag("state").over(inside).eqNullSafe(F.col("state")) & (F.lag("bin").over(inside) == F.col("bin") - 1)
+    marked = seg.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("new").over(inside))
+    pieces = marked.groupBy("chrom", "block", "island").agg(F.min("bin").alias("start"), F.count("*").alias("length"), F.first("state").alias("state"))
+    along = Window.partitionBy("chrom").orderBy("start")
+    joins = F.lag("state").over(along).eqNullSafe(F.col("state")) & (F.lag(F.col("start") + F.col("length")).over(along) == F.col("start"))
+    numbered = pieces.withColumn("new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("region", (F.sum("new").over(along) - 1).cast("int"))
+    whole = numbered.groupBy("chrom", "region").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.first("state").alias("state"))
+    return whole.select("chrom", "region", "start", "length", "state")
 
 
 def mappable_runs(signal: DataFrame, threshold: float = 0.7, min_bins: int = 100) -> DataFrame:

@@ -1,8 +1,7 @@
 """Wavelet pyramid of a signal and hidden Markov trees over it.
 
-Every level of the pyramid is one aggregation over ``idx div 2``, so a level of
-n nodes costs n rows and the whole pyramid less than twice the signal. Trees
-are walked by bands of levels, so 2**24 leaves take two rounds.
+Pyramids and trees are walked by bands of TIER levels whose subtrees are groups of
+bounded size, so 2**24 leaves take two rounds.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigseg.operators.signal import to_grid
+
 #: Low- and high-pass filters of two taps: mean and half difference.
 MEAN = ([0.5, 0.5], [-0.5, 0.5])
 HAAR = ([1 / math.sqrt(2)] * 2, [-1 / math.sqrt(2), 1 / math.sqrt(2)])
@@ -27,58 +28,112 @@ TIER = 12
 
 
 def padded(signal: DataFrame) -> tuple[DataFrame, int]:
-    """``signal`` with zeros up to a power of two, and its exponent: the largest over the chromosomes."""
+    """``signal`` with zeros up to a power of two, and its exponent: the largest over the chromosomes, so that all trees have one depth."""
     top = signal.agg(F.max("bin")).first()[0]
     depth = 0 if top is None else int(top).bit_length()
-    wanted = signal.select("chrom").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << depth) - 1).cast("long"))))
-    return wanted.join(signal.select("chrom", "bin", "value"), ["chrom", "bin"], "left").withColumn("value", F.coalesce("value", F.lit(0.0))), depth
+    sizes = signal.select("chrom").distinct().withColumn("bins", F.lit(1 << depth).cast("long"))
+    return to_grid(signal.select("chrom", "bin", F.col("value").cast("double").alias("value")), sizes), depth
 
 
 def dwt(signal: DataFrame, filters: tuple[list[float], list[float]] = MEAN, levels: int | None = None) -> DataFrame:
-    """chrom, level (1 is the finest), idx, approx, detail. Filters of more taps wrap around."""
+    """chrom, level (1 is the finest), idx, approx, detail.
+
+    Two taps go by bands of TIER levels: a band's subtrees are groups of at
+    most 2**TIER nodes, and one aggregate gives the next band its input.
+    Filters of more taps wrap around and take a shuffle for each level.
+    """
     full, depth = padded(signal)
+    at, most = full.select("chrom", F.col("bin").alias("idx"), F.col("value").alias("approx")), depth if levels is None else min(levels, depth)
+    if len(filters[0]) > 2:
+        return _dwt_wide(at, filters, depth, most)
+    low, high = np.asarray(filters[0]), np.asarray(filters[1])
+    out = []
+    for first in range(0, most, TIER):
+        n = min(TIER, most - first)
+        out.append(at.groupBy("chrom", F.expr(f"shiftright(idx, {n})").alias("root")).applyInPandas(_band_down(low, high, first, n), PYRAMID))
+        ones = F.bit_count(F.col("idx").bitwiseAND(F.lit((1 << n) - 1)))
+        share = F.pow(F.lit(float(low[1])), ones) * F.pow(F.lit(float(low[0])), n - ones)
+        at = at.groupBy("chrom", F.expr(f"shiftright(idx, {n})").alias("idx")).agg(F.sum(F.col("approx") * share).alias("approx"))
+    return reduce(DataFrame.unionByName, out) if out else full.sparkSession.createDataFrame([], PYRAMID)
+
+
+PYRAMID = "chrom string, level int, idx long, approx double, detail double"
+
+
+def _band_down(low: np.ndarray, high: np.ndarray, first: int, n: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """All levels from ``first`` + 1 on of one subtree whose leaves are the rows."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        value, root, out = pdf["approx"].to_numpy(float), int(pdf["idx"].iloc[0]) >> n, []
+        for j in range(1, n + 1):
+            pairs = value.reshape(-1, 2)
+            value = pairs @ low
+            idx = (root << (n - j)) + np.arange(len(value))
+            out.append(pd.DataFrame({"chrom": pdf["chrom"].iloc[0], "level": first + j, "idx": idx, "approx": value, "detail": pairs @ high}))
+        return pd.concat(out)
+
+    return run
+
+
+def _dwt_wide(at: DataFrame, filters: tuple[list[float], list[float]], depth: int, most: int) -> DataFrame:
     low, high = filters
-    at, out = full.select("chrom", F.col("bin").alias("idx"), F.col("value").alias("approx")), []
-    for level in range(1, (depth if levels is None else min(levels, depth)) + 1):
-        size = 1 << (depth - level)
-        taps = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(low[t]).alias("l"), F.lit(high[t]).alias("h")) for t in range(len(low))])) if len(low) > 2 else None
-        if taps is None:
-            odd = F.col("idx") % 2 == 1
-            l, h, to = F.when(odd, low[1]).otherwise(low[0]), F.when(odd, high[1]).otherwise(high[0]), F.expr("idx div 2")
-            rows = at.select("chrom", to.alias("idx"), (F.col("approx") * l).alias("a"), (F.col("approx") * h).alias("d"))
-        else:
-            rows = at.select("chrom", "idx", "approx", taps.alias("x")).filter((F.col("idx") - F.col("x.t")) % 2 == 0)
-            rows = rows.select("chrom", F.pmod(((F.col("idx") - F.col("x.t")) / 2).cast("long"), F.lit(size)).alias("idx"), (F.col("approx") * F.col("x.l")).alias("a"), (F.col("approx") * F.col("x.h")).alias("d"))
+    out = []
+    taps = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(low[t]).alias("l"), F.lit(high[t]).alias("h")) for t in range(len(low))]))
+    for level in range(1, most + 1):
+        rows = at.select("chrom", "idx", "approx", taps.alias("x")).filter((F.col("idx") - F.col("x.t")) % 2 == 0)
+        to = F.pmod(((F.col("idx") - F.col("x.t")) / 2).cast("long"), F.lit(1 << (depth - level)))
+        rows = rows.select("chrom", to.alias("idx"), (F.col("approx") * F.col("x.l")).alias("a"), (F.col("approx") * F.col("x.h")).alias("d"))
         at = rows.groupBy("chrom", "idx").agg(F.sum("a").alias("approx"), F.sum("d").alias("detail"))
         out.append(at.select("chrom", F.lit(level).alias("level"), "idx", "approx", "detail"))
-    empty = full.select("chrom", F.lit(0).alias("level"), F.col("bin").alias("idx"), F.col("value").alias("approx"), F.lit(0.0).alias("detail")).limit(0)
-    return reduce(DataFrame.unionByName, out, empty)
+    return reduce(DataFrame.unionByName, out) if out else at.sparkSession.createDataFrame([], PYRAMID)
 
 
 def idwt(pyramid: DataFrame, filters: tuple[list[float], list[float]] = MEAN) -> DataFrame:
-    """chrom, bin, value from the coarsest approximation and all details of a two-tap pyramid."""
-    low, high = filters
-    scale = low[0] * high[1] - low[1] * high[0]  # the two-tap step is inverted exactly, whatever its scale
-    levels = [r["level"] for r in pyramid.select("level").distinct().orderBy(F.desc("level")).collect()]  # log2 of the length
-    at = pyramid.filter(F.col("level") == levels[0]).select("chrom", "idx", "approx")
-    for level in levels:
-        detail = pyramid.filter(F.col("level") == level).select("chrom", "idx", "detail")
-        both = at.join(detail, ["chrom", "idx"])
-        even = (F.col("approx") * high[1] - F.col("detail") * low[1]) / scale
-        odd = (F.col("detail") * low[0] - F.col("approx") * high[0]) / scale
-        pair = F.explode(F.array(F.struct((2 * F.col("idx")).alias("idx"), even.alias("approx")), F.struct((2 * F.col("idx") + 1).alias("idx"), odd.alias("approx"))))
-        at = both.select("chrom", pair.alias("x")).select("chrom", "x.idx", "x.approx")
+    """chrom, bin, value from the coarsest approximation and all details of a two-tap pyramid; from the top by bands of TIER levels."""
+    top = pyramid.agg(F.max("level")).first()[0]
+    if top is None:
+        return pyramid.select("chrom", F.col("idx").alias("bin"), F.col("approx").alias("value"))
+    at = pyramid.filter(F.col("level") == top).select("chrom", "idx", "approx")
+    for low in range((top - 1) // TIER * TIER + 1, 0, -TIER):
+        high = min(low + TIER - 1, top)
+        roots = at.select("chrom", F.lit(high + 1).alias("level"), "idx", F.col("approx").alias("x"), F.col("idx").alias("root"))
+        details = pyramid.filter(F.col("level").between(low, high)).select("chrom", "level", "idx", F.col("detail").alias("x"), F.expr(f"shiftright(idx, cast({high} - level as int))").alias("root"))
+        at = roots.unionByName(details).groupBy("chrom", "root").applyInPandas(_band_up(filters, low, high), "chrom string, idx long, approx double")
     return at.select("chrom", F.col("idx").alias("bin"), F.col("approx").alias("value"))
 
 
+def _band_up(filters: tuple[list[float], list[float]], low: int, high: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The approximations below one subtree, from that of its root (at level ``high`` + 1) and all its details."""
+    (l0, l1), (h0, h1) = filters
+    scale = l0 * h1 - l1 * h0  # the two-tap step is inverted exactly, whatever its scale
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        levels = {int(k): rows["x"].to_numpy(float) for k, rows in pdf.sort_values(["level", "idx"]).groupby("level")}
+        value, root = levels[high + 1], int(pdf["root"].iloc[0])
+        for level in range(high, low - 1, -1):
+            d = levels[level]
+            value = np.stack([(value * h1 - d * l1) / scale, (d * l0 - value * h0) / scale], 1).ravel()
+        return pd.DataFrame({"chrom": pdf["chrom"].iloc[0], "idx": (root << (high - low + 1)) + np.arange(len(value)), "approx": value})
+
+    return run
+
+
 @dataclass(frozen=True)
 class TreeModel:
-    """Root probabilities, transitions from parent to child, and a normal emission of each state, alike on all levels."""
+    """Root probabilities, transitions from parent to child, and a normal emission of each state.
+
+    ``levels`` gives a level means and deviations of its own; all others have the common ones.
+    """
 
     root: list[float]
     transition: list[list[float]]
     means: list[float]
     deviations: list[float]
+    levels: dict[int, tuple[list[float], list[float]]] | None = None
+
+    def level_emission(self, level: int) -> tuple[list[float], list[float]]:
+        return (self.levels or {}).get(level, (self.means, self.deviations))
 
 
 @dataclass(frozen=True)
@@ -88,8 +143,8 @@ class _Passes:
     model: TreeModel
     best: bool
 
-    def densities(self, x: np.ndarray) -> np.ndarray:
-        m, s = np.asarray(self.model.means), np.asarray(self.model.deviations)
+    def densities(self, x: np.ndarray, level: int) -> np.ndarray:
+        m, s = map(np.asarray, self.model.level_emission(level))
         return np.maximum(-((x[:, None] - m) ** 2) / (2 * s * s) - np.log(s * math.sqrt(2 * math.pi)), math.log(1e-300))
 
     def to_parent(self, v: np.ndarray) -> np.ndarray:
@@ -104,7 +159,7 @@ class _Passes:
         """Of each level of a subtree, idx and the log messages that its nodes have gathered."""
         k, out, said = len(self.model.root), {}, None
         for level, rows in pdf.sort_values(["level", "idx"]).groupby("level"):
-            v = self.densities(rows["x"].to_numpy(float))
+            v = self.densities(rows["x"].to_numpy(float), int(level))
             if level == low:
                 v = v + np.array([np.zeros(k) if x is None else x for x in rows["said"]])
             else:

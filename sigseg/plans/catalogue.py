@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sigseg.functions import emissions as E
 from sigseg.operators import discretize as D
+from sigseg.operators import estimators as T
 from sigseg.operators import hmm as H
 from sigseg.operators import multichannel as M
 from sigseg.operators import profiles as P
@@ -20,6 +21,7 @@ from sigseg.operators import wavelet as W
 from sigseg.operators.em import Iterations, SmallChange, baum_welch
 from sigseg.plans import recursions as rec
 from sigseg.plans import views as V
+from sigseg.sources import folders
 from sigseg.sources import readers as I
 from sigseg.sources import writers as O
 
@@ -141,8 +143,8 @@ def track_symbols(spark, sf) -> DataFrame:
     """chrom, bin, s0..s3: symbols 0 to 4 of each track by its own percentiles."""
     wide = S.stack(V.mc_hour(spark, sf), [0, 1, 2, 3])
     wide = wide.select("chrom", "bin", *[F.col(str(i)).alias(f"t{i}") for i in range(4)])
-    cuts = wide.agg(*[F.percentile(f"t{i}", F.array(*map(F.lit, (0.0, 0.6, 0.75, 0.9)))).alias(f"t{i}") for i in range(4)]).first()
-    return wide.select("chrom", "bin", *[D.first_not_below(F.col(f"t{i}"), cuts[f"t{i}"]).alias(f"s{i}") for i in range(4)])
+    cuts = D.fit_features(wide, [f"t{i}" for i in range(4)], [0.0, 60.0, 75.0, 90.0])
+    return wide.select("chrom", "bin", *[D.first_not_below(F.col(f"t{i}"), cuts[i]).alias(f"s{i}") for i in range(4)])
 
 
 @query(with_(MC, MULTI, MSYM) + "SELECT chrom, bin, max(symbol) FILTER (track = 0) AS s0, max(symbol) FILTER (track = 1) AS s1, max(symbol) FILTER (track = 2) AS s2, max(symbol) FILTER (track = 3) AS s3 FROM ms GROUP BY ALL")
@@ -295,6 +297,11 @@ def hmm_posterior_full(spark, sf):
     return gammas(H.posterior(packed_symbols(spark, sf), H.default_discrete()))
 
 
+@query(ORACLE_SQL["hmm_posterior_full"])
+def hmm_posterior_log(spark, sf):
+    return gammas(H.posterior_log(packed_symbols(spark, sf), H.default_discrete()))
+
+
 LAG = "(CASE WHEN n.bin IS NULL THEN 1 ELSE 0.99 * n.e0 + 0.01 * n.e1 END)", "(CASE WHEN n.bin IS NULL THEN 1 ELSE 0.1 * n.e0 + 0.9 * n.e1 END)"
 
 
@@ -441,19 +448,50 @@ def em_normal_3it(spark, sf):
     return model_row(spark, fit, EM_N, [*fit.model.emission.means, *fit.model.emission.deviations])
 
 
-@query()
+EM_M = [f"e{s}_{f}_{m}" for s in range(2) for f in range(4) for m in range(5)]
+EM_M_SQL = rec.em(
+    lambda x, m: ", ".join(f"{floored(' * '.join(f'(CASE {x}[{f + 1}] ' + ' '.join(f'WHEN {k} THEN {m}.e{s}_{f}_{k}' for k in range(5)) + ' END)' for f in range(4)))} AS e{s}" for s in range(2)),
+    "train", 3, START, TRANS, (EM_M, [str(v) for t in MULTI_TABLE for row in t for v in row]),
+    [f"coalesce(sum(g{s}) FILTER (x[{f + 1}] = {m}), 0) / sum(g{s})" for s in range(2) for f in range(4) for m in range(5)],
+)
+
+
+@query(with_(MC, MULTI, MSYM, "train AS (SELECT chrom, bin, list(symbol ORDER BY track) AS x FROM ms GROUP BY ALL)", EM_M_SQL, recursive=True)
+    + " UNION ALL ".join(f"SELECT {s} AS state, {f} AS feature, {m} AS symbol, round(e{s}_{f}_{m}, 6) AS p FROM m3" for s in range(2) for f in range(4) for m in range(5)))
 def em_multinomial(spark, sf):
     fit = baum_welch(H.pack(track_vectors(spark, sf), chunk=256), MULTINOMIAL, Iterations(3))
-    rows = [(s, f, m, float(p)) for s, t in enumerate(fit.model.emission.table) for f, row in enumerate(t) for m, p in enumerate(row)]
+    rows = [(s, f, m, round(float(p), 6)) for s, t in enumerate(fit.model.emission.table) for f, row in enumerate(t) for m, p in enumerate(row)]
     return spark.createDataFrame(rows, "state int, feature int, symbol int, p double")
 
 
-@query()
+MIX_FIRST = [[0.5, 0.5], [0.5, 0.5]], [[2.0, 4.5], [5.0, 6.0]], [[1.0, 1.0], [0.6, 0.6]]
+EM_X = [f"{n}{s}{c}" for n in "wud" for s in range(2) for c in range(2)]
+
+
+def _part(x: str, s: int, c: int, m: str) -> str:
+    return f"{m}.w{s}{c} * {pdf(x, f'{m}.u{s}{c}', f'{m}.d{s}{c}')}"
+
+
+def _share(s: int, c: int) -> str:
+    return f"g{s} * {_part('x', s, c, 'm')} / {floored(_part('x', s, 0, 'm') + ' + ' + _part('x', s, 1, 'm'))}"
+
+
+EM_X_SQL = rec.em(
+    lambda x, m: ", ".join(f"{floored(_part(x, s, 0, m) + ' + ' + _part(x, s, 1, m))} AS e{s}" for s in range(2)),
+    "train", 3, START, TRANS, (EM_X, [str(v) for part in MIX_FIRST for row in part for v in row]),
+    [f"sum({_share(s, c)}) / (sum({_share(s, 0)}) + sum({_share(s, 1)}))" for s in range(2) for c in range(2)]
+    + [f"sum({_share(s, c)} * x) / sum({_share(s, c)})" for s in range(2) for c in range(2)]
+    + [f"greatest(sqrt(sum({_share(s, c)} * (x - m.u{s}{c}) ** 2) / sum({_share(s, c)})), 0.5)" for s in range(2) for c in range(2)],
+)
+
+
+@query(with_(SIG, X, "train AS (SELECT chrom, bin, x FROM x)", EM_X_SQL, recursive=True)
+    + " UNION ALL ".join(f"SELECT {s} AS state, {c} AS component, round(w{s}{c}, 6) AS weight, round(u{s}{c}, 6) AS mean, round(d{s}{c}, 6) AS deviation FROM m3" for s in range(2) for c in range(2)))
 def em_mixture(spark, sf):
-    first = H.HmmModel(H.DEFAULT_START, H.DEFAULT_TRANSITION, E.Mixture([[0.5, 0.5], [0.5, 0.5]], [[2.0, 4.5], [5.0, 6.0]], [[1.0, 1.0], [0.6, 0.6]]))
+    first = H.HmmModel(H.DEFAULT_START, H.DEFAULT_TRANSITION, E.Mixture(*MIX_FIRST))
     fit = baum_welch(H.pack(levels(spark, sf), chunk=256), first, Iterations(3))
     e = fit.model.emission
-    rows = [(s, c, float(e.weights[s][c]), float(e.means[s][c]), float(e.deviations[s][c])) for s in range(2) for c in range(2)]
+    rows = [(s, c, *(round(float(v[s][c]), 6) for v in (e.weights, e.means, e.deviations))) for s in range(2) for c in range(2)]
     return spark.createDataFrame(rows, "state int, component int, weight double, mean double, deviation double")
 
 
@@ -464,10 +502,37 @@ def em_gaussian_mvn(spark, sf):
     return spark.createDataFrame(rows, "state int, dim int, mean double")
 
 
-@query()
+def em_discrete_sql(rounds: int, least: float = 0.0, sym: str = "train") -> str:
+    """Baum-Welch of the default discrete model on ``sym``."""
+    tables = [", ".join(f"CASE {{x}} WHEN 0 THEN {{m}}.e{s}0 WHEN 1 THEN {{m}}.e{s}1 WHEN 2 THEN {{m}}.e{s}2 ELSE {{m}}.e{s}3 END AS e{s}" for s in range(2))]
+    model_of = [f"coalesce(sum(g{s}) FILTER (x = {m}), 0) / sum(g{s})" for s in range(2) for m in range(4)]
+    return rec.em(lambda x, m: tables[0].format(x=x, m=m), sym, rounds, START, TRANS, (EM_D, [str(v) for row in H.DEFAULT_TABLE for v in row]), model_of, least)
+
+
+ALL_SYM = "train AS (SELECT chrom, bin, x FROM sym)"
+
+
+@query(with_(SIG, X, T3, SYM, ALL_SYM, em_discrete_sql(2, 0.95), recursive=True) + "SELECT 0 AS state, round(a00, 6) AS stay FROM m2 UNION ALL SELECT 1, round(a11, 6) FROM m2")
 def em_min_alpha(spark, sf):
     fit = baum_welch(packed_symbols(spark, sf, 256), H.default_discrete(), Iterations(2), min_alpha=0.95)
-    return spark.createDataFrame([(i, float(row[i])) for i, row in enumerate(fit.model.transition)], "state int, stay double")
+    return spark.createDataFrame([(i, round(float(row[i]), 6)) for i, row in enumerate(fit.model.transition)], "state int, stay double")
+
+
+@query(with_(SIG, X, T3, SYM, ALL_SYM, em_discrete_sql(2), recursive=True) + "SELECT round(avg(g0), 6) AS z0, round(avg(g1), 6) AS z1 FROM g1 WHERE bin = 719")
+def em_end_weights(spark, sf):
+    fit = baum_welch(packed_symbols(spark, sf, 256), H.default_discrete(), Iterations(2), learn_end=True)
+    return spark.createDataFrame([tuple(round(float(z), 6) for z in fit.model.end)], "z0 double, z1 double")
+
+
+@query(with_(SIG, X, T3, SYM, ALL_SYM, em_discrete_sql(2), recursive=True) + "SELECT round(least(a00, 0.97), 6) AS a00, round(1 - least(a00, 0.97), 6) AS a01 FROM m2")
+def em_constraint(spark, sf):
+    def capped(m: H.HmmModel) -> H.HmmModel:
+        stay = min(m.transition[0][0], 0.97)
+        return H.HmmModel(m.start, [[stay, 1 - stay], m.transition[1]], m.emission, m.end)
+
+    free = baum_welch(packed_symbols(spark, sf, 256), H.default_discrete(), Iterations(1)).model
+    fit = baum_welch(packed_symbols(spark, sf, 256), free, Iterations(1), constraint=capped)
+    return spark.createDataFrame([tuple(round(float(v), 6) for v in fit.model.transition[0])], "a00 double, a01 double")
 
 
 @query()
@@ -550,9 +615,9 @@ def score_gene_perm_whole(spark, sf):
 
 # ---- profiles ----
 
-@query(with_(*NAIVE_SEG, "k AS (SELECT unnest(generate_series(0, 9)) AS k)", "ip AS (SELECT chrom, region, k, start + floor(k * length / 10)::BIGINT AS b0, start + least(floor(k * length / 10)::BIGINT + 1, length - 1) AS b1, k * length / 10 - floor(k * length / 10) AS d FROM regions, k)") + "SELECT a.chrom, region, k::INT AS k, round(s0.value + d * (s1.value - s0.value), 6) AS value FROM ip a JOIN sig s0 ON s0.chrom = a.chrom AND s0.bin = b0 JOIN sig s1 ON s1.chrom = a.chrom AND s1.bin = b1")
+@query(with_(*NAIVE_SEG, "k AS (SELECT unnest(generate_series(0, 99)) AS k)", "ip AS (SELECT chrom, region, k, start + floor(k * length / 100)::BIGINT AS b0, start + least(floor(k * length / 100)::BIGINT + 1, length - 1) AS b1, k * length / 100 - floor(k * length / 100) AS d FROM regions, k)") + "SELECT a.chrom, region, k::INT AS k, round(s0.value + d * (s1.value - s0.value), 6) AS value FROM ip a JOIN sig s0 ON s0.chrom = a.chrom AND s0.bin = b0 JOIN sig s1 ON s1.chrom = a.chrom AND s1.bin = b1")
 def prof_interp(spark, sf):
-    return P.interpolated(naive_regions(spark, sf), V.sig_hour(spark, sf), 10).select("chrom", "region", "k", r6("value"))
+    return P.interpolated(naive_regions(spark, sf), V.sig_hour(spark, sf), 100).select("chrom", "region", "k", r6("value"))
 
 
 FLANK = 'fl AS (SELECT r.chrom, region, o."offset", s.value FROM regions r, (SELECT unnest(generate_series(-5, 4)) AS "offset") o, sig s WHERE r.start >= 5 AND r.start + 4 <= 719 AND s.chrom = r.chrom AND s.bin = r.start + o."offset")'
@@ -595,11 +660,23 @@ def mc_pca_energy(spark, sf):
     return spark.createDataFrame([(i, float(e)) for i, e in enumerate(pca.energy)], "k int, energy double")
 
 
-@query()
+PAIRS = "pr AS (SELECT chrom, bin, sum(value) FILTER (track = 0) AS x, sum(value) FILTER (track = 1) AS y FROM mc GROUP BY ALL)"
+AXES = """ax AS (SELECT mx, my, k, b / n AS vx, (l - a) / n AS vy FROM (SELECT *, sqrt(b * b + (l - a) ** 2) AS n FROM (SELECT *, (a + c) / 2 + (1 - 2 * k) * sqrt(((a - c) / 2) ** 2 + b * b) AS l FROM cv, (SELECT unnest([0, 1]) AS k))))"""
+
+
+@query(with_(MC, COV, AXES, PAIRS) + "SELECT chrom, bin, k::INT AS component, round(((x - mx) * vx + (y - my) * vy) * sign(CASE WHEN abs(vx) >= abs(vy) THEN vx ELSE vy END), 4) + 0.0 AS value FROM pr, ax")
 def mc_pca_project(spark, sf):
     data = pair_vectors(spark, sf)
     pca = M.fit_pca(data, 2)
-    return data.select("chrom", "bin", F.posexplode(pca.transform(F.col("x"))).alias("component", "value"))
+    return data.select("chrom", "bin", F.posexplode(pca.transform(F.col("x"))).alias("component", "value")).withColumn("value", F.round("value", 4) + 0.0)
+
+
+@query(with_(MC, PAIRS) + "SELECT chrom, bin, round(x, 4) AS x, round(y, 4) AS y FROM pr")
+def mc_pca_recover(spark, sf):
+    data = pair_vectors(spark, sf)
+    pca = M.fit_pca(data, 2)
+    back = data.select("chrom", "bin", pca.recover(pca.transform(F.col("x"))).alias("b"))
+    return back.select("chrom", "bin", (F.round(F.col("b")[0], 4) + 0.0).alias("x"), (F.round(F.col("b")[1], 4) + 0.0).alias("y"))
 
 
 @query()
@@ -673,49 +750,106 @@ def wav_idwt_whole(spark, sf):
 TREE = W.TreeModel([0.8, 0.2], [[0.6, 0.4], [0.2, 0.8]], [0.0, 1.0], [20.0, 80.0])
 
 
-@query()
+TOP = 10
+TREE_POST, TREE_BEST = rec.tree_posterior(TOP, TREE), rec.tree_viterbi(TOP, TREE)
+NODES = range(1, TOP + 1)
+
+
+@query(with_(SIG, _whole_pyramid_sql(), TREE_POST) + " UNION ALL ".join(f"SELECT chrom, {i} AS level, idx, round(g1, 6) AS p FROM g{i}" for i in NODES))
 def hmt_posterior(spark, sf):
     return W.tree_posterior(W.dwt(whole(spark, sf)), TREE).select("chrom", "level", "idx", F.round(F.col("gamma")[1], 6).alias("p"))
 
 
-@query()
+@query(with_(SIG, _whole_pyramid_sql(), TREE_BEST) + " UNION ALL ".join(f"SELECT chrom, {i} AS level, idx, state FROM w{i}" for i in NODES))
 def hmt_viterbi(spark, sf):
     return W.tree_viterbi(W.dwt(whole(spark, sf)), TREE)
 
 
-@query()
+ALL_NODES = "an AS (" + " UNION ALL ".join(f"SELECT g0, g1, detail AS x FROM g{i} JOIN l{i} USING (chrom, idx)" for i in NODES) + ")"
+
+
+@query(with_(SIG, _whole_pyramid_sql(), TREE_POST, ALL_NODES) + " UNION ALL ".join(
+    f"SELECT {s} AS state, round((SELECT avg(g{s}) FROM g{TOP}), 6) AS root, round(sum(g{s} * x) / sum(g{s}), 6) AS mean, round(greatest(sqrt(sum(g{s} * (x - {TREE.means[s]}) ** 2) / sum(g{s})), 0.1), 6) AS deviation FROM an" for s in range(2)))
 def hmt_fit(spark, sf):
     m = W.tree_fit(W.dwt(whole(spark, sf)), TREE, 1)
-    return spark.createDataFrame([(i, float(m.root[i]), float(m.means[i]), float(m.deviations[i])) for i in range(2)], "state int, root double, mean double, deviation double")
+    return spark.createDataFrame([(i, *(round(float(v[i]), 6) for v in (m.root, m.means, m.deviations))) for i in range(2)], "state int, root double, mean double, deviation double")
 
 
-@query()
+@query(with_(SIG, _whole_pyramid_sql(), TREE_POST, rec.inverse(TOP, "l.detail * g.g1")) + "SELECT chrom, idx AS bin, round(approx, 6) + 0.0 AS value FROM r0 WHERE idx < 720")
 def wav_denoise(spark, sf):
     return on_grid(spark, sf, W.denoise(whole(spark, sf), TREE)).select("chrom", "bin", r6("value"))
 
 
-@query()
+@query(with_(SIG, _whole_pyramid_sql(), TREE_BEST) + "SELECT chrom, idx AS bin, state FROM w3 WHERE idx < 90")
 def hmt_level_seg(spark, sf):
     states = W.tree_viterbi(W.dwt(whole(spark, sf)), TREE).filter("level = 3").select("chrom", F.col("idx").alias("bin"), "state")
     return on_grid(spark, sf, states, 8).select("chrom", "bin", "state")
 
 
+#: The same tree, but for wider details on the coarse levels.
+LEVEL_TREE = W.TreeModel(TREE.root, TREE.transition, TREE.means, TREE.deviations, {9: ([0.0, 2.0], [40.0, 120.0]), 10: ([0.0, 2.0], [40.0, 120.0])})
+
+
+@query()
+def hmt_level_emission(spark, sf):
+    return W.tree_posterior(W.dwt(whole(spark, sf)), LEVEL_TREE).select("chrom", "level", "idx", F.round(F.col("gamma")[1], 6).alias("p"))
+
+
+@query(with_(SIG, MC_ONLY, _whole_pyramid_sql(), TREE_BEST) + " UNION ALL ".join(
+    f"SELECT {i} AS level, track::BIGINT AS track, round(avg(value) FILTER (state = 1) / avg(value) FILTER (state = 0), 6) AS score FROM mc JOIN w{i} ON mc.chrom = w{i}.chrom AND mc.bin // {1 << i} = w{i}.idx GROUP BY ALL" for i in range(1, 9)))
+def score_hmt(spark, sf):
+    """Enrichment of each track in the open nodes of eight levels of the tree."""
+    states = W.tree_viterbi(W.dwt(whole(spark, sf)), TREE).filter("level <= 8").select("chrom", "level", "idx", "state")
+    tracks = V.mc_hour(spark, sf).withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(8)))).withColumn("idx", F.expr("shiftright(bin, level)"))
+    both = tracks.join(states, ["chrom", "level", "idx"])
+    signal, seg = both.select("chrom", "bin", "level", "track", "value"), both.select("chrom", "bin", "level", "state")
+    keyed = lambda df, *more: df.select(F.concat_ws("|", "chrom", "level").alias("chrom"), "bin", "level", *more)
+    once = keyed(seg, "state").select("chrom", "bin", "state").distinct()
+    return C.enrichment(once, keyed(signal, "track", "value"), ("level", "track")).select("level", "track", r6("score"))
+
+
 # ---- model selection ----
 
 @query()
 def sel_grid(spark, sf):
-    rows = L.grid_search(V.sig_hour(spark, sf), 2, (1, 2), floors=(0.0, 0.9), chunk=1024)
+    """Three resolutions, two families and seven floors, five rounds each."""
+    rows = L.grid_search(V.sig_hour(spark, sf), chunk=1024)
     return spark.createDataFrame(rows, "factor int, family string, floor double, loglik double")
 
 
+@query()
+def sel_evaluate(spark, sf):
+    """Fits of both families, and how consistent and enriched their segmentations of the four tracks are."""
+    samples = V.mc_hour(spark, sf).select(F.col("track").cast("string").alias("sample"), "chrom", "bin", "value")
+    scorers = [L.ConsistencyScorer(), L.EnrichmentScorer(V.mc_hour(spark, sf))]
+    rows = [(family, floor, *map(float, L.evaluate(V.sig_hour(spark, sf), samples, scorers, family, floor))) for family, floor in (("discrete", 0.0), ("normal", 0.99))]
+    return spark.createDataFrame(rows, "family string, floor double, loglik double, consistency double, enrichment double")
+
+
 @query()
 def sel_regions(spark, sf):
     return spark.createDataFrame(L.training_regions(symbols(spark, sf), "click", "view", 3, 2, 1024), "part int, loglik double")
 
 
-@query()
+LEAVES = [0.1**i for i in range(1, 6)]
+
+
+def _sweep_sql() -> str:
+    """Two rounds of training from each of the 25 first transitions."""
+    cells = []
+    for p in LEAVES:
+        for q in LEAVES:
+            tables = ", ".join(f"CASE {{x}} WHEN 0 THEN {{m}}.e{s}0 WHEN 1 THEN {{m}}.e{s}1 WHEN 2 THEN {{m}}.e{s}2 ELSE {{m}}.e{s}3 END AS e{s}" for s in range(2))
+            model_of = [f"coalesce(sum(g{s}) FILTER (x = {m}), 0) / sum(g{s})" for s in range(2) for m in range(4)]
+            trained = rec.em(lambda x, m: tables.format(x=x, m=m), "sym", 2, START, ((1 - q, q), (p, 1 - p)), (EM_D, [str(v) for row in H.DEFAULT_TABLE for v in row]), model_of)  # noqa: B023
+            cells.append(f"SELECT * FROM (WITH RECURSIVE {trained} SELECT {p} AS leave_open, {q} AS leave_closed, (SELECT round(sum(l), 4) FROM f1 WHERE bin = 719) AS loglik)")
+    return with_(SIG, X, T3, SYM.replace("sym AS (", "sym AS MATERIALIZED (")) + " UNION ALL ".join(cells)
+
+
+@query(_sweep_sql())
 def sel_prior_sweep(spark, sf):
-    return spark.createDataFrame(L.prior_sweep(packed_symbols(spark, sf, 1024), [0.7, 0.95], 2), "stay0 double, stay1 double, loglik double")
+    rows = [(p, q, round(float(v), 4)) for p, q, v in L.prior_sweep(packed_symbols(spark, sf, 1024), LEAVES, LEAVES, 2)]
+    return spark.createDataFrame(rows, "leave_open double, leave_closed double, loglik double")
 
 
 @query("SELECT source, count(*) AS count FROM documents GROUP BY source ORDER BY count DESC, source LIMIT 1")
@@ -741,3 +875,200 @@ def sig_meta_map(spark, sf):
     e = V.table(spark, sf, "events")
     lines = e.select(F.concat(F.lit("e"), "event_id", F.lit("\ttype="), "event_type", F.lit("; user="), "user_id", F.lit(";")).alias("value"))
     return I.wide_metadata(I.parse_metadata(lines), ["type", "user"])
+
+
+# ---- fitted alphabets and words ----
+
+
+@query(with_(SIG) + "SELECT chrom, bin, (value > 0 AND exp(floor(value) * ln(120.0) - 120.0 - lgamma(floor(value) + 1)) < 0.002 * 0.8)::INT AS symbol FROM sig")
+def disc_noise_poisson(spark, sf):
+    return V.sig_hour(spark, sf).select("chrom", "bin", D.poisson_symbol(F.col("value"), 120.0, 0.2, 0.002).alias("symbol"))
+
+
+@query(with_(MC, "fit AS (SELECT track, avg(value) FILTER (value > 0) AS mean, avg((value = 0)::INT) AS bias FROM mc GROUP BY track)")
+    + "SELECT chrom, bin, mc.track::INT AS track, (value > 0 AND exp(-value / mean) / mean < 0.002 * (1 - bias))::INT AS symbol FROM mc JOIN fit ON fit.track = mc.track")
+def disc_fit_exponential(spark, sf):
+    wide = S.stack(V.mc_hour(spark, sf), [0, 1, 2, 3])
+    cells = F.array(*[D.fits(wide, str(i), kinds=("exponential_zero",))["exponential_zero"].symbol(F.col(str(i))) for i in range(4)])
+    return wide.select("chrom", "bin", F.posexplode(cells).alias("track", "symbol"))
+
+
+@query()
+def disc_fit_alphabets(spark, sf):
+    """The nearest distribution of each track, applied, and all tracks in one word."""
+    wide = S.stack(V.mc_hour(spark, sf), [0, 1, 2, 3])
+    wide = wide.select("chrom", "bin", *[F.col(str(i)).alias(f"t{i}") for i in range(4)])
+    fitted = D.fit_alphabets(wide, [f"t{i}" for i in range(4)])
+    symbols_ = [a.symbol(F.col(f"t{i}")) for i, a in enumerate(fitted)]
+    return wide.select("chrom", "bin", *[s.alias(f"s{i}") for i, s in enumerate(symbols_)], D.pack(symbols_, [2] * 4).alias("packed"))
+
+
+CHANNEL_SYM = """ct AS (SELECT quantile_cont(ln(1 + value), [0.6, 0.75, 0.9]) AS t FROM mc),
+cs AS (SELECT chrom, bin, track, (round(ln(1 + value), 9) >= round(t[1], 9))::INT + (round(ln(1 + value), 9) >= round(t[2], 9))::INT + (round(ln(1 + value), 9) >= round(t[3], 9))::INT AS symbol FROM mc, ct)"""
+
+
+def channels(spark, sf) -> DataFrame:
+    """chrom, bin, x: the four tracks."""
+    return S.stack(V.mc_hour(spark, sf), [0, 1, 2, 3]).select("chrom", "bin", F.array("0", "1", "2", "3").alias("x"))
+
+
+@query(with_(MC, CHANNEL_SYM) + "SELECT chrom, bin, track::INT AS channel, symbol FROM cs")
+def disc_channel_symbols(spark, sf):
+    data = channels(spark, sf)
+    symbols_, _ = D.channel_symbols(data)
+    return data.select("chrom", "bin", F.posexplode(symbols_).alias("channel", "symbol"))
+
+
+@query(with_(MC, CHANNEL_SYM) + "SELECT chrom, bin, sum(power(2, symbol * 4 + track))::BIGINT AS word FROM cs GROUP BY ALL")
+def disc_words(spark, sf):
+    data = channels(spark, sf)
+    symbols_, cuts = D.channel_symbols(data)
+    return data.select("chrom", "bin", D.one_hot_word(symbols_, 4, len(cuts) + 1).alias("word"))
+
+
+def _mvn2(m: tuple, c: tuple) -> str:
+    """Density of (x, y) with covariance ((a, b), (b, d))."""
+    (a, b), (_, d) = c
+    det = a * d - b * b
+    return f"exp(-0.5 * ({d} * (x - {m[0]}) ** 2 - 2 * {b} * (x - {m[0]}) * (y - {m[1]}) + {a} * (y - {m[1]}) ** 2) / {det}) / (2 * pi() * sqrt({det}))"
+
+
+MVN_PARTS = ((3.0, 2.0), ((1.0, 0.5), (0.5, 2.0))), ((1.0, 1.0), ((0.5, 0.0), (0.0, 0.5)))
+
+
+@query(with_(MC, PAIRS.replace("sum(value) FILTER (track = 0) AS x, sum(value) FILTER (track = 1) AS y", "ln(1 + sum(value) FILTER (track = 0)) AS x, ln(1 + sum(value) FILTER (track = 1)) AS y"))
+    + f"SELECT chrom, bin, round({floored('0.7 * ' + _mvn2(*MVN_PARTS[0]) + ' + 0.3 * ' + _mvn2(*MVN_PARTS[1]))}, 6) AS p FROM pr")
+def hmm_emission_mvn_mixture(spark, sf):
+    wide = S.stack(V.mc_hour(spark, sf), [0, 1])
+    (p,) = E.MultivariateMixture([[0.7, 0.3]], [[list(m) for m, _ in MVN_PARTS]], [[[list(r) for r in c] for _, c in MVN_PARTS]]).columns(F.array(F.log1p("0"), F.log1p("1")))
+    return wide.select("chrom", "bin", F.round(p, 6).alias("p"))
+
+
+# ---- estimators ----
+
+TRAINED = "obs AS MATERIALIZED (SELECT s.chrom, s.bin, CASE s.x WHEN 0 THEN m.e00 WHEN 1 THEN m.e01 WHEN 2 THEN m.e02 ELSE m.e03 END AS e0, CASE s.x WHEN 0 THEN m.e10 WHEN 1 THEN m.e11 WHEN 2 THEN m.e12 ELSE m.e13 END AS e1, m.p0, m.p1, m.a00, m.a01, m.a10, m.a11 FROM sym s, m2 m)"
+TRAINED_VIT = rec.viterbi("obs", ("p0", "p1"), (("o.a00", "o.a01"), ("o.a10", "o.a11")), END)
+
+
+@query(with_(SIG, X, T3, SYM, "train AS (SELECT chrom, bin, x FROM sym WHERE chrom = 'click')", em_discrete_sql(2), TRAINED, TRAINED_VIT, recursive=True) + "SELECT chrom, bin, state FROM path")
+def est_fit_classify(spark, sf):
+    """A discrete strategy trained on one chromosome, saved, loaded, and applied to all."""
+    signal, root = V.sig_hour(spark, sf), folders.scratch_folder(spark, "models")
+    made = T.Segmenter(T.DiscreteStrategy())
+    made.fit(signal, Iterations(2), ["click"])
+    made.save(spark, root)
+    return T.Segmenter.load(spark, root, made.name).classify(signal)
+
+
+SPLIT = """mr AS (SELECT chrom, start, length FROM regions WHERE length > 1),
+sx AS (SELECT s.chrom || ':' || start AS chrom, bin - start AS bin, ln(1 + value) AS x FROM sig s JOIN mr ON mr.chrom = s.chrom AND s.bin >= start AND s.bin < start + length),
+st AS (SELECT quantile_cont(x, [0.6, 0.75, 0.9]) AS t FROM sx),
+train AS (SELECT chrom, bin, (round(x, 9) > round(t[1], 9))::INT + (round(x, 9) > round(t[2], 9))::INT + (round(x, 9) > round(t[3], 9))::INT AS x FROM sx, st)"""
+
+
+@query(with_(SIG, "seg AS (SELECT chrom, bin, 1 AS state FROM sig WHERE value >= 5)", RUNS, SPLIT, em_discrete_sql(2), recursive=True) + MODEL_OUT + "".join(f", round({c}, 6) AS {c}" for c in EM_D) + " FROM m2")
+def est_mappable_runs(spark, sf):
+    """Training on the runs of a mask, each a sequence of its own."""
+    signal = V.sig_hour(spark, sf)
+    fit = T.Segmenter(T.DiscreteStrategy()).fit_mappable(signal.select("chrom", "bin", "value"), signal, Iterations(2), 5.0, 1)
+    return model_row(spark, fit, EM_D, [v for row in fit.model.emission.table for v in row]).drop("loglik")
+
+
+@query()
+def est_channel_symbols(spark, sf):
+    made = T.Segmenter(T.ChannelSymbolsStrategy(4), 2)
+    made.fit(channels(spark, sf), Iterations(2))
+    return made.classify(channels(spark, sf))
+
+
+@query()
+def est_channels(spark, sf):
+    made = T.Segmenter(T.ChannelsStrategy(2, dims=2))
+    made.fit(channels(spark, sf), Iterations(2), ["click", "view"])
+    return made.classify(channels(spark, sf))
+
+
+# ---- features, files and checks ----
+
+
+@query(with_(*NAIVE_SEG) + f"SELECT s.chrom, region, any_value(s2.state) AS state, any_value(r_length) * 3600 AS length, round(any_value(total) / any_value(r_length), 6) AS average_signal, round(max(top), 6) AS largest_signal FROM (SELECT s.chrom, r.region, r.state, r.length AS r_length, sum(value) AS total, max(value) AS top FROM sig s {IN_REGION} GROUP BY ALL) s JOIN (SELECT chrom, region AS rr, state FROM regions) s2 ON s2.chrom = s.chrom AND s2.rr = s.region GROUP BY ALL")
+def reg_features(spark, sf):
+    return R.feature_matrix(naive_regions(spark, sf), V.sig_hour(spark, sf), [0, 2, 3, 4], 3600).withColumns({c: F.round(c, 6) + 0.0 for c in ("average_signal", "largest_signal")})
+
+
+@query(with_(MC) + "SELECT 'c' || (track % 2) AS cell, chrom, bin, round(sum(value) / 2, 6) AS value FROM mc GROUP BY ALL")
+def sig_cell_mean(spark, sf):
+    """Means of the samples of each cell type."""
+    samples = V.mc_hour(spark, sf).withColumn("cell", F.concat(F.lit("c"), F.col("track") % 2))
+    return S.sample_mean(samples, 2, ("cell", "chrom", "bin")).select("cell", "chrom", "bin", r6("value"))
+
+
+@query("""SELECT source AS chrom, (dense_rank() OVER (ORDER BY source) + 26)::INT AS chrom_id FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)
+UNION ALL SELECT 'chr' || s_nationkey, s_nationkey::INT FROM (SELECT DISTINCT s_nationkey FROM supplier) UNION ALL SELECT 'chrX', 25 UNION ALL SELECT 'chrY', 24 UNION ALL SELECT 'chrM', 26""")
+def sig_chrom_ids(spark, sf):
+    odd = V.table(spark, sf, "documents").select(F.col("source").alias("chrom")).filter("chrom is not null")
+    numbered = V.table(spark, sf, "supplier").select(F.concat(F.lit("chr"), "s_nationkey").alias("chrom"))
+    fixed = spark.createDataFrame([("chrX",), ("chrY",), ("chrM",)], "chrom string")
+    return I.chrom_ids(odd.unionByName(numbered).unionByName(fixed).distinct())
+
+
+RASTER = "cut AS (SELECT chrom, start, \"end\", score, unnest(generate_series(start // 3600, (\"end\" - 1) // 3600)) AS bin FROM iv WHERE start < \"end\")"
+
+
+@query(with_(IV, RASTER) + 'SELECT chrom, bin, round(sum(score * (least("end", (bin + 1) * 3600) - greatest(start, bin * 3600))) / 3600, 6) AS value FROM cut WHERE chrom IN (\'click\', \'view\') GROUP BY ALL')
+def io_bedgraph_store(spark, sf):
+    """Intervals through bedGraph files, bins and the store, two chromosomes read back."""
+    folder = folders.scratch_folder(spark, "bedgraph")
+    O.write_tsv(V.intervals(spark, sf).filter("start < end").select("chrom", "start", "end", "score"), f"{folder}/text")
+    I.load_mappability(spark, f"{folder}/text", f"{folder}/store", 3600)
+    return I.load_signal(spark, f"{folder}/store", ["click", "view"], lambda df: df.select("chrom", "bin", r6("value")))
+
+
+@query("SELECT event_type AS chrom, date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) // 3600 AS bin, round(sum(value), 6) AS value FROM events GROUP BY ALL")
+def io_wig_store(spark, sf):
+    """Events through variableStep wig files."""
+    folder, e = folders.scratch_folder(spark, "wig"), V.intervals(spark, sf)
+    heads = e.select("chrom").distinct().select("chrom", F.lit(-1).cast("long").alias("pos"), F.concat(F.lit("variableStep chrom="), "chrom", F.lit(" span=60")).alias("value"))
+    lines = heads.unionByName(e.select("chrom", F.col("start").alias("pos"), F.concat_ws(" ", F.col("start") + 1, "score").alias("value")))
+    lines.repartition("chrom").sortWithinPartitions("chrom", "pos").select("value").write.text(folder)
+    return I.wig_bins(I.read_wig(spark, folder), 3600).select("chrom", "bin", r6("value"))
+
+
+@query(with_(PEAKS) + 'SELECT chrom, start, "end", score AS p_value FROM peaks')
+def io_broad_peaks(spark, sf):
+    folder, dot = folders.scratch_folder(spark, "peaks"), F.lit(".")
+    O.write_tsv(V.peaks(spark, sf).select("chrom", "start", "end", dot.alias("n"), F.lit(0).alias("s"), dot.alias("d"), F.lit(1.5).alias("g"), "score", F.lit(-1).alias("q")), folder)
+    return I.read_broad_peaks(spark, folder)
+
+
+@query(with_(IV) + 'SELECT \'g\' || id AS gene, chrom, CASE id % 2 WHEN 0 THEN 1 ELSE -1 END AS strand, start, "end" FROM iv')
+def io_genes(spark, sf):
+    folder = folders.scratch_folder(spark, "genes")
+    sign = F.when(F.col("id") % 2 == 0, "+").otherwise("-")
+    rows = V.intervals(spark, sf).select(F.concat(F.lit("g"), "id").alias("g"), "chrom", sign.alias("sign"), "start", "end", F.col("start").alias("cs"), F.col("end").alias("ce"), F.lit(1).alias("n"), F.lit("1,").alias("a"), F.lit("2,").alias("b"), F.lit("p").alias("p"), F.lit("x").alias("x"))
+    O.write_tsv(rows, folder)
+    return I.read_genes(spark, folder).select("gene", "chrom", "strand", "start", "end")
+
+
+@query("SELECT event_type AS chrom, max(event_id)::BIGINT AS size FROM events GROUP BY ALL")
+def io_sizes(spark, sf):
+    folder = folders.scratch_folder(spark, "sizes")
+    rows = V.table(spark, sf, "events").groupBy(F.col("event_type").alias("chrom")).agg(F.max("event_id").alias("size"))
+    O.write_tsv(rows, folder, ("chrom",))
+    return I.read_sizes(spark, folder)
+
+
+@query("SELECT event_type AS chrom, max(h) + 1 AS bins, count(*) AS rows, (count(*) - count(DISTINCT h))::BIGINT AS duplicates, (max(h) + 1 - count(DISTINCT h))::BIGINT AS gaps, count(DISTINCT h) = count(*) AND count(DISTINCT h) = max(h) + 1 AND min(h) = 0 AS fine FROM (SELECT event_type, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS h FROM events) GROUP BY ALL")
+def io_check_store(spark, sf):
+    """Whether the raw events would do as a store: they do not, where hours repeat or lack."""
+    raw = V.table(spark, sf, "events").select(F.col("event_type").alias("chrom"), V.since("HOUR").alias("bin"), "value")
+    return I.check_store(raw).select("chrom", "bins", "rows", "duplicates", "gaps", "fine")
+
+
+@query("SELECT 'f' || event_id || '.bw' AS position, event_type AS type, (user_id % 3)::VARCHAR AS lab FROM events")
+def io_composite_tracks(spark, sf):
+    """Members of a composite track; the groups are read back from their stanzas."""
+    e = V.table(spark, sf, "events")
+    meta = e.select(F.concat(F.lit("f"), "event_id", F.lit(".bw")).alias("file"), F.col("event_type").alias("type"), (F.col("user_id") % 3).alias("lab"))
+    got = O.composite_tracks(meta, "all", "All tracks", ["type", "lab"]).filter("position <> ''")
+    return got.select("position", F.regexp_extract("stanza", r"type=(\S+)", 1).alias("type"), F.regexp_extract("stanza", r"lab=(\S+)", 1).alias("lab"))

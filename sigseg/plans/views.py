@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _since(unit: str):
+def since(unit: str):
     return F.expr(f"timestampdiff({unit}, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz))")
 
 
@@ -24,7 +24,7 @@ def span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bins: one row, the hours up to the latest event; an event before the first hour is an error."""
     ends = table(spark, sf_dir, "events").agg(F.max("ts").alias("ts"), F.min("ts").alias("first"))
     early = F.expr("cast(first as timestamp_ntz) < timestamp_ntz'2024-01-01 00:00:00'")
-    return ends.select(F.when(early, F.raise_error(F.lit("an event before 2024-01-01 has no bin")).cast("long")).otherwise(F.greatest(F.lit(HOURS).cast("long"), _since("HOUR") + 1)).alias("bins"))
+    return ends.select(F.when(early, F.raise_error(F.lit("an event before 2024-01-01 has no bin")).cast("long")).otherwise(F.greatest(F.lit(HOURS).cast("long"), since("HOUR") + 1)).alias("bins"))
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,14 +33,14 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sig_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: chrom, bin, value, n."""
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("chrom"), _since("HOUR").alias("bin"), "value")
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("chrom"), since("HOUR").alias("bin"), "value")
     sums = e.groupBy("chrom", "bin").agg(F.round(F.sum("value"), 6).alias("value"), F.count("*").alias("n"))
     return to_grid(sums, sizes(spark, sf_dir), ("value", "n"))
 
 
 def mc_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: chrom, bin, track, value for four tracks."""
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("chrom"), _since("HOUR").alias("bin"), (F.col("user_id") % 4).alias("track"), "value")
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("chrom"), since("HOUR").alias("bin"), (F.col("user_id") % 4).alias("track"), "value")
     sums = e.groupBy("chrom", "bin", "track").agg(F.round(F.sum("value"), 6).alias("value"))
     full = grid(sizes(spark, sf_dir)).withColumn("track", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
     return full.join(sums, ["chrom", "bin", "track"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
@@ -49,13 +49,13 @@ def mc_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: id, chrom, start, end, score."""
     e = table(spark, sf_dir, "events").filter("value > 150")
-    start = _since("SECOND")
+    start = since("SECOND")
     return e.select(F.col("event_id").alias("id"), F.col("event_type").alias("chrom"), start.alias("start"), (start + 60).alias("end"), F.col("value").alias("score"))
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5, cut at the last hour: id, chrom, start, end, score."""
-    start = _since("SECOND")
+    start = since("SECOND")
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("chrom"), start.alias("start"), (start + 60 * F.ceil("value")).alias("end"), F.col("value").alias("score"))
     return e.crossJoin(F.broadcast(span(spark, sf_dir))).withColumn("end", F.least("end", F.col("bins") * 3600)).drop("bins")
 

@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sigseg.operators.signal import rasterize
 
-def _tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+
+#: Lines of a wig file in which a header is carried on within one group.
+WIG_BLOCK = 1 << 16
+
+
+def _tsv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=schema, comment="#", mode="PERMISSIVE")
 
 
-def read_bedgraph(spark: SparkSession, path: str) -> DataFrame:
+def read_bedgraph(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """chrom, start, end, score; track lines are skipped. Plain files split, gz files are one task each."""
     rows = _tsv(spark, path, "chrom string, start long, end long, score double")
     return rows.filter(F.col("start").isNotNull() & F.col("end").isNotNull())
@@ -24,14 +31,20 @@ def read_bedgraph(spark: SparkSession, path: str) -> DataFrame:
 def read_wig(spark: SparkSession, path: str) -> DataFrame:
     """chrom, start, end, score of variableStep wig files.
 
-    A header holds until the next one in its file; lines of a file keep their
-    order by the reader's own row ids.
+    A header holds until the next one in its file. Headers are carried within
+    blocks of WIG_BLOCK lines, by the reader's own row ids; a block's first
+    lines take the last header of the blocks before it, of which there is one
+    row for each. Files whose lines lack a header give nothing.
     """
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("t"))
     lines = lines.filter(~F.col("t").startswith("track") & ~F.col("t").startswith("#") & (F.col("t") != ""))
-    header = F.when(F.col("t").startswith("variableStep"), F.col("t"))
-    order = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    held = lines.withColumn("h", F.last(header, True).over(order)).filter(~F.col("t").startswith("variableStep") & F.col("h").isNotNull())
+    lines = lines.withColumn("header", F.when(F.col("t").startswith("variableStep"), F.col("t"))).withColumn("block", F.expr(f"line div {WIG_BLOCK}"))
+    last = lines.groupBy("file", "block").agg(F.max_by("header", F.when(F.col("header").isNotNull(), F.col("line"))).alias("last"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("file", "block", F.last("last", True).over(before).alias("carried"))
+    order = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    held = lines.withColumn("h", F.last("header", True).over(order)).join(carried, ["file", "block"]).withColumn("h", F.coalesce("h", "carried"))
+    held = held.filter("header is null and h is not null")
     parts = F.split("t", r"\s+")
     span = F.coalesce(F.nullif(F.regexp_extract("h", r"span=(\d+)", 1), F.lit("")).cast("long"), F.lit(1).cast("long"))
     start = parts[0].cast("long") - 1
@@ -86,6 +99,71 @@ def chrom_names(genome: str) -> list[str]:
     return [f"chr{i}" for i in range(1, autosomes + 1)] + ["chrX", "chrY"]
 
 
+def chrom_ids(rows: DataFrame, column: str = "chrom") -> DataFrame:
+    """``rows`` with ``chrom_id``: N of chrN, fixed values for Y (24), X (25) and M (26), and from 27 on the other names in their order."""
+    named = F.regexp_extract(column, r"^chr(\d+)$", 1)
+    fixed = F.when(named != "", named.cast("int")).when(F.col(column) == "chrY", 24).when(F.col(column) == "chrX", 25).when(F.col(column) == "chrM", 26)
+    names = rows.select(F.col(column).alias("__name"), fixed.alias("__id")).distinct()
+    others = names.filter("__id is null and __name is not null").withColumn("__id", (F.row_number().over(Window.orderBy("__name")) + 26).cast("int"))  # a row for each odd name
+    table = names.filter("__id is not null").unionByName(others)
+    return rows.join(table.withColumnsRenamed({"__name": column, "__id": "chrom_id"}), column, "left")
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """file, name (below ``path``), size of all files in a folder and the folders below it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    root = path.rstrip("/").split(":", 1)[-1].lstrip("/")
+    return files.select(F.col("path").alias("file"), F.regexp_replace(F.substring_index(F.col("path"), root + "/", -1), r"^/+", "").alias("name"), F.col("length").alias("size"))
+
+
+def transform_pairs(spark: SparkSession, source: str, target: str, pattern: str = "*") -> DataFrame:
+    """source, target: each file below a folder and the place of its result in another."""
+    return list_files(spark, source, pattern).select(F.col("file").alias("source"), F.concat(F.lit(target.rstrip("/") + "/"), F.regexp_replace("name", r"\.[^.]*$", "")).alias("target"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def ingest(spark: SparkSession, source: str, store: str, bin_size: int, kind: str = "bedgraph", skip: str = "filtered-density") -> list[str]:
+    """Store every file of a folder as a signal of its own name; those already stored and those named like ``skip`` are left out. Returns the names stored now.
+
+    All files are read in one job and written in one, by name and chromosome.
+    """
+    pattern = {"bedgraph": r"\.bedGraph(\.gz)?$", "wig": r"\.wig(\.gz)?$"}[kind]
+    names = [(r["file"], r["name"].rsplit("/", 1)[-1]) for r in list_files(spark, source).filter(F.col("name").rlike(pattern)).select("file", "name").collect()]  # a row for each file
+    new = {file: name.split(".")[0] for file, name in names if skip not in name and not _exists(spark, f"{store.rstrip('/')}/name={name.split('.')[0]}")}
+    if not new:
+        return []
+    name_of = F.element_at(F.split(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\."), 1)
+    if kind == "bedgraph":
+        rows = read_bedgraph(spark, list(new)).withColumn("name", name_of)
+        keyed = rows.select(F.concat_ws("\x1f", "name", "chrom").alias("chrom"), "start", "end", "score")
+        binned = rasterize(keyed, bin_size)
+    else:
+        parts = [read_wig(spark, f).withColumn("chrom", F.concat_ws("\x1f", F.lit(n), "chrom")) for f, n in new.items()]
+        binned = wig_bins(reduce(DataFrame.unionByName, parts), bin_size)
+    split = binned.select(F.split("chrom", "\x1f")[0].alias("name"), F.split("chrom", "\x1f")[1].alias("chrom"), "bin", "value")
+    split.write.mode("append").partitionBy("name", "chrom").parquet(store)
+    return sorted(new.values())
+
+
+def load_mappability(spark: SparkSession, source: str, store: str, bin_size: int) -> DataFrame:
+    """The share of each bin that is mappable, from a bedGraph file the first time and from the store afterwards."""
+    if not _exists(spark, store):
+        save_signal(rasterize(read_bedgraph(spark, source), bin_size), store)
+    return load_signal(spark, store)
+
+
+def check_store(signal: DataFrame) -> DataFrame:
+    """chrom, bins, rows, duplicates, gaps, nulls, fine: whether each chromosome has every bin from 0 on once and no null."""
+    per = signal.groupBy("chrom", "bin").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"))
+    found = per.groupBy("chrom").agg((F.max("bin") + 1).alias("bins"), F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("duplicates"), F.count("*").alias("there"), F.sum("nulls").alias("nulls"), F.min("bin").alias("low"))
+    found = found.withColumn("gaps", F.col("bins") - F.col("there"))
+    return found.select("chrom", "bins", "rows", "duplicates", "gaps", "nulls", ((F.col("duplicates") == 0) & (F.col("gaps") == 0) & (F.col("nulls") == 0) & (F.col("low") == 0)).alias("fine"))
+
+
 def save_signal(signal: DataFrame, path: str, mode: str = "error") -> None:
     """Write chrom, bin, value by chromosome."""
     signal.write.mode(mode).partitionBy("chrom").parquet(path)

@@ -58,6 +58,39 @@ def model_html(model: HmmModel) -> str:
     return f"<h2>Transitions</h2>{heatmap_html(model.transition, states, states)}<h2>Emission</h2><pre>{html.escape(str(model.emission))}</pre>"
 
 
+def state_colors(n_states: int) -> list[str]:
+    """A colour for each state."""
+    return [COLORS[i % len(COLORS)] for i in range(n_states)]
+
+
+def states_html(model: HmmModel, names: list[str] | None = None) -> str:
+    """A line for each state: name, colour, mean stay in bins and what it emits."""
+    names = names or [f"state {i}" for i in range(model.n_states)]
+    rows = []
+    for i, (name, color) in enumerate(zip(names, state_colors(model.n_states), strict=True)):
+        stay = model.transition[i][i]
+        length = "endless" if stay >= 1 else f"{1 / (1 - stay):.3g}"
+        emitted = {k: v[i] for k, v in vars(model.emission).items()}
+        rows.append(f'<tr><td style="background:rgb({color})">{html.escape(name)}</td><td>{length}</td><td>{html.escape(str(emitted))}</td></tr>')
+    return "<table><tr><th>State</th><th>Mean stay</th><th>Emission</th></tr>" + "".join(rows) + "</table>"
+
+
+def html_list(items: list[str]) -> str:
+    """A numbered list."""
+    return "<ol>" + "".join(f"<li>{html.escape(x)}</li>" for x in items) + "</ol>"
+
+
+def description_html(**sections: str) -> str:
+    """Headed paragraphs, in the order given; those without text are left out."""
+    return "".join(f"<h2>{html.escape(k.replace('_', ' ').capitalize())}</h2><p>{html.escape(v)}</p>" for k, v in sections.items() if v)
+
+
+def model_readme(name: str, resolution: int, model: HmmModel, training: list[str], likelihoods: list[float]) -> str:
+    """A plain description of a trained model."""
+    steps = ", ".join(f"{x:.6g}" for x in likelihoods)
+    return f"{name}\nresolution: {resolution}\ntrained on: {', '.join(training)}\nlog-likelihoods: {steps}\n{model}\n"
+
+
 def track_stanza(name: str, kind: str, url: str, label: str, parent: str | None = None, **more: str) -> str:
     """One stanza of a track database."""
     fields = {"track": name, "type": kind, "bigDataUrl": url, "shortLabel": label[:17], "longLabel": label, **({"parent": parent} if parent else {}), **more}
@@ -71,3 +104,21 @@ def hub_files(hub: str, genome: str, email: str, stanzas: list[str]) -> dict[str
         "genomes.txt": f"genome {genome}\ntrackDb {genome}/trackDb.txt\n",
         f"{genome}/trackDb.txt": "".join(stanzas),
     }
+
+
+def composite_tracks(metadata: DataFrame, parent: str, label: str, groups: list[str], url: str = "") -> DataFrame:
+    """position, stanza: a composite track and its members, from rows with ``file`` and the ``groups`` to sort by.
+
+    A member's group values go into its ``subGroups``; the parent's stanza lists all values of each.
+    """
+    spark = metadata.sparkSession
+    clean = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("none")), r"[^A-Za-z0-9]+", "_")
+    values = metadata.agg(*[F.concat_ws(" ", F.array_sort(F.collect_set(F.concat(clean(g), F.lit("="), clean(g))))).alias(g) for g in groups])  # distinct values of a few groups
+    head = [F.lit(f"track {parent}\ncompositeTrack on\nshortLabel {label[:17]}\nlongLabel {label}\ntype bigWig\n")]
+    head += [F.concat(F.lit(f"subGroup{i + 1} {g} {g} "), F.col(g), F.lit("\n")) for i, g in enumerate(groups)]
+    top = values.select(F.lit("").alias("position"), F.concat(*head, F.lit("\n")).alias("stanza"))
+    name = F.regexp_replace("file", r"\.[^.]*$", "")
+    inside = F.concat_ws(" ", *[F.concat(F.lit(f"{g}="), clean(g)) for g in groups])
+    cells = [F.lit("    track "), name, F.lit(f"\n    parent {parent}\n    type bigWig\n    bigDataUrl {url}"), F.col("file"), F.lit("\n    shortLabel "), F.substring(name, 1, 17), F.lit("\n    longLabel "), F.concat_ws("|", *map(clean, groups), name), F.lit("\n    subGroups "), inside, F.lit("\n\n")]
+    members = metadata.select(F.col("file").alias("position"), F.concat(*cells).alias("stanza"))
+    return (top.unionByName(members) if metadata.limit(1).count() else spark.createDataFrame([], "position string, stanza string")).orderBy("position")

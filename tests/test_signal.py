@@ -126,8 +126,8 @@ def test_text_formats_round_trip(spark, tmp_path):
     assert rows(readers.read_broad_peaks(spark, f"file://{tmp_path}/peaks")) == [("c", 5, 9, 20.0)]
     (tmp_path / "sizes").write_text("c\t100\n")
     assert rows(S.sizes_in_bins(readers.read_sizes(spark, f"file://{tmp_path}/sizes"), 30)) == [("c", 3)]
-    files = spark.createDataFrame([("lung_fetal-dnase",), ("lung-dnase",)], "name string")
-    assert readers.available_tracks(files, "fetal_lung", ["dnase"]) == ["lung_fetal-dnase"]
+    files = spark.createDataFrame([("lung_fetal-h3k4",), ("lung-h3k4",)], "name string")
+    assert readers.available_tracks(files, "fetal_lung", ["h3k4"]) == ["lung_fetal-h3k4"]
 
 
 def test_reports():
