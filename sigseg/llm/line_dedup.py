@@ -283,7 +283,7 @@ class LineIndex:
     def _drops(self, refs: DataFrame) -> DataFrame:
         """doc_id and the keys (``__drop``) that it loses."""
         use = self._screened(refs) if self.n_keys <= FILTER_KEYS else self._screened_by_shard(refs)
-        found = lookup(use, self.counts.select("h1", "h2", "holder"), self.n_keys, ["h1", "h2"], "doc_id", "inner").filter("doc_id <> holder")
+        found = lookup(use, self.counts.select("h1", "h2", "docs", "holder"), self.n_keys, ["h1", "h2"], "doc_id", "inner", "docs").filter("doc_id <> holder")
         return found.groupBy("doc_id").agg(F.collect_set("h1").alias("__drop"))
 
     def _screened_by_shard(self, refs: DataFrame) -> DataFrame:

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Tasks over which a join beyond that spreads a key.
 SALTS = 16
+#: Rows from which a counted key is salted, and such keys at most; if there are more, the rows are raised.
+HOT_ROWS = 50_000
+HOT_KEYS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,14 +72,24 @@ def small(df: DataFrame, rows: int, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= (BROADCAST_ROWS if limit is None else limit) else df
 
 
-def lookup(big: DataFrame, table: DataFrame, rows: int, keys: list[str], spread: str, how: str = "left", limit: int | None = None) -> DataFrame:
+def lookup(big: DataFrame, table: DataFrame, rows: int, keys: list[str], spread: str, how: str = "left", count: str | None = None) -> DataFrame:
     """``big`` joined with ``table``, which has each key once and ``rows`` rows.
 
     Within the limit ``table`` is broadcast. Beyond, both sides are shuffled by the
     keys and a salt from the column ``spread`` of ``big``, so that a key that a
-    third of all rows hold meets SALTS tasks; each row of ``table`` is copied that often.
+    third of all rows hold meets SALTS tasks; each row of ``table`` is copied that
+    often. ``count`` names a column of ``table`` with the rows of ``big`` that hold
+    a key: then only keys of more than HOT_ROWS are salted and copied.
     """
-    if rows <= (BROADCAST_ROWS if limit is None else limit):
+    if rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(table), keys, how)
-    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"], how).drop("__salt")
+    salt, copies = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"), F.sequence(F.lit(0), F.lit(SALTS - 1))
+    if count is None:
+        return big.withColumn("__salt", salt).join(table.withColumn("__salt", F.explode(copies)), [*keys, "__salt"], how).drop("__salt")
+    least = HOT_ROWS
+    while table.filter(F.col(count) > least).count() > HOT_KEYS:
+        least *= 8
+    hot = table.filter(F.col(count) > least).select(*keys, F.lit(True).alias("__hot"))
+    flagged = big.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(0)).drop("__hot")
+    parts = table.withColumn("__salt", F.explode(F.when(F.col(count) > least, copies).otherwise(F.array(F.lit(0)))))
+    return flagged.join(parts, [*keys, "__salt"], how).drop("__salt")

@@ -122,10 +122,10 @@ def chunk_digests(docs: DataFrame) -> DataFrame:
 def shared_digests(docs: DataFrame) -> DataFrame:
     """doc_id, shared: array of (d1, first), the digests that other documents hold and the smallest of these documents."""
     found = chunk_digests(docs)
-    common = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
-    common = Scratch(docs.sparkSession, "substrings").write(common.select("d1", "d2", "first"), "common")
-    # a chunk that many documents hold is one key on the side of the chunks, so the join is salted by document
-    return lookup(found, common, common.count(), ["d1", "d2"], "doc_id", "inner").groupBy("doc_id").agg(F.collect_set(F.struct("d1", "first")).alias("shared"))
+    common = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows")).filter("first <> last")
+    common = Scratch(docs.sparkSession, "substrings").write(common.select("d1", "d2", "first", "rows"), "common")
+    # a chunk that many documents hold is one key on the side of the chunks, so such chunks are salted by document
+    return lookup(found, common, common.count(), ["d1", "d2"], "doc_id", "inner", "rows").groupBy("doc_id").agg(F.collect_set(F.struct("d1", "first")).alias("shared"))
 
 
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

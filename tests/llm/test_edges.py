@@ -57,6 +57,7 @@ def test_bpe_and_token_files(spark, docs, tmp_path):
 
 def test_lines(spark, docs, monkeypatch):
     monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "HOT_ROWS", 2)
     got = line_dedup(table(spark, docs)).collect()
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got) == brute_lines(docs, 40, 5)
     assert sum(r.n_dropped for r in got) >= 10
@@ -64,6 +65,7 @@ def test_lines(spark, docs, monkeypatch):
 
 def test_substrings(spark, docs, monkeypatch):
     monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "HOT_ROWS", 2)
     spaced = [d for d in docs if d[0] not in (*range(12), 20, 21, 22)]  # the plain version has no cuts inside long words
     got = substring_dedup(table(spark, spaced)).collect()
     assert sorted((r.doc_id, r.n_chunks, r.shared_chunks, r.removed_chunks, r.removed_chars, r.first_docs, r.text or "") for r in got) == brute_substrings(spaced)
