@@ -67,11 +67,31 @@ def shuffled_boundaries(regions: DataFrame, permutations: int, bin_size: int, se
     return placed.withColumn("last", last).filter("turn < last").select("perm", "chrom", "pos")
 
 
+def gene_classes(genes: DataFrame, bin_size: int) -> DataFrame:
+    """chrom, gene, low, high, start, end, weight: genes for boundaries at multiples of ``bin_size``.
+
+    Such boundaries break a gene if and only if they break what it widens to on
+    their grid, so all genes that widen alike are one row (low, high), with their
+    number as ``weight``. Only a gene of several unlike intervals keeps a row for
+    each, under its name. Genes that no multiple lies within are left out.
+    """
+    start, end = (F.floor(F.col("start") / bin_size) * bin_size).alias("start"), (F.ceil(F.col("end") / bin_size) * bin_size).alias("end")
+    wide = genes.filter("gene is not null").select("chrom", "gene", start, end).filter(F.col("end") - F.col("start") > bin_size)
+    per = wide.groupBy("chrom", "gene").agg(F.min("start").alias("low"), F.max("start").alias("low_2"), F.min("end").alias("high"), F.max("end").alias("high_2"))
+    alike, unlike = per.filter("low = low_2 and high = high_2"), per.filter("low < low_2 or high < high_2")
+    nothing = F.lit(None).cast(genes.schema["gene"].dataType).alias("gene")
+    one = alike.groupBy("chrom", "low", "high").agg(F.count("*").alias("weight")).select("chrom", nothing, "low", "high", F.col("low").alias("start"), F.col("high").alias("end"), "weight")
+    none = F.lit(None).cast("long")
+    many = wide.join(unlike.select("chrom", "gene"), ["chrom", "gene"], "left_semi").distinct()
+    return one.unionByName(many.select("chrom", "gene", none.alias("low"), none.alias("high"), "start", "end", F.lit(1).cast("long").alias("weight")))
+
+
 def permutation_test(regions: DataFrame, genes: DataFrame, permutations: int, bin_size: int, seed: int = 1, bucket: int = 1 << 16) -> DataFrame:
     """chrom, observed, score: share of the permutations that break more genes than the segmentation does."""
     real = regions.filter("start > 0").select(F.lit(-1).alias("perm"), "chrom", (F.col("start") * bin_size).alias("pos"))
     points = real.unionByName(shuffled_boundaries(regions, permutations, bin_size, seed))
-    hit = range_join(points, genes.select("chrom", "gene", "start", "end"), bucket).groupBy("chrom", "perm").agg(F.countDistinct("gene").alias("n"))
+    broken = range_join(points, gene_classes(genes, bin_size), bucket).select("chrom", "perm", "gene", "low", "high", "weight").distinct()
+    hit = broken.groupBy("chrom", "perm").agg(F.sum("weight").alias("n"))
     seen = hit.filter("perm = -1").select("chrom", F.col("n").alias("observed"))
     more = hit.filter("perm >= 0").join(seen, "chrom", "left").filter(F.col("n") > F.coalesce("observed", F.lit(0))).groupBy("chrom").agg((F.count("*") / permutations).alias("score"))
     chroms = regions.select("chrom").distinct()

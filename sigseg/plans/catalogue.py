@@ -42,6 +42,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def also(name: str, known: str) -> None:
+    """Register a query and its SQL under a second name."""
+    QUERIES[name], ORACLE_SQL[name] = QUERIES[known], ORACLE_SQL[known]
+
+
 def r6(c: str, name: str | None = None):
     """A column to six decimals, without negative zero."""
     return (F.round(F.col(c), 6) + 0.0).alias(name or c)
@@ -570,12 +575,12 @@ def score_nearest(spark, sf):
     return C.gap_agreement(R.nearest_start(gaps.drop("gap"), scaled), gaps, 0.5).select("chrom", r6("score"))
 
 
-GENES = 'gn AS (SELECT id AS gene, chrom, start, "end" FROM iv WHERE id % 10 = 0)'
+GENES = 'gn AS (SELECT id AS gene, chrom, start, "end" FROM iv)'
 
 
 def genes(spark, sf) -> DataFrame:
-    """What the SQL of score_gene_breaks and score_gene_perm takes: every tenth interval stands for a gene."""
-    return V.intervals(spark, sf).filter("id % 10 = 0").select(F.col("id").alias("gene"), "chrom", "start", "end")
+    """Every interval stands for a gene."""
+    return V.intervals(spark, sf).select(F.col("id").alias("gene"), "chrom", "start", "end")
 
 
 @query(with_(*NAIVE_SEG, IV, GENES) + 'SELECT g.chrom, count(DISTINCT gene) AS n FROM gn g JOIN regions r ON g.chrom = r.chrom AND r.start > 0 AND g.start < r.start * 3600 AND r.start * 3600 < g."end" GROUP BY ALL')
@@ -584,6 +589,9 @@ def score_gene_breaks(spark, sf):
     return R.broken_genes(boundaries, genes(spark, sf))
 
 
+also("score_gene_breaks_whole", "score_gene_breaks")
+
+
 @query(with_(*NAIVE_SEG, IV, GENES, "opening AS (SELECT chrom, state AS opening FROM regions WHERE start = 0)", "perms AS (SELECT unnest(generate_series(0, 19)) AS perm)",
     "drawn AS (SELECT perm, r.chrom, r.state, r.length, 2 * (row_number() OVER (PARTITION BY perm, r.chrom, r.state ORDER BY md5('1|' || perm || '|' || r.chrom || '|' || r.start)) - 1) + (r.state <> opening)::INT AS turn FROM regions r JOIN opening o ON o.chrom = r.chrom, perms)",
     "placed AS (SELECT perm, chrom, turn, sum(length) OVER (PARTITION BY perm, chrom ORDER BY turn) * 3600 AS pos, max(turn) OVER (PARTITION BY perm, chrom) AS last FROM drawn)",
@@ -591,26 +599,16 @@ def score_gene_breaks(spark, sf):
     'hit AS (SELECT p.chrom, perm, count(DISTINCT gene) AS n FROM points p JOIN gn g ON g.chrom = p.chrom AND g.start < pos AND pos < g."end" GROUP BY ALL)',
     "seen AS (SELECT c.chrom, coalesce(max(n), 0) AS observed FROM (SELECT DISTINCT chrom FROM regions) c LEFT JOIN hit h ON h.chrom = c.chrom AND perm = -1 GROUP BY ALL)") + "SELECT s.chrom, observed, round((SELECT count(*) FROM hit h WHERE h.chrom = s.chrom AND perm >= 0 AND h.n > observed) / 20, 6) AS score FROM seen s")
 def score_gene_perm(spark, sf):
-    return C.permutation_test(naive_regions(spark, sf), genes(spark, sf), 20, 3600).select("chrom", "observed", r6("score"))
+    return C.permutation_test(naive_regions(spark, sf), genes(spark, sf), 20, 3600, bucket=1 << 13).select("chrom", "observed", r6("score"))
 
 
 #: Permutations of the reference.
 PERMUTATIONS = 500
 
 
-def all_genes(spark, sf) -> DataFrame:
-    return V.intervals(spark, sf).select(F.col("id").alias("gene"), "chrom", "start", "end")
-
-
-@query(with_(*NAIVE_SEG, IV) + 'SELECT g.chrom, count(DISTINCT g.id) AS n FROM iv g JOIN regions r ON g.chrom = r.chrom AND r.start > 0 AND g.start < r.start * 3600 AND r.start * 3600 < g."end" GROUP BY ALL')
-def score_gene_breaks_whole(spark, sf):
-    boundaries = naive_regions(spark, sf).filter("start > 0").select("chrom", (F.col("start") * 3600).alias("pos"))
-    return R.broken_genes(boundaries, all_genes(spark, sf))
-
-
 @query()
 def score_gene_perm_whole(spark, sf):
-    return C.permutation_test(naive_regions(spark, sf), all_genes(spark, sf), PERMUTATIONS, 3600, bucket=1 << 13).select("chrom", "observed", r6("score"))
+    return C.permutation_test(naive_regions(spark, sf), genes(spark, sf), PERMUTATIONS, 3600, bucket=1 << 13).select("chrom", "observed", r6("score"))
 
 
 # ---- profiles ----
@@ -695,11 +693,6 @@ def mc_gmm_hmm(spark, sf):
 # ---- wavelets and trees ----
 
 
-def first_bins(spark, sf) -> DataFrame:
-    """What the SQL of wav_dwt and wav_idwt takes; all other queries take the whole signal."""
-    return V.sig_hour(spark, sf).filter("bin < 512").select("chrom", "bin", "value")
-
-
 def whole(spark, sf) -> DataFrame:
     return V.sig_hour(spark, sf).select("chrom", "bin", "value")
 
@@ -710,25 +703,6 @@ def on_grid(spark, sf, rows: DataFrame, width: int = 1) -> DataFrame:
 
 
 def _pyramid_sql() -> str:
-    parts = ["l0 AS (SELECT chrom, bin AS idx, value AS approx, 0.0 AS detail FROM sig WHERE bin < 512)"]
-    for i in range(1, 10):
-        parts.append(f"l{i} AS (SELECT chrom, idx // 2 AS idx, avg(approx) AS approx, sum(CASE WHEN idx % 2 = 1 THEN approx ELSE -approx END) / 2 AS detail FROM l{i - 1} GROUP BY chrom, idx // 2)")
-    return ",\n".join(parts)
-
-
-@query(with_(SIG, _pyramid_sql()) + " UNION ALL ".join(f"SELECT chrom, {i} AS level, idx, round(approx + 1e-9, 6) + 0.0 AS approx, round(detail + 1e-9, 6) + 0.0 AS detail FROM l{i}" for i in range(1, 10)))
-def wav_dwt(spark, sf):
-    # halves of six decimals are common in a pyramid; the shift rounds them alike in both engines
-    shifted = W.dwt(first_bins(spark, sf)).withColumns({c: F.col(c) + 1e-9 for c in ("approx", "detail")})
-    return shifted.select("chrom", "level", "idx", r6("approx"), r6("detail"))
-
-
-@query(with_(SIG) + "SELECT chrom, bin, round(value, 6) AS value FROM sig WHERE bin < 512")
-def wav_idwt(spark, sf):
-    return W.idwt(W.dwt(first_bins(spark, sf))).select("chrom", "bin", r6("value"))
-
-
-def _whole_pyramid_sql() -> str:
     """Ten levels over the zero-padded signal of 720 bins."""
     parts = ["l0 AS (SELECT g.chrom, g.idx, coalesce(s.value, 0.0)::DOUBLE AS approx, 0.0 AS detail FROM (SELECT chrom, unnest(generate_series(0, 1023)) AS idx FROM sizes) g LEFT JOIN sig s ON s.chrom = g.chrom AND s.bin = g.idx)"]
     for i in range(1, 11):
@@ -736,17 +710,21 @@ def _whole_pyramid_sql() -> str:
     return ",\n".join(parts)
 
 
-@query(with_(SIG, _whole_pyramid_sql()) + " UNION ALL ".join(f"SELECT chrom, {i} AS level, idx, round(approx + 1e-9, 6) + 0.0 AS approx, round(detail + 1e-9, 6) + 0.0 AS detail FROM l{i}" for i in range(1, 11)))
-def wav_dwt_whole(spark, sf):
+@query(with_(SIG, _pyramid_sql()) + " UNION ALL ".join(f"SELECT chrom, {i} AS level, idx, round(approx + 1e-9, 6) + 0.0 AS approx, round(detail + 1e-9, 6) + 0.0 AS detail FROM l{i}" for i in range(1, 11)))
+def wav_dwt(spark, sf):
+    # halves of six decimals are common in a pyramid; the shift rounds them alike in both engines
     shifted = W.dwt(whole(spark, sf)).withColumns({c: F.col(c) + 1e-9 for c in ("approx", "detail")})
     return shifted.select("chrom", "level", "idx", r6("approx"), r6("detail"))
 
 
 @query(with_(SIG) + "SELECT chrom, bin, round(value, 6) AS value FROM sig")
-def wav_idwt_whole(spark, sf):
+def wav_idwt(spark, sf):
     return on_grid(spark, sf, W.idwt(W.dwt(whole(spark, sf)))).select("chrom", "bin", r6("value"))
 
 
+also("wav_dwt_whole", "wav_dwt")
+also("wav_idwt_whole", "wav_idwt")
+
 TREE = W.TreeModel([0.8, 0.2], [[0.6, 0.4], [0.2, 0.8]], [0.0, 1.0], [20.0, 80.0])
 
 
@@ -755,12 +733,12 @@ TREE_POST, TREE_BEST = rec.tree_posterior(TOP, TREE), rec.tree_viterbi(TOP, TREE
 NODES = range(1, TOP + 1)
 
 
-@query(with_(SIG, _whole_pyramid_sql(), TREE_POST) + " UNION ALL ".join(f"SELECT chrom, {i} AS level, idx, round(g1, 6) AS p FROM g{i}" for i in NODES))
+@query(with_(SIG, _pyramid_sql(), TREE_POST) + " UNION ALL ".join(f"SELECT chrom, {i} AS level, idx, round(g1, 6) AS p FROM g{i}" for i in NODES))
 def hmt_posterior(spark, sf):
     return W.tree_posterior(W.dwt(whole(spark, sf)), TREE).select("chrom", "level", "idx", F.round(F.col("gamma")[1], 6).alias("p"))
 
 
-@query(with_(SIG, _whole_pyramid_sql(), TREE_BEST) + " UNION ALL ".join(f"SELECT chrom, {i} AS level, idx, state FROM w{i}" for i in NODES))
+@query(with_(SIG, _pyramid_sql(), TREE_BEST) + " UNION ALL ".join(f"SELECT chrom, {i} AS level, idx, state FROM w{i}" for i in NODES))
 def hmt_viterbi(spark, sf):
     return W.tree_viterbi(W.dwt(whole(spark, sf)), TREE)
 
@@ -768,19 +746,19 @@ def hmt_viterbi(spark, sf):
 ALL_NODES = "an AS (" + " UNION ALL ".join(f"SELECT g0, g1, detail AS x FROM g{i} JOIN l{i} USING (chrom, idx)" for i in NODES) + ")"
 
 
-@query(with_(SIG, _whole_pyramid_sql(), TREE_POST, ALL_NODES) + " UNION ALL ".join(
+@query(with_(SIG, _pyramid_sql(), TREE_POST, ALL_NODES) + " UNION ALL ".join(
     f"SELECT {s} AS state, round((SELECT avg(g{s}) FROM g{TOP}), 6) AS root, round(sum(g{s} * x) / sum(g{s}), 6) AS mean, round(greatest(sqrt(sum(g{s} * (x - {TREE.means[s]}) ** 2) / sum(g{s})), 0.1), 6) AS deviation FROM an" for s in range(2)))
 def hmt_fit(spark, sf):
     m = W.tree_fit(W.dwt(whole(spark, sf)), TREE, 1)
     return spark.createDataFrame([(i, *(round(float(v[i]), 6) for v in (m.root, m.means, m.deviations))) for i in range(2)], "state int, root double, mean double, deviation double")
 
 
-@query(with_(SIG, _whole_pyramid_sql(), TREE_POST, rec.inverse(TOP, "l.detail * g.g1")) + "SELECT chrom, idx AS bin, round(approx, 6) + 0.0 AS value FROM r0 WHERE idx < 720")
+@query(with_(SIG, _pyramid_sql(), TREE_POST, rec.inverse(TOP, "l.detail * g.g1")) + "SELECT chrom, idx AS bin, round(approx, 6) + 0.0 AS value FROM r0 WHERE idx < 720")
 def wav_denoise(spark, sf):
     return on_grid(spark, sf, W.denoise(whole(spark, sf), TREE)).select("chrom", "bin", r6("value"))
 
 
-@query(with_(SIG, _whole_pyramid_sql(), TREE_BEST) + "SELECT chrom, idx AS bin, state FROM w3 WHERE idx < 90")
+@query(with_(SIG, _pyramid_sql(), TREE_BEST) + "SELECT chrom, idx AS bin, state FROM w3 WHERE idx < 90")
 def hmt_level_seg(spark, sf):
     states = W.tree_viterbi(W.dwt(whole(spark, sf)), TREE).filter("level = 3").select("chrom", F.col("idx").alias("bin"), "state")
     return on_grid(spark, sf, states, 8).select("chrom", "bin", "state")
@@ -795,7 +773,7 @@ def hmt_level_emission(spark, sf):
     return W.tree_posterior(W.dwt(whole(spark, sf)), LEVEL_TREE).select("chrom", "level", "idx", F.round(F.col("gamma")[1], 6).alias("p"))
 
 
-@query(with_(SIG, MC_ONLY, _whole_pyramid_sql(), TREE_BEST) + " UNION ALL ".join(
+@query(with_(SIG, MC_ONLY, _pyramid_sql(), TREE_BEST) + " UNION ALL ".join(
     f"SELECT {i} AS level, track::BIGINT AS track, round(avg(value) FILTER (state = 1) / avg(value) FILTER (state = 0), 6) AS score FROM mc JOIN w{i} ON mc.chrom = w{i}.chrom AND mc.bin // {1 << i} = w{i}.idx GROUP BY ALL" for i in range(1, 9)))
 def score_hmt(spark, sf):
     """Enrichment of each track in the open nodes of eight levels of the tree."""

@@ -203,6 +203,20 @@ def test_wig_headers_over_blocks_and_ingestion(spark, tmp_path, monkeypatch):
     assert rows == [("one", "c1", 0, 2.0), ("one", "c1", 1, 3.0), ("one", "c1", 2, 4.0), ("one", "c1", 3, 5.0), ("three", "c1", 0, 1.5), ("three", "c1", 1, 1.5), ("three", "c1", 2, 2.0)]
 
 
+def test_permutations_count_genes_of_any_shape(spark):
+    regions = spark.createDataFrame([("c", 0, 3, 0), ("c", 3, 2, 1), ("c", 5, 1, 0), ("c", 6, 4, 1), ("d", 0, 10, 1)], "chrom string, start long, length long, state int")
+    rows = [("g1", 1, 29), ("g1", 31, 49), ("g2", 30, 50), ("g2", 30, 50), ("g3", 25, 45), ("g3", 22, 41), (None, 0, 100), ("g4", 59, 61), ("g5", 60, 60), ("g6", 99, 120), ("g7", 20, 40)]
+    genes = spark.createDataFrame([(g, "c", a, b) for g, a, b in rows], "gene string, chrom string, start long, end long")
+    points = C.shuffled_boundaries(regions, 30, 10, 1).collect()
+    count = lambda at: len({g for g, a, b in rows if g and any(a < p < b for p in at)})
+    observed = count({30, 50, 60})
+    more = sum(count({p.pos for p in points if p.perm == i and p.chrom == "c"}) > observed for i in range(30)) / 30
+    for bucket in (16, 1000):
+        got = {r.chrom: (r.observed, round(r.score, 9)) for r in C.permutation_test(regions, genes, 30, 10, 1, bucket).collect()}
+        assert got == {"c": (observed, round(more, 9)), "d": (0, 0.0)}
+    assert C.gene_classes(genes.limit(0), 10).count() == 0
+
+
 def test_points_and_reports(spark):
     points = [("g", 1, 0.5, 10.0), ("g", 2, 0.55, 10.5), ("g", 3, 0.55, 20.0), ("h", 4, 0.5, 10.0)]
     kept = C.drop_near_points(spark.createDataFrame(points, "group string, id int, x double, y double"))

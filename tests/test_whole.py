@@ -15,11 +15,11 @@ SF = "/root/testdata/sf0.001"
 
 def test_wavelet_and_tree_queries_take_the_whole_signal(spark):
     bins = {(r.chrom, r.bin): r.value for r in V.sig_hour(spark, SF).collect()}
-    got = {(r.chrom, r.bin): r.value for r in Q.wav_idwt_whole(spark, SF).collect()}
+    got = {(r.chrom, r.bin): r.value for r in Q.wav_idwt(spark, SF).collect()}
     assert got == pytest.approx(bins, abs=1e-6)
     assert {(r.chrom, r.bin) for r in Q.wav_denoise(spark, SF).collect()} == set(bins)
     assert {(r.chrom, r.bin) for r in Q.hmt_level_seg(spark, SF).collect()} == {(c, b // 8) for c, b in bins}
-    for f in (Q.hmt_posterior, Q.hmt_viterbi, Q.wav_dwt_whole):
+    for f in (Q.hmt_posterior, Q.hmt_viterbi, Q.wav_dwt):
         assert {r.level for r in f(spark, SF).select("level").distinct().collect()} == set(range(1, 11))
 
 
@@ -68,4 +68,4 @@ def test_gene_scores_take_all_intervals_and_500_permutations(spark):
     got = {r.chrom: r for r in Q.score_gene_perm_whole(spark, SF).collect()}
     assert {c: r.observed for c, r in got.items()} == observed
     assert {c: r.score for c, r in got.items()} == score
-    assert {r.chrom: r.n for r in Q.score_gene_breaks_whole(spark, SF).collect()} == {c: n for c, n in observed.items() if n}
+    assert {r.chrom: r.n for r in Q.score_gene_breaks(spark, SF).collect()} == {c: n for c, n in observed.items() if n}
