@@ -18,8 +18,8 @@ The mix is cut into blocks by each source's progress through its budget: every
 block holds the same weights. Within a block, a hash of document and copy
 gives the permutation. A position is (block, place).
 
-Tokens are counted as words (``tokens_of``), a proxy that needs no tokenizer; a
-source of unspaced text so weighs less than its token ids would.
+Tokens are estimated from the bytes of a text (``tokens_of``), which needs no
+tokenizer and holds for unspaced writing as well as for prose.
 
 Null sources are a source of their own. Null and empty texts count no tokens
 and go with the first document after them. Rows that repeat a doc_id are each
@@ -43,6 +43,8 @@ RANGE_DOCS = 1024
 #: Exponents that a round probes between the bounds, and rounds: 16 ** 6 steps of the exponent.
 PROBES = 15
 ROUNDS = 6
+#: Bytes of UTF-8 for each token: 2.5 by the 50k vocabulary over prose in four languages, 2.2 to 2.6 by language.
+BYTES_PER_TOKEN = 2.5
 #: Tokens of a block.
 BLOCK_TOKENS = 1 << 22
 
@@ -60,8 +62,8 @@ class Mix:
 
 
 def tokens_of(text: Column) -> Column:
-    """Words of a text; the unit of token counts here."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Estimated tokens of a text, at least one unless it is null or empty."""
+    return F.coalesce(F.ceil(F.octet_length(text) / F.lit(BYTES_PER_TOKEN)), F.lit(0)).cast("long")
 
 
 def _probe(sources: DataFrame, exponents: list[float]) -> list[tuple[float, float, float, float]]:

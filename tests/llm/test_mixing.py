@@ -1,22 +1,26 @@
 import hashlib
 import math
-import re
 from collections import Counter, defaultdict
 
 import pytest
 
 from sigseg.llm import queries as Q
 from sigseg.llm.mixing import mix_sources, solve
+from sigseg.llm.mixing import tokens_of as mix_tokens
 
 SCHEMA = "doc_id long, text string, source string, copy string"
 
 
+def tokens_of(text):
+    return -(-2 * len((text or "").encode()) // 5)
+
+
 def brute(docs, limit, block_tokens):
     """(doc_id, source, copy, block) of the mix that repeats no source more than ``limit`` times."""
-    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in docs}
+    size = {i: tokens_of(t) for i, t, _ in docs}
     tokens = Counter()
     for i, _, s in docs:
-        tokens[s] += words[i]
+        tokens[s] += size[i]
     low, high = 0.0, 1.0
     spread = max(tokens.values()) / min(tokens.values())
     for _ in range(60):
@@ -32,9 +36,9 @@ def brute(docs, limit, block_tokens):
         order = sorted((hashlib.md5(f"1|{i}".encode()).hexdigest(), i) for i, _, x in docs if x == s)
         for copy in range(3):
             for _, i in order:
-                upto += words[i]
+                upto += size[i]
                 if upto <= grant:
-                    out.append((i, s, copy, min(n_blocks - 1, math.floor((upto - words[i]) / grant * n_blocks))))
+                    out.append((i, s, copy, min(n_blocks - 1, math.floor((upto - size[i]) / grant * n_blocks))))
     return sorted(out, key=str)
 
 
@@ -53,7 +57,7 @@ def test_blocks_hold_the_weights(spark):
     assert {r.doc_id for r in got} == {d[0] for d in docs}
     per = defaultdict(Counter)
     for r in got:
-        per[r.block][r.source] += len(r.text.split())
+        per[r.block][r.source] += tokens_of(r.text)
     whole = sum(per.values(), Counter())
     for counts in per.values():
         for s, n in whole.items():
@@ -69,6 +73,14 @@ def test_entropy_target(spark):
         solve(sources, None, None)
 
 
+def test_unspaced_text_weighs_by_its_bytes(spark):
+    rows = [(i, "漢字仮名" * 50, "zh", "") for i in range(4)] + [(10 + i, "word " * 120, "en", "") for i in range(4)]
+    got = mix_sources(spark.createDataFrame(rows, SCHEMA), max_repeats=1.0).collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 2, 3, 10, 11, 12, 13]
+    odd = spark.createDataFrame([(None,), ("",), (" ",), ("漢字",), ("12345",), ("123456",)], "t string")
+    assert [r[0] for r in odd.select(mix_tokens(odd.t)).collect()] == [tokens_of(r.t) for r in odd.collect()] == [0, 0, 1, 3, 2, 3]
+
+
 def test_edges(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(1, None, None, ""), (2, "", "a", ""), (None, "x y", None, ""), (3, "x", "a", ""), (3, "x", "a", "")]
