@@ -11,6 +11,7 @@ from sigseg.llm.bpe_automaton import bpe_encode
 from sigseg.llm.chat_format import CHAT_SCHEMA, chat_calls, link_tool_calls
 from sigseg.llm.language_id import identify, learn
 from sigseg.llm.line_dedup import line_dedup
+from sigseg.llm.merkle import merkle_manifest
 from sigseg.llm.mixing import mix_sources
 from sigseg.llm.near_dup import near_duplicates
 from sigseg.llm.quality_rules import LONGS, MAX_COVERAGE, MAX_LINE_COVERAGE, MAX_SYMBOLS, repetition_coverage
@@ -91,6 +92,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle_manifest(_table(spark, sf_dir, "documents"), tampered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_language_id": op2_language_id,
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _WORDS = r"""w AS (
@@ -143,7 +150,51 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def _field(name: str, value: str) -> str:
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE octet_length(encode({value}::VARCHAR))::VARCHAR || ':' || {value}::VARCHAR END"
+
+
+def _merkle_sql() -> str:
+    def leaf(text: str) -> str:
+        fields = [_field(n, text if n == "text" else n) for n in ("doc_id", "source", "lang", "n_chars", "text")]
+        return f"sha256({' || '.join(fields)})"
+
+    bits = "list_reduce([{}] || [0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = "xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT), lambda s, c: " + bits.format("xor(s, c)") + "), 4294967295)"
+    up = """SELECT tree, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM {0} WHERE n > 1 GROUP BY tree, level, idx // 3, n"""
+    return f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce('=' || source, '-') AS tree, {leaf("text")} AS leaf,
+        CASE WHEN {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS now FROM documents
+), r AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM d
+), low(tree, level, idx, h, n) AS (
+    SELECT tree, 0, idx, leaf, n FROM r UNION ALL {up.format("low")}
+), sources AS (
+    SELECT tree, h, level AS height, row_number() OVER (ORDER BY encode(tree)) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1
+), high(tree, level, idx, h, n) AS (
+    SELECT '*', 0, idx, h, n FROM sources UNION ALL {up.format("high")}
+), steps AS (
+    SELECT r.tree, r.idx, r.doc_id, r.leaf, l.level,
+        string_agg(l.h, '' ORDER BY l.idx) FILTER (l.idx < r.idx // (3 ** l.level)::BIGINT) AS a, string_agg(l.h, '' ORDER BY l.idx) FILTER (l.idx > r.idx // (3 ** l.level)::BIGINT) AS b
+    FROM r JOIN low l ON l.tree = r.tree AND l.idx // 3 = r.idx // (3 ** (l.level + 1))::BIGINT WHERE l.n > 1 GROUP BY ALL
+    UNION ALL
+    SELECT r.tree, r.idx, r.doc_id, r.leaf, s.height + h.level,
+        string_agg(h.h, '' ORDER BY h.idx) FILTER (h.idx < s.idx // (3 ** h.level)::BIGINT), string_agg(h.h, '' ORDER BY h.idx) FILTER (h.idx > s.idx // (3 ** h.level)::BIGINT)
+    FROM r JOIN sources s ON s.tree = r.tree JOIN high h ON h.idx // 3 = s.idx // (3 ** (h.level + 1))::BIGINT WHERE h.n > 1 GROUP BY ALL
+), lists AS (
+    SELECT tree, idx, list({{'a': coalesce(a, ''), 'b': coalesce(b, '')}} ORDER BY level) AS sides FROM steps GROUP BY ALL
+), folded AS (
+    SELECT r.*, s.h AS subroot, (SELECT h FROM high WHERE n = 1) AS root, coalesce(array_to_string(list_transform(sides, lambda x: x.a || x.b), ''), '') AS proof,
+        list_reduce([now] || coalesce(list_transform(sides, lambda x: x.a || '.' || x.b), []), lambda x, y: sha256(split_part(y, '.', 1) || x || split_part(y, '.', 2))) AS folded_root
+    FROM r JOIN sources s ON s.tree = r.tree LEFT JOIN lists l ON l.tree = r.tree AND l.idx = r.idx
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_merkle_manifest": _merkle_sql(),
     "op5_minhash_near_dedup": r"""
 WITH RECURSIVE w AS (
     SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
