@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigseg.llm.alignment import cross_tokenizer_links
 from sigseg.llm.bpe_automaton import bpe_encode
 from sigseg.llm.chat_format import CHAT_SCHEMA, chat_calls, link_tool_calls
 from sigseg.llm.language_id import identify, learn
@@ -92,6 +93,21 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def piece_model(path: str | None = None) -> bytes:
+    """Content of a sentencepiece model; by default the public one of 32,000 pieces."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cross_tokenizer_links(_table(spark, sf_dir, "documents"), tokenizer_spec(), piece_model(), digest=True)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     return merkle_manifest(_table(spark, sf_dir, "documents"), tampered)
@@ -108,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
