@@ -29,7 +29,7 @@ import hashlib
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from types import SimpleNamespace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigseg.llm import textops as T
-from sigseg.llm.pretokenize import BatchEncoder, Vocabulary, split
+from sigseg.llm.pretokenize import BatchEncoder, Vocabulary
 from sigseg.llm.shared import Scratch, lookup
 
 #: Distinct pairs whose counts are handed to every task (16 bytes each).
@@ -49,42 +49,9 @@ ALIGNED = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n
 _ALIGNED = [f.split()[0] for f in ALIGNED.split(", ")]
 
 
-class _PlainEncoder(BatchEncoder):
-    """A batch encoder without added tokens, whose pieces are cut by ``cut``."""
-
-    def __init__(self, encode: Callable, cut: Callable) -> None:
-        super().__init__(SimpleNamespace(added={}), encode)
-        self.cut = cut
-
-    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        data, off = T.flat(column)
-        begin, end = self.cut(data, off)
-        if not len(begin):
-            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        place = self._places(data, begin, end)
-        lengths, starts = self.length[place], self.start[place]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        return self.flat[np.repeat(starts - total[:-1], lengths) + np.arange(total[-1])], total[np.searchsorted(begin, off)]
-
-
 def _flat_ids(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.fromiter(map(len, found), np.int64, len(found))
-    return np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum())), counts
-
-
-def _space_runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cuts before each run of spaces, and between texts."""
-    space = data == 0x20
-    first = space.copy()
-    first[1:] &= ~space[:-1]
-    first[off[:-1][off[:-1] < len(data)]] = True
-    begin = np.flatnonzero(first)
-    return begin, np.append(begin[1:], len(data))
-
-
-def _whole(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    some = np.diff(off) > 0
-    return off[:-1][some], off[1:][some]
+    return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
 
 @dataclass(frozen=True)
@@ -129,29 +96,26 @@ def byte_level(spec: str) -> _Side:
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return _flat_ids([x.ids for x in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)])
 
-    return _Side.of(_PlainEncoder(encode, split), Vocabulary(spec).label)
+    vocabulary = Vocabulary(spec)
+    label, vocabulary.added = vocabulary.label, {}
+    return _Side.of(BatchEncoder(vocabulary, encode), label)
 
 
 def sentence_pieces(model: bytes) -> _Side:
-    """A sentencepiece model of BPE with byte fallback.
-
-    Where no piece holds a space behind anything else, no merge crosses the begin
-    of a run of spaces, so that these are encoded each once; else texts are encoded whole.
-    """
+    """A sentencepiece model of BPE with byte fallback, which adds the first space of a text."""
     import sentencepiece
 
     processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-    n = processor.vocab_size()
-    pieces = [processor.id_to_piece(i) for i in range(n)]
-    label = [bytes([int(p[3:5], 16)]) if processor.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-    local = not any("▁" in p.lstrip("▁") for p in pieces)
-    space = processor.piece_to_id("▁")
+    label = []
+    for i in range(processor.vocab_size()):
+        piece = processor.id_to_piece(i)
+        label.append(bytes([int(piece[3:5], 16)]) if processor.is_byte(i) else piece.replace("▁", " ").encode())
 
-    def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = processor.encode([x[1:].decode() for x in texts], num_threads=1)  # it adds the first space again
-        return _flat_ids([[space] if x == b" " else ids for x, ids in zip(texts, found, strict=True)])
+    def encode(spaced: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = _flat_ids(processor.encode([t[1:] for t in spaced.to_pylist()], num_threads=1))
+        return ids, np.append(0, np.cumsum(counts))
 
-    return _Side.of(_PlainEncoder(encode, _space_runs if local else _whole), label)
+    return _Side.of(encode, label)
 
 
 _loaded: dict[bytes, tuple[_Side, _Side]] = {}
@@ -192,9 +156,9 @@ def _products(a_group: np.ndarray, b_group: np.ndarray, n: int) -> tuple[np.ndar
 
 def align(a: np.ndarray, a_off: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_off: np.ndarray, b_end: np.ndarray, kind: str) -> Alignment:
     """Groups and links of texts that both sides spell; ends are byte offsets that go on from text to text."""
-    cuts = np.union1d(a_end, b_end)
+    cuts, times = np.unique(np.concatenate([a_end, b_end]), return_counts=True)  # union1d, and which ends are shared
     owner_a, owner_b = np.searchsorted(a_end, cuts), np.searchsorted(b_end, cuts)
-    both = (a_end[owner_a] == cuts) & (b_end[owner_b] == cuts)
+    both = times == 2
     shared = cuts[both]
     a_group, b_group = np.searchsorted(shared, a_end), np.searchsorted(shared, b_end)
     last = a_end[np.maximum(a_off[1:] - 1, 0)] if len(a_end) else np.zeros(len(a_off) - 1, np.int64)

@@ -19,6 +19,7 @@ from sigseg.llm.quality_rules import LONGS, MAX_COVERAGE, MAX_LINE_COVERAGE, MAX
 from sigseg.llm.shared import Scratch
 from sigseg.llm.substring_dedup import substring_dedup
 from sigseg.llm.token_files import read_token_files, write_token_files
+from sigseg.llm.toxicity import learn_toxicity, score_toxicity
 from sigseg.llm.topk_search import quantize, topk_search, usable
 
 
@@ -108,6 +109,13 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = learn_toxicity(docs, _table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("toxic").alias("label")))
+    return score_toxicity(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted", F.size("sentences").alias("n_sentences"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     return merkle_manifest(_table(spark, sf_dir, "documents"), tampered)
@@ -125,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_toxicity": op12_toxicity,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
