@@ -43,6 +43,8 @@ from sigseg.llm.shared import Scratch, lookup
 
 #: Distinct pairs whose counts are handed to every task (16 bytes each).
 BROADCAST_PAIRS = 2_000_000
+#: Links that are looked up at once, and pieces that a worker's cache holds.
+LINKS, CACHED_PIECES = 1 << 20, 300_000
 KINDS = ("end", "overlap", "group")
 
 ALIGNED = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, links binary"
@@ -98,7 +100,14 @@ def byte_level(spec: str) -> _Side:
 
     vocabulary = Vocabulary(spec)
     label, vocabulary.added = vocabulary.label, {}
-    return _Side.of(BatchEncoder(vocabulary, encode), label)
+    encoder = BatchEncoder(vocabulary, encode)
+
+    def encode_batch(spaced: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(encoder.known) > CACHED_PIECES:  # less than its own limit: the other tokenizer needs memory too
+            encoder._forget()
+        return encoder(spaced)
+
+    return _Side.of(encode_batch, label)
 
 
 def sentence_pieces(model: bytes) -> _Side:
@@ -246,23 +255,26 @@ def align_documents(docs: DataFrame, spec: str, model: bytes, links: str = "end"
     return rows.mapInArrow(run, ALIGNED)
 
 
-def _link_lists(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches with the pairs of all their rows, and offsets."""
+def _link_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows in slices of about LINKS links, one row at least, with the pairs of all their links, and offsets. Links are the last column."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())
-        off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        data = column.buffers()[2]
-        raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
-        yield batch, np.frombuffer(raw.tobytes(), "<u8"), (off - off[0]) // 8
+        column = batch.columns[-1].cast(pa.large_binary())
+        off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 8
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(off, off[at] + LINKS, "right")) - 1)
+            yield batch.slice(at, to - at), np.frombuffer(data[8 * off[at] : 8 * off[to]].tobytes(), "<i8"), off[at : to + 1] - off[at]
+            at = to
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:
     """``pair, n, best`` for each linked pair of ids: its links in all documents, and whether no other A id has more with its B id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, pairs, _ in _link_lists(batches, "links"):
+        for _, pairs, _ in _link_lists(batches):
             found, n = np.unique(pairs, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
     counts = aligned.select("links").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     keyed = counts.withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)))
@@ -279,8 +291,8 @@ def _judged(aligned: DataFrame, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, n, best = shared.value
-        for batch, pairs, off in _link_lists(batches, "links"):
-            found, which = np.unique(pairs.astype(np.int64), return_inverse=True)
+        for batch, pairs, off in _link_lists(batches):
+            found, which = np.unique(pairs, return_inverse=True)
             at = np.searchsorted(pair, found)
             sums = [pa.array(T.sums(v[at][which].astype(np.int64), off)) for v in (best, n)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *sums], names=[*batch.schema.names[:-1], "n_best", "count_sum"])
@@ -293,10 +305,10 @@ def _joined(aligned: DataFrame, counts: DataFrame, n_pairs: int) -> DataFrame:
     """The same by a join of each document's distinct pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, pairs, off in _link_lists(batches, "links"):
-            keys = np.stack([T.owner(off).astype(np.uint64), pairs], 1)
+        for batch, pairs, off in _link_lists(batches):
+            keys = np.stack([T.owner(off), pairs], 1)
             found, n = np.unique(keys, axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found[:, 0].astype(np.int64))), pa.array(found[:, 1].astype(np.int64)), pa.array(n.astype(np.int64))], names=["row", "pair", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found[:, 0])), pa.array(found[:, 1]), pa.array(n.astype(np.int64))], names=["row", "pair", "times"])
 
     own = aligned.select("row", "links").mapInArrow(run, "row bigint, pair bigint, times bigint")
     met = lookup(own, counts, n_pairs, ["pair"], "row", "inner", count="n")

@@ -77,6 +77,7 @@ def test_links_equal_plain_loops(spark, kind, monkeypatch):
         monkeypatch.setattr(A, "BROADCAST_PAIRS", limit)
         monkeypatch.setattr(shared, "BROADCAST_ROWS", limit)
         monkeypatch.setattr(shared, "HOT_ROWS", 5)
+        monkeypatch.setattr(A, "LINKS", 50)
         got = A.cross_tokenizer_links(df, Q.tokenizer_spec(), Q.piece_model(), kind).collect()
         rows = sorted((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups) for r in got)
         assert rows == sorted((i % 250, *e) for i, e in enumerate(expected))
