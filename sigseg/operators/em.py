@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigseg.functions import emissions as E
-from sigseg.operators.hmm import HmmModel, Models, _boundaries, _each, _joined, _map, _walk
+from sigseg.operators.hmm import HmmModel, Models, _boundaries, _each, _joined, _log_boundaries, _log_walk, _map, _walk
 
 #: Least standard deviation of a normal state, and least variance of a multivariate one.
 MIN_DEVIATION = 0.5
@@ -87,23 +87,30 @@ def _emission_stats(model: HmmModel, obs: np.ndarray, gamma: np.ndarray, var_cen
     return np.concatenate([g.sum(0), (g.T @ x).ravel(), np.einsum("nk,nki,nkj->kij", g, d, d).ravel()])
 
 
+def _shares(counts: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Counts over their sums along the last axis; ``before`` where all are 0."""
+    total = counts.sum(-1, keepdims=True)
+    return np.where(total > 0, counts / np.where(total > 0, total, 1), before)
+
+
 def _emission_step(model: HmmModel, s: np.ndarray, var_center: str) -> E.Emission:
     e, k = model.emission, model.n_states
     if isinstance(e, E.Discrete):
         table = s.reshape(k, -1)
-        return E.Discrete((table / table.sum(1, keepdims=True)).tolist())
+        return E.Discrete(_shares(table, np.asarray(e.table)).tolist())
     if isinstance(e, E.Normal):
         w, first, second = s.reshape(3, k)
-        means = first / w
-        variance = second / w if var_center == "old" else second / w - means**2
-        return E.Normal(means.tolist(), np.maximum(np.sqrt(np.maximum(variance, 0)), MIN_DEVIATION).tolist())
+        met, safe = w > 0, np.where(w > 0, w, 1)  # a state that is never met stays as it is
+        means = np.where(met, first / safe, e.means)
+        variance = second / safe if var_center == "old" else second / safe - means**2
+        return E.Normal(means.tolist(), np.where(met, np.maximum(np.sqrt(np.maximum(variance, 0)), MIN_DEVIATION), e.deviations).tolist())
     if isinstance(e, E.Mixture):
         w, first, second = s.reshape(3, k, -1)
         safe = np.maximum(w, 1e-300)
         return E.Mixture((w / w.sum(1, keepdims=True)).tolist(), (first / safe).tolist(), np.maximum(np.sqrt(second / safe), MIN_DEVIATION).tolist())
     if isinstance(e, E.Multinomial):
         table = s.reshape(k, len(e.table[0]), -1)
-        return E.Multinomial((table / table.sum(2, keepdims=True)).tolist())
+        return E.Multinomial(_shares(table, np.asarray(e.table)).tolist())
     if isinstance(e, E.MultivariateMixture):
         n, d = len(e.weights[0]), len(e.means[0][0])
         w, first, second = s[: k * n].reshape(k, n), s[k * n : k * n * (1 + d)].reshape(k, n, d), s[k * n * (1 + d) :].reshape(k, n, d, d)
@@ -135,8 +142,42 @@ def with_floor(transition: np.ndarray, least: float | list[float]) -> np.ndarray
     return a
 
 
+def _counted(pdf: pd.DataFrame, model: HmmModel, rows: np.ndarray, log: np.ndarray, gamma: np.ndarray, pairs: np.ndarray, begins: np.ndarray, var_center: str) -> list[tuple[str, list[float]]]:
+    """seq and statistics of each chunk of a batch, from its log-likelihood, the states' and the transitions' posteriors."""
+    obs = np.stack([np.stack(pdf["obs"].iloc[i]) for i in rows]).astype(np.float64)
+    ends, out = pdf["last"].to_numpy()[rows], []
+    pairs[begins, 0] = 0
+    for i, r in enumerate(rows):
+        edges = np.concatenate([[log[i], float(begins[i])], gamma[i, 0] * begins[i], gamma[i, -1] * ends[i]])
+        out.append((pdf["seq"].iloc[r], np.concatenate([edges, pairs[i].sum(0).ravel(), _emission_stats(model, obs[i : i + 1], gamma[i : i + 1], var_center)]).tolist()))
+    return out
+
+
+def _log_statistics(packed: DataFrame, models: Models, var_center: str) -> DataFrame:
+    """What ``_statistics`` gives, with posteriors as differences of logarithms: nothing is scaled, so no state's probability is lost to underflow."""
+
+    def one(pdf: pd.DataFrame, model: HmmModel) -> pd.DataFrame:
+        out = []
+        with np.errstate(divide="ignore"):
+            a = np.log(np.asarray(model.transition, float))
+        for rows, b, alpha, beta, begins in _log_walk(pdf, model):
+            total = pdf["total"].to_numpy()[rows]
+            known = np.isfinite(total)  # a sequence that the model cannot give has no counts
+            less = np.where(known, total, 0)[:, None, None]
+            gamma = np.exp(alpha + beta - less) * known[:, None, None]
+            enter = np.stack([pdf["alpha"].iloc[i] for i in rows])[:, None, :]
+            before = np.concatenate([enter, alpha[:, :-1]], 1)
+            pairs = np.exp(before[:, :, :, None] + a + (b + beta)[:, :, None, :] - less[:, :, :, None]) * known[:, None, None, None]
+            out += _counted(pdf, model, rows, np.where(begins, total, 0), gamma, pairs, begins, var_center)
+        return pd.DataFrame(out, columns=["seq", "s"])
+
+    return _map(_joined(packed, _log_boundaries(packed, models)), lambda pdf: _each(pdf, models, one), "seq string, s array<double>")
+
+
 def _statistics(packed: DataFrame, models: Models, smoothing: str, var_center: str) -> DataFrame:
-    """seq, s for each chunk: log-likelihood, number of sequences, counts of starts, ends and transitions, and the emission's sums."""
+    """seq, s for each chunk: log-likelihood, number of sequences, counts of starts, ends and transitions, and the emission's sums. Smoothing ``log`` is the full one in logarithms."""
+    if smoothing == "log":
+        return _log_statistics(packed, models, var_center)
 
     def one(pdf: pd.DataFrame, model: HmmModel) -> pd.DataFrame:
         a, out = np.asarray(model.transition), []
@@ -148,15 +189,9 @@ def _statistics(packed: DataFrame, models: Models, smoothing: str, var_center: s
             ahead = dens * (beta if smoothing == "full" else 1)
             pairs = before[:, :, :, None] * a * ahead[:, :, None, :]
             pairs /= np.maximum(pairs.sum((2, 3), keepdims=True), 1e-300)
-            pairs[begins, 0] = 0
-            obs = np.stack([np.stack(pdf["obs"].iloc[i]) for i in rows]).astype(np.float64)
-            ends = pdf["last"].to_numpy()[rows]
-            for i, r in enumerate(rows):
-                with np.errstate(divide="ignore"):
-                    log = np.log(scale[i]).sum()
-                edges = np.concatenate([[log, float(begins[i])], gamma[i, 0] * begins[i], gamma[i, -1] * ends[i]])
-                stats = np.concatenate([edges, pairs[i].sum(0).ravel(), _emission_stats(model, obs[i : i + 1], gamma[i : i + 1], var_center)])
-                out.append((pdf["seq"].iloc[r], stats.tolist()))
+            with np.errstate(divide="ignore"):
+                log = np.log(scale).sum(1)
+            out += _counted(pdf, model, rows, log, gamma, pairs, begins, var_center)
         return pd.DataFrame(out, columns=["seq", "s"])
 
     return _map(_joined(packed, _boundaries(packed, models, smoothing)), lambda pdf: _each(pdf, models, one), "seq string, s array<double>")
@@ -219,6 +254,7 @@ def baum_welch(
     """Train on all sequences at once. An interrupt keeps the model so far.
 
     ``learn_end`` sets the end weights to the mean posterior of the sequences' last bins; else they stay.
+    ``smoothing="log"`` trains in log space.
     """
     stop, fit = stop or Iterations(3), Fit(model)
     packed = packed.persist()
@@ -235,11 +271,18 @@ def baum_welch(
         packed.unpersist()
 
 
-def baum_welch_cells(packed: DataFrame, models: dict[str, HmmModel], rounds: int, floors: dict[str, float | list[float]] | None = None) -> dict[str, Fit]:
+def random_discrete(n_states: int, n_alphabet: int, seed: int) -> HmmModel:
+    """A discrete model to begin with: rows of uniform numbers, each divided by its sum."""
+    drawn = np.random.default_rng(seed)
+    rows = lambda n, m: (lambda x: (x / x.sum(1, keepdims=True)).tolist())(drawn.random((n, m)))
+    return HmmModel(rows(1, n_states)[0], rows(n_states, n_states), E.Discrete(rows(n_states, n_alphabet)), rows(1, n_states)[0])
+
+
+def baum_welch_cells(packed: DataFrame, models: dict[str, HmmModel], rounds: int, floors: dict[str, float | list[float]] | None = None, smoothing: str = "full") -> dict[str, Fit]:
     """Train a model for each cell of a grid; a round is one job for all cells. The cell is the first key of ``pack``."""
     fits, packed = {c: Fit(m) for c, m in models.items()}, packed.persist()
     for _ in range(rounds):
-        for cell, s in expect_cells(packed, {c: f.model for c, f in fits.items()}).items():
+        for cell, s in expect_cells(packed, {c: f.model for c, f in fits.items()}, smoothing).items():
             fits[cell].likelihoods.append(float(s[0]))
             fits[cell].model = improved(fits[cell].model, s, (floors or {}).get(cell, 0.0))
     packed.unpersist()

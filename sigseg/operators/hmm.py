@@ -20,7 +20,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigseg.functions import emissions as E
@@ -196,45 +196,58 @@ def _joined(packed: DataFrame, edges: DataFrame) -> DataFrame:
     return packed.join(edges, ["seq", "chunk"])
 
 
-def posterior_log(packed: DataFrame, model: HmmModel) -> DataFrame:
-    """chrom, bin, gamma as ``posterior`` gives it, with all sums of probabilities taken in logarithms: nothing is scaled and nothing underflows."""
-    k = model.n_states
-    with np.errstate(divide="ignore"):
-        a, start = np.log(np.asarray(model.transition)), np.log(np.asarray(model.start))
+def _log_boundaries(packed: DataFrame, models: Models) -> DataFrame:
+    """seq, chunk, alpha and beta (logarithms of what enters on both sides), whether it is the last, and total, the sequence's log-likelihood."""
 
-    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
+    def one(pdf: pd.DataFrame, model: HmmModel) -> pd.DataFrame:
+        k, pdf = model.n_states, pdf.sort_values("chunk")
         m = [np.reshape(x, (k, k)) for x in pdf["m"]]
-        alpha, beta = [start], [np.zeros(k)]
-        for x in m[:-1]:
+        with np.errstate(divide="ignore"):
+            alpha, beta = [np.log(np.asarray(model.start, float))], [np.zeros(k)]
+        for x in m:
             alpha.append(_log_sum(alpha[-1][:, None] + x, 0))
         for x in m[:0:-1]:
             beta.append(_log_sum(x + beta[-1][None], 1))
-        return pd.DataFrame({"seq": pdf["seq"], "chunk": pdf["chunk"], "alpha": [x.tolist() for x in alpha], "beta": [x.tolist() for x in reversed(beta)]})
+        total = float(_log_sum(alpha.pop()[None], 1)[0])
+        return pd.DataFrame({"seq": pdf["seq"], "chunk": pdf["chunk"], "alpha": [x.tolist() for x in alpha], "beta": [x.tolist() for x in reversed(beta)], "last": np.arange(len(m)) == len(m) - 1, "total": total})
+
+    schema = "seq string, chunk long, alpha array<double>, beta array<double>, last boolean, total double"
+    return _transfers(packed, models, "log").groupBy("seq").applyInPandas(lambda pdf: _each(pdf, models, one), schema)
+
+
+def _log_walk(pdf: pd.DataFrame, model: HmmModel) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, log densities, log alpha, log beta and begins of chunks between known boundaries."""
+    with np.errstate(divide="ignore"):
+        a = np.log(np.asarray(model.transition, float))
+    for rows, dens, begins in _batches(pdf, model):
+        with np.errstate(divide="ignore"):
+            b = np.log(dens)
+        alpha, beta = np.zeros_like(b), np.zeros_like(b)
+        value = np.stack([pdf["alpha"].iloc[i] for i in rows])
+        for t in range(b.shape[1]):
+            moved = _log_sum(value[:, :, None] + a[None], 1)
+            if t == 0:
+                moved[begins] = value[begins]
+            value = alpha[:, t] = moved + b[:, t]
+        value = beta[:, -1] = np.stack([pdf["beta"].iloc[i] for i in rows])
+        for t in range(b.shape[1] - 2, -1, -1):
+            value = beta[:, t] = _log_sum(a[None] + (b[:, t + 1] + value)[:, None, :], 2)
+        yield rows, b, alpha, beta, begins
+
+
+def posterior_log(packed: DataFrame, model: HmmModel) -> DataFrame:
+    """chrom, bin, gamma as ``posterior`` gives it, with all sums of probabilities taken in logarithms: nothing is scaled and nothing underflows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for rows, dens, begins in _batches(pdf, model):
-            with np.errstate(divide="ignore"):
-                b = np.log(dens)
+        for rows, b, alpha, beta, _ in _log_walk(pdf, model):
             n, length, _ = b.shape
-            alpha, beta = np.zeros_like(b), np.zeros_like(b)
-            value = np.stack([pdf["alpha"].iloc[i] for i in rows])
-            for t in range(length):
-                moved = _log_sum(value[:, :, None] + a[None], 1)
-                if t == 0:
-                    moved[begins] = value[begins]
-                value = alpha[:, t] = moved + b[:, t]
-            value = beta[:, -1] = np.stack([pdf["beta"].iloc[i] for i in rows])
-            for t in range(length - 2, -1, -1):
-                value = beta[:, t] = _log_sum(a[None] + (b[:, t + 1] + value)[:, None, :], 2)
             gamma = np.exp(alpha + beta - _log_sum(alpha + beta, 2)[:, :, None])
             first = pdf["first"].to_numpy()[rows]
             out.append(pd.DataFrame({"chrom": np.repeat(pdf["chrom"].to_numpy()[rows], length), "bin": (first[:, None] + np.arange(length)).ravel(), "gamma": list(gamma.reshape(n * length, -1))}))
         return pd.concat(out)
 
-    found = _transfers(packed, model, "log").groupBy("seq").applyInPandas(edges, "seq string, chunk long, alpha array<double>, beta array<double>")
-    return _map(_joined(packed, found), run, "chrom string, bin long, gamma array<double>")
+    return _map(_joined(packed, _log_boundaries(packed, model)), run, "chrom string, bin long, gamma array<double>")
 
 
 def posterior(packed: DataFrame, model: HmmModel, smoothing: str = "full") -> DataFrame:
@@ -257,50 +270,63 @@ def posterior(packed: DataFrame, model: HmmModel, smoothing: str = "full") -> Da
     return _map(_joined(packed, _boundaries(packed, model, smoothing)), run, "chrom string, bin long, gamma array<double>")
 
 
-def log_likelihood(packed: DataFrame, model: HmmModel, use_end: bool = False) -> DataFrame:
-    """chrom, loglik: from the transfer matrices only; no bin is looked at twice."""
-    k, start, end = model.n_states, np.asarray(model.start), np.asarray(model.end if use_end else np.ones(model.n_states))
+def _likelihoods(packed: DataFrame, models: Models, use_end: bool = False) -> DataFrame:
+    """seq, loglik: from the transfer matrices only; no bin is looked at twice. Minus infinity where the model cannot give the sequence."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame, model: HmmModel) -> pd.DataFrame:
+        k, value, total = model.n_states, np.asarray(model.start, float), 0.0
+        end = np.asarray(model.end if use_end and model.end else np.ones(k))
         pdf = pdf.sort_values("chunk")
-        value, total = start, 0.0
-        for m, scale in zip(pdf["m"], pdf["scale"], strict=True):
-            value = value @ np.reshape(m, (k, k))
-            s = value.sum()
-            value, total = value / s, total + np.log(s) + scale
-        return pd.DataFrame({"chrom": [pdf["seq"].iloc[0]], "loglik": [total + np.log(value @ end)]})
+        with np.errstate(divide="ignore"):
+            for m, scale in zip(pdf["m"], pdf["scale"], strict=True):
+                value = value @ np.reshape(m, (k, k))
+                s = value.sum()
+                value, total = value / (s if s > 0 else 1), total + np.log(s) + scale
+            return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "loglik": [total + np.log(value @ end)]})
 
-    return _transfers(packed, model, "sum").groupBy("seq").applyInPandas(run, "chrom string, loglik double")
+    return _transfers(packed, models, "sum").groupBy("seq").applyInPandas(lambda pdf: _each(pdf, models, one), "seq string, loglik double")
 
 
-def viterbi(packed: DataFrame, model: HmmModel, use_end: bool = True) -> DataFrame:
-    """chrom, bin, state (from 0): the best path; of equal ones, that of the lowest states. End weights count if the model has them."""
-    k = model.n_states
-    with np.errstate(divide="ignore"):
-        a, start = np.log(np.asarray(model.transition)), np.log(np.asarray(model.start))
-        end = np.log(np.asarray(model.end)) if use_end and model.end else np.zeros(k)
+def log_likelihood(packed: DataFrame, model: HmmModel, use_end: bool = False) -> DataFrame:
+    """chrom, loglik of each sequence."""
+    return _likelihoods(packed, model, use_end).withColumnRenamed("seq", "chrom")
 
-    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        value, enter, came = start, [], []
+
+def log_likelihood_cells(packed: DataFrame, models: dict[str, HmmModel]) -> DataFrame:
+    """cell, loglik: all sequences of a cell under its model, in one job. The cell is the first key of ``pack``."""
+    return _likelihoods(packed, models).groupBy(F.substring_index("seq", "\x1f", 1).alias("cell")).agg(F.sum("loglik").alias("loglik"))
+
+
+def _decode(packed: DataFrame, models: Models, use_end: bool, give: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``give`` makes of the best paths of chunks: rows of ``packed`` (with ``before``, the state before the chunk, -1 at the begin) and their states [rows, bins]."""
+
+    def logs(model: HmmModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        with np.errstate(divide="ignore"):
+            end = np.log(np.asarray(model.end, float)) if use_end and model.end else np.zeros(model.n_states)
+            return np.log(np.asarray(model.start, float)), np.log(np.asarray(model.transition, float)), end
+
+    def edges(pdf: pd.DataFrame, model: HmmModel) -> pd.DataFrame:
+        (value, _, end), k = logs(model), model.n_states
+        pdf, enter, came = pdf.sort_values("chunk"), [], []
         for m in pdf["m"]:
-            m = np.reshape(m, (k, k))
             enter.append(value)
-            both = value[:, None] + m
+            both = value[:, None] + np.reshape(m, (k, k))
             came.append(both.argmax(0))
             value = both.max(0)
-        state, leave = int((value + end).argmax()), []
+        leave = [int((value + end).argmax())]
         for c in reversed(came):
-            leave.append(state)
-            state = int(c[state])
-        return pd.DataFrame({"seq": pdf["seq"], "chunk": pdf["chunk"], "enter": [x.tolist() for x in enter], "leave": leave[::-1]})
+            leave.append(int(c[leave[-1]]))
+        before = leave[::-1][:-1]
+        before[0] = -1
+        return pd.DataFrame({"seq": pdf["seq"], "chunk": pdf["chunk"], "enter": [x.tolist() for x in enter], "leave": leave[-2::-1], "before": before})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(pdf: pd.DataFrame, model: HmmModel) -> pd.DataFrame:
+        _, a, _ = logs(model)
         out = []
         for rows, dens, begins in _batches(pdf, model):
             with np.errstate(divide="ignore"):
                 b = np.log(dens)
-            n, length, _ = b.shape
+            n, length, k = b.shape
             value = np.stack([pdf["enter"].iloc[i] for i in rows])
             back = np.zeros((length, n, k), np.int16)
             for t in range(length):
@@ -315,12 +341,52 @@ def viterbi(packed: DataFrame, model: HmmModel, use_end: bool = True) -> DataFra
             for t in range(length - 1, -1, -1):
                 state[:, t] = at
                 at = back[t][np.arange(n), at]
-            first = pdf["first"].to_numpy()[rows]
-            out.append(pd.DataFrame({"chrom": np.repeat(pdf["chrom"].to_numpy()[rows], length), "bin": (first[:, None] + np.arange(length)).ravel(), "state": state.ravel()}))
+            out.append(give(pdf.iloc[rows], state))
         return pd.concat(out)
 
-    found = _transfers(packed, model, "max").groupBy("seq").applyInPandas(edges, "seq string, chunk long, enter array<double>, leave int")
-    return _map(_joined(packed, found), run, "chrom string, bin long, state int")
+    found = _transfers(packed, models, "max").groupBy("seq").applyInPandas(lambda pdf: _each(pdf, models, edges), "seq string, chunk long, enter array<double>, leave int, before int")
+    return _map(_joined(packed, found), lambda pdf: _each(pdf, models, walk), schema)
+
+
+def _key_fields(packed: DataFrame, keys: tuple[str, ...]) -> str:
+    return ", ".join(f"{k} {packed.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def viterbi(packed: DataFrame, model: Models, use_end: bool = True, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+    """keys, bin, state (from 0): the best path; of equal ones, that of the lowest states. End weights count if the model has them.
+
+    With a model for each cell, all cells are decoded in one job; ``keys`` are those of ``pack``.
+    """
+
+    def bins(rows: pd.DataFrame, state: np.ndarray) -> pd.DataFrame:
+        n, length = state.shape
+        named = {k: np.repeat(rows[k].to_numpy(), length) for k in keys}
+        return pd.DataFrame({**named, "bin": (rows["first"].to_numpy()[:, None] + np.arange(length)).ravel(), "state": state.ravel()})
+
+    return _decode(packed, model, use_end, bins, f"{_key_fields(packed, keys)}, bin long, state int")
+
+
+def viterbi_runs(packed: DataFrame, model: Models, use_end: bool = True, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+    """keys, region, start, length, state: the runs of the best path, as ``signal.runs`` gives them of ``viterbi``.
+
+    A chunk's walk returns a row for each run in it and knows the state before
+    it, so no bin leaves the walk; only these pieces are sorted by sequence,
+    to number them and to put together what chunks have cut.
+    """
+
+    def pieces(rows: pd.DataFrame, state: np.ndarray) -> pd.DataFrame:
+        n, length = state.shape
+        new = np.ones((n, length), bool)
+        new[:, 1:] = state[:, 1:] != state[:, :-1]
+        at = np.flatnonzero(new.ravel())
+        row, place = at // length, at % length
+        start = rows["first"].to_numpy()[row] + place
+        opens = (place > 0) | (state[:, 0] != rows["before"].to_numpy())[row]
+        return pd.DataFrame({**{k: rows[k].to_numpy()[row] for k in keys}, "start": start, "length": np.diff(np.append(at, n * length)), "state": state.ravel()[at], "opens": opens})
+
+    cut = _decode(packed, model, use_end, pieces, f"{_key_fields(packed, keys)}, start long, length long, state int, opens boolean")
+    numbered = cut.withColumn("region", (F.sum(F.col("opens").cast("int")).over(Window.partitionBy(*keys).orderBy("start")) - 1).cast("int"))
+    return numbered.groupBy(*keys, "region").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.first("state").alias("state"))
 
 
 def fold_log_likelihood(packed: DataFrame, model: HmmModel) -> DataFrame:

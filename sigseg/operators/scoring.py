@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigseg.operators.regions import range_join
 
 
-def consistency(samples: DataFrame, low: float = 0.2, high: float = 0.8) -> DataFrame:
-    """sample, score: share of the decided bins at which a sample agrees.
+def consistency(samples: DataFrame, low: float = 0.2, high: float = 0.8, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, sample, score: share of the decided bins at which a sample agrees.
 
     A bin (chrom, bin) is decided if at most ``low`` or at least ``high`` of
     the samples (chrom, bin, sample, state in 0, 1) are open there.
     """
-    mean = samples.groupBy("chrom", "bin").agg(F.avg("state").alias("m"))
-    decided = mean.filter((F.col("m") <= low) | (F.col("m") >= high)).select("chrom", "bin", (F.col("m") >= high).cast("int").alias("truth"))
-    return samples.join(decided, ["chrom", "bin"]).groupBy("sample").agg(F.avg((F.col("state") == F.col("truth")).cast("double")).alias("score"))
+    place = [*by, "chrom", "bin"]
+    mean = samples.groupBy(*place).agg(F.avg("state").alias("m"))
+    decided = mean.filter((F.col("m") <= low) | (F.col("m") >= high)).select(*place, (F.col("m") >= high).cast("int").alias("truth"))
+    return samples.join(decided, place).groupBy(*by, "sample").agg(F.avg((F.col("state") == F.col("truth")).cast("double")).alias("score"))
 
 
 def enrichment(segmentation: DataFrame, signal: DataFrame, by: tuple[str, ...] = ("track",)) -> DataFrame:
@@ -27,8 +28,13 @@ def enrichment(segmentation: DataFrame, signal: DataFrame, by: tuple[str, ...] =
     both = signal.join(segmentation.select("chrom", "bin", "state"), ["chrom", "bin"])
     inside = F.avg(F.when(F.col("state") == 1, F.col("value")))
     outside = F.avg(F.when(F.col("state") == 0, F.col("value")))
+    return both.groupBy(*by).agg(ratio(inside, outside).alias("score"))
+
+
+def ratio(inside: Column, outside: Column) -> Column:
+    """The quotient as ``enrichment`` defines it."""
     over_zero = F.when(inside == 0, F.lit(float("nan"))).otherwise(F.signum(inside) * F.lit(float("inf")))
-    return both.groupBy(*by).agg(F.when(outside == 0, over_zero).otherwise(F.try_divide(inside, outside)).alias("score"))
+    return F.when(outside == 0, over_zero).otherwise(F.try_divide(inside, outside))
 
 
 def peak_gaps(peaks: DataFrame) -> DataFrame:

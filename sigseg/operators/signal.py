@@ -29,9 +29,9 @@ def to_grid(signal: DataFrame, sizes: DataFrame, values: tuple[str, ...] = ("val
     return joined.select("chrom", "bin", *[F.coalesce(F.col(v), F.lit(0).cast(dict(signal.dtypes)[v])).alias(v) for v in values])
 
 
-def bins_of(signal: DataFrame) -> DataFrame:
-    """chrom, bins: one more than the last bin."""
-    return signal.groupBy("chrom").agg((F.max("bin") + 1).alias("bins"))
+def bins_of(signal: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+    """keys, bins: one more than the last bin."""
+    return signal.groupBy(*keys).agg((F.max("bin") + 1).alias("bins"))
 
 
 def sizes_in_bins(sizes: DataFrame, bin_size: int) -> DataFrame:
@@ -60,14 +60,14 @@ def clip(intervals: DataFrame, size: int) -> DataFrame:
     return intervals.filter(F.col("start") < size).withColumn("end", F.least("end", F.lit(size).cast("long")))
 
 
-def resample(signal: DataFrame, factor: int, how: str = "sum") -> DataFrame:
-    """Sums (or means) of ``factor`` adjacent bins; the remainder at a chromosome's end is dropped."""
+def resample(signal: DataFrame, factor: int, how: str = "sum", keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+    """Sums (or means) of ``factor`` adjacent bins; the remainder at the end of a sequence (keys) is dropped."""
     if factor < 1 or factor != int(factor):
         raise ValueError("the factor is a whole number of bins")
-    whole = bins_of(signal).select("chrom", F.expr(f"bins div {factor} * {factor}").alias("whole"))
-    kept = signal.join(whole, "chrom").filter("bin < whole")
+    whole = bins_of(signal, keys).select(*keys, F.expr(f"bins div {factor} * {factor}").alias("whole"))
+    kept = signal.join(whole, list(keys)).filter("bin < whole")
     total = F.sum("value")
-    return kept.groupBy("chrom", F.expr(f"bin div {factor}").alias("bin")).agg((total if how == "sum" else total / factor).alias("value"))
+    return kept.groupBy(*keys, F.expr(f"bin div {factor}").alias("bin")).agg((total if how == "sum" else total / factor).alias("value"))
 
 
 def log_diff(tracks: DataFrame) -> DataFrame:

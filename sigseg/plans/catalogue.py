@@ -18,7 +18,7 @@ from sigseg.operators import scoring as C
 from sigseg.operators import selection as L
 from sigseg.operators import signal as S
 from sigseg.operators import wavelet as W
-from sigseg.operators.em import Iterations, SmallChange, baum_welch
+from sigseg.operators.em import Iterations, SmallChange, baum_welch, random_discrete
 from sigseg.plans import recursions as rec
 from sigseg.plans import views as V
 from sigseg.sources import folders
@@ -359,12 +359,12 @@ def segmentation(spark, sf) -> DataFrame:
 
 @query(with_(*SEG, recursive=True) + "SELECT chrom, region, start, length, state FROM regions")
 def reg_runs(spark, sf):
-    return S.runs(segmentation(spark, sf)).withColumn("region", F.col("region").cast("long"))
+    return H.viterbi_runs(packed_symbols(spark, sf), H.default_discrete()).withColumn("region", F.col("region").cast("long"))
 
 
 @query(with_(*SEG, recursive=True) + "SELECT chrom, start, length FROM regions WHERE state = 1")
 def reg_start_len(spark, sf):
-    return S.runs(segmentation(spark, sf)).filter("state = 1").select("chrom", "start", "length")
+    return H.viterbi_runs(packed_symbols(spark, sf, 64), H.default_discrete()).filter("state = 1").select("chrom", "start", "length")
 
 
 NAIVE_SEG = (SIG, X, NAIVE, RUNS)
@@ -421,8 +421,8 @@ def model_row(spark, fit, names: list[str], values: list[float]) -> DataFrame:
     return spark.createDataFrame([tuple(round(float(v), 6) + 0.0 for v in row)], ", ".join(f"{n} double" for n in ["p0", "a00", "a11", *names, "loglik"]))
 
 
-def _em_discrete(spark, obs: DataFrame) -> DataFrame:
-    fit = baum_welch(H.pack(obs, chunk=256), H.default_discrete(), Iterations(3))
+def _em_discrete(spark, obs: DataFrame, first: H.HmmModel | None = None, smoothing: str = "full") -> DataFrame:
+    fit = baum_welch(H.pack(obs, chunk=256), first or H.default_discrete(), Iterations(3), smoothing=smoothing)
     return model_row(spark, fit, EM_D, [v for row in fit.model.emission.table for v in row])
 
 
@@ -434,6 +434,26 @@ def em_discrete_3it(spark, sf):
     return _em_discrete(spark, symbols(spark, sf).filter("chrom = 'click'"))
 
 
+@query(with_(SIG, X, T3, SYM, "train AS (SELECT chrom, bin, x FROM sym)", EM_D_SQL, recursive=True) + EM_D_OUT)
+def em_log_3it(spark, sf):
+    """Training in log space, all chromosomes at once."""
+    return _em_discrete(spark, symbols(spark, sf), smoothing="log")
+
+
+RANDOM = random_discrete(2, 4, 7)
+EM_R_SQL = rec.em(
+    lambda x, m: f"CASE {x} WHEN 0 THEN {m}.e00 WHEN 1 THEN {m}.e01 WHEN 2 THEN {m}.e02 ELSE {m}.e03 END AS e0, CASE {x} WHEN 0 THEN {m}.e10 WHEN 1 THEN {m}.e11 WHEN 2 THEN {m}.e12 ELSE {m}.e13 END AS e1",
+    "train", 3, tuple(RANDOM.start), tuple(map(tuple, RANDOM.transition)), (EM_D, [str(v) for row in RANDOM.emission.table for v in row]),
+    [f"coalesce(sum(g{s}) FILTER (x = {m}), 0) / sum(g{s})" for s in range(2) for m in range(4)],
+)
+
+
+@query(with_(SIG, X, T3, SYM, "train AS (SELECT chrom, bin, x FROM sym)", EM_R_SQL, recursive=True) + EM_D_OUT)
+def em_log_random(spark, sf):
+    """Training in log space from a random start."""
+    return _em_discrete(spark, symbols(spark, sf), RANDOM, "log")
+
+
 @query(with_(SIG, X, T3, SYM, "train AS (SELECT chrom, bin, x FROM sym)", EM_D_SQL, recursive=True) + EM_D_OUT)
 def em_multiseq_discrete(spark, sf):
     return _em_discrete(spark, symbols(spark, sf))
@@ -788,25 +808,38 @@ def score_hmt(spark, sf):
 
 # ---- model selection ----
 
+def _trial(spark, sf, **grid) -> L.Trial:
+    """Cells trained on the sums of all tracks, which decode the four tracks."""
+    samples = V.mc_hour(spark, sf).select(F.col("track").cast("string").alias("sample"), "chrom", "bin", "value")
+    return L.train_grid(V.sig_hour(spark, sf), samples, chunk=1024, **grid)
+
+
 @query()
 def sel_grid(spark, sf):
-    """Three resolutions, two families and seven floors, five rounds each."""
-    rows = L.grid_search(V.sig_hour(spark, sf), chunk=1024)
-    return spark.createDataFrame(rows, "factor int, family string, floor double, loglik double")
+    """Four resolutions, two families and seven floors, five rounds each: likelihood, and how consistent and enriched the segmentations are."""
+    scorers = [L.ConsistencyScorer(), L.EnrichmentScorer(V.mc_hour(spark, sf)), L.LikelihoodScorer("samples")]
+    found = L.score_grid(_trial(spark, sf), scorers)
+    return found.select("factor", "family", "floor", *[r6(c) for c in ("loglik", "consistency", "enrichment", "loglik_samples")])
 
 
 @query()
 def sel_evaluate(spark, sf):
-    """Fits of both families, and how consistent and enriched their segmentations of the four tracks are."""
-    samples = V.mc_hour(spark, sf).select(F.col("track").cast("string").alias("sample"), "chrom", "bin", "value")
-    scorers = [L.ConsistencyScorer(), L.EnrichmentScorer(V.mc_hour(spark, sf))]
-    rows = [(family, floor, *map(float, L.evaluate(V.sig_hour(spark, sf), samples, scorers, family, floor))) for family, floor in (("discrete", 0.0), ("normal", 0.99))]
-    return spark.createDataFrame(rows, "family string, floor double, loglik double, consistency double, enrichment double")
+    """All scorers on one cell of each family."""
+    scorers = [L.ConsistencyScorer(), L.EnrichmentScorer(V.mc_hour(spark, sf)), L.LikelihoodScorer(), L.NearestScorer(V.peaks(spark, sf), 3600, 0.5), L.GenesScorer(_genes(spark, sf), 3600, 20)]
+    found = L.score_grid(_trial(spark, sf, factors=(1,), floors=(0.9,)), scorers)
+    return found.select("family", "floor", *[r6(c) for c in ("loglik", "consistency", "enrichment", "loglik_training", "nearest", "genes")])
+
+
+def _genes(spark, sf) -> DataFrame:
+    return V.intervals(spark, sf).select(F.col("id").alias("gene"), "chrom", "start", "end")
 
 
 @query()
 def sel_regions(spark, sf):
-    return spark.createDataFrame(L.training_regions(symbols(spark, sf), "click", "view", 3, 2, 1024), "part int, loglik double")
+    """Ten and a hundred parts of one chromosome, judged by another."""
+    sym = symbols(spark, sf)
+    each = [L.training_regions(sym, "click", "view", parts, 5, 1024).select(F.lit(parts).alias("parts"), "part", r6("loglik"), "best") for parts in (10, 100)]
+    return each[0].unionByName(each[1])
 
 
 LEAVES = [0.1**i for i in range(1, 6)]
