@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigseg.llm import textops as T
@@ -106,33 +106,58 @@ def chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return a, np.searchsorted(begin, word_off), d1, d2, *counts
 
 
-def chunk_digests(docs: DataFrame) -> DataFrame:
-    """d1, d2, doc_id: one row for each chunk."""
+def chunk_rows(docs: DataFrame) -> DataFrame:
+    """d1, d2, doc_id, row, place, words, inner: one row for each chunk, with its place in the text and its short words and bytes of long ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in T.slices(batches, "text"):
-            _, chunk_off, d1, d2, *_ = chunks(*T.flat(part.column(1)))
-            ids = part.column(0).take(pa.array(T.owner(chunk_off)))
-            yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), ids], names=["d1", "d2", "doc_id"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    return rows.mapInArrow(run, "d1 bigint, d2 bigint, doc_id bigint")
-
-
-def shared_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, shared: array of (d1, first), the digests that other documents hold and the smallest of these documents."""
-    found = chunk_digests(docs)
-    common = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows")).filter("first <> last")
-    common = Scratch(docs.sparkSession, "substrings").write(common.select("d1", "d2", "first", "rows"), "common")
-    # a chunk that many documents hold is one key on the side of the chunks, so such chunks are salted by document
-    return lookup(found, common, common.count(), ["d1", "d2"], "doc_id", "inner", "rows").groupBy("doc_id").agg(F.collect_set(F.struct("d1", "first")).alias("shared"))
+            _, chunk_off, d1, d2, words, inner = chunks(*T.flat(part.column(2)))
+            owner = T.owner(chunk_off)
+            ids = [part.column(i).take(pa.array(owner)) for i in (0, 1)]
+            counts = [pa.array(x, pa.int32()) for x in (np.arange(len(owner)) - chunk_off[owner], np.diff(words), np.diff(inner))]
+            yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *ids, *counts], names=["d1", "d2", "doc_id", "row", "place", "words", "inner"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text").filter("doc_id is not null")
+    return rows.mapInArrow(run, "d1 bigint, d2 bigint, doc_id bigint, row bigint, place int, words int, inner int")
+
+
+def _shared(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows whose digest another document holds, with ``first``, the smallest of its documents."""
+    holders = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows")).filter("first <> last")
+    holders = scratch.write(holders.select("d1", "d2", "first", "rows"), name)
+    # a chunk that many documents hold is one key on the side of the rows, so such chunks are salted by document
+    return lookup(rows, holders, holders.count(), ["d1", "d2"], "doc_id", "inner", "rows").drop("rows")
+
+
+def _in_passages(shared: DataFrame, min_words: int) -> DataFrame:
+    """The rows in runs of adjacent places of ``min_words`` words or more."""
+    text = Window.partitionBy("doc_id", "row")
+    runs = shared.withColumn("run", F.col("place") - F.row_number().over(text.orderBy("place")))
+    run = Window.partitionBy("doc_id", "row", "run")
+    total = F.sum("words").over(run) + F.floor(F.sum("inner").over(run) / UNIT)
+    return runs.withColumn("total", total).filter(F.col("total") >= min_words).drop("run", "total")
+
+
+def shared_digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, shared: array of (d1, first), the digests that a document holds in repeated passages and the smallest document that does so too."""
+    scratch = Scratch(docs.sparkSession, "substrings")
+    rows = scratch.write(_in_passages(_shared(chunk_rows(docs), scratch, "common"), min_words).drop("first"), "rows-0")
+    n, k = rows.count(), 0
+    while True:
+        k += 1
+        left = scratch.write(_in_passages(_shared(rows, scratch, f"holders-{k}"), min_words), f"rows-{k}")
+        before, n = n, left.count()
+        scratch.drop(f"rows-{k - 1}", f"holders-{k}")
+        if n == before:
+            return left.groupBy("doc_id").agg(F.collect_set(F.struct("d1", "first")).alias("shared"))
+        rows = left.drop("first")
 
 
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the passages that a smaller document holds, with counts and ``first_docs``, the documents that keep them."""
     rest = docs.select(*[c for c in docs.columns if c not in ADDED])
     names, at = rest.columns, rest.columns.index("text")
-    shared = shared_digests(docs).withColumnsRenamed({"doc_id": "__id", "shared": "__shared"})
+    shared = shared_digests(docs, min_words).withColumnsRenamed({"doc_id": "__id", "shared": "__shared"})
     held = rest.withColumn("__id", F.col("doc_id").cast("long")).join(shared, "__id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,35 +29,60 @@ def brute_chunks(text):
 
 
 def brute(docs):
-    holders = {}
-    for i, text in docs:
-        raw, parts = brute_chunks(text)
-        for p in parts:
-            if i is not None:
-                holders.setdefault(raw[p[0][0] : p[-1][1]], set()).add(i)
+    split = [brute_chunks(text) for _, text in docs]
+    pieces = [[raw[p[0][0] : p[-1][1]] for p in parts] for raw, parts in split]
+    inside = [[i is not None] * len(p) for (i, _), p in zip(docs, pieces, strict=True)]
+    while True:
+        holders = {}
+        for (i, _), p, flags in zip(docs, pieces, inside, strict=True):
+            for x, f in zip(p, flags, strict=True):
+                if f:
+                    holders.setdefault(x, set()).add(i)
+        new = []
+        for (_, parts), p, flags in zip(split, pieces, inside, strict=True):
+            known, found, k = [f and len(holders[x]) > 1 for x, f in zip(p, flags, strict=True)], [False] * len(p), 0
+            while k < len(p):
+                to = k
+                while to < len(p) and known[to]:
+                    to += 1
+                if sum(map(len, parts[k:to])) >= MIN_WORDS:
+                    found[k:to] = [True] * (to - k)
+                k = max(to, k + 1)
+            new.append(found)
+        if new == inside:
+            break
+        inside = new
     out = []
-    for i, text in docs:
-        raw, parts = brute_chunks(text)
-        held = [holders.get(raw[p[0][0] : p[-1][1]], set()) for p in parts]
-        known = [i is not None and len(h) > 1 for h in held]
-        repeated, k = [False] * len(parts), 0
-        while k < len(parts):
-            to = k
-            while to < len(parts) and known[to]:
-                to += 1
-            if sum(map(len, parts[k:to])) >= MIN_WORDS:
-                repeated[k:to] = [True] * (to - k)
-            k = max(to, k + 1)
-        gone = [r and min(h) < i for r, h in zip(repeated, held, strict=True)]
+    for (i, _), (raw, parts), p, repeated in zip(docs, split, pieces, inside, strict=True):
+        gone = [r and min(holders[x]) < i for r, x in zip(repeated, p, strict=True)]
         kept, removed = raw[: parts[0][0][0]] if parts else raw, 0
-        for k, p in enumerate(parts):
-            piece = raw[p[0][0] : parts[k + 1][0][0] if k + 1 < len(parts) else len(raw)]
+        for k, part in enumerate(parts):
+            piece = raw[part[0][0] : parts[k + 1][0][0] if k + 1 < len(parts) else len(raw)]
             kept, removed = (kept, removed + len(piece.decode())) if gone[k] else (kept + piece, removed)
-        firsts = sorted({min(h) for h, g in zip(held, gone, strict=True) if g})
+        firsts = sorted({min(holders[x]) for x, g in zip(p, gone, strict=True) if g})
         out.append((-1 if i is None else i, len(parts), sum(repeated), sum(gone), removed, firsts, kept.decode()))
     return sorted(out)
 
 
+def test_a_phrase_elsewhere_breaks_no_passage(spark):
+    """Two documents share 60 words, ten of which a smaller one holds as well: the passage stays whole in one, and goes from the other."""
+    rng = random.Random(2)
+    words = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n)]
+    docs, cases = [], 300
+    middles, phrases = [], []
+    for k in range(cases):
+        passage, at = words(60), rng.randrange(5, 45)
+        docs.append((10 * k + 1, " ".join(words(20) + passage[at : at + 10] + words(20))))
+        docs += [(10 * k + i, " ".join(words(15) + passage + words(15))) for i in (5, 6)]
+        middles.append(" ".join(passage[5:55]))
+        phrases.append(docs[-3])
+    got = {r.doc_id: r for r in substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k, middle in enumerate(middles):
+        assert middle in got[10 * k + 5].text and middle not in got[10 * k + 6].text
+        assert got[10 * k + 1].text == phrases[k][1] and got[10 * k + 1].shared_chunks == 0
+        assert got[10 * k + 6].first_docs == [10 * k + 5]
+
+
 def test_equals_brute_force(spark):
     rng = random.Random(1)
     words = lambda n: " ".join(rng.choice(["ab", "é", "cdef", "x"]) + str(rng.randrange(400)) for _ in range(n))
