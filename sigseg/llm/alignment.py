@@ -44,7 +44,7 @@ from sigseg.llm.shared import Scratch, lookup
 #: Distinct pairs whose counts are handed to every task (16 bytes each).
 BROADCAST_PAIRS = 2_000_000
 #: Links that are looked up at once, and pieces that a worker's cache holds.
-LINKS, CACHED_PIECES = 1 << 20, 300_000
+LINKS, CACHED_PIECES = 1 << 20, 500_000
 KINDS = ("end", "overlap", "group")
 
 ALIGNED = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, links binary"
