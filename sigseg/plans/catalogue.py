@@ -703,6 +703,16 @@ def mc_soft_kmeans(spark, sf):
     return spark.createDataFrame([(i, float(w), float(sum(v * v for v in m))) for i, (m, w) in enumerate(zip(means, weights, strict=True))], "cluster int, weight double, norm2 double")
 
 
+@query()
+def mc_state_selection(spark, sf):
+    """As many clusters of the embeddings' first components as two halves of them agree on."""
+    data = vectors(spark, sf)
+    pca = M.fit_pca(data, 4)
+    found = M.select_states(data.select("chrom", "bin", pca.transform(F.col("x")).alias("x")))
+    share = found.weights / found.weights.sum()
+    return spark.createDataFrame([(i, round(float(w), 6), round(float(m @ m), 6)) for i, (w, m) in enumerate(zip(share, found.means, strict=True))], "cluster int, weight double, norm2 double")
+
+
 @query()
 def mc_gmm_hmm(spark, sf):
     data = vectors(spark, sf)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigseg.operators.signal import grid, to_grid
@@ -20,15 +20,14 @@ def since(unit: str):
     return F.expr(f"timestampdiff({unit}, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz))")
 
 
-def span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bins: one row, the hours up to the latest event; an event before the first hour is an error."""
-    ends = table(spark, sf_dir, "events").agg(F.max("ts").alias("ts"), F.min("ts").alias("first"))
-    early = F.expr("cast(first as timestamp_ntz) < timestamp_ntz'2024-01-01 00:00:00'")
-    return ends.select(F.when(early, F.raise_error(F.lit("an event before 2024-01-01 has no bin")).cast("long")).otherwise(F.greatest(F.lit(HOURS).cast("long"), since("HOUR") + 1)).alias("bins"))
-
-
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("chrom")).distinct().crossJoin(F.broadcast(span(spark, sf_dir)))
+    """chrom, bins: the hours up to the latest event of all, for each type of event; an event before the first hour is an error."""
+    ends = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("chrom")).agg(F.max("ts").alias("ts"), F.min("ts").alias("first"))
+    all_ = Window.partitionBy()  # a row for each type of event
+    latest = ends.select("chrom", F.max("ts").over(all_).alias("ts"), F.min("first").over(all_).alias("first"))
+    early = F.expr("cast(first as timestamp_ntz) < timestamp_ntz'2024-01-01 00:00:00'")
+    bins = F.when(early, F.raise_error(F.lit("an event before 2024-01-01 has no bin")).cast("long")).otherwise(F.greatest(F.lit(HOURS).cast("long"), since("HOUR") + 1))
+    return latest.select("chrom", bins.alias("bins"))
 
 
 def sig_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +56,8 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5, cut at the last hour: id, chrom, start, end, score."""
     start = since("SECOND")
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("chrom"), start.alias("start"), (start + 60 * F.ceil("value")).alias("end"), F.col("value").alias("score"))
-    return e.crossJoin(F.broadcast(span(spark, sf_dir))).withColumn("end", F.least("end", F.col("bins") * 3600)).drop("bins")
+    ends = e.join(sizes(spark, sf_dir), "chrom").withColumn("end", F.least("end", F.col("bins") * 3600))
+    return ends.select("id", "chrom", "start", "end", "score")
 
 
 #: The same in SQL, for a WITH clause.

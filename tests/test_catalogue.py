@@ -57,3 +57,14 @@ def test_imports_without_the_training_data_operators(tmp_path):
             (tmp_path / "sigseg" / p.name).symlink_to(p)
     code = "import __spark_entry__ as e; names = e.queries(); assert 'reg_runs' in names and not any(n.startswith('op') or n == 'pipeline' for n in names)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"})
+
+
+def test_only_a_removed_module_is_passed_over(monkeypatch):
+    assert entry._optional("sigseg.absent.queries") is None and entry._optional("absent_pipeline") is None
+
+    def broken(name):
+        raise ModuleNotFoundError("No module named 'regex'", name="regex")
+
+    monkeypatch.setattr(entry.importlib, "import_module", broken)
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
