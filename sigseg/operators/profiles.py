@@ -41,3 +41,46 @@ def marker_profile(regions: DataFrame, tracks: DataFrame) -> DataFrame:
     """region, track, value: mean of each track over each region."""
     total = with_region(tracks, regions).groupBy("chrom", "region", "track").agg(F.sum("value").alias("t"))
     return total.join(regions.select("chrom", "region", "length"), ["chrom", "region"]).select("chrom", "region", "track", (F.col("t") / F.col("length")).alias("value"))
+
+
+def track_arrays(tracks: DataFrame, names: list) -> DataFrame:
+    """chrom, bin, x: the values of all tracks at a bin in the order of ``names``, 0 where a track is absent."""
+    wide = tracks.groupBy("chrom", "bin").pivot("track", names).agg(F.sum("value"))
+    return wide.select("chrom", "bin", F.array(*[F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(0.0)) for n in names]).alias("x"))
+
+
+def boundary_profiles(regions: DataFrame, tracks: DataFrame, names: list, width: int = 500, points: int = 100) -> DataFrame:
+    """track, part, position, value, regions: mean profiles of all tracks around and inside regions (chrom, region, start, length), in one pass.
+
+    ``left`` are the ``width`` bins before the start, ``right`` those from the end on,
+    of the regions that have room for them; ``inside`` is stretched to ``points``,
+    linearly between bins. A profile is the mean over chromosomes of each one's
+    mean, weighted by its regions. A bin carries all its tracks as one array, so
+    regions are joined once however many tracks there are, and what is shuffled
+    then is one sum for each track, part, position and task.
+    """
+    values = track_arrays(tracks, names)
+    ends = tracks.groupBy("chrom").agg(F.max("bin").alias("top"))
+    placed = regions.select("chrom", "start", (F.col("start") + F.col("length")).alias("end"), "length").join(ends, "chrom")
+
+    def side(part: str, first, room) -> DataFrame:
+        at = F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("position")
+        cut = placed.filter(room).select("chrom", F.lit(part).alias("part"), first.alias("first"), at)
+        bin_ = F.col("first") + F.col("position")
+        return cut.select("chrom", "part", "position", F.array(F.struct(bin_.alias("bin"), F.lit(1.0).alias("share"))).alias("bins"))
+
+    left = side("left", F.col("start") - width, F.col("start") >= width)
+    right = side("right", F.col("end"), F.col("end") + width - 1 <= F.col("top"))
+    k = placed.select("chrom", "start", "length", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("position"))
+    at = F.col("position") * F.col("length") / points
+    low, d = F.floor(at), at - F.floor(at)
+    near = F.struct((F.col("start") + low).alias("bin"), (1 - d).alias("share"))
+    far = F.struct((F.col("start") + F.least(low + 1, F.col("length") - 1)).alias("bin"), d.alias("share"))
+    inside = k.select("chrom", F.lit("inside").alias("part"), "position", F.array(near, far).alias("bins"))
+    wanted = left.unionByName(inside).unionByName(right)
+    # positions that read the same bin are one row with the sum of their shares before they meet the signal
+    weight = wanted.select("chrom", "part", "position", F.explode("bins").alias("b")).groupBy("chrom", "part", "position", F.col("b.bin").alias("bin")).agg(F.sum("b.share").alias("share"))
+    met = weight.filter("share > 0").join(values, ["chrom", "bin"]).select("chrom", "part", "position", "share", F.posexplode("x").alias("t", "v"))
+    per = met.groupBy("chrom", "part", "position", "t").agg(F.sum(F.col("share") * F.col("v")).alias("total"), F.sum("share").alias("n"))
+    track = F.element_at(F.lit(names), F.col("t") + 1)
+    return per.groupBy(track.alias("track"), "part", "position").agg((F.sum("total") / F.sum("n")).alias("value"), F.round(F.sum("n")).cast("long").alias("regions"))

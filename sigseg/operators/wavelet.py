@@ -21,6 +21,9 @@ from sigseg.operators.signal import to_grid
 #: Low- and high-pass filters of two taps: mean and half difference.
 MEAN = ([0.5, 0.5], [-0.5, 0.5])
 HAAR = ([1 / math.sqrt(2)] * 2, [-1 / math.sqrt(2), 1 / math.sqrt(2)])
+#: Four taps, orthogonal, that keep constants and slopes apart from details.
+_R3 = math.sqrt(3)
+FOUR = ([x / (4 * math.sqrt(2)) for x in (1 + _R3, 3 + _R3, 3 - _R3, 1 - _R3)], [x / (4 * math.sqrt(2)) for x in (1 - _R3, _R3 - 3, 3 + _R3, -1 - _R3)])
 #: Least standard deviation of a state of a tree.
 MIN_DEVIATION = 0.1
 #: Levels of a tree that are walked in one group.
@@ -90,7 +93,13 @@ def _dwt_wide(at: DataFrame, filters: tuple[list[float], list[float]], depth: in
 
 
 def idwt(pyramid: DataFrame, filters: tuple[list[float], list[float]] = MEAN) -> DataFrame:
-    """chrom, bin, value from the coarsest approximation and all details of a two-tap pyramid; from the top by bands of TIER levels."""
+    """chrom, bin, value from the coarsest approximation and all details of a pyramid.
+
+    Two taps go from the top by bands of TIER levels. More taps must be an
+    orthogonal pair; they wrap around, and take a shuffle for each level.
+    """
+    if len(filters[0]) > 2:
+        return _idwt_wide(pyramid, filters)
     top = pyramid.agg(F.max("level")).first()[0]
     if top is None:
         return pyramid.select("chrom", F.col("idx").alias("bin"), F.col("approx").alias("value"))
@@ -103,6 +112,35 @@ def idwt(pyramid: DataFrame, filters: tuple[list[float], list[float]] = MEAN) ->
     return at.select("chrom", F.col("idx").alias("bin"), F.col("approx").alias("value"))
 
 
+def orthogonal_scale(filters: tuple[list[float], list[float]]) -> float:
+    """What the pair's synthesis multiplies a signal by; an error if shifts of the pair by two are not orthogonal or unlike in length."""
+    low, high = (np.asarray(f, float) for f in filters)
+    scale = float(low @ low)
+    pairs = [(x, y, s) for x, y in ((low, low), (high, high), (low, high)) for s in range(0, len(low), 2)]
+    pairs += [(high, low, s) for s in range(2, len(low), 2)]
+    for x, y, s in pairs:
+        if abs(x[: len(x) - s] @ y[s:] - (scale if s == 0 and x is y else 0)) > 1e-9 * scale:
+            raise ValueError("the filters are not an orthogonal pair")
+    return scale
+
+
+def _idwt_wide(pyramid: DataFrame, filters: tuple[list[float], list[float]]) -> DataFrame:
+    scale, (low, high) = orthogonal_scale(filters), filters
+    ends = pyramid.agg(F.max("level"), F.min("level"), F.max(F.when(F.col("level") == 1, F.col("idx")))).first()
+    if ends[0] is None:
+        return pyramid.select("chrom", F.col("idx").alias("bin"), F.col("approx").alias("value"))
+    top, depth = ends[0], int(ends[2] + 1).bit_length()
+    taps = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(low[t] / scale).alias("l"), F.lit(high[t] / scale).alias("h")) for t in range(len(low))]))
+    at = pyramid.filter(F.col("level") == top).select("chrom", "idx", "approx")
+    for level in range(top, 0, -1):
+        details = pyramid.filter(F.col("level") == level).select("chrom", "idx", F.lit(0.0).alias("approx"), "detail")
+        both = at.withColumn("detail", F.lit(0.0)).unionByName(details).select("chrom", "idx", "approx", "detail", taps.alias("x"))
+        to = F.pmod(2 * F.col("idx") + F.col("x.t"), F.lit(1 << (depth - level + 1)))
+        rows = both.select("chrom", to.alias("idx"), (F.col("approx") * F.col("x.l") + F.col("detail") * F.col("x.h")).alias("v"))
+        at = rows.groupBy("chrom", "idx").agg(F.sum("v").alias("approx"))
+    return at.select("chrom", F.col("idx").alias("bin"), F.col("approx").alias("value"))
+
+
 def _band_up(filters: tuple[list[float], list[float]], low: int, high: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """The approximations below one subtree, from that of its root (at level ``high`` + 1) and all its details."""
     (l0, l1), (h0, h1) = filters

@@ -23,6 +23,7 @@ from sigseg.plans import recursions as rec
 from sigseg.plans import views as V
 from sigseg.sources import folders
 from sigseg.sources import readers as I
+from sigseg.sources import segments as G
 from sigseg.sources import writers as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -651,6 +652,23 @@ def prof_weighted(spark, sf):
     return P.weighted_mean(prof_flanks(spark, sf), "offset").select("offset", r6("value"))
 
 
+PROFILES = """ends AS (SELECT chrom, max(bin) AS top FROM mc GROUP BY chrom), want AS (
+  SELECT r.chrom, 'left' AS part, p AS position, start - 500 + p AS b0, start - 500 + p AS b1, 0.0 AS d FROM regions r, (SELECT unnest(generate_series(0, 499)) AS p) WHERE state = 1 AND start >= 500
+  UNION ALL SELECT r.chrom, 'right', p, start + length + p, start + length + p, 0.0 FROM regions r JOIN ends e ON e.chrom = r.chrom, (SELECT unnest(generate_series(0, 499)) AS p) WHERE state = 1 AND start + length + 499 <= top
+  UNION ALL SELECT r.chrom, 'inside', p, start + (p * length) // 100, start + least((p * length) // 100 + 1, length - 1), p * length / 100 - (p * length) // 100 FROM regions r, (SELECT unnest(generate_series(0, 99)) AS p) WHERE state = 1
+), got AS (
+  SELECT w.chrom, part, position, a.track, avg(a.value + d * (b.value - a.value)) AS m, count(*) AS n FROM want w
+  JOIN mc a ON a.chrom = w.chrom AND a.bin = b0 JOIN mc b ON b.chrom = w.chrom AND b.bin = b1 AND b.track = a.track GROUP BY ALL)"""
+
+
+@query(with_(*NAIVE_SEG, MC_ONLY, PROFILES) + "SELECT track::BIGINT AS track, part, position::INT AS position, round(sum(m * n) / sum(n), 6) AS value, sum(n)::BIGINT AS regions FROM got GROUP BY ALL")
+def prof_tracks(spark, sf):
+    """All four tracks at once around and inside open regions: 500 bins on both sides, 100 points."""
+    opened = naive_regions(spark, sf).filter("state = 1")
+    found = P.boundary_profiles(opened, V.mc_hour(spark, sf), [0, 1, 2, 3], 500, 100)
+    return found.select(F.col("track").cast("long").alias("track"), "part", "position", r6("value"), "regions")
+
+
 # ---- many channels ----
 
 def vectors(spark, sf) -> DataFrame:
@@ -752,6 +770,22 @@ def wav_idwt(spark, sf):
     return on_grid(spark, sf, W.idwt(W.dwt(whole(spark, sf)))).select("chrom", "bin", r6("value"))
 
 
+WIDE = ", ".join(f"({t}, {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for t, (lo, hi) in enumerate(zip(*W.FOUR, strict=True)))
+
+
+@query(with_(SIG, f"taps(t, l, h) AS (VALUES {WIDE})", "full AS (SELECT chrom, bin, value FROM sig UNION ALL SELECT chrom, unnest(generate_series(720, 1023)), 0.0 FROM sizes)")
+    + "SELECT chrom, ((bin - t + 1024) % 1024) // 2 AS idx, round(sum(value * l), 6) AS approx, round(sum(value * h), 6) AS detail FROM full, taps WHERE (bin - t + 1024) % 2 = 0 GROUP BY ALL")
+def wav_dwt_four(spark, sf):
+    """One level of the four-tap pair."""
+    return W.dwt(whole(spark, sf), W.FOUR, 1).select("chrom", "idx", r6("approx"), r6("detail"))
+
+
+@query(ORACLE_SQL["wav_idwt"])
+def wav_idwt_four(spark, sf):
+    """All levels of the four-tap pair, there and back."""
+    return on_grid(spark, sf, W.idwt(W.dwt(whole(spark, sf), W.FOUR), W.FOUR)).select("chrom", "bin", r6("value"))
+
+
 also("wav_dwt_whole", "wav_dwt")
 also("wav_idwt_whole", "wav_idwt")
 
@@ -1055,6 +1089,27 @@ def io_wig_store(spark, sf):
     return I.wig_bins(I.read_wig(spark, folder), 3600).select("chrom", "bin", r6("value"))
 
 
+@query(with_(SIG, "seg AS (SELECT chrom, bin, round(value, 3) AS state FROM sig WHERE value <> 0)", RUNS) + 'SELECT chrom, start * 3600 AS start, (start + length) * 3600 AS "end", state AS score FROM regions')
+def io_wig_bedgraph(spark, sf):
+    """The hourly signal as wig files, converted to bedGraph text, read again."""
+    folder = folders.scratch_folder(spark, "convert")
+    e = V.sig_hour(spark, sf).filter("value <> 0")
+    heads = e.select("chrom").distinct().select("chrom", F.lit(-1).cast("long").alias("pos"), F.concat(F.lit("variableStep chrom="), "chrom", F.lit(" span=3600")).alias("value"))
+    lines = heads.unionByName(e.select("chrom", F.col("bin").alias("pos"), F.concat_ws(" ", F.col("bin") * 3600 + 1, F.round("value", 3)).alias("value")))
+    lines.repartition("chrom").sortWithinPartitions("chrom", "pos").select("value").write.text(f"{folder}/wig/all.wig")
+    merged = I.merge_steps(I.read_wig(spark, f"{folder}/wig/all.wig"))
+    O.write_tsv(merged.select("chrom", "start", "end", "score"), f"{folder}/bedgraph")
+    return I.read_bedgraph(spark, f"{folder}/bedgraph")
+
+
+@query(with_(*NAIVE_SEG) + "SELECT chrom, region, start * 3600 AS start, length * 3600 AS length, state FROM regions WHERE chrom IN ('click', 'view')")
+def io_segment_store(spark, sf):
+    """Regions of all chromosomes stored by cell type and model, those of two read back."""
+    folder = folders.scratch_folder(spark, "segments")
+    G.save_segmentation(naive_regions(spark, sf), folder, "hourly", "naive", 3600)
+    return G.load_segmentation(spark, folder, "hourly", "naive", ["click", "view"])
+
+
 @query(with_(PEAKS) + 'SELECT chrom, start, "end", score AS p_value FROM peaks')
 def io_broad_peaks(spark, sf):
     folder, dot = folders.scratch_folder(spark, "peaks"), F.lit(".")

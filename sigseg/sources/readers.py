@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigseg.operators.signal import rasterize
@@ -28,15 +27,15 @@ def read_bedgraph(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.filter(F.col("start").isNotNull() & F.col("end").isNotNull())
 
 
-def read_wig(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, start, end, score of variableStep wig files.
+def read_wig_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, chrom, start, end, score of variableStep wig files, all in one plan however many files there are.
 
     A header holds until the next one in its file. Headers are carried within
     blocks of WIG_BLOCK lines, by the reader's own row ids; a block's first
     lines take the last header of the blocks before it, of which there is one
     row for each. Files whose lines lack a header give nothing.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("t"))
+    lines = spark.read.text(paths).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("t"))
     lines = lines.filter(~F.col("t").startswith("track") & ~F.col("t").startswith("#") & (F.col("t") != ""))
     lines = lines.withColumn("header", F.when(F.col("t").startswith("variableStep"), F.col("t"))).withColumn("block", F.expr(f"line div {WIG_BLOCK}"))
     last = lines.groupBy("file", "block").agg(F.max_by("header", F.when(F.col("header").isNotNull(), F.col("line"))).alias("last"))
@@ -48,7 +47,17 @@ def read_wig(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split("t", r"\s+")
     span = F.coalesce(F.nullif(F.regexp_extract("h", r"span=(\d+)", 1), F.lit("")).cast("long"), F.lit(1).cast("long"))
     start = parts[0].cast("long") - 1
-    return held.select(F.regexp_extract("h", r"chrom=(\S+)", 1).alias("chrom"), start.alias("start"), (start + span).alias("end"), parts[1].cast("double").alias("score"))
+    return held.select("file", F.regexp_extract("h", r"chrom=(\S+)", 1).alias("chrom"), start.alias("start"), (start + span).alias("end"), parts[1].cast("double").alias("score"))
+
+
+def read_wig(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """chrom, start, end, score of ``read_wig_files``."""
+    return read_wig_files(spark, path).drop("file")
+
+
+def _stem(file: str) -> Column:
+    """The name of a file up to its first dot."""
+    return F.element_at(F.split(F.element_at(F.split(file, "/"), -1), r"\."), 1)
 
 
 def wig_bins(steps: DataFrame, bin_size: int) -> DataFrame:
@@ -136,19 +145,47 @@ def ingest(spark: SparkSession, source: str, store: str, bin_size: int, kind: st
     new = {file: name.split(".")[0] for file, name in names if skip not in name and not _exists(spark, f"{store.rstrip('/')}/name={name.split('.')[0]}")}
     if not new:
         return []
-    name_of = F.element_at(F.split(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\."), 1)
     if kind == "bedgraph":
-        rows = read_bedgraph(spark, list(new)).withColumn("name", name_of)
+        rows = read_bedgraph(spark, list(new)).withColumn("file", F.input_file_name()).withColumn("name", _stem("file"))
         keyed = rows.select(F.concat_ws("\x1f", "name", "chrom").alias("chrom"), "start", "end", "score")
         binned = rasterize(keyed, bin_size)
     else:
-        parts = [read_wig(spark, f).withColumn("chrom", F.concat_ws("\x1f", F.lit(n), "chrom")) for f, n in new.items()]
-        binned = wig_bins(reduce(DataFrame.unionByName, parts), bin_size)
+        steps = read_wig_files(spark, list(new)).withColumn("chrom", F.concat_ws("\x1f", _stem("file"), "chrom"))
+        binned = wig_bins(steps, bin_size)
     split = binned.select(F.split("chrom", "\x1f")[0].alias("name"), F.split("chrom", "\x1f")[1].alias("chrom"), "bin", "value")
     split.write.mode("append").partitionBy("name", "chrom").parquet(store)
     return sorted(new.values())
 
 
+def merge_steps(steps: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+    """keys, start, end, score: steps that touch and have one score, merged; nothing else is changed.
+
+    A merged step begins where no step of its score ends, and ends where none
+    begins; the k-th begin of a score goes with its k-th end. So only begins and
+    ends are ordered, by sequence and score. Equal steps count once; steps of one
+    score must not overlap in part.
+    """
+    each = steps.select(*keys, "start", "end", "score").filter("start < end").distinct()
+    place = [*keys, "score", "at"]
+    starts, ends = each.select(*keys, "score", F.col("start").alias("at")), each.select(*keys, "score", F.col("end").alias("at"))
+    kth = lambda df: df.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "score").orderBy("at")))
+    opens = kth(starts.join(ends, place, "left_anti")).withColumnRenamed("at", "start")
+    closes = kth(ends.join(starts, place, "left_anti")).withColumnRenamed("at", "end")
+    return opens.join(closes, [*keys, "score", "k"]).select(*keys, "start", "end", "score")
+
+
+def wig_to_bedgraph(spark: SparkSession, source: str, target: str, skip: str = "filtered-density") -> list[str]:
+    """Convert the wig files of a folder to bedGraph text, below ``target/name=...`` and sorted; names that are already there, or files named like ``skip``, are left out. Returns the names converted now."""
+    files = [(r["file"], r["name"].rsplit("/", 1)[-1]) for r in list_files(spark, source).filter(F.col("name").rlike(r"\.wig(\.gz)?$")).select("file", "name").collect()]  # a row for each file
+    new = {f: n.split(".")[0] for f, n in files if skip not in n and not _exists(spark, f"{target.rstrip('/')}/name={n.split('.')[0]}")}
+    if not new:
+        return []
+    merged = merge_steps(read_wig_files(spark, list(new)).withColumn("name", _stem("file")), ("name", "chrom"))
+    order = ["name", "chrom", "start"]
+    merged.repartitionByRange(*order).sortWithinPartitions(*order).select("name", "chrom", "start", "end", "score").write.mode("append").partitionBy("name").csv(target, sep="\t")
+    return sorted(new.values())
+
+
 def load_mappability(spark: SparkSession, source: str, store: str, bin_size: int) -> DataFrame:
     """The share of each bin that is mappable, from a bedGraph file the first time and from the store afterwards."""
     if not _exists(spark, store):
