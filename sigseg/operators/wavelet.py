@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigseg.operators.signal import to_grid
+from sigseg.sources.folders import scratch_folder
 
 #: Low- and high-pass filters of two taps: mean and half difference.
 MEAN = ([0.5, 0.5], [-0.5, 0.5])
@@ -80,14 +81,17 @@ def _band_down(low: np.ndarray, high: np.ndarray, first: int, n: int) -> Callabl
 
 
 def _dwt_wide(at: DataFrame, filters: tuple[list[float], list[float]], depth: int, most: int) -> DataFrame:
+    """Each level is written before the next one reads it, so that no level is computed again for those above."""
     low, high = filters
-    out = []
+    out, spark = [], at.sparkSession
+    folder = scratch_folder(spark, "pyramid")
     taps = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(low[t]).alias("l"), F.lit(high[t]).alias("h")) for t in range(len(low))]))
     for level in range(1, most + 1):
         rows = at.select("chrom", "idx", "approx", taps.alias("x")).filter((F.col("idx") - F.col("x.t")) % 2 == 0)
         to = F.pmod(((F.col("idx") - F.col("x.t")) / 2).cast("long"), F.lit(1 << (depth - level)))
         rows = rows.select("chrom", to.alias("idx"), (F.col("approx") * F.col("x.l")).alias("a"), (F.col("approx") * F.col("x.h")).alias("d"))
-        at = rows.groupBy("chrom", "idx").agg(F.sum("a").alias("approx"), F.sum("d").alias("detail"))
+        rows.groupBy("chrom", "idx").agg(F.sum("a").alias("approx"), F.sum("d").alias("detail")).write.parquet(f"{folder}/{level}")
+        at = spark.read.schema("chrom string, idx long, approx double, detail double").parquet(f"{folder}/{level}")
         out.append(at.select("chrom", F.lit(level).alias("level"), "idx", "approx", "detail"))
     return reduce(DataFrame.unionByName, out) if out else at.sparkSession.createDataFrame([], PYRAMID)
 

@@ -773,8 +773,8 @@ def wav_idwt(spark, sf):
 WIDE = ", ".join(f"({t}, {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for t, (lo, hi) in enumerate(zip(*W.FOUR, strict=True)))
 
 
-@query(with_(SIG, f"taps(t, l, h) AS (VALUES {WIDE})", "full AS (SELECT chrom, bin, value FROM sig UNION ALL SELECT chrom, unnest(generate_series(720, 1023)), 0.0 FROM sizes)")
-    + "SELECT chrom, ((bin - t + 1024) % 1024) // 2 AS idx, round(sum(value * l), 6) AS approx, round(sum(value * h), 6) AS detail FROM full, taps WHERE (bin - t + 1024) % 2 = 0 GROUP BY ALL")
+@query(with_(SIG, f"taps(t, l, h) AS (VALUES {WIDE})", "padded AS (SELECT chrom, bin, value FROM sig UNION ALL SELECT chrom, unnest(generate_series(720, 1023)), 0.0 FROM sizes)")
+    + "SELECT chrom, ((bin - t + 1024) % 1024) // 2 AS idx, round(sum(value * l), 6) AS approx, round(sum(value * h), 6) AS detail FROM padded, taps WHERE (bin - t + 1024) % 2 = 0 GROUP BY ALL")
 def wav_dwt_four(spark, sf):
     """One level of the four-tap pair."""
     return W.dwt(whole(spark, sf), W.FOUR, 1).select("chrom", "idx", r6("approx"), r6("detail"))

@@ -38,6 +38,14 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted((tuple(plain(v) for v in r) for r in df.collect()), key=str) == sorted((tuple(plain(r[i]) for i in order) for r in got.fetchall()), key=str)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
+def test_query_without_sql_runs(spark, name, sf):
+    df = entry.queries()[name](spark, f"/root/testdata/{sf}")
+    rows = df.collect()
+    assert rows and len(rows[0]) == len(set(df.columns))
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
