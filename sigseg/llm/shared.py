@@ -72,16 +72,17 @@ def small(df: DataFrame, rows: int, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= (BROADCAST_ROWS if limit is None else limit) else df
 
 
-def lookup(big: DataFrame, table: DataFrame, rows: int, keys: list[str], spread: str, how: str = "left", count: str | None = None) -> DataFrame:
+def lookup(big: DataFrame, table: DataFrame, rows: int, keys: list[str], spread: str, how: str = "left", count: str | None = None, limit: int | None = None) -> DataFrame:
     """``big`` joined with ``table``, which has each key once and ``rows`` rows.
 
     Within the limit ``table`` is broadcast. Beyond, both sides are shuffled by the
     keys and a salt from the column ``spread`` of ``big``, so that a key that a
     third of all rows hold meets SALTS tasks; each row of ``table`` is copied that
     often. ``count`` names a column of ``table`` with the rows of ``big`` that hold
-    a key: then only keys of more than HOT_ROWS are salted and copied.
+    a key: then only keys of more than HOT_ROWS are salted and copied. ``limit``
+    is of a table whose rows are not short (0: never broadcast).
     """
-    if rows <= BROADCAST_ROWS:
+    if rows <= (BROADCAST_ROWS if limit is None else min(limit, BROADCAST_ROWS)):
         return big.join(F.broadcast(table), keys, how)
     salt, copies = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"), F.sequence(F.lit(0), F.lit(SALTS - 1))
     if count is None:
