@@ -15,7 +15,7 @@ that never switches is the best one.
 A text's language is the one with the most letters in its spans, the first in
 alphabetical order of equal ones; its score is the share of these letters. It
 is ``und`` with score 0 for null, empty and letterless texts, and for all
-texts if nothing was learned. Repeated rows are judged each for itself; a text
+texts if nothing was learned, as from an empty table; an empty table of documents gives no rows. Repeated rows are judged each for itself; a text
 longer than a slice (1 MiB) is judged alone and whole; rows without text or language teach nothing. Extra columns are kept; columns named
 like the added ones are replaced.
 """
@@ -33,11 +33,16 @@ from pyspark.sql import functions as F
 
 from sigseg.llm import textops as T
 from sigseg.llm.pretokenize import _LETTER, _classes
+from sigseg.llm.shared import Scratch
 
 #: Buckets for pairs and as many for triples, of each language.
 BUCKETS = 1 << 15
-#: Languages that a task counts before it hands its counts on; the model has no limit.
+#: Languages that a task counts before it hands its counts on, and that the driver takes over at once.
 HELD_LANGUAGES = 64
+#: Languages of a model (a quarter of a MB each); of more, those with the fewest letters are not learned.
+MAX_LANGUAGES = 400
+#: Scores of letters by languages that are looked up at once.
+CELLS = 1 << 22
 #: Natural logarithm of the odds against a switch of language between two words.
 SWITCH_PENALTY = 12.0
 #: Share of a language's letters from which it uses a script.
@@ -141,43 +146,93 @@ def learn(labelled: DataFrame) -> LanguageModel:
 
     rows = labelled.select("text", F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     found = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = found.toArrow()  # at most 2 * BUCKETS + N_SCRIPTS rows for a language
-    languages = sorted(set(table.column("lang").to_pylist()))
-    counts = np.zeros((2 * BUCKETS + N_SCRIPTS, len(languages)))
-    place = {x: i for i, x in enumerate(languages)}
-    counts[table.column("bucket").to_numpy(), [place[x] for x in table.column("lang").to_pylist()]] = table.column("n").to_numpy()
-    parts = [counts[:BUCKETS] + SMOOTHING, counts[BUCKETS : 2 * BUCKETS] + SMOOTHING]
-    scripts = counts[2 * BUCKETS :]
-    return LanguageModel(languages, np.concatenate([np.log(p / p.sum(0)) / 2 for p in parts]).astype(np.float32), scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(0), 1))
-
-
-def word_scores(words: Words, model: LanguageModel) -> np.ndarray:
-    """[words, languages]: log scores; languages that do not use a word's script are out, unless none does."""
-    rows = model.log_probability[words.pairs] + model.log_probability[words.triples]
-    total = np.add.reduceat(rows, words.letter_off[:-1], axis=0) if len(rows) else np.zeros((0, len(model.languages)), np.float32)
-    uses = model.uses[words.script]
-    out = np.where(uses | ~uses.any(1, keepdims=True), 0, -1e4)
-    return total.astype(np.float64) + out
-
-
-def viterbi(scores: np.ndarray, off: np.ndarray, penalty: float) -> np.ndarray:
+    found = Scratch(labelled.sparkSession, "languages").write(found, "counts")
+    letters = F.sum(F.when(F.col("bucket") >= 2 * BUCKETS, F.col("n")).otherwise(0))
+    most = found.groupBy("lang").agg(letters.alias("letters")).orderBy(F.desc("letters"), "lang").limit(MAX_LANGUAGES).collect()
+    languages = sorted(r["lang"] for r in most)
+    log_probability = np.zeros((2 * BUCKETS, len(languages)), np.float32)
+    uses = np.zeros((N_SCRIPTS, len(languages)), bool)
+    for at in range(0, len(languages), HELD_LANGUAGES):
+        some = languages[at : at + HELD_LANGUAGES]
+        table = found.filter(F.col("lang").isin(some)).toArrow()  # at most 2 * BUCKETS + N_SCRIPTS rows for a language
+        counts = np.zeros((2 * BUCKETS + N_SCRIPTS, len(some)))
+        counts[table.column("bucket").to_numpy(), np.searchsorted(np.array(some, object), np.array(table.column("lang").to_pylist(), object))] = table.column("n").to_numpy()
+        parts = [counts[:BUCKETS] + SMOOTHING, counts[BUCKETS : 2 * BUCKETS] + SMOOTHING]
+        log_probability[:, at : at + len(some)] = np.concatenate([np.log(p / p.sum(0)) / 2 for p in parts])
+        scripts = counts[2 * BUCKETS :]
+        uses[:, at : at + len(some)] = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(0), 1)
+    return LanguageModel(languages, log_probability, uses)
+
+
+@dataclass(frozen=True)
+class Scores:
+    """Log scores of words by languages: those of each distinct word once, and what a script adds to languages that do not use it."""
+
+    total: np.ndarray  # [distinct words, languages]
+    script: np.ndarray  # of each distinct word
+    out: np.ndarray  # [scripts, languages]
+    which: np.ndarray  # the distinct word of each word
+
+    @staticmethod
+    def of(matrix: np.ndarray) -> Scores:
+        return Scores(matrix, np.zeros(len(matrix), np.int64), np.zeros((1, matrix.shape[1])), np.arange(len(matrix)))
+
+    def column(self, language: int) -> np.ndarray:
+        """Of each word in one language."""
+        return (self.total[:, language].astype(np.float64) + self.out[self.script, language])[self.which]
+
+    def rows(self, words: np.ndarray) -> np.ndarray:
+        """Of some words in all languages."""
+        at = self.which[words]
+        return self.total[at].astype(np.float64) + self.out[self.script[at]]
+
+
+def word_scores(words: Words, model: LanguageModel) -> Scores:
+    """Languages that do not use a word's script are out, unless none does."""
+    off, k = words.letter_off, len(model.languages)
+    size = np.diff(off)
+    place = (np.arange(off[-1]) - np.repeat(off[:-1], size)).astype(np.uint64)
+    letters = T.mix(words.pairs.astype(np.uint64) << np.uint64(32) | words.triples.astype(np.uint64)) + place * np.uint64(0xD1342543DE82EF95)
+    names = T.mix(np.add.reduceat(T.mix(letters), off[:-1]) + words.script.astype(np.uint64)) if len(size) else np.zeros(0, np.uint64)
+    _, first, which = np.unique(names, return_index=True, return_inverse=True)
+    total = np.zeros((len(first), k), np.float32)
+    ends = np.cumsum(size[first])
+    at = 0
+    while at < len(first):  # distinct words whose letters fit the bound, one at least
+        begin = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, begin + CELLS // max(k, 1), "right")))
+        some = first[at:to]
+        inner = np.append(0, np.cumsum(size[some]))
+        flat = np.repeat(off[some] - inner[:-1], size[some]) + np.arange(inner[-1])
+        total[at:to] = np.add.reduceat(model.log_probability[words.pairs[flat]] + model.log_probability[words.triples[flat]], inner[:-1], axis=0)
+        at = to
+    out = np.where(model.uses | ~model.uses.any(1, keepdims=True), 0, -1e4)
+    return Scores(total, words.script[first], out, which)
+
+
+def viterbi(scores: Scores, off: np.ndarray, penalty: float) -> np.ndarray:
     """The language of each word on the best path of each text."""
-    n, k = scores.shape
+    n, k = len(scores.which), scores.total.shape[1]
     label = np.zeros(n, np.int64)
     counts = np.diff(off)
     some = np.flatnonzero(counts)
     if not n:
         return label
-    totals = np.add.reduceat(scores, off[some], axis=0)
-    main = totals.argmax(1)
+    main, best, own = np.zeros(len(some), np.int64), np.full(len(some), -np.inf), np.zeros(n)
     owner = np.repeat(np.arange(len(some)), counts[some])
+    for j in range(k):
+        value = scores.column(j)
+        total = np.add.reduceat(value, off[some])
+        better = total > best
+        main[better], best[better] = j, total[better]
+        own = np.where(better[owner], value, own)
     label[:] = main[owner]
-    gain = scores - scores[np.arange(n), label][:, None]
     walk = np.zeros(len(some), bool)
-    far = 2 * np.abs(gain).sum(0).max() + 1  # running minima start afresh in each text
     for j in range(k):
-        total = np.cumsum(gain[:, j])
-        before = np.minimum.accumulate(total - gain[:, j] - owner * far)
+        gain = scores.column(j) - own
+        far = 2 * np.abs(gain).sum() + 1  # running minima start afresh in each text
+        total = np.cumsum(gain)
+        before = np.minimum.accumulate(total - gain - owner * far)
         walk |= np.maximum.reduceat(total - owner * far - before, off[some]) > penalty / 2
     hard = some[walk]
     hard = hard[np.argsort(-counts[hard], kind="stable")]
@@ -185,14 +240,14 @@ def viterbi(scores: np.ndarray, off: np.ndarray, penalty: float) -> np.ndarray:
         return label
     size, first = counts[hard], off[hard]
     longest = int(size[0])
-    value = scores[first].copy()
+    value = scores.rows(first)
     back: list[np.ndarray] = []
     for t in range(1, longest):
         m = int(np.searchsorted(-size, -t))  # texts longer than t words
         best = value[:m].argmax(1)
         stay = value[:m] >= value[np.arange(m), best][:, None] - penalty
         back.append(np.where(stay, np.arange(k)[None, :], best[:, None]).astype(np.int16))
-        value[:m] = np.where(stay, value[:m], value[np.arange(m), best][:, None] - penalty) + scores[first[:m] + t]
+        value[:m] = np.where(stay, value[:m], value[np.arange(m), best][:, None] - penalty) + scores.rows(first[:m] + t)
     state = value.argmax(1)
     for t in range(longest - 1, 0, -1):
         m = int(np.searchsorted(-size, -t))

@@ -1,9 +1,12 @@
 import itertools
 import math
+import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 
@@ -18,7 +21,7 @@ def test_viterbi_equals_enumeration(seed):
     sizes = rng.integers(0, 7, 12)
     off = np.concatenate([[0], np.cumsum(sizes)])
     scores = rng.normal(0, 3, (off[-1], 3))
-    label = viterbi(scores, off, 2.0)
+    label = viterbi(L.Scores.of(scores), off, 2.0)
     for a, b in itertools.pairwise(off):
         value = lambda path, a=a: sum(scores[a + i, x] for i, x in enumerate(path)) - 2.0 * sum(x != y for x, y in itertools.pairwise(path))
         best = max((value(p) for p in itertools.product(range(3), repeat=b - a)), default=0)
@@ -139,3 +142,42 @@ def test_query_equals_plain_prediction(spark):
         assert got[r.doc_id].lang_pred == name, r.text[:80]
         assert abs(got[r.doc_id].score - score) < 1e-6
         assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def invented(rng, k):
+    """A sentence of a language with letters of its own habits."""
+    letters = [chr(97 + (7 * k + i * (1 + k % 5)) % 26) for i in range(6)] + [chr(0xE0 + k % 20), chr(0x101 + 2 * (k // 20))]
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(40))
+
+
+def test_three_hundred_languages(spark, monkeypatch):
+    rng = random.Random(4)
+    taught = [(invented(rng, k), f"l{k:03d}") for k in range(300) for _ in range(6)]
+    model = learn(spark.createDataFrame(taught, "text string, lang string").repartition(4))
+    assert len(model.languages) == 300 and model.log_probability.shape[1] == 300
+    asked = [(k, invented(rng, k)) for k in range(300)]
+    got = {r.doc_id: r.lang_pred for r in identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert np.mean([got[k] == f"l{k:03d}" for k in got]) > 0.9
+    counts, letters_of = defaultdict(lambda: {"pair": Counter(), "triple": Counter()}), defaultdict(Counter)
+    for text, name in taught:
+        for word in regex.findall(r"\p{L}+", text):
+            letters_of[name]["Latin"] += len(word)
+            for kind, bucket in grams_of(word):
+                counts[name][kind][bucket] += 1
+    for k, text in asked[:3]:
+        assert plain_prediction(text, counts, letters_of, model.languages)[0] == got[k]
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 2)
+    monkeypatch.setattr(L, "HELD_LANGUAGES", 1)
+    few = learn(spark.createDataFrame([("aaa bbb", "x"), ("ccc ddd eee", "y"), ("f", "z")], "text string, lang string"))
+    assert few.languages == ["x", "y"] and few.uses[0].all()
+
+
+def test_memory_does_not_grow_with_letters_times_languages(spark):
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(160_000))[: 1 << 20]
+    model = L.LanguageModel([f"l{i:03d}" for i in range(300)], np.random.default_rng(1).normal(-4, 1, (2 * L.BUCKETS, 300)).astype(np.float32), np.ones((L.N_SCRIPTS, 300), bool))
+    tracemalloc.start()
+    L._judge(pa.array([text]), model, L.SWITCH_PENALTY)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6, peak
