@@ -832,7 +832,7 @@ def hmt_level_seg(spark, sf):
 LEVEL_TREE = W.TreeModel(TREE.root, TREE.transition, TREE.means, TREE.deviations, {9: ([0.0, 2.0], [40.0, 120.0]), 10: ([0.0, 2.0], [40.0, 120.0])})
 
 
-@query()
+@query(with_(SIG, _pyramid_sql(), rec.tree_posterior(TOP, LEVEL_TREE)) + " UNION ALL ".join(f"SELECT chrom, {i} AS level, idx, round(g1, 6) AS p FROM g{i}" for i in range(1, TOP + 1)))
 def hmt_level_emission(spark, sf):
     return W.tree_posterior(W.dwt(whole(spark, sf)), LEVEL_TREE).select("chrom", "level", "idx", F.round(F.col("gamma")[1], 6).alias("p"))
 

@@ -83,9 +83,11 @@ def _node(m: float, d: float) -> str:
 
 def _up(top: int, model, join: str) -> list[str]:
     """CTEs u1 to uTOP (chrom, idx, v0, v1): what the nodes of a tree over l1 to lTOP have gathered. join: an SQL function of x and y."""
-    d = [_node(m, s) for m, s in zip(model.means, model.deviations, strict=True)]
+    at = lambda level: [_node(m, s) for m, s in zip(*(model.levels or {}).get(level, (model.means, model.deviations)), strict=True)]
+    d = at(1)
     ctes = [f"u1 AS MATERIALIZED (SELECT l.chrom, l.idx, {d[0]} AS v0, {d[1]} AS v1 FROM l1 l)"]
     for i in range(2, top + 1):
+        d = at(i)
         said = ", ".join(f"sum({join.format(x=f'(ln({a}) + v0)', y=f'(ln({b}) + v1)')}) AS s{s}" for s, (a, b) in enumerate(model.transition))
         ctes.append(f"u{i} AS MATERIALIZED (SELECT l.chrom, l.idx, {d[0]} + t.s0 AS v0, {d[1]} + t.s1 AS v1 FROM l{i} l JOIN (SELECT chrom, idx // 2 AS idx, {said} FROM u{i - 1} GROUP BY ALL) t ON t.chrom = l.chrom AND t.idx = l.idx)")
     return ctes
