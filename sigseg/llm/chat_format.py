@@ -12,6 +12,13 @@ Calls with no result and results with no call are kept and named so in
 ``status``; if an identifier repeats within a conversation, the first by turn
 is linked and later ones are ``duplicate``. A null conversation or identifier
 links with nothing. Null text is JSON null. Empty tables give empty tables.
+Rows of both tables that repeat wholly are calls and results each: the first
+of each pair up, the second of each pair up as duplicates, and so on; what one
+side has more of has no result or no call. Texts of any length are results.
+Arguments are parsed as a variant, whose size Spark limits; longer ones (a prompt
+of tens of MiB) cannot be checked: such a call stays linked, with null
+arguments and the error that they are not JSON. Columns other than those named
+are not carried, whatever their names.
 """
 
 from __future__ import annotations

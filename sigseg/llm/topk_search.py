@@ -15,7 +15,8 @@ first scored against a bounded sample of the vectors, which is broadcast.
 Vectors that are null or hold null or non-finite components take no part, nor
 do rows without a vec_id. Vectors are compared with queries of their own
 length only. Rows that share a query's vec_id are no candidates for it; other
-repeated rows are candidates each. Empty tables give empty results.
+repeated rows are candidates each. Empty tables give empty results. Columns
+other than vec_id and vector are not carried, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """Texts beyond a slice, words that fool weak hashes, empty tables, clashing columns and joins that shuffle, for every operator on texts."""
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -12,12 +13,14 @@ from sigseg.llm import queries as Q
 from sigseg.llm import shared
 from sigseg.llm import textops as T
 from sigseg.llm.bpe_automaton import bpe_decode, bpe_encode
+from sigseg.llm.chat_format import chat_calls, link_tool_calls
 from sigseg.llm.language_id import identify, learn
 from sigseg.llm.line_dedup import line_dedup
 from sigseg.llm.mixing import mix_sources
 from sigseg.llm.near_dup import near_duplicates
 from sigseg.llm.quality_rules import repetition_coverage
 from sigseg.llm.substring_dedup import substring_dedup
+from sigseg.llm.topk_search import topk_search
 from sigseg.llm.token_files import read_token_files, write_token_files
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_near_dup import brute as brute_near
@@ -102,3 +105,26 @@ def test_mix(spark, docs, monkeypatch):
     rows = [*docs, (None, "a b"), (None, "a b"), (None, None)]
     got = mix_sources(table(spark, rows)).collect()
     assert len(got) == len(rows) and sorted(hashlib.md5((r.text or "").encode()).hexdigest() for r in got) == sorted(hashlib.md5((t or "").encode()).hexdigest() for _, t in rows)
+
+
+def test_chat(spark):
+    long = "é\n" * (1 << 20)
+    huge = "x" * (160 << 20)
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 1, "assistant", "b"), (2, 1, "assistant", "b"), (None, 0, "user", ""), (3, 0, "user", huge), (3, 1, "assistant", "c")]
+    df = spark.createDataFrame([(*r, "x", 1, True) for r in rows], "conv_id long, turn long, role string, text string, status string, depth int, n boolean").repartition(2)
+    out = link_tool_calls(*chat_calls(df), Q.CHAT_SCHEMA)
+    assert out.columns == ["conv_id", "call_id", "turn", "depth", "status", "valid", "errors", "json"]
+    got = out.selectExpr("coalesce(conv_id, -1) c", "status", "valid", "errors", "if(c = 3, length(json) < 1000, json is not null) j", "if(c = 1, json, null) text").collect()
+    assert sorted((r.c, r.status, r.valid) for r in got) == [(-1, "no_result", True), (1, "linked", True), (2, "duplicate", False), (2, "duplicate", True), (2, "linked", True), (3, "linked", False)]
+    assert all(r.j for r in got) and [r.errors for r in got if r.c == 3] == [["arguments are not JSON"]]
+    one = json.loads(next(r.text for r in got if r.c == 1))
+    assert one["content"] == one["arguments"]["prompt"] == long
+    assert link_tool_calls(*chat_calls(df.limit(0)), Q.CHAT_SCHEMA).count() == 0
+
+
+def test_topk(spark):
+    rows = [(i, [i % 7, -i, 3], "x", 1) for i in range(60)] + [(5, [9, 9, 9], "x", 1), (5, [9, 9, 9], "x", 1), (None, [1, 1, 1], "y", 1), (70, None, "y", 1), (71, [], "y", 1)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>, query_id string, score int")
+    got = topk_search(df, df.filter("vec_id = 50"), k=3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(50, 1, 59, 2962), (50, 2, 58, 2911), (50, 3, 57, 2860)]
+    assert topk_search(df.limit(0), df, k=3).count() == topk_search(df, df.limit(0), k=3).count() == 0
