@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigseg.functions import emissions as E
-from sigseg.operators.hmm import HmmModel, Models, _boundaries, _each, _joined, _log_boundaries, _log_walk, _map, _walk
+from sigseg.operators.hmm import FEW_CHUNKS, HmmModel, Models, _boundaries, _each, _joined, _log_boundaries, _log_walk, _map, _walk
 
 #: Least standard deviation of a normal state, and least variance of a multivariate one.
 MIN_DEVIATION = 0.5
@@ -153,7 +153,7 @@ def _counted(pdf: pd.DataFrame, model: HmmModel, rows: np.ndarray, log: np.ndarr
     return out
 
 
-def _log_statistics(packed: DataFrame, models: Models, var_center: str) -> DataFrame:
+def _log_statistics(packed: DataFrame, models: Models, var_center: str, few: bool) -> DataFrame:
     """What ``_statistics`` gives, with posteriors as differences of logarithms: nothing is scaled, so no state's probability is lost to underflow."""
 
     def one(pdf: pd.DataFrame, model: HmmModel) -> pd.DataFrame:
@@ -171,13 +171,13 @@ def _log_statistics(packed: DataFrame, models: Models, var_center: str) -> DataF
             out += _counted(pdf, model, rows, np.where(begins, total, 0), gamma, pairs, begins, var_center)
         return pd.DataFrame(out, columns=["seq", "s"])
 
-    return _map(_joined(packed, _log_boundaries(packed, models)), lambda pdf: _each(pdf, models, one), "seq string, s array<double>")
+    return _map(_joined(packed, _log_boundaries(packed, models), few), lambda pdf: _each(pdf, models, one), "seq string, s array<double>")
 
 
-def _statistics(packed: DataFrame, models: Models, smoothing: str, var_center: str) -> DataFrame:
+def _statistics(packed: DataFrame, models: Models, smoothing: str, var_center: str, few: bool = False) -> DataFrame:
     """seq, s for each chunk: log-likelihood, number of sequences, counts of starts, ends and transitions, and the emission's sums. Smoothing ``log`` is the full one in logarithms."""
     if smoothing == "log":
-        return _log_statistics(packed, models, var_center)
+        return _log_statistics(packed, models, var_center, few)
 
     def one(pdf: pd.DataFrame, model: HmmModel) -> pd.DataFrame:
         a, out = np.asarray(model.transition), []
@@ -194,13 +194,13 @@ def _statistics(packed: DataFrame, models: Models, smoothing: str, var_center: s
             out += _counted(pdf, model, rows, log, gamma, pairs, begins, var_center)
         return pd.DataFrame(out, columns=["seq", "s"])
 
-    return _map(_joined(packed, _boundaries(packed, models, smoothing)), lambda pdf: _each(pdf, models, one), "seq string, s array<double>")
+    return _map(_joined(packed, _boundaries(packed, models, smoothing), few), lambda pdf: _each(pdf, models, one), "seq string, s array<double>")
 
 
-def expect(packed: DataFrame, model: HmmModel, smoothing: str = "full", var_center: str = "old") -> np.ndarray:
+def expect(packed: DataFrame, model: HmmModel, smoothing: str = "full", var_center: str = "old", few: bool = False) -> np.ndarray:
     """Log-likelihood, number of sequences, and start, end, transition and emission counts, over all sequences with a finite likelihood."""
     size = 2 + 2 * model.n_states + model.n_states**2 + _emission_stats(model, *_empty(model), var_center).size
-    rows = _statistics(packed, model, smoothing, var_center)
+    rows = _statistics(packed, model, smoothing, var_center, few)
     whole = rows.groupBy("seq").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(size)])
     fine = whole.filter(~F.isnan("s0") & (F.abs(F.col("s0")) < float("inf")))
     got = fine.agg(*[F.sum(f"s{i}") for i in range(size)]).first()
@@ -209,9 +209,9 @@ def expect(packed: DataFrame, model: HmmModel, smoothing: str = "full", var_cent
     return np.array(got, np.float64)
 
 
-def expect_cells(packed: DataFrame, models: dict[str, HmmModel], smoothing: str = "full", var_center: str = "old") -> dict[str, np.ndarray]:
+def expect_cells(packed: DataFrame, models: dict[str, HmmModel], smoothing: str = "full", var_center: str = "old", few: bool = False) -> dict[str, np.ndarray]:
     """The same for each cell of a grid, in one job. Cells without a sequence of finite likelihood are absent."""
-    rows = _statistics(packed, models, smoothing, var_center)
+    rows = _statistics(packed, models, smoothing, var_center, few)
     sums = rows.select("seq", F.posexplode("s").alias("i", "v")).groupBy("seq", "i").agg(F.sum("v").alias("v"))
     finite = sums.filter("i = 0").filter(~F.isnan("v") & (F.abs(F.col("v")) < float("inf"))).select("seq")
     cell = F.substring_index("seq", "\x1f", 1).alias("cell")
@@ -259,8 +259,9 @@ def baum_welch(
     stop, fit = stop or Iterations(3), Fit(model)
     packed = packed.persist()
     try:
+        few = packed.count() <= FEW_CHUNKS
         while True:
-            s = expect(packed, fit.model, smoothing, var_center)
+            s = expect(packed, fit.model, smoothing, var_center, few)
             fit.likelihoods.append(float(s[0]))
             fit.model = improved(fit.model, s, min_alpha, constraint, var_center, learn_end)
             if stop(fit.likelihoods[-1]):
@@ -281,8 +282,9 @@ def random_discrete(n_states: int, n_alphabet: int, seed: int) -> HmmModel:
 def baum_welch_cells(packed: DataFrame, models: dict[str, HmmModel], rounds: int, floors: dict[str, float | list[float]] | None = None, smoothing: str = "full") -> dict[str, Fit]:
     """Train a model for each cell of a grid; a round is one job for all cells. The cell is the first key of ``pack``."""
     fits, packed = {c: Fit(m) for c, m in models.items()}, packed.persist()
+    few = packed.count() <= FEW_CHUNKS
     for _ in range(rounds):
-        for cell, s in expect_cells(packed, {c: f.model for c, f in fits.items()}, smoothing).items():
+        for cell, s in expect_cells(packed, {c: f.model for c, f in fits.items()}, smoothing, few=few).items():
             fits[cell].likelihoods.append(float(s[0]))
             fits[cell].model = improved(fits[cell].model, s, (floors or {}).get(cell, 0.0))
     packed.unpersist()

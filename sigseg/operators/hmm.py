@@ -192,8 +192,13 @@ def _walk(pdf: pd.DataFrame, model: HmmModel, smoothing: str) -> Iterator[tuple[
         yield rows, dens, alpha, beta, scale, begins
 
 
-def _joined(packed: DataFrame, edges: DataFrame) -> DataFrame:
-    return packed.join(edges, ["seq", "chunk"])
+#: Chunks up to which their boundaries (some numbers each) are broadcast, so that the observations are not shuffled.
+FEW_CHUNKS = 100_000
+
+
+def _joined(packed: DataFrame, edges: DataFrame, few: bool = False) -> DataFrame:
+    """``packed`` with the boundaries of its chunks; ``few`` says that there are no more than FEW_CHUNKS."""
+    return packed.join(F.broadcast(edges) if few else edges, ["seq", "chunk"])
 
 
 def _log_boundaries(packed: DataFrame, models: Models) -> DataFrame:
