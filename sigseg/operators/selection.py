@@ -160,9 +160,11 @@ def _observed(signals: dict[int, DataFrame], families: tuple[str, ...], cuts: di
     return reduce(DataFrame.unionByName, parts)
 
 
-def _in_cells(observed: DataFrame, cells: DataFrame, keys: tuple[str, ...], chunk: int) -> DataFrame:
-    """Packed once for each resolution and family, then copied to the cells that read them alike."""
+def _in_cells(observed: DataFrame, cells: DataFrame, keys: tuple[str, ...], chunk: int, path: str) -> DataFrame:
+    """Packed once for each resolution and family and written to ``path``, then copied to the cells that read them alike."""
     packed = pack(observed, chunk=chunk, keys=("grid", *keys))
+    packed.write.parquet(path)  # all that follows would else compute the signal of every resolution again
+    packed = observed.sparkSession.read.schema(packed.schema).parquet(path)
     return packed.join(F.broadcast(cells.select("grid", "cell")), "grid").drop("grid").withColumn("seq", F.concat_ws(SEP, "cell", *keys))
 
 
@@ -180,13 +182,13 @@ def train_grid(train: DataFrame, samples: DataFrame, rounds: int = 5, factors=FA
     cuts = {f: D.percentiles(s.select("chrom", "bin", F.log1p("value").alias("obs")), "obs", [60, 75, 90]) for f, s in signals.items()} if "discrete" in families else {}
     folder = scratch_folder(spark, "grid")
     bins = {r.factor: r.n for r in reduce(DataFrame.unionByName, [s.select(F.lit(f).alias("factor")) for f, s in signals.items()]).groupBy("factor").agg(F.count("*").alias("n")).collect()}
-    packed = _in_cells(_observed(signals, families, cuts, ("chrom",)), cells, ("chrom",), chunk)
+    packed = _in_cells(_observed(signals, families, cuts, ("chrom",)), cells, ("chrom",), chunk, f"{folder}/train")
     models = {c: first_model(family, floor) for c, (_, family, floor) in names.items()}
     fits = baum_welch_cells(packed, models, rounds, {c: [0.0, floor] for c, (_, _, floor) in names.items()})
     rows = [(c, *x, fits[c].likelihoods[-1] / bins[x[0]] if fits[c].likelihoods else None) for c, x in names.items()]
     keys = ("sample", "chrom")
     copies = {f: samples if f == 1 else resample(samples, f, keys=keys) for f in factors}
-    held = _in_cells(_observed(copies, families, cuts, keys), cells, keys, chunk)
+    held = _in_cells(_observed(copies, families, cuts, keys), cells, keys, chunk, f"{folder}/samples")
     trained = {c: f.model for c, f in fits.items()}
     states = viterbi(held, trained, keys=("cell", *keys))
     states.write.parquet(f"{folder}/states")  # each scorer reads it
