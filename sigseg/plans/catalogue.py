@@ -195,10 +195,43 @@ def disc_empirical(spark, sf):
     return v.select("chrom", "bin", D.above(F.col("value"), [D.jump_threshold(v, "value")]).alias("symbol"))
 
 
-@query()
+def _erf(z: str) -> str:
+    """The error function by its series of positive terms; beyond 6 it is 1."""
+    return f"(CASE WHEN abs({z}) > 6 THEN sign({z}) WHEN {z} = 0 THEN 0 ELSE sign({z}) * list_sum([exp((2 * n + 1) * ln(abs({z})) - ({z}) ** 2 - lgamma(n + 1.5)) for n in range(150)]) END)"
+
+
+def _halves(name: str, rows: str) -> str:
+    """CTEs name0 to name20: a hard split of x in two, round by round; u, d and w are means, deviations and the upper share."""
+    ctes = [f"{name}0 AS (SELECT min(x) AS u0, max(x) AS u1, 0.0 AS d0, 0.0 AS d1, 0.5 AS w FROM {rows})"]
+    for i in range(20):
+        ctes.append(f"""{name}{i + 1} AS MATERIALIZED (SELECT coalesce(avg(x) FILTER (NOT up), any_value(u0)) AS u0, coalesce(avg(x) FILTER (up), any_value(u1)) AS u1, coalesce(stddev_pop(x) FILTER (NOT up), 0) AS d0, coalesce(stddev_pop(x) FILTER (up), 0) AS d1, avg(up::INT) AS w
+  FROM (SELECT x, u0, u1, abs(x - u1) < abs(x - u0) AS up FROM {rows}, {name}{i}))""")
+    return ",\n".join(ctes)
+
+
+def ks_sql(n: str, rows: str) -> str:
+    """CTEs of the six hypotheses on ``rows`` (value): nks (hypothesis, distance), nbest (chosen), and the fits np, nh20 and nz20."""
+    steps = "[" + ", ".join(f"{i / 1000}" for i in range(1, 1000)) + "]"
+    side = lambda h, s: f"0.5 * (1 + {_erf(f'((lx - {h}.u{s}) / (greatest({h}.d{s}, 1e-6) * sqrt(2)))')})"
+    gauss = lambda h: f"((1 - {h}.w) * {side(h, 0)} + {h}.w * {side(h, 1)})"
+    exponential = "(1 - exp(-c / mean))"
+    poisson = "list_sum([exp(k * ln(mean) - mean - lgamma(k + 1)) for k in range(0, floor(c)::BIGINT + 1)])"
+    held = {"poisson_zero": ("a", poisson), "exponential_zero": ("a", exponential), "poisson": ("b", poisson), "exponential": ("b", exponential), "gaussian_2": ("a", gauss("h")), "gaussian_2_zero": ("a", gauss("z"))}
+    each = [f"SELECT '{kind}' AS hypothesis, max(abs({'zeros + (1 - zeros) * ' if kind.endswith('zero') else ''}{cdf} - step)) AS distance FROM {n}c{part} c, {n}p, {n}h20 h, {n}z20 z" for kind, (part, cdf) in held.items()]
+    cuts = [f"{n}c{part} AS (SELECT c, ln(1 + c) AS lx, step FROM (SELECT unnest(quantile_cont(value, {steps})) AS c, unnest({steps}) AS step FROM {rows}{where}))" for part, where in (("a", ""), ("b", " WHERE value > 0"))]
+    return ",\n".join([
+        f"{n}a AS (SELECT ln(1 + value) AS x FROM {rows})", f"{n}b AS (SELECT ln(1 + value) AS x FROM {rows} WHERE value > 0)",
+        f"{n}p AS (SELECT avg(value) FILTER (value > 0) AS mean, avg((value = 0)::INT) AS zeros FROM {rows})",
+        _halves(f"{n}h", f"{n}a"), _halves(f"{n}z", f"{n}b"), *cuts,
+        f"{n}ks AS MATERIALIZED ({' UNION ALL '.join(each)})",
+        f"{n}best AS MATERIALIZED (SELECT CASE WHEN distance < 0.15 THEN hypothesis ELSE 'empirical' END AS chosen FROM {n}ks ORDER BY distance, hypothesis LIMIT 1)",
+    ])
+
+
+@query(with_(SIG, ks_sql("k", "sig")) + "SELECT hypothesis, round(distance, 6) AS distance, chosen FROM kks, kbest")
 def disc_ks_select(spark, sf):
     v = V.sig_hour(spark, sf)
-    rows = [(k, float(d)) for k, d in sorted(D.ks_distances(v, "value").items())]
+    rows = [(k, round(float(d), 6)) for k, d in sorted(D.ks_distances(v, "value").items())]
     return spark.createDataFrame(rows, "hypothesis string, distance double").withColumn("chosen", F.lit(D.select_distribution(v, "value")))
 
 
@@ -561,11 +594,18 @@ def em_constraint(spark, sf):
     return spark.createDataFrame([tuple(round(float(v), 6) for v in fit.model.transition[0])], "a00 double, a01 double")
 
 
-@query()
+#: Rounds at most, and the log-likelihood before each: training stops behind the third change in a row below 50.
+CALM_ROUNDS = 20
+CALM = "li AS (" + " UNION ALL ".join(f"SELECT {i} AS round, sum(l) AS l FROM f{i} WHERE bin = 719" for i in range(CALM_ROUNDS)) + """),
+ch AS (SELECT round, l, abs(l - lag(l) OVER (ORDER BY round)) < 50 AS calm FROM li),
+stops AS (SELECT coalesce(min(round), 99) AS stop FROM (SELECT round, calm AND lag(calm) OVER (ORDER BY round) AND lag(calm, 2) OVER (ORDER BY round) AS still FROM ch) WHERE still)"""
+
+
+@query(with_(SIG, X, T3, SYM, ALL_SYM, em_discrete_sql(CALM_ROUNDS), CALM, recursive=True) + "SELECT round::INT AS round, round(l, 6) AS loglik FROM ch, stops WHERE round <= stop")
 def em_diff_condition(spark, sf):
-    stop = SmallChange(50.0, 20)
+    stop = SmallChange(50.0, CALM_ROUNDS)
     baum_welch(packed_symbols(spark, sf, 256), H.default_discrete(), stop)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(stop.likelihoods)], "round int, loglik double")
+    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(stop.likelihoods)], "round int, loglik double")
 
 
 # ---- scores ----
@@ -948,7 +988,24 @@ def disc_fit_exponential(spark, sf):
     return wide.select("chrom", "bin", F.posexplode(cells).alias("track", "symbol"))
 
 
-@query()
+def _fitted_sql(n: str, rows: str) -> str:
+    """CTE ns (chrom, bin, symbol): ``rows`` (chrom, bin, value) by the alphabet of the nearest hypothesis."""
+    density = lambda h, s, w: f"(1 - {w}) * {pdf('ln(1 + value)', f'{h}.u{s}', f'greatest({h}.d{s}, 1e-6)')}"
+    upper = lambda h: f"{density(h, 1, f'{h}.w')} > {density(h, 0, f'(1 - {h}.w)')}"
+    noise = {"exponential": "exp(-value / mean) / mean", "poisson": "exp(floor(value) * ln(mean) - mean - lgamma(floor(value) + 1))"}
+    tests = [f"WHEN '{kind}{zero}' THEN value > 0 AND {p} < 0.002 * (1 - {bias})" for kind, p in noise.items() for zero, bias in (("", "0"), ("_zero", "zeros"))]
+    tests += [f"WHEN 'gaussian_2' THEN {upper('h')}", f"WHEN 'gaussian_2_zero' THEN value > 0 AND {upper('z')}"]
+    deciles = "[" + ", ".join(f"{i / 10}" for i in range(11)) + "]"
+    return f"""{n}q AS (SELECT quantile_cont(value, {deciles}) AS q FROM {rows}),
+{n}j AS (SELECT q[i] AS jump FROM {n}q, (SELECT unnest(generate_series(1, 10)) AS i) ORDER BY round(q[i + 1] - q[i], 9) DESC, i LIMIT 1),
+{n}s AS (SELECT chrom, bin, (CASE chosen {' '.join(tests)} ELSE round(value, 9) > round(jump, 9) END)::INT AS symbol FROM {rows}, {n}p, {n}h20 h, {n}z20 z, {n}best, {n}j)"""
+
+
+TRACK_ROWS = ",\n".join(f"t{i} AS MATERIALIZED (SELECT chrom, bin, value FROM mc WHERE track = {i})" for i in range(4))
+
+
+@query(with_(MC, TRACK_ROWS, *[f"{ks_sql(f'k{i}', f't{i}')},\n{_fitted_sql(f'k{i}', f't{i}')}" for i in range(4)])
+    + "SELECT chrom, bin, " + ", ".join(f"k{i}s.symbol AS s{i}" for i in range(4)) + ", (" + " + ".join(f"{1 << i} * k{i}s.symbol" for i in range(4)) + ")::BIGINT AS packed FROM k0s JOIN k1s USING (chrom, bin) JOIN k2s USING (chrom, bin) JOIN k3s USING (chrom, bin)")
 def disc_fit_alphabets(spark, sf):
     """The nearest distribution of each track, applied, and all tracks in one word."""
     wide = S.stack(V.mc_hour(spark, sf), [0, 1, 2, 3])
@@ -999,6 +1056,105 @@ def hmm_emission_mvn_mixture(spark, sf):
     return wide.select("chrom", "bin", F.round(p, 6).alias("p"))
 
 
+def _pair(x: str, m: str, s: str) -> str:
+    """Density of the list x of two under the state or component s of the model m."""
+    det, dx, dy = f"({m}.vx{s} * {m}.vy{s} - {m}.vxy{s} ** 2)", f"({x}[1] - {m}.mx{s})", f"({x}[2] - {m}.my{s})"
+    return f"exp(-0.5 * ({m}.vy{s} * {dx} ** 2 - 2 * {m}.vxy{s} * {dx} * {dy} + {m}.vx{s} * {dy} ** 2) / {det}) / (2 * pi() * sqrt({det}))"
+
+
+def _pair_step(weight: dict[str, str]) -> list[str]:
+    """SQL of the next means and covariances; weight: each point's by state or component."""
+    moment = lambda s, e: f"sum({weight[s]} * {e}) / sum({weight[s]})"
+    dx, dy = (lambda s: f"(x[1] - m.mx{s})"), (lambda s: f"(x[2] - m.my{s})")
+    return [
+        *[moment(s, "x[1]") for s in weight], *[moment(s, "x[2]") for s in weight],
+        *[f"greatest({moment(s, f'{dx(s)} ** 2')}, 0.5)" for s in weight], *[moment(s, f"{dx(s)} * {dy(s)}") for s in weight], *[f"greatest({moment(s, f'{dy(s)} ** 2')}, 0.5)" for s in weight],
+    ]
+
+
+def _pair_names(of: list[str]) -> list[str]:
+    return [f"{n}{s}" for n in ("mx", "my", "vx", "vxy", "vy") for s in of]
+
+
+def _pair_values(means: list, covariances: list) -> list[str]:
+    c = covariances
+    return [str(v) for v in ([m[0] for m in means] + [m[1] for m in means] + [x[0][0] for x in c] + [x[0][1] for x in c] + [x[1][1] for x in c])]
+
+
+LOG_PAIRS = "train AS MATERIALIZED (SELECT chrom, bin, [ln(1 + coalesce(sum(value) FILTER (track = 0), 0)), ln(1 + coalesce(sum(value) FILTER (track = 1), 0))] AS x FROM mc GROUP BY ALL)"
+GAUSS2 = E.MultivariateNormal([[0.5, 0.5], [3.5, 3.0]], [[[1.0, 0.2], [0.2, 1.0]], [[2.0, -0.5], [-0.5, 2.0]]])
+GAUSS2_NAMES, GAUSS2_VALUES = _pair_names(["0", "1"]), _pair_values(GAUSS2.means, GAUSS2.covariances)
+GAUSS2_OF = lambda x, m: ", ".join(f"{floored(_pair(x, m, s))} AS e{s}" for s in "01")
+MIX2 = E.MultivariateMixture([[0.6, 0.4], [0.5, 0.5]], [[[0.0, 0.0], [1.0, 1.0]], [[4.0, 1.0], [1.0, 4.0]]], [[[[1.0, 0.0], [0.0, 1.0]], [[1.0, 0.3], [0.3, 1.0]]], [[[2.0, 0.5], [0.5, 1.0]], [[1.0, 0.5], [0.5, 2.0]]]])
+PARTS = ["00", "01", "10", "11"]
+MIX2_NAMES = [*_pair_names(PARTS), *[f"w{p}" for p in PARTS]]
+MIX2_VALUES = [*_pair_values([m for row in MIX2.means for m in row], [c for row in MIX2.covariances for c in row]), *[str(w) for row in MIX2.weights for w in row]]
+
+
+def _weighted(x: str, m: str, p: str) -> str:
+    return f"{m}.w{p} * {_pair(x, m, p)}"
+
+
+def MIX2_OF(x: str, m: str) -> str:
+    return ", ".join(f"{floored(_weighted(x, m, s + '0') + ' + ' + _weighted(x, m, s + '1'))} AS e{s}" for s in "01")
+
+
+def first_of(names: list[str], values: list[str], of) -> str:
+    """CTE obs: densities of ``train`` under a model before any training."""
+    model = ", ".join(f"{v}::DOUBLE AS {n}" for n, v in zip(names, values, strict=True))
+    return f"first AS (SELECT {model}), obs AS MATERIALIZED (SELECT s.chrom, s.bin, {of('s.x', 'm')} FROM train s, first m)"
+
+
+def log_pairs(spark, sf) -> DataFrame:
+    """chrom, bin, obs: ln(1 + value) of the first two tracks."""
+    return S.stack(V.mc_hour(spark, sf), [0, 1]).select("chrom", "bin", F.array(F.log1p("0"), F.log1p("1")).alias("obs"))
+
+
+def pair_rows(spark, emission: E.MultivariateNormal, last: float) -> DataFrame:
+    rows = [(s, *(round(float(v), 6) for v in (*m, c[0][0], c[0][1], c[1][1], last))) for s, (m, c) in enumerate(zip(emission.means, emission.covariances, strict=True))]
+    return spark.createDataFrame(rows, "state int, mx double, my double, vx double, vxy double, vy double, loglik double")
+
+
+@query(with_(MC, LOG_PAIRS, rec.em(GAUSS2_OF, "train", 3, START, TRANS, (GAUSS2_NAMES, GAUSS2_VALUES), _pair_step({"0": "g0", "1": "g1"})), recursive=True)
+    + " UNION ALL ".join(f"SELECT {s} AS state, " + ", ".join(f"round({n}{s}, 6) AS {n}" for n in ("mx", "my", "vx", "vxy", "vy")) + ", (SELECT round(sum(l), 6) FROM f2 WHERE bin = 719) AS loglik FROM m3" for s in range(2)))
+def em_gaussian_pairs(spark, sf):
+    """Training of two-dimensional Gaussians with full covariances on two tracks of all chromosomes."""
+    fit = baum_welch(H.pack(log_pairs(spark, sf), chunk=256), H.HmmModel(H.DEFAULT_START, H.DEFAULT_TRANSITION, GAUSS2), Iterations(3))
+    return pair_rows(spark, fit.model.emission, fit.likelihoods[-1])
+
+
+def _pair_share(p: str) -> str:
+    return f"(g{p[0]} * {_weighted('x', 'm', p)} / {floored(_weighted('x', 'm', p[0] + '0') + ' + ' + _weighted('x', 'm', p[0] + '1'))})"
+
+
+MIX2_STEP = [*_pair_step({p: _pair_share(p) for p in PARTS}), *[f"sum({_pair_share(p)}) / (sum({_pair_share(p[0] + '0')}) + sum({_pair_share(p[0] + '1')}))" for p in PARTS]]
+
+
+@query(with_(MC, LOG_PAIRS, rec.em(MIX2_OF, "train", 3, START, TRANS, (MIX2_NAMES, MIX2_VALUES), MIX2_STEP), recursive=True)
+    + " UNION ALL ".join(f"SELECT {p[0]} AS state, {p[1]} AS component, " + ", ".join(f"round({n}{p}, 6) AS {c}" for n, c in (("w", "weight"), ("mx", "mx"), ("my", "my"), ("vx", "vx"), ("vxy", "vxy"), ("vy", "vy"))) + " FROM m3" for p in PARTS))
+def em_mixture_pairs(spark, sf):
+    """Training of mixtures of two-dimensional Gaussians, two components a state."""
+    e = baum_welch(H.pack(log_pairs(spark, sf), chunk=256), H.HmmModel(H.DEFAULT_START, H.DEFAULT_TRANSITION, MIX2), Iterations(3)).model.emission
+    rows = []
+    for s in range(2):
+        for c in range(2):
+            m, v = e.means[s][c], e.covariances[s][c]
+            rows.append((s, c, *(round(float(x), 6) for x in (e.weights[s][c], *m, v[0][0], v[0][1], v[1][1]))))
+    return spark.createDataFrame(rows, "state int, component int, weight double, mx double, my double, vx double, vxy double, vy double")
+
+
+@query(with_(MC, LOG_PAIRS, first_of(GAUSS2_NAMES, GAUSS2_VALUES, GAUSS2_OF), VIT, recursive=True) + "SELECT chrom, bin, state FROM path")
+def hmm_viterbi_pairs(spark, sf):
+    """Best path under two-dimensional Gaussians."""
+    return H.viterbi(H.pack(log_pairs(spark, sf), chunk=128), H.HmmModel(H.DEFAULT_START, H.DEFAULT_TRANSITION, GAUSS2, H.DEFAULT_END))
+
+
+@query(with_(MC, LOG_PAIRS, first_of(MIX2_NAMES, MIX2_VALUES, MIX2_OF), VIT, recursive=True) + "SELECT chrom, bin, state FROM path")
+def hmm_viterbi_mixture_pairs(spark, sf):
+    """Best path under mixtures of two-dimensional Gaussians."""
+    return H.viterbi(H.pack(log_pairs(spark, sf), chunk=128), H.HmmModel(H.DEFAULT_START, H.DEFAULT_TRANSITION, MIX2, H.DEFAULT_END))
+
+
 # ---- estimators ----
 
 TRAINED = "obs AS MATERIALIZED (SELECT s.chrom, s.bin, CASE s.x WHEN 0 THEN m.e00 WHEN 1 THEN m.e01 WHEN 2 THEN m.e02 ELSE m.e03 END AS e0, CASE s.x WHEN 0 THEN m.e10 WHEN 1 THEN m.e11 WHEN 2 THEN m.e12 ELSE m.e13 END AS e1, m.p0, m.p1, m.a00, m.a01, m.a10, m.a11 FROM sym s, m2 m)"
