@@ -160,11 +160,15 @@ def _observed(signals: dict[int, DataFrame], families: tuple[str, ...], cuts: di
     return reduce(DataFrame.unionByName, parts)
 
 
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` written to ``path`` and read from there, so that what follows does not compute them again."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _in_cells(observed: DataFrame, cells: DataFrame, keys: tuple[str, ...], chunk: int, path: str) -> DataFrame:
     """Packed once for each resolution and family and written to ``path``, then copied to the cells that read them alike."""
-    packed = pack(observed, chunk=chunk, keys=("grid", *keys))
-    packed.write.parquet(path)  # all that follows would else compute the signal of every resolution again
-    packed = observed.sparkSession.read.schema(packed.schema).parquet(path)
+    packed = _written(pack(observed, chunk=chunk, keys=("grid", *keys)), path)
     return packed.join(F.broadcast(cells.select("grid", "cell")), "grid").drop("grid").withColumn("seq", F.concat_ws(SEP, "cell", *keys))
 
 
@@ -178,9 +182,11 @@ def train_grid(train: DataFrame, samples: DataFrame, rounds: int = 5, factors=FA
     spark = train.sparkSession
     names = {f"{factor}|{family}|{floor}": (factor, family, floor) for factor in factors for family in families for floor in floors}
     cells = spark.createDataFrame([(f"{x}|{y}", c, x, y, z) for c, (x, y, z) in names.items()], "grid string, cell string, factor int, family string, floor double")
+    folder = scratch_folder(spark, "grid")
+    # each resolution and family reads them
+    train, samples = _written(train, f"{folder}/train_signal"), _written(samples, f"{folder}/sample_signals")
     signals = {f: train if f == 1 else resample(train, f) for f in factors}
     cuts = {f: D.percentiles(s.select("chrom", "bin", F.log1p("value").alias("obs")), "obs", [60, 75, 90]) for f, s in signals.items()} if "discrete" in families else {}
-    folder = scratch_folder(spark, "grid")
     bins = {r.factor: r.n for r in reduce(DataFrame.unionByName, [s.select(F.lit(f).alias("factor")) for f, s in signals.items()]).groupBy("factor").agg(F.count("*").alias("n")).collect()}
     packed = _in_cells(_observed(signals, families, cuts, ("chrom",)), cells, ("chrom",), chunk, f"{folder}/train")
     models = {c: first_model(family, floor) for c, (_, family, floor) in names.items()}
@@ -190,10 +196,9 @@ def train_grid(train: DataFrame, samples: DataFrame, rounds: int = 5, factors=FA
     copies = {f: samples if f == 1 else resample(samples, f, keys=keys) for f in factors}
     held = _in_cells(_observed(copies, families, cuts, keys), cells, keys, chunk, f"{folder}/samples")
     trained = {c: f.model for c, f in fits.items()}
-    states = viterbi(held, trained, keys=("cell", *keys))
-    states.write.parquet(f"{folder}/states")  # each scorer reads it
+    states = _written(viterbi(held, trained, keys=("cell", *keys)), f"{folder}/states")  # each scorer reads it
     table = spark.createDataFrame(rows, "cell string, factor int, family string, floor double, loglik double")
-    return Trial(table, trained, held, spark.read.schema(states.schema).parquet(f"{folder}/states"))
+    return Trial(table, trained, held, states)
 
 
 def score_grid(trial: Trial, scorers: list[Scorer]) -> DataFrame:
