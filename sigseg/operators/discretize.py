@@ -254,19 +254,22 @@ def ks_distances(values: DataFrame, column: str, fitted: dict[str, Alphabet] | N
     return out
 
 
-def select_distribution(values: DataFrame, column: str, fallback: float = 0.15) -> str:
+def nearest(distances: dict[str, float], fallback: float = 0.15) -> str:
     """The hypothesis with the least distance; ``empirical`` if none is nearer than ``fallback``."""
-    distances = ks_distances(values, column)
     best = min(distances, key=lambda k: (distances[k], k))
     return best if distances[best] < fallback else "empirical"
 
 
+def select_distribution(values: DataFrame, column: str, fallback: float = 0.15) -> str:
+    """The hypothesis that is nearest to the values."""
+    return nearest(ks_distances(values, column), fallback)
+
+
 def fit_alphabet(values: DataFrame, column: str, fallback: float = 0.15, threshold: float = 0.002) -> Alphabet:
     """The alphabet of the nearest distribution, or of the largest jump."""
     fitted = fits(values, column, threshold)
-    distances = ks_distances(values, column, fitted)
-    best = min(distances, key=lambda k: (distances[k], k))
-    return fitted[best] if distances[best] < fallback else Alphabet("empirical", threshold=jump_threshold(values, column))
+    best = nearest(ks_distances(values, column, fitted), fallback)
+    return fitted[best] if best != "empirical" else Alphabet("empirical", threshold=jump_threshold(values, column))
 
 
 def fit_features(values: DataFrame, columns: list[str], at: list[float]) -> list[list[float]]:

@@ -230,9 +230,13 @@ def ks_sql(n: str, rows: str) -> str:
 
 @query(with_(SIG, ks_sql("k", "sig")) + "SELECT hypothesis, round(distance, 6) AS distance, chosen FROM kks, kbest")
 def disc_ks_select(spark, sf):
-    v = V.sig_hour(spark, sf)
-    rows = [(k, round(float(d), 6)) for k, d in sorted(D.ks_distances(v, "value").items())]
-    return spark.createDataFrame(rows, "hypothesis string, distance double").withColumn("chosen", F.lit(D.select_distribution(v, "value")))
+    v = V.sig_hour(spark, sf).select("value").persist()  # some fifty aggregates read it
+    try:
+        distances = D.ks_distances(v, "value")
+    finally:
+        v.unpersist()
+    rows = [(k, round(float(d), 6)) for k, d in sorted(distances.items())]
+    return spark.createDataFrame(rows, "hypothesis string, distance double").withColumn("chosen", F.lit(D.nearest(distances)))
 
 
 NAIVE = "nt AS (SELECT quantile_cont(x, 0.7) AS t FROM x), seg AS (SELECT chrom, bin, (round(x, 9) > round(t, 9))::INT AS state FROM x, nt)"
@@ -1185,8 +1189,24 @@ def est_mappable_runs(spark, sf):
     return model_row(spark, fit, EM_D, [v for row in fit.model.emission.table for v in row]).drop("loglik")
 
 
-@query()
+CS_NAMES = [f"e{s}_{f}_{m}" for s in range(2) for f in range(4) for m in range(4)]
+CS_VALUES = [str(v) for row in ((0.4, 0.3, 0.2, 0.1), (0.1, 0.2, 0.3, 0.4)) for _ in range(4) for v in row]
+
+
+def CS_OF(x: str, m: str) -> str:
+    one = lambda s, f: f"(CASE {x}[{f + 1}] " + " ".join(f"WHEN {k} THEN {m}.e{s}_{f}_{k}" for k in range(4)) + " END)"
+    return ", ".join(f"{floored(' * '.join(one(s, f) for f in range(4)))} AS e{s}" for s in range(2))
+
+
+CS_STEP = [f"coalesce(sum(g{s}) FILTER (x[{f + 1}] = {m}), 0) / sum(g{s})" for s in range(2) for f in range(4) for m in range(4)]
+CS_OBS = f"obs AS MATERIALIZED (SELECT s.chrom, s.bin, {CS_OF('s.x', 'm')}, m.p0, m.p1, m.a00, m.a01, m.a10, m.a11 FROM train s, m2 m)"
+CS_PATH = rec.viterbi("obs", ("p0", "p1"), (("o.a00", "o.a01"), ("o.a10", "o.a11")), END, 359)
+
+
+@query(with_(MC, "mc2 AS (SELECT chrom, bin // 2 AS bin, track, sum(value) AS value FROM mc GROUP BY ALL)", CHANNEL_SYM.replace("FROM mc", "FROM mc2"), "train AS MATERIALIZED (SELECT chrom, bin, list(symbol ORDER BY track) AS x FROM cs GROUP BY ALL)",
+    rec.em(CS_OF, "train", 2, START, TRANS, (CS_NAMES, CS_VALUES), CS_STEP), CS_OBS, CS_PATH, recursive=True) + "SELECT chrom, bin, state FROM path")
 def est_channel_symbols(spark, sf):
+    """Symbols of four tracks in bins of two hours, a model of independent symbols trained on them, and its best path."""
     made = T.Segmenter(T.ChannelSymbolsStrategy(4), 2)
     made.fit(channels(spark, sf), Iterations(2))
     return made.classify(channels(spark, sf))
