@@ -1258,10 +1258,8 @@ def io_bedgraph_store(spark, sf):
 @query("SELECT event_type AS chrom, date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) // 3600 AS bin, round(sum(value), 6) AS value FROM events GROUP BY ALL")
 def io_wig_store(spark, sf):
     """Events through variableStep wig files."""
-    folder, e = folders.scratch_folder(spark, "wig"), V.intervals(spark, sf)
-    heads = e.select("chrom").distinct().select("chrom", F.lit(-1).cast("long").alias("pos"), F.concat(F.lit("variableStep chrom="), "chrom", F.lit(" span=60")).alias("value"))
-    lines = heads.unionByName(e.select("chrom", F.col("start").alias("pos"), F.concat_ws(" ", F.col("start") + 1, "score").alias("value")))
-    lines.repartition("chrom").sortWithinPartitions("chrom", "pos").select("value").write.text(folder)
+    folder = folders.scratch_folder(spark, "wig")
+    O.write_wig(V.intervals(spark, sf).select("chrom", "start", "score"), folder, 60)
     return I.wig_bins(I.read_wig(spark, folder), 3600).select("chrom", "bin", r6("value"))
 
 
@@ -1269,10 +1267,8 @@ def io_wig_store(spark, sf):
 def io_wig_bedgraph(spark, sf):
     """The hourly signal as wig files, converted to bedGraph text, read again."""
     folder = folders.scratch_folder(spark, "convert")
-    e = V.sig_hour(spark, sf).filter("value <> 0")
-    heads = e.select("chrom").distinct().select("chrom", F.lit(-1).cast("long").alias("pos"), F.concat(F.lit("variableStep chrom="), "chrom", F.lit(" span=3600")).alias("value"))
-    lines = heads.unionByName(e.select("chrom", F.col("bin").alias("pos"), F.concat_ws(" ", F.col("bin") * 3600 + 1, F.round("value", 3)).alias("value")))
-    lines.repartition("chrom").sortWithinPartitions("chrom", "pos").select("value").write.text(f"{folder}/wig/all.wig")
+    steps = V.sig_hour(spark, sf).filter("value <> 0").select("chrom", (F.col("bin") * 3600).alias("start"), F.round("value", 3).alias("score"))
+    O.write_wig(steps, f"{folder}/wig/all.wig", 3600)
     merged = I.merge_steps(I.read_wig(spark, f"{folder}/wig/all.wig"))
     O.write_tsv(merged.select("chrom", "start", "end", "score"), f"{folder}/bedgraph")
     return I.read_bedgraph(spark, f"{folder}/bedgraph")

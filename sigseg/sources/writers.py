@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigseg.operators.hmm import HmmModel
@@ -13,6 +13,9 @@ from sigseg.operators.signal import runs
 #: Colours of states in BED files, repeated beyond.
 COLORS = ["128,128,128", "0,128,0", "200,0,0", "0,0,200", "200,128,0", "128,0,128"]
 
+#: Positions of a wig file below one header.
+WIG_SPREAD = 1 << 16
+
 
 def bedgraph_rows(signal: DataFrame, bin_size: int, decimals: int = 3) -> DataFrame:
     """chrom, start, end, score: runs of equal rounded values, half-open."""
@@ -35,6 +38,20 @@ def write_tsv(rows: DataFrame, path: str, order: tuple[str, ...] = ("chrom", "st
     rows.orderBy(*order).write.mode("error").csv(path, sep="\t")
 
 
+def write_wig(steps: DataFrame, path: str, span: int) -> None:
+    """Steps (chrom, start, score) as variableStep wig files.
+
+    Each WIG_SPREAD positions of a chromosome have a header of their own, in one
+    row with their first step: no plan can part the two, and a chromosome is
+    written by many tasks.
+    """
+    block = Window.partitionBy("chrom", F.expr(f"start div {WIG_SPREAD}")).orderBy("start")
+    line = F.concat_ws(" ", F.col("start") + 1, "score")
+    header = F.concat(F.lit("variableStep chrom="), "chrom", F.lit(f" span={span}"))
+    text = F.when(F.row_number().over(block) == 1, F.concat_ws("\n", header, line)).otherwise(line)
+    steps.select(text.alias("value")).write.text(path)
+
+
 def model_summary(model: HmmModel) -> list[tuple[int, str, float]]:
     """(state, what, value) rows of starts, transitions and, if any, end weights."""
     rows = [(i, "start", float(p)) for i, p in enumerate(model.start)]

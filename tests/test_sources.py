@@ -1,9 +1,11 @@
 """Many wig files in one plan, merged steps, stores of regions, and filters of more taps there and back."""
 
+import duckdb
 import numpy as np
 import pytest
 
 from sigseg.operators import wavelet as W
+from sigseg.plans import catalogue
 from sigseg.sources import readers, segments
 
 
@@ -30,6 +32,24 @@ def test_many_wig_files_in_one_plan(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, back.collect())) == [("c1", 10 * j, 10 * j + 10, 3.0 + j % 2) for j in range(5)] + [("d", 6, 7, 1.0)]
 
 
+@pytest.mark.parametrize("name", ["io_wig_store", "io_wig_bedgraph"])
+def test_wig_headers_stay_with_their_steps(spark, name):
+    """As on large tables: joins that shuffle, whose small partitions are put together."""
+    sf, large = "/root/testdata/sf0.01", {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.shuffle.partitions": "40"}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    expected = db.sql(catalogue.ORACLE_SQL[name])
+    before = {k: spark.conf.get(k, None) for k in large}
+    try:
+        for k, v in large.items():
+            spark.conf.set(k, v)
+        got = catalogue.QUERIES[name](spark, sf).select(*expected.columns).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert sorted((*r[:-1], round(r[-1], 6)) for r in got) == sorted((*r[:-1], round(r[-1], 6)) for r in expected.fetchall())
+
+
 def test_merged_steps_cover_what_the_steps_cover(spark):
     rng = np.random.default_rng(1)
     rows, at = [], 0
