@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sigseg.functions import emissions as E
 from sigseg.operators.hmm import FEW_CHUNKS, HmmModel, Models, _boundaries, _each, _joined, _log_boundaries, _log_walk, _map, _walk
+from sigseg.sources.folders import held
 
 #: Least standard deviation of a normal state, and least variance of a multivariate one.
 MIN_DEVIATION = 0.5
@@ -257,19 +258,17 @@ def baum_welch(
     ``smoothing="log"`` trains in log space.
     """
     stop, fit = stop or Iterations(3), Fit(model)
-    packed = packed.persist()
     try:
-        few = packed.count() <= FEW_CHUNKS
-        while True:
-            s = expect(packed, fit.model, smoothing, var_center, few)
-            fit.likelihoods.append(float(s[0]))
-            fit.model = improved(fit.model, s, min_alpha, constraint, var_center, learn_end)
-            if stop(fit.likelihoods[-1]):
-                return fit
+        with held(packed, "training") as packed:
+            few = packed.count() <= FEW_CHUNKS
+            while True:
+                s = expect(packed, fit.model, smoothing, var_center, few)
+                fit.likelihoods.append(float(s[0]))
+                fit.model = improved(fit.model, s, min_alpha, constraint, var_center, learn_end)
+                if stop(fit.likelihoods[-1]):
+                    return fit
     except KeyboardInterrupt:
         return fit
-    finally:
-        packed.unpersist()
 
 
 def random_discrete(n_states: int, n_alphabet: int, seed: int) -> HmmModel:
@@ -281,11 +280,11 @@ def random_discrete(n_states: int, n_alphabet: int, seed: int) -> HmmModel:
 
 def baum_welch_cells(packed: DataFrame, models: dict[str, HmmModel], rounds: int, floors: dict[str, float | list[float]] | None = None, smoothing: str = "full") -> dict[str, Fit]:
     """Train a model for each cell of a grid; a round is one job for all cells. The cell is the first key of ``pack``."""
-    fits, packed = {c: Fit(m) for c, m in models.items()}, packed.persist()
-    few = packed.count() <= FEW_CHUNKS
-    for _ in range(rounds):
-        for cell, s in expect_cells(packed, {c: f.model for c, f in fits.items()}, smoothing, few=few).items():
-            fits[cell].likelihoods.append(float(s[0]))
-            fits[cell].model = improved(fits[cell].model, s, (floors or {}).get(cell, 0.0))
-    packed.unpersist()
+    fits = {c: Fit(m) for c, m in models.items()}
+    with held(packed, "training") as packed:
+        few = packed.count() <= FEW_CHUNKS
+        for _ in range(rounds):
+            for cell, s in expect_cells(packed, {c: f.model for c, f in fits.items()}, smoothing, few=few).items():
+                fits[cell].likelihoods.append(float(s[0]))
+                fits[cell].model = improved(fits[cell].model, s, (floors or {}).get(cell, 0.0))
     return fits

@@ -226,6 +226,7 @@ def training_regions(symbols: DataFrame, train: str, test: str, parts: int, roun
     a millionth. Of equal ones, the first part is the best.
     """
     spark = symbols.sparkSession
+    symbols = _written(symbols.filter(F.col("chrom").isin(train, test)), scratch_folder(spark, "regions"))  # four jobs and the result read them
     size = symbols.filter(F.col("chrom") == train).agg(F.max("bin") + 1).first()[0] or 0
     width = size // parts
     if not width:

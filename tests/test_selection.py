@@ -1,5 +1,7 @@
 """The grid, its scorers and the training regions against plain loops over numpy arrays."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +166,28 @@ def test_a_state_that_is_never_met_stays(spark):
     df = spark.createDataFrame([("a", i, float(i % 3)) for i in range(9)], "chrom string, bin long, obs double")
     fit = em.baum_welch(H.pack(df), never, em.Iterations(2))
     assert fit.model.emission.means == pytest.approx([1.0, 9.0]) and fit.model.emission.deviations[1] == 2.0 and fit.model.transition[1] == [0.5, 0.5]
+
+
+def tasks_of(spark, run):
+    """Tasks of all jobs of ``run``, and what it gives."""
+    name = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        given, tracker = run(), spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds}
+        return sum(x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x), given
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_rounds_of_training_have_few_tasks_however_many_partitions_made_the_signal(spark):
+    rng = np.random.default_rng(3)
+    rows = [(c, i, int(x)) for c in ("a", "b") for i, x in enumerate(rng.integers(0, 4, 400))]
+    df = spark.createDataFrame(rows, "chrom string, bin long, obs int")
+    few, want = tasks_of(spark, lambda: L.training_regions(df, "a", "b", 4, 5, 64).collect())
+    many, got = tasks_of(spark, lambda: L.training_regions(df.repartition(200, "chrom", "bin"), "a", "b", 4, 5, 64).collect())
+    assert [(r.part, r.best) for r in got] == [(r.part, r.best) for r in want]
+    assert [r.loglik for r in got] == pytest.approx([r.loglik for r in want])
+    packed = H.pack(df, chunk=4).repartition(200)
+    n, fit = tasks_of(spark, lambda: em.baum_welch(packed, H.default_discrete(), em.Iterations(5)))
+    assert len(fit.likelihoods) == 5 and many < few + 400 and n < 500
