@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigseg.sources.folders import held
+
 #: Thresholds compare at this many decimals, so that the last bit of a percentile decides nothing.
 DECIMALS = 9
 #: Rows up to which a percentile is taken in one task, and the accuracy of the approximate ones that bracket it beyond.
@@ -279,11 +281,8 @@ def fit_features(values: DataFrame, columns: list[str], at: list[float]) -> list
 
 def fit_alphabets(values: DataFrame, columns: list[str], fallback: float = 0.15) -> list[Alphabet]:
     """An alphabet for each feature; ``symbol`` of each gives its binary symbols, ``pack`` the word of them all."""
-    held = values.select(*columns).persist()
-    try:
-        return [fit_alphabet(held, c, fallback) for c in columns]
-    finally:
-        held.unpersist()
+    with held(values.select(*columns), "alphabets") as rows:
+        return [fit_alphabet(rows, c, fallback) for c in columns]
 
 
 def channel_symbols(data: DataFrame, column: str = "x", at: tuple[float, ...] = (60, 75, 90)) -> tuple[Column, list[float]]:

@@ -230,11 +230,8 @@ def ks_sql(n: str, rows: str) -> str:
 
 @query(with_(SIG, ks_sql("k", "sig")) + "SELECT hypothesis, round(distance, 6) AS distance, chosen FROM kks, kbest")
 def disc_ks_select(spark, sf):
-    v = V.sig_hour(spark, sf).select("value").persist()  # some fifty aggregates read it
-    try:
+    with folders.held(V.sig_hour(spark, sf).select("value"), "values") as v:  # some fifty aggregates read it
         distances = D.ks_distances(v, "value")
-    finally:
-        v.unpersist()
     rows = [(k, round(float(d), 6)) for k, d in sorted(distances.items())]
     return spark.createDataFrame(rows, "hypothesis string, distance double").withColumn("chosen", F.lit(D.nearest(distances)))
 

@@ -191,3 +191,10 @@ def test_rounds_of_training_have_few_tasks_however_many_partitions_made_the_sign
     packed = H.pack(df, chunk=4).repartition(200)
     n, fit = tasks_of(spark, lambda: em.baum_welch(packed, H.default_discrete(), em.Iterations(5)))
     assert len(fit.likelihoods) == 5 and many < few + 400 and n < 500
+
+
+def test_fits_have_few_tasks_however_many_partitions_made_the_values(spark):
+    rows = [(float(x), float(y)) for x, y in np.random.default_rng(4).exponential(9, (300, 2)).round(2)]
+    df = spark.createDataFrame(rows, "u double, v double").repartition(100)
+    n, fitted = tasks_of(spark, lambda: D.fit_alphabets(df, ["u", "v"]))
+    assert [a.kind.startswith("exponential") for a in fitted] == [True, True] and n < 3000
