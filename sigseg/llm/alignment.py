@@ -18,13 +18,14 @@ distinct pairs are joined with them, the frequent ones salted.
 
 A text that is null or empty, or that one of the tokenizers does not spell byte
 for byte (U+2581 is a space to B), has no tokens: zeros and no groups. Rows that
-repeat a doc_id are aligned each for itself. Texts are aligned in slices of 1
-MiB, longer ones alone and whole. An empty table gives no rows. Extra columns
-are not carried.
+repeat a doc_id are aligned each for itself. Texts are aligned in slices of
+SLICE_BYTES, longer ones alone and whole. An empty table gives no rows. Extra
+columns are not carried.
 """
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 from collections.abc import Callable, Iterator
@@ -43,8 +44,10 @@ from sigseg.llm.shared import Scratch, lookup
 
 #: Distinct pairs whose counts are handed to every task (16 bytes each).
 BROADCAST_PAIRS = 2_000_000
-#: Links that are looked up at once, and pieces that a worker's cache holds.
-LINKS, CACHED_PIECES = 1 << 20, 500_000
+#: Links that are looked up at once, pieces that a worker's cache holds, and new pieces that are encoded at once.
+LINKS, CACHED_PIECES, PIECES_AT_ONCE = 1 << 19, 200_000, 1 << 12
+#: Bytes of text in a slice.
+SLICE_BYTES = 1 << 19
 KINDS = ("end", "overlap", "group")
 
 ALIGNED = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, links binary"
@@ -96,7 +99,10 @@ def byte_level(spec: str) -> _Side:
     tokenizer.encode_special_tokens = True
 
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return _flat_ids([x.ids for x in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)])
+        # an encoding holds far more than its ids, so few are kept at a time
+        parts = [pieces[i : i + PIECES_AT_ONCE] for i in range(0, len(pieces), PIECES_AT_ONCE)]
+        found = [_flat_ids([x.ids for x in tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)]) for part in parts]
+        return np.concatenate([ids for ids, _ in found]), np.concatenate([counts for _, counts in found])
 
     vocabulary = Vocabulary(spec)
     label, vocabulary.added = vocabulary.label, {}
@@ -138,6 +144,14 @@ def _sides(spec: str, model: bytes) -> tuple[_Side, _Side]:
     return _loaded[key]
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system: a worker lives on beside what the executor does next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in glibc
+    if trim is not None:
+        trim(0)
+
+
 @dataclass(frozen=True)
 class Alignment:
     """Of a batch of texts: ids with each text's offsets, the group of each token, and linked tokens."""
@@ -240,7 +254,7 @@ def align_documents(docs: DataFrame, spec: str, model: bytes, links: str = "end"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = _sides(*shared.value)
-        for part in T.slices(batches, "text"):
+        for part in T.slices(batches, "text", SLICE_BYTES):
             x = _aligned(part.column(2), sides, links)
             flat, off = group_texts(x)
             some, off = np.diff(x.a_off) > 0, off.tolist()
@@ -250,6 +264,8 @@ def align_documents(docs: DataFrame, spec: str, model: bytes, links: str = "end"
             packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(x.link_off.astype(np.int64) * 8), pa.py_buffer(np.ascontiguousarray(key))]).cast(pa.binary())
             counts = [pa.array(np.diff(o).astype(np.int64)) for o in (x.a_off, x.b_off, x.group_off, x.link_off)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *counts, pa.array(groups, pa.string()), packed], names=_ALIGNED)
+            x = flat = off = texts = groups = key = packed = counts = None
+            _give_back()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, ALIGNED)

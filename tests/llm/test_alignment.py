@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -93,3 +94,13 @@ def test_query_and_long_texts(spark):
     one = A.cross_tokenizer_links(spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string"), Q.tokenizer_spec(), Q.piece_model(), digest=True).orderBy("doc_id").collect()
     assert (one[0].n_a, one[0].n_b) == (len(ids_a(long)[0]), len(ids_b(long)[0])) and tuple(one[1])[1:] == (0, 0, 0, 0, "", 0, 0)
     assert A.cross_tokenizer_links(spark.createDataFrame([], "doc_id long, text string"), Q.tokenizer_spec(), Q.piece_model()).count() == 0
+
+
+def test_few_pieces_are_encoded_at_once(monkeypatch):
+    met, flat_ids = [], A._flat_ids
+    monkeypatch.setattr(A, "_flat_ids", lambda found: met.append(len(found)) or flat_ids(found))
+    text = " " + " ".join(f"w{i:05d}x" for i in range(20_000))
+    side = A.byte_level(Q.tokenizer_spec())
+    ids, off = side.encode(pa.array([text, ""], pa.large_utf8()))
+    assert max(met) <= 4096 and sum(met) > 4096
+    assert b"".join(side.bytes[side.start[i] : side.start[i] + side.length[i]].tobytes() for i in ids.tolist()) == text.encode() and off.tolist() == [0, len(ids), len(ids)]
